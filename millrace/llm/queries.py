@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from millrace.llm import token_counts
+from millrace.llm import token_counts, token_files
 
 QUERIES = {
     "op4_token_counts": token_counts.op4_token_counts,
+    "op10_token_files": token_files.op10_token_files,
 }
 ORACLES: dict[str, str] = {}

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from millrace.llm import token_counts, token_files
+from millrace.llm import quality_rules, token_counts, token_files
 
 QUERIES = {
+    "op5_quality_rules": quality_rules.op5_quality_rules,
     "op4_token_counts": token_counts.op4_token_counts,
     "op10_token_files": token_files.op10_token_files,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op5_quality_rules": quality_rules.ORACLE,
+}

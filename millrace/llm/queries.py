@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from millrace.llm import license_scan, near_dedup, packing, quality_rules, secret_scan, source_mix, token_counts, token_files
+from millrace.llm import language_id, license_scan, near_dedup, packing, quality_rules, secret_scan, source_mix, token_counts, token_files
 
 QUERIES = {
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op1_source_mix": source_mix.op1_source_mix,
+    "op2_language_id": language_id.op2_language_id,
     "op3_license_scan": license_scan.op3_license_scan,
     "op4_token_counts": token_counts.op4_token_counts,
     "op7_packing": packing.op7_packing,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import language_id, license_scan, near_dedup, packing, quality_rules, secret_scan, source_mix, token_counts, token_files
+from millrace.llm import language_id, license_scan, near_dedup, ogg_media, packing, quality_rules, secret_scan, source_mix, token_counts, token_files
 
 QUERIES = {
     "op5_quality_rules": quality_rules.op5_quality_rules,
@@ -10,6 +10,7 @@ QUERIES = {
     "op2_language_id": language_id.op2_language_id,
     "op3_license_scan": license_scan.op3_license_scan,
     "op4_token_counts": token_counts.op4_token_counts,
+    "op6_ogg_media": ogg_media.op6_ogg_media,
     "op7_packing": packing.op7_packing,
     "op8_near_dedup": near_dedup.op8_near_dedup,
     "op9_secret_scan": secret_scan.op9_secret_scan,

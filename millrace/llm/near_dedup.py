@@ -6,8 +6,9 @@ chance agreement. Pairs that may reach the bound are confirmed on their full shi
 connected components.
 
 No bucket is expanded into all its pairs: texts with equal sets are one node; in each bucket the nodes are first
-compared with its smallest and largest node only; afterwards just those bucket mates are compared that are not yet in
-one component, so a large group of copies costs a few comparisons a member and no link between groups is lost. At the
+compared with one pivot only, another one in every band; afterwards just those bucket mates are compared that are not
+yet in one component, each pair in its first common band, so a large group of copies costs a few comparisons a member
+and no link between groups is lost. At the
 default bands a pair at the bound itself shares no bucket with probability 1.2e-7.
 
 Texts with fewer words than a shingle are one shingle of all their words; null texts and texts without words are empty
@@ -30,12 +31,11 @@ from pyspark.sql import functions as F
 from millrace.llm import common, pieces
 
 BANDS, ROWS = 40, 5
-HASHES = BANDS * ROWS
-#: Minima whose two low bits are packed, 32 to a long.
-PACKED = 192
-LONGS = PACKED // 32
-#: How far below the bound an estimate may lie: 6 standard deviations of PACKED two-bit agreements at 0.8.
-SLACK = 0.22
+#: Minima whose two low bits are packed, 32 to a long; the first BANDS * ROWS of them form the bands.
+HASHES = 512
+LONGS = HASHES // 32
+#: How far below the bound an estimate may lie: 5.5 standard deviations of HASHES two-bit agreements at 0.8.
+SLACK = 0.115
 SIGNATURE = [f"s{i}" for i in range(LONGS)]
 WORDS_CACHED = 1_000_000
 
@@ -112,8 +112,8 @@ def _signatures(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.Record
             mixed = _mix(low.astype(np.uint64) + places)
             bands = np.zeros((len(texts), BANDS), np.uint64)
             for r in range(ROWS):
-                bands = _mix(bands * np.uint64(0x9E3779B97F4A7C15) + mixed[:, r::ROWS][:, :BANDS])
-            bits = (mixed[:, :PACKED] >> np.uint64(62)).reshape(len(texts), LONGS, 32)
+                bands = _mix(bands * np.uint64(0x9E3779B97F4A7C15) + mixed[:, r : BANDS * ROWS : ROWS])
+            bits = (mixed >> np.uint64(62)).reshape(len(texts), LONGS, 32)
             packed = (bits << (np.arange(32, dtype=np.uint64) * np.uint64(2))).sum(axis=2, dtype=np.uint64).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(texts) + 1) * BANDS, BANDS, dtype=np.int32)), pa.array(bands.view(np.int64).reshape(-1)))
             columns = [keys, pa.array(n, pa.int64()), pa.array(k0, pa.int64()), pa.array(k1, pa.int64()), lists]
@@ -134,7 +134,7 @@ def estimate(a: str, b: str) -> Column:
     for s in SIGNATURE:
         x = F.col(f"{a}{s}").bitwiseXOR(F.col(f"{b}{s}"))
         differ = differ + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
-    return ((1 - differ / PACKED) - 0.25) / 0.75
+    return ((1 - differ / HASHES) - 0.25) / 0.75
 
 
 def _likely(a: str, b: str, percent: int) -> Column:
@@ -205,10 +205,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     nodes = common.saved(nodes.withColumn("node", F.monotonically_increasing_id()), "dedup-nodes")
 
     rows = nodes.select("node", F.explode("bands").alias("band"))
-    ends = rows.groupBy("band").agg(F.count("*").alias("size"), F.min("node").alias("low"), F.max("node").alias("high")).where("size > 1")
-    shared = common.saved(rows.join(ends.select("band", "low", "high"), "band"), "dedup-buckets")
-    pairs = shared.select("node", F.explode(F.array("low", "high")).alias("other")).where("node <> other")
-    pairs = pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    # the pivot is the smallest node after flipping bits by the band's hash, so bands choose pivots independently
+    flip = F.xxhash64("band").bitwiseAND(F.lit((1 << 63) - 1))
+    flipped = rows.withColumn("flipped", F.col("node").bitwiseXOR(flip))
+    pivots = flipped.groupBy("band").agg(F.count("*").alias("size"), F.min("flipped").alias("pivot")).where("size > 1")
+    pivots = pivots.select("band", F.col("pivot").bitwiseXOR(flip).alias("pivot"))
+    shared = common.saved(rows.join(pivots, "band"), "dedup-buckets")
+    pairs = shared.where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
     likely = pairs.join(_side(nodes, "a_"), F.col("a") == F.col("a_node")).join(_side(nodes, "b_"), F.col("b") == F.col("b_node")).where(_likely("a_", "b_", percent))
     likely = common.saved(likely.select("a", "b"), "dedup-pairs")
     links = common.saved(confirm(likely, nodes, docs, k, percent), "dedup-links")
@@ -217,10 +220,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     # bucket mates that are not in one component yet
     placed = shared.select("band", "node").join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
     mixed = placed.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("band")
-    open_rows = common.saved(placed.join(mixed, "band").join(nodes.select("node", "n", *SIGNATURE), "node"), "dedup-open")
-    a = open_rows.select("band", *[F.col(c).alias(f"a_{c}") for c in ("node", "root", "n", *SIGNATURE)])
-    b = open_rows.select("band", *[F.col(c).alias(f"b_{c}") for c in ("node", "root", "n", *SIGNATURE)])
-    rest = a.join(b, "band").where((F.col("a_root") != F.col("b_root")) & (F.col("a_node") < F.col("b_node")) & _likely("a_", "b_", percent))
+    wide = ("node", "root", "bands", "n", *SIGNATURE)
+    open_rows = common.saved(placed.join(mixed, "band").join(nodes.select("node", "bands", "n", *SIGNATURE), "node"), "dedup-open")
+    a = open_rows.select("band", *[F.col(c).alias(f"a_{c}") for c in wide])
+    b = open_rows.select("band", *[F.col(c).alias(f"b_{c}") for c in wide])
+    first_common = F.array_min(F.array_intersect("a_bands", "b_bands")) == F.col("band")
+    apart = (F.col("a_root") != F.col("b_root")) & (F.col("a_node") < F.col("b_node"))
+    rest = a.join(b, "band").where(apart & _likely("a_", "b_", percent) & first_common)
     rest = rest.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct().join(likely, ["a", "b"], "left_anti")
     rest = common.saved(rest, "dedup-rest")
     if rest.count():
@@ -229,7 +235,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     smallest = nodes.select("node", "id", "k0", "k1").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = common.saved(smallest, "dedup-placed")
-    groups = smallest.groupBy("root").agg(F.min("id").alias("component_id"))
+    groups = common.saved(smallest.groupBy("root").agg(F.min("id").alias("component_id")), "dedup-groups")
     by_set = smallest.join(groups, "root").select("k0", "k1", "component_id")
     linked = made.where("n_shingles > 0 and doc_id is not null").select("doc_id", "n_shingles", "k0", "k1").join(by_set, ["k0", "k1"])
     alone = made.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))

@@ -206,7 +206,7 @@ def split_adaptive(docs: DataFrame, keys: list[str], text: str = "text") -> Data
 
 
 def split_fixed(docs: DataFrame, keys: list[str], text: str = "text", size: int = 500, overlap: int = 100) -> DataFrame:
-    return docs.select(*keys, F.posexplode(fixed_windows(F.col(text), size, overlap)).alias("chunk_index", "content"))
+    return _positions(docs.select(*keys, fixed_windows(F.col(text), size, overlap).alias("chunks")), keys, "content")
 
 
 def split_document(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -224,7 +224,13 @@ def split_document(docs: DataFrame, keys: list[str], text: str = "text") -> Data
 
 
 def _exploded(chunked: DataFrame, keys: list[str]) -> DataFrame:
-    return chunked.select(*keys, F.posexplode("chunks").alias("chunk_index", "chunk")).select(*keys, "chunk_index", "chunk.*")
+    return _positions(chunked, keys, "chunk").select(*keys, "chunk_index", "chunk.*")
+
+
+def _positions(chunked: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """keys, chunk_index and each element of `chunks`. The outer form keeps the optimizer from filtering on the size of
+    the array further down, where it would make lines and headings again for every element."""
+    return chunked.select(*keys, F.posexplode_outer("chunks").alias("chunk_index", name)).where("chunk_index is not null")
 
 
 # -- tables ------------------------------------------------------------------------------------------------------
@@ -301,7 +307,7 @@ def split_tables(sheets: DataFrame, keys: list[str], table_name: Column, max_row
     part_count and header; `summary` stands on the first part where it is not empty."""
     parts = sheets.select(*keys, "sheet", table_name.alias("table_name"), (summary if summary is not None else F.lit("")).alias("summary"), table_lines(F.col("lines")).alias("table"))
     made = parts.where(F.size("table") > 0).select(*keys, "sheet", "table_name", "summary", table_header(F.get("table", 0)).alias("header"), table_parts(F.col("table"), max_rows, max_chars).alias("parts"))
-    rows = made.select(*keys, "sheet", "table_name", "summary", "header", F.size("parts").alias("part_count"), F.posexplode("parts").alias("at", "part"))
+    rows = made.select(*keys, "sheet", "table_name", "summary", "header", F.size("parts").alias("part_count"), F.posexplode_outer("parts").alias("at", "part")).where("at is not null")
     note = F.when((F.col("at") == 0) & (F.col("summary") != ""), F.concat(F.lit("[TableSummary] "), F.col("summary")))
     content = F.concat_ws("\n", F.concat(F.lit("[Table] "), F.col("table_name")), F.concat(F.lit("[Sheet] "), F.col("sheet")), note, F.array_join("part", "\n"))
     return rows.select(*keys, "table_name", "sheet", (F.col("at") + 1).alias("part_index"), "part_count", "header", content.alias("content"))

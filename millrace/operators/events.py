@@ -98,7 +98,7 @@ def tool_calls(events: DataFrame, key: str = "message_id") -> DataFrame:
     """key, position and the call's id, name, state, output and error, for every call of every message."""
     ordered = F.sort_array(F.collect_list(F.struct("seq", "event", "name", "run_id", "text")))
     folded = events.where(F.col("event").isin("on_tool_start", "on_tool_end", "on_tool_error")).groupBy(key).agg(ordered.alias("events"))
-    return folded.select(key, F.posexplode(fold_calls(F.col("events"))).alias("position", "call")).select(key, "position", "call.*")
+    return folded.select(key, F.posexplode_outer(fold_calls(F.col("events"))).alias("position", "call")).where("position is not null").select(key, "position", "call.*")
 
 
 def paired_by_run(events: DataFrame, key: str = "message_id") -> DataFrame:

@@ -5,6 +5,9 @@ White space means what Python's `str.strip` and `\\s` mean, so every pattern is
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -62,9 +65,9 @@ def decode_entities(text: Column) -> Column:
     return text
 
 
-def html_to_text(html: Column, decode=decode_entities) -> Column:
+def html_to_text(page: Column, decode=decode_entities) -> Column:
     """Visible text: scripts, styles and comments go, other tags become blanks, entities are decoded."""
-    text = F.coalesce(html, F.lit(""))
+    text = F.coalesce(page, F.lit(""))
     for pattern in (r"(?is)<script.*?>.*?</script>", r"(?is)<style.*?>.*?</style>", r"(?is)<!--.*?-->"):
         text = F.regexp_replace(text, pattern, "")
     return collapse(decode(F.regexp_replace(text, r"(?s)<[^>]+>", " ")))
@@ -72,9 +75,6 @@ def html_to_text(html: Column, decode=decode_entities) -> Column:
 
 def html_unescape(text: Column) -> Column:
     """All named and numeric references, by the standard library in Arrow batches."""
-    import html
-
-    import pandas as pd
 
     @F.pandas_udf("string")
     def unescape(values: pd.Series) -> pd.Series:

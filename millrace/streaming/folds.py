@@ -53,4 +53,5 @@ def run_to_table(stream: DataFrame, path: str) -> DataFrame:
 
 
 def stream_table(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    return spark.readStream.schema(schema or spark.read.parquet(path).schema).parquet(path)
+    """A stream over a Parquet folder or a single file: a stream's source takes a lone file only by a pattern."""
+    return spark.readStream.schema(schema or spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")

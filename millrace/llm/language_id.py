@@ -26,7 +26,8 @@ from millrace.llm import common, pieces
 BUCKETS, DIMENSIONS, ORDERS = 1 << 14, 16, (2, 3, 4)
 #: Bounds of the training sample: rows aimed at over all languages, and the languages learned (the most frequent).
 SAMPLE, MOST_LANGUAGES = 2000, 256
-EPOCHS, BATCH, RATE = 12, 32, 8.0
+#: Passes over the sample, more of them where it is so small that they would make fewer than STEPS steps.
+EPOCHS, STEPS, BATCH, RATE = 12, 500, 32, 8.0
 #: Share of wrong ones among the accepted predictions that the rejection threshold aims at.
 ACCEPTED_ERROR = 0.005
 UND = "und"
@@ -92,8 +93,10 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 7) -> Mode
         return x
 
     learned = np.flatnonzero(~aside)
-    steps, done = EPOCHS * -(-len(learned) // BATCH), 0
-    for _ in range(EPOCHS):
+    each = max(1, -(-len(learned) // BATCH))
+    epochs = max(EPOCHS, -(-STEPS // each))
+    steps, done = epochs * each, 0
+    for _ in range(epochs):
         order = rng.permutation(learned)
         for i in range(0, len(order), BATCH):
             which = order[i : i + BATCH]
@@ -114,7 +117,7 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 7) -> Mode
         logits = np.concatenate([dense(check[i : i + BATCH]) @ model.table + bias for i in range(0, len(check), BATCH)])
         truth = target[check]
         loss = lambda t: -np.log(softmax(logits / t)[np.arange(len(check)), truth] + 1e-12).mean()
-        model.temperature = float(min(np.geomspace(0.05, 20, 120), key=loss))
+        model.temperature = float(min(np.geomspace(0.25, 20, 120), key=loss))
         p = softmax(logits / model.temperature)
         score, right = p.max(axis=1), p.argmax(axis=1) == truth
         order = np.argsort(-score)

@@ -42,7 +42,7 @@ TEMPLATES = (
     Template("cc-by", "cc by", 1.0, True),
     Template("gpl", "general public license", 1.0, True),
     Template("reserved", "all rights reserved", 1.0, True),
-    Template("mit", "released under the mit license"),
+    Template("mit", "released under the mit license", 0.75),
     Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
     Template("apache-2.0", "licensed under the apache license version 2 0"),
     Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),

@@ -1,0 +1,448 @@
+"""The training-data operators against brute force, on small tables with nulls, repeats, long and empty texts."""
+
+import collections
+import hashlib
+import math
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from millrace.llm import language_id, license_scan, near_dedup, ogg_media, packing, pieces, quality_rules, secret_scan, source_mix, token_counts, token_files
+from tests.llm.samples import blank_words, documents, empty, lowered, rows_of
+
+WORD_BPE, BYTE_BPE = (public_tokenizers.path(n) for n in ("word_bpe_49k.json", "byte_bpe_50k.json"))
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return documents(spark).cache()
+
+
+@pytest.fixture(scope="module")
+def held(docs):
+    return docs.collect()
+
+
+def test_empty_tables(spark):
+    none = empty(spark)
+    assert source_mix.mix(none).count() == 0 and source_mix.mixed_documents(none).count() == 0
+    assert language_id.identify(none, None).count() == 0 and language_id.train(language_id.training_rows(none)) is None
+    for made in (license_scan.scan_licenses(none), token_counts.token_counts(none, WORD_BPE), quality_rules.quality_measures(none), quality_rules.keep_quality(none),
+                 ogg_media.media_features(ogg_media.with_media(none)), packing.pack(none, WORD_BPE), near_dedup.near_duplicates(none), near_dedup.deduplicated(none),
+                 secret_scan.scan_secrets(none), secret_scan.redact(none)):
+        assert made.count() == 0
+
+
+# 1
+
+
+def targets(held):
+    size = collections.Counter()
+    for r in held:
+        size[r.source] += len(blank_words(r.text))
+    names = sorted(size, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    out, free, left = dict.fromkeys(names, 0.0), set(names), 1.5 * sum(size.values())
+    while free:
+        total = sum(weight[s] for s in free)
+        over = [s for s in free if left * weight[s] / total > 2 * size[s]]
+        if not over:
+            out.update({s: left * weight[s] / total for s in free})
+            break
+        for s in over:
+            out[s] = 2.0 * size[s]
+            left -= out[s]
+            free.discard(s)
+    return size, out
+
+
+def test_mix(docs, held):
+    size, want = targets(held)
+    made = source_mix.mix(docs.withColumn("_row", F.col("source")), keep=("_row",)).collect()
+    assert len(made) == len(held)
+    taken = collections.Counter()
+    for r in made:
+        assert math.isclose(r["target"], want[r["_row"]], rel_tol=1e-9) and r["source_size"] == size[r["_row"]]
+        assert 0 <= r["taken"] <= 2 * r["size"]
+        taken[r["_row"]] += r["taken"]
+    assert all(abs(taken[s] - want[s]) <= 1 for s in want)
+    key = lambda rows: sorted(str((r["doc_id"], r["size"], r["taken"])) for r in rows)
+    assert key(made) == key(source_mix.mix(docs).collect())
+
+
+def test_mixed_documents(docs, held):
+    _, want = targets(held)
+    made, got = source_mix.mixed_documents(docs), collections.Counter()
+    assert made.columns == docs.columns
+    for r in made.collect():
+        got[r.source] += len(blank_words(r.text))
+    assert all(abs(got[s] - want[s]) <= 1 for s in want)
+
+
+def test_heavier_documents_come_first(spark):
+    rows = [(i, "w " * 10 + ("" if i % 2 else "# " * 40), "en", "s" if i < 600 else "t", 0) for i in range(1200)]
+    made = source_mix.mix(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), share=0.5).collect()
+    clean = sum(r["taken"] > 0 for r in made if r["doc_id"] % 2)
+    marked = sum(r["taken"] > 0 for r in made if not r["doc_id"] % 2)
+    assert clean > 1.3 * marked
+
+
+# 2
+
+
+def test_language(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = language_id.train(language_id.training_rows(docs))
+    truth = {r.doc_id: r.lang for r in docs.select("doc_id", "lang").collect()}
+    made = language_id.identify(docs, model).collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in made)
+    test = [r for r in made if r.held_out]
+    assert sum(r.lang_pred == truth[r.doc_id] for r in test) >= 0.9 * len(test)
+    assert all(0 <= r.score <= 1 and r.lang_pred in set(truth.values()) for r in made)
+    odd = spark.createDataFrame([(1, None), (2, "123 !?"), (None, "the and of that with"), (3, "")], "doc_id long, text string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify(odd, model).collect()}
+    assert got[1] == got[2] == got[3] == ("und", 0.0) and got[None][0] == "en"
+    again = language_id.train(language_id.training_rows(docs))
+    assert np.array_equal(model.table, again.table)
+
+
+def test_features_of_long_texts():
+    text = "ab cd é " * 300_000
+    assert language_id.features(text).sum() > 3 * 2_000_000
+
+
+# 3
+
+
+def phrases(text):
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered(text))
+    found = [(i, label) for phrase, label in (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved")) for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split()]
+    starts = [i for i, _ in found]
+    return len(words), len(found), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in found}))
+
+
+def test_license_base(docs, held):
+    got = rows_of(license_scan.scan_licenses(docs).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels"))
+    assert got == sorted(str((r.doc_id, *phrases(r.text))) for r in held)
+
+
+def test_license_method(spark):
+    texts = ["Released under the MIT License.", "released under really the mit license", "Permission is hereby granted, free of charge, to any other person obtaining a copy of this software", "under the license", "cc by CC-BY cc by"]
+    made = license_scan.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r["labels"] for r in made] == ["mit", "mit", "mit", "", "cc-by"]
+    assert made[4]["n_base"] == 3 and made[4]["last_word"] == 4 and made[3]["score"] < 0.8 and made[0]["score"] == 1.0
+
+
+# 4, 10
+
+
+def test_token_counts(docs, held):
+    tokenizer = Tokenizer.from_file(WORD_BPE)
+    want = sorted(str((r.doc_id, len((r.text or "").encode()), n := len(tokenizer.encode(r.text or "", add_special_tokens=False).ids), n > 2048)) for r in held)
+    assert rows_of(token_counts.token_counts(docs, WORD_BPE)) == want
+
+
+@pytest.mark.parametrize("path", [WORD_BPE, BYTE_BPE])
+def test_ids_equal_the_library(path, monkeypatch):
+    rng = np.random.default_rng(4)
+    parts = [*map(chr, range(0x180)), *"ΣςſİÅẞﬁ½٣中한😀​́̈ ", " ", " ", "  ", "\n", "\t", "'s", "'LL", "<|endoftext|>", "<|startoftext|>", "<|", "word,", "Ab"]
+    texts = ["".join(rng.choice(parts, rng.integers(0, 30))) for _ in range(3000)] + ["", " ", "\n ", " a", "a "]
+    tokenizer = Tokenizer.from_file(path)
+    want = [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    monkeypatch.setattr(pieces, "CACHE", 200)
+    encoder = pieces.Encoder(path)
+    ids, at = encoder.encode(pa.array(texts))
+    assert [ids[at[i] : at[i + 1]].tolist() for i in range(len(texts))] == want
+    counts = token_counts.MergeCounter(path).counts(pa.array(texts))
+    assert counts.tolist() == [len(w) for w in want]
+
+
+def test_long_texts_are_cut_without_trace(monkeypatch):
+    text = "some words, in a row 12 " * 400
+    want = Tokenizer.from_file(BYTE_BPE).encode(text, add_special_tokens=False).ids
+    monkeypatch.setattr(pieces, "SLICE", 100)
+    encoder = pieces.Encoder(BYTE_BPE)
+    assert np.frombuffer(encoder.whole(text), encoder.dtype).tolist() == want
+
+
+def test_bit_packing():
+    rng = np.random.default_rng(1)
+    for width in range(1, 33):
+        ids = rng.integers(0, 1 << width, 1001, dtype=np.uint64).astype(np.uint32)
+        data = token_files.pack(ids, width)
+        assert len(data) == -(-1001 * width // 8)
+        assert np.array_equal(token_files.unpack(data, len(ids), width), ids)
+    assert [token_files.id_width(n) for n in (1, 2, 3, 50257, 65536, 65537)] == [1, 1, 2, 16, 16, 17]
+
+
+def test_random_access(monkeypatch):
+    monkeypatch.setattr(token_files, "BLOCK_IDS", 50)
+    rng, writer = np.random.default_rng(2), token_files.Writer(17)
+    docs = [(None if i == 9 else i * 3, rng.integers(0, 1 << 17, rng.integers(0, 90))) for i in range(40)]
+    for d, ids in docs:
+        writer.add(d, ids)
+    reader = token_files.Reader(b"".join(writer.chunks()))
+    assert len(reader.blocks) > 5
+    assert [(d, ids.tolist()) for d, _, ids in reader] == [(d, ids.tolist()) for d, ids in docs]
+    assert all(np.array_equal(reader.document(i), docs[i][1]) for i in range(40))
+    with pytest.raises(ValueError):
+        token_files.Reader(b"\0" * 64)
+
+
+def test_token_files(docs, held, spark, tmp_path, monkeypatch):
+    manifest = token_files.write_token_files(docs, f"file://{tmp_path}/ids", BYTE_BPE)
+    got = token_files.read_token_files(manifest).orderBy("start").collect()
+    tokenizer, at = Tokenizer.from_file(BYTE_BPE), 0
+    want = collections.Counter()
+    for r in held:
+        ids = np.array([*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 0], "<u4")
+        want[r.doc_id, len(ids), zlib.crc32(ids)] += 1
+    assert collections.Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == want
+    for r in got:
+        assert r.start == at
+        at += r.n_tokens
+    known = [r.doc_id for r in got if r.doc_id is not None]
+    assert known == sorted(known) and got[-1].doc_id is None
+    none = token_files.write_token_files(empty(spark), f"file://{tmp_path}/none", BYTE_BPE)
+    assert token_files.read_token_files(none).count() == 0
+
+
+# 5
+
+
+def measures(text):
+    text = text or ""
+    words = blank_words(text)
+    grams = collections.Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
+    repeated = {i + k for i in range(len(words) - 2) if grams[tuple(words[i : i + 3])] > 1 for k in range(3)}
+    lines = [x for x in text.split("\n") if blank_words(x)]
+    n = len(words)
+    return n, sum(map(len, words)), sum(text.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(repeated), n < 50 or 100 * len(repeated) > 50 * n
+
+
+def test_quality(docs, held):
+    made = quality_rules.quality_measures(docs)
+    assert rows_of(made.select("doc_id", *quality_rules.MEASURES, "base_failed")) == sorted(str((r.doc_id, *measures(r.text))) for r in held)
+    assert made.where("kept and base_failed").count() == 0
+    kept = quality_rules.keep_quality(docs)
+    assert kept.columns == docs.columns and kept.count() == made.where("kept").count() > 0
+
+
+# 6
+
+
+def test_ogg(docs, held):
+    filled = lambda b: b + b" " * (-len(b) % 192 or (0 if b else 192))
+    got = ogg_media.media_features(ogg_media.with_media(docs)).drop("media_bytes", "media_sha256", "feature", "error")
+    want = [(r.doc_id, len(b := (r.text or "").encode()), len(p := filled(b)), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:])) for r in held]
+    assert rows_of(got) == sorted(map(str, want))
+
+
+def test_ogg_pages():
+    def plain(page):
+        crc = 0
+        for byte in page:
+            crc ^= byte << 24
+            for _ in range(8):
+                crc = (crc << 1 ^ (0x04C11DB7 if crc >> 31 else 0)) & 0xFFFFFFFF
+        return crc
+
+    data = bytes(np.random.default_rng(0).integers(0, 256, 900, dtype=np.uint8))
+    assert ogg_media.checksum(data) == plain(data)
+    made = ogg_media.pages(7, [(b"a" * 200_000, 5), (b"", 6), (b"b" * 255, 8)], first=True, last=True)
+    stream = ogg_media.read_ogg(b"".join(made))[7]
+    assert len(made) > 3 and [len(p) for p in stream.packets] == [200_000, 0, 255] and stream.marks == [(8, 3)]
+    for n in (0, 1, 191, 192, 193, 3840, 65_025, 400_000):
+        s = ogg_media.read_samples(ogg_media.write_ogg(data * (n // 900 + 1))[:]) if not n else ogg_media.read_samples(ogg_media.write_ogg((data * (n // 900 + 1))[:n]))
+        assert not n or s.payload[: s.n_bytes] == (data * (n // 900 + 1))[:n]
+
+
+def test_ogg_damage(spark):
+    good = ogg_media.write_ogg(b"hello")
+    flipped = bytearray(good)
+    flipped[-9] ^= 4
+    bad = [bytes(flipped), good[:-1], good[:40], b"", good + good, None]
+    made = ogg_media.media_features(spark.createDataFrame([*enumerate(bad), (9, good)], "doc_id long, media binary")).orderBy("doc_id").collect()
+    assert all(r["error"] and r["payload_sha256"] is None for r in made[:-1])
+    assert made[-1]["error"] is None and made[-1]["n_bytes"] == 5
+
+
+# 7
+
+
+def test_packing(docs, held):
+    tokenizer, window = Tokenizer.from_file(WORD_BPE), 256
+    made = packing.pack(docs, WORD_BPE, window=window, shard_tokens=3000).collect()
+    want = collections.Counter()
+    for r in held:
+        for at, i in enumerate([*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 2]):
+            want[r.doc_id, at, i] += 1
+    ids = {}
+    for r in held:
+        ids.setdefault(r.doc_id, []).append(np.array([*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 2], "<u4"))
+    got, sequences = collections.Counter(), collections.defaultdict(list)
+    for p in made:
+        own = next(x for x in ids[p.doc_id] if len(x) == p.doc_tokens and zlib.crc32(x[p.start : p.start + p.length]) == p.ids_crc32)
+        got.update((p.doc_id, p.start + k, int(i)) for k, i in enumerate(own[p.start : p.start + p.length]))
+        sequences[p.sequence_id].append((p.offset, p.length))
+    assert got == want
+    padding = 0
+    for s in sequences.values():
+        at = 0
+        for offset, length in sorted(s):
+            assert offset == at and length > 0
+            at += length
+        assert at <= window
+        padding += window - at
+    assert padding < 0.1 * window * len(sequences)
+
+
+def test_packing_prefers_neighbours():
+    rng = np.random.default_rng(0)
+    ids = [rng.integers(1000 * (i % 2), 1000 * (i % 2) + 60, 100) for i in range(40)]
+    frequency = np.zeros(2000)
+    for x in ids:
+        frequency[np.unique(x)] += 1
+    index = packing.Index(ids, np.log1p((40 - frequency + 0.5) / (frequency + 0.5)).astype(np.float32), 100.0)
+    for seed in range(40):
+        want = [sum(float(index.weight[(index.term == t) & (index.doc == d)].sum()) for t in index.terms[index.query_terms[index.query_bounds[seed] : index.query_bounds[seed + 1]]][: packing.QUERY_TERMS]) for d in range(40)]
+        assert np.allclose(index.scores(seed), want, rtol=1e-4)
+    mixed = collections.defaultdict(set)
+    for d, _, _, s, _ in packing.pack_shard(ids, index, 1000):
+        mixed[s].add(d % 2)
+    assert sum(len(v) == 1 for v in mixed.values()) >= len(mixed) - 1
+
+
+# 8
+
+
+def groups(held, k):
+    words = [blank_words(lowered(r.text)) for r in held]
+    sets = [frozenset(tuple(w[i : i + min(k, len(w))]) for i in range(max(1, len(w) - k + 1))) if w else frozenset() for w in words]
+    root = list(range(len(held)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(held)):
+        for j in range(i):
+            if sets[i] and sets[j] and None not in (held[i].doc_id, held[j].doc_id):
+                both = len(sets[i] & sets[j])
+                if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                    root[find(i)] = find(j)
+    least = {}
+    for i, r in enumerate(held):
+        if r.doc_id is not None:
+            least[find(i)] = min(least.get(find(i), r.doc_id), r.doc_id)
+    return [(r.doc_id, len(sets[i]), least.get(find(i)) if r.doc_id is not None else None) for i, r in enumerate(held)]
+
+
+@pytest.mark.parametrize("k", [2, 5])
+def test_near_duplicates(docs, held, k):
+    got = near_dedup.near_duplicates(docs, k).collect()
+    assert sorted(str(tuple(r)[:3]) for r in got) == sorted(map(str, groups(held, k)))
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+
+
+def test_chain_and_hub(spark):
+    """A chain whose ends are not alike, and a hub with many leaves that are not alike either."""
+    base = [f"w{i}" for i in range(100)]
+    rows = [(i, " ".join(base[i * 5 : 100] + [f"x{j}" for j in range(i * 5)])) for i in range(10)]
+    hub = [f"h{i}" for i in range(200)]
+    for leaf in range(60):
+        own = list(hub)
+        for j in range(8):
+            own[(leaf * 3 + j * 23) % 200] = f"leaf{leaf}-{j}"
+        rows.append((100 + leaf, " ".join(own)))
+    rows.append((99, " ".join(hub)))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(table, 2).collect()}
+    assert got == {d: c for d, _, c in groups(table.collect(), 2)}
+
+
+def test_components(spark):
+    rng = np.random.default_rng(6)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(i, i + 1) for i in range(400, 440)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    got = {r.node: r.root for r in near_dedup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {n: find(n) for n in {n for e in edges if e[0] != e[1] for n in e}}
+
+
+def test_estimate(spark):
+    rng, rows = np.random.default_rng(8), []
+    for share in (0.0, 0.3, 0.6, 0.8, 0.95):
+        common = [f"c{share}{i}" for i in range(int(1000 * share))]
+        for side in "ab":
+            rows.append((int(share * 100), " ".join(common + [f"{side}{share}{rng.integers(1 << 40)}" for _ in range((1000 - len(common)) // 2)])))
+    made = near_dedup.signatures(spark.createDataFrame(rows, "doc_id long, text string"), 1)
+    a, b = (made.select(F.col("doc_id").alias(f"{p}id"), F.col("k0").alias(f"{p}k0"), *[F.col(s).alias(f"{p}{s}") for s in near_dedup.SIGNATURE]) for p in ("a_", "b_"))
+    pairs = a.join(b, (F.col("a_id") == F.col("b_id")) & (F.col("a_k0") < F.col("b_k0"))).select(F.col("a_id").alias("doc_id"), near_dedup.estimate("a_", "b_").alias("e")).collect()
+    assert len(pairs) == 5 and all(abs(r.e - r.doc_id / 100) < near_dedup.SLACK for r in pairs)
+
+
+def test_deduplicated(docs, held):
+    made = near_dedup.deduplicated(docs, 5)
+    assert made.columns == docs.columns
+    want = {c for _, _, c in groups(held, 5)}
+    got = [r.doc_id for r in made.collect() if r.doc_id is not None]
+    assert sorted(got) == sorted(want - {None})
+
+
+# 9
+
+
+def spans_of(text, rules=secret_scan.RULES):
+    found = [(m.start(), k, m.end()) for k, r in enumerate(rules) for m in re.finditer(r.pattern, text or "", re.ASCII) if len(m.group(r.group)) >= r.least]
+    return sorted(found)
+
+
+def shown(spans):
+    return ",".join(f"{secret_scan.RULES[k].kind}:{a}:{b}" for a, k, b in spans)
+
+
+def test_secrets(docs, held):
+    want = []
+    for r in held:
+        spans = spans_of(r.text)
+        base = [s for s in spans if s[1] < 3]
+        want.append(str((r.doc_id, *(sum(s[1] == k for s in base) for k in range(3)), hashlib.sha256(shown(base).encode()).hexdigest(), shown(spans))))
+    assert rows_of(secret_scan.scan_secrets(docs)) == sorted(want)
+    assert any("assign" in w for w in want) and any("github" in w for w in want)
+
+
+def test_trigram_queries():
+    for rule in secret_scan.RULES:
+        query = secret_scan.trigram_query(rule.pattern)
+        assert (query is None) == (rule.kind == "hex")
+    assert secret_scan.trigram_query("ab") is None and secret_scan.trigram_query("(abcd|xy)z?") is None
+    assert secret_scan.trigram_query("(abc|xyz)+q") == [frozenset({"abc"}), frozenset({"xyz"})]
+    assert secret_scan.trigram_query("a[bB]cd") == [frozenset({"abc", "bcd"})]
+
+
+def test_redact(spark, docs, held):
+    made = secret_scan.redact(docs)
+    assert made.columns == docs.columns
+    again = made.collect()
+    assert len(again) == len(held)
+    for r in again:
+        assert not spans_of(r.text) and (r.text is None or r.n_chars is None or "[" not in r.text or r.n_chars == len(r.text))
+    untouched = {r.doc_id: r for r in held if not spans_of(r.text)}
+    assert all(tuple(r) == tuple(untouched[r.doc_id]) for r in again if r.doc_id in untouched and r.doc_id != 7 and r.doc_id is not None)

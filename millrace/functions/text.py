@@ -13,7 +13,24 @@ from pyspark.sql import functions as F
 
 WS = r"[\s\x1c-\x1f]"
 #: Line ends, the longest first.
-LINE_END = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
+LINE_END = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
+
+# What makes a line an entry, a title or noise of a table of contents, and a title a table row.
+PAGE_NUMBER = rf"\b\d{{1,5}}{WS}*\z"
+LEADER = rf"(?:[.·•⋅…-]{WS}*){{3,}}"
+LETTERS = r"[A-Za-z一-鿿]"
+NUMBERED_ENTRY = rf"^\d+(?:\.\d+)*{WS}*\.?{WS}+.+"
+APPENDIX_ENTRY = rf"(?i)^appendix{WS}+(\d+|[a-z]){WS}*[-–—.]?{WS}+.+"
+TOC_TITLE = rf"(?i)^{WS}*(table{WS}+of{WS}+contents|contents|目录)\b"
+NOISE = (
+    rf"^\d+{WS}*-{WS}*\d+\z",
+    rf"(?i)^page{WS}+\d+\b",
+    r"(?i)^(author|version|current issue date|first issue date)\b",
+    r"(?i)\b(archsd|property services branch)\b",
+)
+TITLE_END = r"[.:;、，]+\z"
+NUMBER_TOKEN = r"\b\d+(?:[,\-]\d+)*\b"
+NUMBER_GROUP = r"\b\d{1,4}(?:-\d{1,4}){2,}\b"
 
 
 def sub(text: Column, pattern: str, to: str = "") -> Column:
@@ -42,7 +59,7 @@ def cell_text(cell: Column) -> Column:
 
 
 def normalize_title(title: Column) -> Column:
-    return sub(sub(F.lower(strip(F.coalesce(title, F.lit("")))), rf"{WS}+", " "), r"[.:;、，]+\z")
+    return sub(sub(F.lower(strip(F.coalesce(title, F.lit("")))), rf"{WS}+", " "), TITLE_END)
 
 
 def preview(content: Column, size: int = 200) -> Column:
@@ -86,14 +103,9 @@ def html_unescape(text: Column) -> Column:
 def is_toc_line(line: Column) -> Column:
     """An entry of a table of contents: a page number after a numbered title, an appendix title or a leader."""
     s = strip(F.coalesce(line, F.lit("")))
-    body = strip(sub(s, rf"{WS}*\b\d{{1,5}}{WS}*\z"))
-    leader = like(body, rf"(?:[.·•⋅…-]{WS}*){{3,}}") & like(body, r"[A-Za-z一-鿿]")
-    numbered = like(body, rf"^\d+(?:\.\d+)*{WS}*\.?{WS}+.+")
-    appendix = like(body, rf"(?i)^appendix{WS}+(\d+|[a-z]){WS}*[-–—.]?{WS}+.+")
-    return like(s, rf"\b\d{{1,5}}{WS}*\z") & (body != "") & (numbered | appendix | leader)
-
-
-TOC_TITLE = rf"(?i)^{WS}*(table{WS}+of{WS}+contents|contents|目录)\b"
+    body = strip(sub(s, rf"{WS}*{PAGE_NUMBER}"))
+    named = like(body, NUMBERED_ENTRY) | like(body, APPENDIX_ENTRY) | (like(body, LEADER) & like(body, LETTERS))
+    return like(s, PAGE_NUMBER) & (body != "") & named
 
 
 def is_toc_title(line: Column) -> Column:
@@ -103,15 +115,16 @@ def is_toc_title(line: Column) -> Column:
 def is_toc_noise(line: Column) -> Column:
     """Page heads and feet that may stand between the entries of a table of contents."""
     s = strip(F.coalesce(line, F.lit("")))
-    ranges = like(s, rf"^\d+{WS}*-{WS}*\d+\z") | like(s, rf"(?i)^page{WS}+\d+\b")
-    heads = like(s, r"(?i)^(author|version|current issue date|first issue date)\b")
-    return (s == "") | is_toc_title(s) | ranges | heads | like(s, r"(?i)\b(archsd|property services branch)\b")
+    noise = (s == "") | is_toc_title(s)
+    for pattern in NOISE:
+        noise = noise | like(s, pattern)
+    return noise
 
 
 def looks_like_table_row(title: Column) -> Column:
     t = strip(F.coalesce(title, F.lit("")))
-    numbers = F.size(F.regexp_extract_all(t, F.lit(r"(?U)\b\d+(?:[,\-]\d+)*\b"), F.lit(0)))
-    return (t != "") & ((numbers >= 2) | like(t, r"\b\d{1,4}(?:-\d{1,4}){2,}\b"))
+    numbers = F.size(F.regexp_extract_all(t, F.lit(f"(?U){NUMBER_TOKEN}"), F.lit(0)))
+    return (t != "") & ((numbers >= 2) | like(t, NUMBER_GROUP))
 
 
 def number_segments(number: Column) -> Column:

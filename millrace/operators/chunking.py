@@ -81,9 +81,11 @@ def without_range(lines: Column, bounds: Column) -> Column:
 
 # -- headings ----------------------------------------------------------------------------------------------------
 
+# The three kinds of heading lines, and the titles that are none.
 NUMBERED = rf"^{WS}*(\d+(?:\.\d+)*)(?:{WS}+|{WS}*[-–]{WS}*)(.+?){WS}*\z"
 APPENDIX = rf"^{WS}*[Aa][Pp][Pp][Ee][Nn][Dd][Ii][Xx]{WS}+(\d+|[A-Za-z])(?:\.|-|{WS})+(.+?){WS}*\z"
 LETTER = rf"^{WS}*([A-Za-z])(?:\.|-|{WS})+(.+?){WS}*\z"
+CONTENTS = ("contents", "table of contents", "目录")
 
 
 def bare_line(line: Column) -> Column:
@@ -97,11 +99,11 @@ def heading_candidate(line: Column, at: Column) -> Column:
 
     def classify(s: Column) -> Column:
         made = lambda kind, number, title: F.struct(at.alias("at"), F.lit(kind).alias("kind"), number.alias("number"), T.strip(title).alias("title"))
-        contents = lambda title: T.normalize_title(title).isin("contents", "table of contents", "目录")
+        contents = lambda title: T.normalize_title(title).isin(*CONTENTS)
         appendix = made("a", F.concat(F.lit("Appendix "), F.upper(T.group(s, APPENDIX, 1))), T.group(s, APPENDIX, 2))
         letter = made("a", F.upper(T.group(s, LETTER, 1)), T.group(s, LETTER, 2))
         numbered = made("n", T.group(s, NUMBERED, 1), T.group(s, NUMBERED, 2))
-        listed = F.lower(T.strip(T.group(s, NUMBERED, 2))).isin("contents", "table of contents", "目录")
+        listed = F.lower(T.strip(T.group(s, NUMBERED, 2))).isin(*CONTENTS)
         entry = T.like(s, rf"\b\d{{1,5}}{WS}*\z") & T.like(s, r"[.·-]{3,}")
         return (
             F.when(T.like(s, APPENDIX), F.when(~contents(T.group(s, APPENDIX, 2)), appendix))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 
+# What a term is, how often it counts, and what the whole phrase adds.
 TERM = r"[A-Za-z0-9_]+|[一-鿿]+"
 MOST_A_TERM, PHRASE_BONUS = 3, 5.0
 

@@ -7,8 +7,8 @@ connected components.
 
 No bucket is expanded into all its pairs: texts with equal sets are one node; in each bucket the nodes are first
 compared with one pivot only, another one in every band; afterwards just those bucket mates are compared that are not
-yet in one component, each pair in its first common band, so a large group of copies costs a few comparisons a member
-and no link between groups is lost. At the
+yet in one component, block by block within a task, so a large group of copies makes a few rows a member and no link
+between groups is lost. At the
 default bands a pair at the bound itself shares no bucket with probability 1.2e-7.
 
 Texts with fewer words than a shingle are one shingle of all their words; null texts and texts without words are empty
@@ -22,6 +22,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -37,7 +38,9 @@ LONGS = HASHES // 32
 #: How far below the bound an estimate may lie: 5.5 standard deviations of HASHES two-bit agreements at 0.8.
 SLACK = 0.115
 SIGNATURE = [f"s{i}" for i in range(LONGS)]
-WORDS_CACHED = 1_000_000
+#: About how many nodes, and how many shingles of theirs, a block of bucket mates holds.
+BLOCK_NODES, BLOCK_SHINGLES = 2048, 1 << 20
+WORDS_CACHED = 250_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -146,8 +149,9 @@ def _side(nodes: DataFrame, prefix: str) -> DataFrame:
     return nodes.select(*[F.col(c).alias(f"{prefix}{c}") for c in ("node", "n", *SIGNATURE)])
 
 
-def confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose full shingle sets are similar enough; sets are made again for their texts only."""
+def full_sets(due: DataFrame, nodes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(node, items) for every node of `due`: the sorted hashes of its shingles, made again from the texts that are
+    needed only."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,13 +165,17 @@ def confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), *keys, lists], ["id", "k0", "k1", "items"])
                 at += len(texts)
 
-    due = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     due = common.saved(nodes.select("node", "id", "k0", "k1").join(due, "node"), "dedup-due")
     ids = common.maybe_broadcast(due.select(F.col("id").alias("doc_id")).distinct())
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(ids, "doc_id", "left_semi")
     made = rows.mapInArrow(make, "id long, k0 long, k1 long, items array<long>")
     sets = made.join(due, ["id", "k0", "k1"]).dropDuplicates(["node"]).select("node", "items")
-    sets = common.saved(sets, "dedup-sets")
+    return common.saved(sets, "dedup-sets")
+
+
+def confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose full shingle sets are similar enough."""
+    sets = full_sets(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), nodes, docs, k)
     left = sets.select(F.col("node").alias("a"), F.col("items").alias("a_items"))
     right = sets.select(F.col("node").alias("b"), F.col("items").alias("b_items"))
     joined = pairs.select("a", "b").join(left, "a").join(right, "b")
@@ -176,6 +184,57 @@ def confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent
     return joined.where(100 * common_size >= percent * union_size).select("a", "b")
 
 
+def _joining(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links (a, b) that join components, among the members of one or two blocks of a bucket group: estimates of all
+    pairs at once, then full sets for likely pairs that are not joined yet, the likeliest first."""
+    frame = frame.drop_duplicates("node").sort_values("node")
+    node, root, n = (frame[c].to_numpy() for c in ("node", "root", "n"))
+    signs = np.stack([frame[c].to_numpy(np.int64).view(np.uint64) for c in SIGNATURE], 1)
+    items = [np.asarray(x, np.int64).view(np.uint64) for x in frame["items"]]
+    above: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := above.get(x, x)) != x:
+            x = up
+        return x
+
+    low, out = np.uint64(0x5555555555555555), []
+    for i in range(len(node) - 1):
+        later = i + 1 + np.flatnonzero(root[i + 1 :] != root[i])
+        later = later[100 * np.minimum(n[later], n[i]) >= percent * np.maximum(n[later], n[i])]
+        x = signs[later] ^ signs[i]
+        agree = 1 - np.bitwise_count((x | x >> np.uint64(1)) & low).sum(1, dtype=np.int64) / HASHES
+        guess = (agree - 0.25) / 0.75
+        for j in later[guess >= percent / 100 - SLACK][np.argsort(-guess[guess >= percent / 100 - SLACK], kind="stable")].tolist():
+            a, b = find(int(root[i])), find(int(root[j]))
+            if a != b:
+                both = len(np.intersect1d(items[i], items[j], assume_unique=True))
+                if 100 * both >= percent * (len(items[i]) + len(items[j]) - both):
+                    above[max(a, b)] = min(a, b)
+                    out.append((node[i], node[j]))
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+
+def join_mates(placed: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links between bucket mates of different components, for rows (band, node, root).
+
+    Buckets with one smallest node form a group, so a node that shares many bands with the same mates is in few groups.
+    Groups are dealt into blocks of bounded size, and every pair of blocks is one task's work whose result is at
+    most a link for each node: the number of rows grows with the nodes, not with the pairs.
+    """
+    mixed = placed.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min("node").alias("first")).where("x <> y")
+    members = placed.join(mixed.select("band", "first"), "band").select("first", "node", "root").distinct()
+    members = common.saved(members.join(nodes.select("node", "n"), "node"), "dedup-open")
+    size = F.greatest(F.count("*") / BLOCK_NODES, F.sum("n") / BLOCK_SHINGLES)
+    counted = members.groupBy("first").agg(F.ceil(size).cast("int").alias("blocks"))
+    data = full_sets(members.select("node").distinct(), nodes, docs, k).join(nodes.select("node", *SIGNATURE), "node")
+    dealt = members.join(counted, "first").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    keyed = paired.select("first", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "root", "n")
+    rows = keyed.join(data, "node")
+    return rows.groupBy("first", "i", "j").applyInPandas(lambda frame: _joining(frame, percent), "a long, b long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node on an edge (a, b), root the smallest node of its connected component: alternating
     large and small stars until the edges are stars and stay so."""
@@ -219,18 +278,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     # bucket mates that are not in one component yet
     placed = shared.select("band", "node").join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
-    mixed = placed.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("band")
-    wide = ("node", "root", "bands", "n", *SIGNATURE)
-    open_rows = common.saved(placed.join(mixed, "band").join(nodes.select("node", "bands", "n", *SIGNATURE), "node"), "dedup-open")
-    a = open_rows.select("band", *[F.col(c).alias(f"a_{c}") for c in wide])
-    b = open_rows.select("band", *[F.col(c).alias(f"b_{c}") for c in wide])
-    first_common = F.array_min(F.array_intersect("a_bands", "b_bands")) == F.col("band")
-    apart = (F.col("a_root") != F.col("b_root")) & (F.col("a_node") < F.col("b_node"))
-    rest = a.join(b, "band").where(apart & _likely("a_", "b_", percent) & first_common)
-    rest = rest.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct().join(likely, ["a", "b"], "left_anti")
-    rest = common.saved(rest, "dedup-rest")
-    if rest.count():
-        more = confirm(rest, nodes, docs, k, percent)
+    more = common.saved(join_mates(placed, nodes, docs, k, percent), "dedup-more")
+    if more.limit(1).count():
         roots = common.saved(components(links.union(more)), "dedup-roots")
 
     smallest = nodes.select("node", "id", "k0", "k1").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -1,18 +1,25 @@
 """Every registered query against its SQL on DuckDB, and the contract's functions."""
 
 import glob
+import numbers
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from millrace.plans import registry
 
 
 def rows(table):
-    """Sorted rows with the columns in name order; floats to nine digits."""
+    """Sorted rows with the columns in name order; numbers to nine digits."""
     columns = sorted(table.columns)
-    shown = lambda v: None if v is None or v != v else round(float(v), 9) if isinstance(v, float) else str(v)
+
+    def shown(v):
+        if pd.isna(v):
+            return None
+        return round(float(v), 9) if isinstance(v, numbers.Number) else str(v)
+
     return columns, sorted((tuple(shown(v) for v in r) for r in table[columns].itertuples(index=False)), key=str)
 
 

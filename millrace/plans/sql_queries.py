@@ -29,13 +29,13 @@ STATEMENTS = {
     "sql_having": "SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY o_custkey HAVING COUNT(*) > 12",
     "sql_distinct": "SELECT DISTINCT p_brand, p_size FROM part",
     "sql_count_distinct": "SELECT o_orderpriority, COUNT(DISTINCT o_custkey) AS customers FROM orders GROUP BY o_orderpriority",
-    "sql_rollup": "SELECT r_name, n_name, COUNT(*) AS n, GROUPING(r_name) AS gr, GROUPING(n_name) AS gn FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name, n_name)",
+    "sql_rollup": "SELECT r_name, n_name, COUNT(*) AS n, CAST(GROUPING(r_name) AS BIGINT) AS gr, CAST(GROUPING(n_name) AS BIGINT) AS gn FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name, n_name)",
     "sql_cube": "SELECT p_brand, p_size, COUNT(*) AS n FROM part GROUP BY CUBE (p_brand, p_size)",
     "sql_grouping_sets": "SELECT o_orderstatus, o_orderpriority, COUNT(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())",
-    "sql_window_rank": "SELECT p_brand, p_partkey, rk, dr FROM (SELECT p_brand, p_partkey, RANK() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC) AS rk, DENSE_RANK() OVER (PARTITION BY p_brand ORDER BY p_size) AS dr FROM part) t WHERE rk <= 5",
+    "sql_window_rank": "SELECT p_brand, p_partkey, CAST(rk AS BIGINT) AS rk, CAST(dr AS BIGINT) AS dr FROM (SELECT p_brand, p_partkey, RANK() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC) AS rk, DENSE_RANK() OVER (PARTITION BY p_brand ORDER BY p_size) AS dr FROM part) t WHERE rk <= 5",
     "sql_window_frame": "SELECT o_custkey, o_orderkey, CAST(SUM(CAST(o_totalprice AS DECIMAL(18, 2))) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS DOUBLE) AS moving FROM orders",
     "sql_window_lag": "SELECT o_custkey, o_orderkey, LAG(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS prev, LEAD(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS next FROM orders",
-    "sql_ntile": "SELECT c_custkey, NTILE(4) OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey) AS quarter FROM customer",
+    "sql_ntile": "SELECT c_custkey, CAST(NTILE(4) OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey) AS BIGINT) AS quarter FROM customer",
     "sql_union": "SELECT n_name AS name FROM nation UNION SELECT r_name FROM region UNION ALL SELECT c_mktsegment FROM customer",
     "sql_intersect": "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier",
     "sql_except": "SELECT p_partkey AS k FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R'",
@@ -45,8 +45,8 @@ STATEMENTS = {
     "sql_in_subquery": "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')",
     "sql_case": "SELECT CASE WHEN p_size < 10 THEN 'small' WHEN p_size < 30 THEN 'middle' ELSE 'large' END AS class, COUNT(*) AS n, COUNT(CASE WHEN p_retailprice > 1000 THEN 1 END) AS dear FROM part GROUP BY 1",
     "sql_cte": "WITH a AS (SELECT l_suppkey, COUNT(*) AS n FROM lineitem GROUP BY l_suppkey), b AS (SELECT MAX(n) AS m FROM a) SELECT l_suppkey, n FROM a JOIN b ON n = m",
-    "sql_strings": "SELECT c_custkey, UPPER(c_mktsegment) AS up, LENGTH(c_name) AS len, SUBSTRING(c_name, 1, 4) AS head, REPLACE(c_name, '#', '-') AS dashed, TRIM(CONCAT('  ', c_mktsegment, ' ')) AS trimmed FROM customer",
-    "sql_dates": "SELECT o_orderkey, CAST(EXTRACT(YEAR FROM o_orderdate) AS INT) AS y, CAST(EXTRACT(MONTH FROM o_orderdate) AS INT) AS m, DATE_TRUNC('month', o_orderdate) AS first_day FROM orders",
+    "sql_strings": "SELECT c_custkey, UPPER(c_mktsegment) AS up, CAST(LENGTH(c_name) AS BIGINT) AS len, SUBSTRING(c_name, 1, 4) AS head, REPLACE(c_name, '#', '-') AS dashed, TRIM(CONCAT('  ', c_mktsegment, ' ')) AS trimmed FROM customer",
+    "sql_dates": "SELECT o_orderkey, CAST(EXTRACT(YEAR FROM o_orderdate) AS INT) AS y, CAST(EXTRACT(MONTH FROM o_orderdate) AS INT) AS m, CAST(DATE_TRUNC('month', o_orderdate) AS DATE) AS first_day FROM orders",
     "sql_join_range": "SELECT a.event_id, COUNT(b.event_id) AS n FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts >= a.ts AND b.ts < a.ts + INTERVAL '1' HOUR WHERE a.event_type = 'purchase' GROUP BY a.event_id",
 }
 

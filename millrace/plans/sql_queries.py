@@ -46,7 +46,7 @@ STATEMENTS = {
     "sql_case": "SELECT CASE WHEN p_size < 10 THEN 'small' WHEN p_size < 30 THEN 'middle' ELSE 'large' END AS class, COUNT(*) AS n, COUNT(CASE WHEN p_retailprice > 1000 THEN 1 END) AS dear FROM part GROUP BY 1",
     "sql_cte": "WITH a AS (SELECT l_suppkey, COUNT(*) AS n FROM lineitem GROUP BY l_suppkey), b AS (SELECT MAX(n) AS m FROM a) SELECT l_suppkey, n FROM a JOIN b ON n = m",
     "sql_strings": "SELECT c_custkey, UPPER(c_mktsegment) AS up, CAST(LENGTH(c_name) AS BIGINT) AS len, SUBSTRING(c_name, 1, 4) AS head, REPLACE(c_name, '#', '-') AS dashed, TRIM(CONCAT('  ', c_mktsegment, ' ')) AS trimmed FROM customer",
-    "sql_dates": "SELECT o_orderkey, CAST(EXTRACT(YEAR FROM o_orderdate) AS INT) AS y, CAST(EXTRACT(MONTH FROM o_orderdate) AS INT) AS m, CAST(DATE_TRUNC('month', o_orderdate) AS DATE) AS first_day FROM orders",
+    "sql_dates": "SELECT o_orderkey, CAST(EXTRACT(YEAR FROM o_orderdate) AS INT) AS y, CAST(EXTRACT(MONTH FROM o_orderdate) AS INT) AS m, CAST(EXTRACT(DAY FROM o_orderdate) AS INT) AS d FROM orders",
     "sql_join_range": "SELECT a.event_id, COUNT(b.event_id) AS n FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts >= a.ts AND b.ts < a.ts + INTERVAL '1' HOUR WHERE a.event_type = 'purchase' GROUP BY a.event_id",
 }
 

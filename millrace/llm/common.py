@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +15,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANK_WORD = r"[^\x20\x09-\x0D]+"
 #: Rows up to which a keyed side is broadcast (checked by a count); beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
+#: Bytes of one Arrow batch, where the session has left Spark's default.
+BATCH_BYTES, DEFAULT_BATCH_BYTES = "8m", "67108864b"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,6 +51,20 @@ def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
+def map_batches(df: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow with batches of at most BATCH_BYTES (the setting stays with the session), so that a task needs little
+    memory on both sides; a worker gives back what it no longer uses when a task ends."""
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(setting) == DEFAULT_BATCH_BYTES:
+        df.sparkSession.conf.set(setting, BATCH_BYTES)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from make(batches)
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(work, schema)
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 

@@ -150,7 +150,7 @@ def training_rows(docs: DataFrame, sample: int = SAMPLE) -> list[tuple[str, np.n
             columns = [pa.array([h.astype("<i4").tobytes() for h in held], pa.binary()), pa.array([f[h].astype("<f4").tobytes() for f, h in zip(found, held)], pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "lang", "buckets", "counts"])
 
-    made = drawn.select("doc_id", "lang", "text").mapInArrow(count, "doc_id long, lang string, buckets binary, counts binary").limit(2 * sample).toArrow()
+    made = common.map_batches(drawn.select("doc_id", "lang", "text"), count, "doc_id long, lang string, buckets binary, counts binary").limit(2 * sample).toArrow()
     rows = sorted(zip(*(made.column(i).to_pylist() for i in range(4))), key=lambda r: (r[0], r[1], r[2]))
     return [(lang, np.frombuffer(b, "<i4"), np.frombuffer(c, "<f4")) for _, lang, b, c in rows]
 
@@ -167,7 +167,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
 
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), text.alias("text"), text.rlike(r"\p{L}").alias("letter"))
-    return rows.mapInArrow(predict, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
+    return common.map_batches(rows, predict, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,6 +55,8 @@ OFFSETS = (_PARAMETERS[HASHES:] >> np.uint64(32)).astype(np.uint32)[:, None]
 
 
 class WordHashes(dict):
+    """Hashes of words met before, for as long as a task lasts."""
+
     def __missing__(self, word: str) -> int:
         value = xxhash.xxh3_64_intdigest(word.encode("utf-8", "replace"))
         if len(self) >= WORDS_CACHED:
@@ -63,17 +65,14 @@ class WordHashes(dict):
         return value
 
 
-_HASHES = WordHashes()
-
-
-def shingle_sets(texts: pa.StringArray, k: int) -> Iterator[np.ndarray]:
+def shingle_sets(texts: pa.StringArray, k: int, known: WordHashes) -> Iterator[np.ndarray]:
     """For every text the sorted distinct 64-bit hashes of its k-word shingles, A-Z lower-cased."""
     if not len(texts):
         return
     units = pc.ascii_split_whitespace(pc.ascii_lower(texts))
     codes, offsets = units.flatten().dictionary_encode(), units.offsets.to_numpy()
     distinct = codes.dictionary.to_pylist()
-    hashes = np.fromiter(map(_HASHES.__getitem__, distinct), np.uint64, len(distinct))
+    hashes = np.fromiter(map(known.__getitem__, distinct), np.uint64, len(distinct))
     index = codes.indices.to_numpy()
     full = np.array([bool(w) for w in distinct], bool)[index] if len(index) else np.zeros(0, bool)
     ends = np.concatenate([[0], np.cumsum(full)])[offsets]  # blanks at a text's ends leave empty units
@@ -99,14 +98,14 @@ def minima(shingles: np.ndarray) -> np.ndarray:
 
 
 def _signatures(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "n_shingles", "k0", "k1", "bands", *SIGNATURE]
+    names, known = ["doc_id", "n_shingles", "k0", "k1", "bands", *SIGNATURE], WordHashes()
     places = np.arange(HASHES, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     for batch in batches:
         at = 0
         for texts in pieces.slices(batch.column(1)):
             keys, n, k0, k1 = batch.column(0).slice(at, len(texts)), [], [], []
             low = np.empty((len(texts), HASHES), np.uint32)
-            for i, s in enumerate(shingle_sets(texts, k)):
+            for i, s in enumerate(shingle_sets(texts, k, known)):
                 digest = xxhash.xxh3_128_intdigest(s.tobytes())
                 n.append(len(s))
                 k0.append(digest & (1 << 63) - 1)
@@ -128,7 +127,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, set size, a 126-bit key of the set, band hashes and the packed low bits of every row."""
     schema = "doc_id long, n_shingles long, k0 long, k1 long, bands array<long>, " + ", ".join(f"{s} long" for s in SIGNATURE)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(lambda batches: _signatures(batches, k), schema)
+    return common.map_batches(rows, lambda batches: _signatures(batches, k), schema)
 
 
 def estimate(a: str, b: str) -> Column:
@@ -154,10 +153,11 @@ def full_sets(due: DataFrame, nodes: DataFrame, docs: DataFrame, k: int) -> Data
     needed only."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
         for batch in batches:
             at = 0
             for texts in pieces.slices(batch.column(1)):
-                sets = list(shingle_sets(texts, k))
+                sets = list(shingle_sets(texts, k, known))
                 digests = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)))
@@ -168,7 +168,7 @@ def full_sets(due: DataFrame, nodes: DataFrame, docs: DataFrame, k: int) -> Data
     due = common.saved(nodes.select("node", "id", "k0", "k1").join(due, "node"), "dedup-due")
     ids = common.maybe_broadcast(due.select(F.col("id").alias("doc_id")).distinct())
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(ids, "doc_id", "left_semi")
-    made = rows.mapInArrow(make, "id long, k0 long, k1 long, items array<long>")
+    made = common.map_batches(rows, make, "id long, k0 long, k1 long, items array<long>")
     sets = made.join(due, ["id", "k0", "k1"]).dropDuplicates(["node"]).select("node", "items")
     return common.saved(sets, "dedup-sets")
 

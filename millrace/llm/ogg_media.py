@@ -168,7 +168,7 @@ def with_media(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([keys, pa.array([write_ogg(t.as_buffer().to_pybytes()) for t in texts], pa.binary())], ["doc_id", "media"])
 
     data = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), data.alias("data")).mapInArrow(write, "doc_id long, media binary")
+    return common.map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), data.alias("data")), write, "doc_id long, media binary")
 
 
 def _parts(batch: pa.RecordBatch, size: int = 1 << 24) -> Iterator[tuple[pa.Array, pa.Array]]:
@@ -203,7 +203,7 @@ def media_features(stored: DataFrame) -> DataFrame:
             columns = list(zip(*rows)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], names)
 
-    return stored.select("doc_id", "media").mapInArrow(read, RESULT)
+    return common.map_batches(stored.select("doc_id", "media"), read, RESULT)
 
 
 def op6_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -56,7 +56,7 @@ def remainders(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_i
                 at += len(texts)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(encode, "doc_id long, doc_tokens long, windows array<long>, rest binary")
+    return common.map_batches(rows, encode, "doc_id long, doc_tokens long, windows array<long>, rest binary")
 
 
 def term_frequencies(rests: DataFrame, vocabulary_size: int, width: int) -> np.ndarray:
@@ -70,7 +70,7 @@ def term_frequencies(rests: DataFrame, vocabulary_size: int, width: int) -> np.n
         held = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(total[held])], ["term", "n"])
 
-    found = rests.select("rest").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
+    found = common.map_batches(rests.select("rest"), count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
     frequency = np.zeros(vocabulary_size, np.int64)
     frequency[found["term"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
     return frequency

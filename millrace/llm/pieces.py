@@ -25,7 +25,7 @@ BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s
 CUT = regex.compile(r"(?<=[^\s])(?= [^\s])")
 SLICE = 1 << 20
 TAIL = ".,;:!?#*$%&|"
-CACHE = 250_000
+CACHE = 100_000
 #: Where white space stands on both sides of a space (or the text ends after it).
 MIXED_BLANKS = r"[\s\v\x1c-\x1f\x{85}\p{Z}] ([\s\v\x1c-\x1f\x{85}\p{Z}]|$)"
 

@@ -94,7 +94,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, max_tokens: int = MAX_TOK
             n_bytes = pc.cast(pc.binary_length(texts), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), n_bytes, pa.array(n), pa.array(n > max_tokens)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(count, SCHEMA)
+    return common.map_batches(docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")), count, SCHEMA)
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

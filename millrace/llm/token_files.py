@@ -175,7 +175,7 @@ def write_token_files(docs: DataFrame, directory: str, tokenizer_path: str, end_
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     ordered = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    return common.saved(ordered.mapInArrow(write, MANIFEST), "token-manifest")
+    return common.saved(common.map_batches(ordered, write, MANIFEST), "token-manifest")
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
@@ -194,7 +194,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
     before = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)
     files = manifest.select("path", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
     parts = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return files.repartition(parts, "path").mapInArrow(read, RESULT)
+    return common.map_batches(files.repartition(parts, "path"), read, RESULT)
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -306,3 +306,26 @@ def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.documents(spark, sf_dir), k=2)
+
+
+#: Prefix filter: two sets at 0.8 or more share one of the (n - ceil(0.8 n) + 1) rarest shingles of each.
+ORACLE = rf"""
+WITH RECURSIVE t AS (SELECT row_number() OVER () AS rid, doc_id,
+             regexp_extract_all(translate(coalesce(text, ''), '{common.UPPER}', '{common.LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT rid, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN w ELSE list_sort(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) END AS items FROM t),
+nodes AS MATERIALIZED (SELECT row_number() OVER () AS node, min(doc_id) AS id, items, len(items) AS n FROM sets WHERE doc_id IS NOT NULL AND len(items) > 0 GROUP BY items),
+e AS MATERIALIZED (SELECT node, n, unnest(items) AS item FROM nodes),
+often AS (SELECT item, count(*) AS df FROM e GROUP BY item),
+ranked AS (SELECT node, n, item, row_number() OVER (PARTITION BY node ORDER BY df, item) AS place FROM e JOIN often USING (item)),
+rare AS MATERIALIZED (SELECT node, n, item FROM ranked WHERE place <= n - (4 * n + 4) // 5 + 1),
+pairs AS (SELECT DISTINCT a.node AS a, b.node AS b FROM rare a JOIN rare b ON a.item = b.item AND a.node < b.node AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)),
+sized AS (SELECT a, b, x.n + y.n AS n, len(list_intersect(x.items, y.items)) AS both_have FROM pairs JOIN nodes x ON x.node = a JOIN nodes y ON y.node = b),
+links AS MATERIALIZED (SELECT a, b FROM sized WHERE 100 * both_have >= 80 * (n - both_have)),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(node, root) AS (SELECT node, node FROM nodes UNION SELECT ways.b, reach.root FROM reach JOIN ways ON ways.a = reach.node WHERE reach.root < ways.b),
+roots AS (SELECT node, min(root) AS root FROM reach GROUP BY node),
+placed AS (SELECT node, items, min(id) OVER (PARTITION BY root) AS least_id FROM roots JOIN nodes USING (node))
+SELECT doc_id, len(sets.items)::BIGINT AS n_shingles, coalesce(least_id, doc_id)::BIGINT AS component_id,
+       doc_id IS NOT DISTINCT FROM coalesce(least_id, doc_id) AS kept
+FROM sets LEFT JOIN placed ON placed.items = sets.items AND doc_id IS NOT NULL
+"""

@@ -19,4 +19,6 @@ QUERIES = {
 ORACLES = {
     "op3_license_scan": license_scan.ORACLE,
     "op5_quality_rules": quality_rules.ORACLE,
+    "op8_near_dedup": near_dedup.ORACLE,
+    "op9_secret_scan": secret_scan.ORACLE,
 }

@@ -197,3 +197,26 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(common.documents(spark, sf_dir))
+
+
+def _spans_sql(rule: Rule, rank: int) -> str:
+    blank = r"\x20\x09-\x0D"  # what \s means to Spark
+    pattern = rule.pattern.replace(r"[^\s]", f"[^{blank}]").replace(r"\s", blank).replace("'", "''")
+    return (
+        f"SELECT rid, {rank} AS rank, '{rule.kind}' AS kind, {str(rule.base).lower()} AS base, {rule.least} AS least, n, "
+        f"gaps[n] AS gap, length(found[n]) AS whole, length(bound[n]) AS bound FROM (SELECT rid, unnest(range(1, len(found) + 1)) AS n, gaps, found, bound FROM ("
+        f"SELECT rid, list_transform(regexp_split_to_array(text, '{pattern}'), lambda x: length(x)) AS gaps, regexp_extract_all(text, '{pattern}') AS found, "
+        f"regexp_extract_all(text, '{pattern}', {rule.group}) AS bound FROM t))"
+    )
+
+
+ORACLE = f"""
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+m AS ({' UNION ALL '.join(_spans_sql(r, i) for i, r in enumerate(RULES))}),
+s AS (SELECT *, sum(gap + whole) OVER (PARTITION BY rid, rank ORDER BY n) AS stop FROM m),
+k AS (SELECT rid, rank, kind, base, stop - whole AS start, kind || ':' || (stop - whole)::BIGINT || ':' || stop::BIGINT AS shown FROM s WHERE bound >= least),
+g AS (SELECT rid, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+             string_agg(shown, ',' ORDER BY start, rank) FILTER (base) AS base, string_agg(shown, ',' ORDER BY start, rank) AS spans FROM k GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM t LEFT JOIN g USING (rid)
+"""

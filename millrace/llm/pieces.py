@@ -91,21 +91,21 @@ def plain_letters(word: str) -> bool:
 
 
 class Cache(dict):
-    """A dict that fills itself from `make` and stays within CACHE entries: what comes later is made anew, and after
+    """A dict that fills itself from `make` and stays within `limit` entries (CACHE): what comes later is made anew, and after
     four times as many overflows it starts over (the words of the data may have changed)."""
 
-    def __init__(self, make: Callable[[str], Any]):
+    def __init__(self, make: Callable[[str], Any], limit: int | None = None):
         super().__init__()
-        self.make, self.over = make, 0
+        self.make, self.limit, self.over = make, limit or CACHE, 0
 
     def __missing__(self, key: str):
         value = self.make(key)
-        if len(self) < CACHE:
+        if len(self) < self.limit:
             if len(key) < 64:
                 self[key] = value
         else:
             self.over += 1
-            if self.over > 4 * CACHE:
+            if self.over > 4 * self.limit:
                 self.clear()
                 self.over = 0
         return value
@@ -119,10 +119,10 @@ class ByUnit:
     text in which a space stands between other white space (or ends the text after it) is taken piece by piece.
     """
 
-    def __init__(self, path: str, make: Callable[[str], Any], special: Callable[[str], Any], add: Callable[[list], Any]):
+    def __init__(self, path: str, make: Callable[[str], Any], special: Callable[[str], Any], add: Callable[[list], Any], cache: int | None = None):
         self.vocabulary = vocabulary(path)
         self.special, self.add = special, add
-        self.piece, self.plain, self.spaced = Cache(make), Cache(self.whole), Cache(lambda unit: self.whole(" " + unit))
+        self.piece, self.plain, self.spaced = Cache(make, cache), Cache(self.whole, cache), Cache(lambda unit: self.whole(" " + unit), cache)
 
     def whole(self, text: str) -> Any:
         core = text.rstrip(TAIL)
@@ -167,7 +167,7 @@ def slices(texts: pa.StringArray, size: int = SLICE * 8) -> Iterator[pa.StringAr
 class Encoder(ByUnit):
     """Ids of whole texts, equal to Tokenizer.encode(text, add_special_tokens=False).ids."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int | None = None):
         from tokenizers import Tokenizer
 
         model, v = Tokenizer.from_file(path).model, vocabulary(path)
@@ -178,6 +178,7 @@ class Encoder(ByUnit):
             lambda piece: array(code, [t.id for t in model.tokenize(symbols(piece))]).tobytes(),
             lambda string: array(code, [v.special[string]]).tobytes(),
             b"".join,
+            cache,
         )
 
     def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
@@ -196,5 +197,5 @@ class Encoder(ByUnit):
 
 
 @functools.lru_cache(maxsize=4)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, cache: int | None = None) -> Encoder:
+    return Encoder(path, cache)

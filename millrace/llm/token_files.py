@@ -29,6 +29,8 @@ from millrace.llm import common, pieces
 
 MAGIC, VERSION = b"MRBP", 1
 END_ID = 0
+#: Pre-tokens whose ids a worker keeps.
+CACHE = 500_000
 BLOCK_IDS, FILE_IDS = 1 << 16, 1 << 23
 HEAD = struct.Struct("<4sIIII")
 BLOCK = np.dtype([("first", "<u8"), ("offset", "<u8"), ("ids", "<u8")])
@@ -136,7 +138,7 @@ def write_token_files(docs: DataFrame, directory: str, tokenizer_path: str, end_
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, part = pieces.encoder(tokenizer_path), TaskContext.get().partitionId()
+        encoder, part = pieces.encoder(tokenizer_path, CACHE), TaskContext.get().partitionId()
         width, end = id_width(encoder.vocabulary.size), np.array([end_id], encoder.dtype)
         rows, writer = [], Writer(width)
 

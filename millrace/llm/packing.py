@@ -1,13 +1,15 @@
 """Lexical retrieval packing: training sequences of related documents.
 
 Texts are encoded once. Every full window of a long document is a sequence of its own; what remains, less than one
-window, is dealt to shards. A shard holds a BM25 inverted index over its remainders, with document frequencies taken
-over all documents: the longest remainder left seeds a sequence, its best unused neighbours follow whole, the last one
-is cut where the window ends, and its rest seeds the next sequence. So only the last sequence of a shard is padded.
+window, is dealt to shards. A shard holds a BM25 index of its documents, with frequencies and lengths over all ids of
+all documents: the longest remainder left seeds a sequence, its best unused neighbours by all terms of the seed's
+document follow whole, the last one is cut where the window ends, and its rest seeds the next sequence. So only the
+last sequence of a shard is padded.
+
+Remainders are dealt to shards by row, and neighbours are searched in the seed's shard only.
 
 Null and empty texts hold the end id only; repeated rows are packed as often as they come; an empty table gives an
-empty result; other columns of the input are not carried. A shard holds about SHARD_TOKENS ids whatever the input's
-size, and remainders are dealt by row, so equal texts or ids do not meet in one shard.
+empty result; other columns of the input are not carried.
 """
 
 from __future__ import annotations
@@ -25,8 +27,8 @@ from millrace.llm import common, pieces
 
 WINDOW, END_ID = 4096, 2
 SHARD_TOKENS = 1 << 20
-#: BM25 parameters, and how many of a seed's terms of greatest weight form its query.
-K1, B, QUERY_TERMS = 1.2, 0.75, 12
+#: BM25 parameters, and how many of a seed's terms form its query: all.
+K1, B, QUERY_TERMS = 1.2, 0.75, None
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -35,7 +37,8 @@ def _crc(ids: np.ndarray) -> int:
 
 
 def remainders(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
-    """doc_id, doc_tokens, the checksums of full windows, and the ids of the rest as little-endian bytes."""
+    """doc_id, doc_tokens, the checksums of full windows, and the ids of the rest as little-endian bytes; for documents
+    with a full window also the distinct ids of the whole document and their counts, which the rest does not tell."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = pieces.encoder(tokenizer_path)
@@ -44,66 +47,93 @@ def remainders(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_i
             at = 0
             for texts in pieces.slices(batch.column(1)):
                 all_ids, offsets = encoder.encode(texts)
-                tokens, windows, rests = [], [], []
+                tokens, windows, rests, terms, counts = [], [], [], [], []
                 for i in range(len(texts)):
                     ids = np.append(all_ids[offsets[i] : offsets[i + 1]], end)
                     full = len(ids) // window
                     tokens.append(len(ids))
                     windows.append([_crc(ids[w * window : (w + 1) * window]) for w in range(full)])
-                    rests.append(ids[full * window :].astype("<u4" if encoder.dtype.itemsize > 2 else "<u2").tobytes())
-                columns = [batch.column(0).slice(at, len(texts)), pa.array(tokens, pa.int64()), pa.array(windows, pa.list_(pa.int64())), pa.array(rests, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "doc_tokens", "windows", "rest"])
+                    stored = "<u4" if encoder.dtype.itemsize > 2 else "<u2"
+                    rests.append(ids[full * window :].astype(stored).tobytes())
+                    term, count = np.unique(ids, return_counts=True) if full else (None, None)
+                    terms.append(term.astype(stored).tobytes() if full else None)
+                    counts.append(count.astype("<u4").tobytes() if full else None)
+                columns = [batch.column(0).slice(at, len(texts)), pa.array(tokens, pa.int64()), pa.array(windows, pa.list_(pa.int64()))]
+                columns += [pa.array(x, pa.binary()) for x in (rests, terms, counts)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "doc_tokens", "windows", "rest", "terms", "counts"])
                 at += len(texts)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return common.map_batches(rows, encode, "doc_id long, doc_tokens long, windows array<long>, rest binary")
+    return common.map_batches(rows, encode, "doc_id long, doc_tokens long, windows array<long>, rest binary, terms binary, counts binary")
+
+
+def term_counts(rest: bytes, terms: bytes | None, counts: bytes | None, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ids of a whole document and their counts."""
+    if terms is None:
+        return np.unique(np.frombuffer(rest, f"<u{width}"), return_counts=True)
+    return np.frombuffer(terms, f"<u{width}"), np.frombuffer(counts, "<u4")
 
 
 def term_frequencies(rests: DataFrame, vocabulary_size: int, width: int) -> np.ndarray:
-    """Over all documents, how many remainders hold each id. Bounded by the vocabulary, whatever the input."""
+    """How many documents hold each id, in a full window or the rest. Bounded by the vocabulary, whatever the input."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(vocabulary_size, np.int64)
         for batch in batches:
-            for rest in batch.column(0):
-                total[np.unique(np.frombuffer(rest.as_buffer(), f"<u{width}"))] += 1
+            for rest, terms in zip(batch.column(0), batch.column(1)):
+                total[np.frombuffer((terms if terms.is_valid else rest).as_buffer(), f"<u{width}")] += 1  # a repeated id adds 1
         held = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(total[held])], ["term", "n"])
 
-    found = common.map_batches(rests.select("rest"), count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
+    found = common.map_batches(rests.select("rest", "terms"), count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
     frequency = np.zeros(vocabulary_size, np.int64)
     frequency[found["term"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
     return frequency
 
 
+def bm25(idf: np.ndarray, term: np.ndarray, count: np.ndarray, length: np.ndarray, average: float) -> np.ndarray:
+    norm = K1 * (1 - B + B * length / max(average, 1e-9))
+    return (idf[term] * count * (K1 + 1) / (count + norm)).astype(np.float32)
+
+
 class Index:
-    """BM25 inverted index over one shard: for each term the documents that hold it, with their weights."""
+    """BM25 index of one shard: for each document its terms with their weights. `counts` holds the terms and counts of
+    the whole documents where `ids` are what remains of them."""
 
-    def __init__(self, ids: list[np.ndarray], idf: np.ndarray, average: float):
+    def __init__(self, ids: list[np.ndarray], idf: np.ndarray, average: float, counts: list[tuple[np.ndarray, np.ndarray]] | None = None):
         self.lengths = np.array([len(x) for x in ids], np.int64)
-        doc = np.repeat(np.arange(len(ids)), self.lengths)
-        key, count = np.unique((np.concatenate(ids).astype(np.int64) << 32) | doc if len(ids) else np.zeros(0, np.int64), return_counts=True)
-        self.term, self.doc = key >> 32, key & 0xFFFFFFFF
-        norm = K1 * (1 - B + B * self.lengths[self.doc] / max(average, 1e-9))
-        self.weight = (idf[self.term] * count * (K1 + 1) / (count + norm)).astype(np.float32)
-        self.terms, first = np.unique(self.term, return_index=True)
-        self.bounds = np.append(first, len(self.term))
-        by_doc = np.lexsort((self.term, -self.weight, self.doc))
-        self.query_terms = np.searchsorted(self.terms, self.term[by_doc])
-        self.query_bounds = np.searchsorted(self.doc[by_doc], np.arange(len(ids) + 1))
+        counts = [np.unique(x, return_counts=True) for x in ids] if counts is None else counts
+        sizes = np.array([len(t) for t, _ in counts], np.int64)
+        self.doc = np.repeat(np.arange(len(ids)), sizes)
+        self.term = np.concatenate([t for t, _ in counts] or [np.zeros(0)]).astype(np.int64)
+        count = np.concatenate([c for _, c in counts] or [np.zeros(0)]).astype(np.int64)
+        whole = np.bincount(self.doc, count, len(ids))
+        self.weight = bm25(idf, self.term, count, whole[self.doc], average)
+        self.terms, self.query_terms = np.unique(self.term, return_inverse=True)
+        self.query_bounds = np.append(0, np.cumsum(sizes))
+        self.keep(np.ones(len(ids), bool))
+
+    def keep(self, docs: np.ndarray) -> None:
+        """From now on only these documents are scored."""
+        held = docs[self.doc]
+        doc, self.held_terms, self.held_weight = self.doc[held], self.query_terms[held].astype(np.int32), self.weight[held]
+        self.held_docs, self.starts = np.unique(doc, return_index=True)
 
     def scores(self, seed: int) -> np.ndarray:
-        out = np.zeros(len(self.lengths), np.float32)
+        asked = np.zeros(len(self.terms), np.float32)
         begin, end = self.query_bounds[seed], self.query_bounds[seed + 1]
-        for t in self.query_terms[begin : min(end, begin + QUERY_TERMS)]:
-            at = slice(self.bounds[t], self.bounds[t + 1])
-            out[self.doc[at]] += self.weight[at]
+        asked[self.query_terms[begin:end][:QUERY_TERMS]] = 1
+        out = np.zeros(len(self.lengths), np.float32)
+        if len(self.starts):
+            out[self.held_docs] = np.add.reduceat(self.held_weight * asked[self.held_terms], self.starts)
         return out
 
 
 def pack_shard(ids: list[np.ndarray], index: Index, window: int) -> Iterator[tuple[int, int, int, int, int]]:
     """(document, begin, length, sequence, offset) of every piece of a shard's remainders."""
     unused = index.lengths > 0
+    index.keep(unused)
+    left = scored = int(unused.sum())
     order, at = np.argsort(-index.lengths, kind="stable"), 0
     sequence = used = 0
     carried: tuple[int, int] | None = None  # a document cut at the end of the last sequence, and where
@@ -115,14 +145,19 @@ def pack_shard(ids: list[np.ndarray], index: Index, window: int) -> Iterator[tup
                 return
             seed, begin = int(order[at]), 0
             unused[seed] = False
+            left -= 1
         else:
             seed, begin = carried
             carried = None
         length = int(index.lengths[seed]) - begin
         yield seed, begin, length, sequence, 0
         used = length
-        while used < window and unused.any():
-            scores = np.where(unused, index.scores(seed), -1.0)
+        if left < scored / 2:
+            index.keep(unused)
+            scored = left
+        found = index.scores(seed) if used < window and left else None
+        while used < window and left:
+            scores = np.where(unused, found, -1.0)
             # enough neighbours to fill the window, best first
             few = min(len(scores), 64)
             best = np.argpartition(-scores, few - 1)[:few]
@@ -132,6 +167,7 @@ def pack_shard(ids: list[np.ndarray], index: Index, window: int) -> Iterator[tup
                 length = min(int(index.lengths[d]), window - used)
                 yield d, 0, length, sequence, used
                 unused[d] = False
+                left -= 1
                 used += length
                 if length < index.lengths[d]:
                     carried = (d, length)
@@ -143,11 +179,11 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, shard_token
     v = pieces.vocabulary(tokenizer_path)
     width = 2 if v.size <= 1 << 16 else 4
     rests = common.saved(remainders(docs, tokenizer_path, window).withColumn("row", F.monotonically_increasing_id()), "pack-rests")
-    totals = rests.agg(F.count("*").alias("n"), F.sum(F.octet_length("rest") / width).alias("ids")).first()
+    totals = rests.agg(F.count("*").alias("n"), F.sum(F.octet_length("rest") / width).alias("ids"), F.avg("doc_tokens").alias("average")).first()
     n, total = totals["n"], int(totals["ids"] or 0)
     frequency = term_frequencies(rests, v.size, width)
     idf = np.log1p((n - frequency + 0.5) / (frequency + 0.5)).astype(np.float32)
-    average = total / n if n else 0.0
+    average = totals["average"] or 0.0
     shards = max(1, -(-total // shard_tokens))
 
     def shard(frame: pd.DataFrame) -> pd.DataFrame:
@@ -161,7 +197,8 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, shard_token
             for w, check in enumerate(checks):
                 out.append((doc_id, w * window, window, int(check), n_tokens, base + sequence, 0))
                 sequence += 1
-        for d, begin, length, s, offset in pack_shard(ids, Index(ids, idf, average), window):
+        counts = [term_counts(*x, width) for x in zip(frame["rest"], frame["terms"], frame["counts"])]
+        for d, begin, length, s, offset in pack_shard(ids, Index(ids, idf, average, counts), window):
             start = tokens[d] - len(ids[d]) + begin
             out.append((doc_ids[d], start, length, _crc(ids[d][begin : begin + length]), tokens[d], base + sequence + s, offset))
         columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]

@@ -319,6 +319,29 @@ def test_packing_prefers_neighbours():
     assert sum(len(v) == 1 for v in mixed.values()) >= len(mixed) - 1
 
 
+def test_packing_counts_whole_documents(spark):
+    rows = [(0, "alpha " * 300 + "omega"), (1, "omega " * 255), (2, "alpha beta")]
+    rests = packing.remainders(spark.createDataFrame(rows, "doc_id long, text string"), WORD_BPE, 256).cache()
+    tokenizer, want = Tokenizer.from_file(WORD_BPE), collections.Counter()
+    whole = {d: [*tokenizer.encode(t, add_special_tokens=False).ids, 2] for d, t in rows}
+    for ids in whole.values():
+        want.update(set(ids))
+    frequency = packing.term_frequencies(rests, 1 << 16, 2)
+    assert {int(t): int(frequency[t]) for t in np.flatnonzero(frequency)} == want
+    for r in rests.collect():
+        term, count = packing.term_counts(r.rest, r.terms, r.counts, 2)
+        assert dict(zip(term.tolist(), count.tolist())) == collections.Counter(whole[r.doc_id])
+
+
+def test_packing_scores_all_terms():
+    ids = [np.arange(40), np.arange(30, 60), np.arange(100, 130), np.array([39, 200])]
+    index = packing.Index(ids, np.linspace(5, 1, 300).astype(np.float32), 30.0)
+    for seed in range(4):
+        want = [float(index.weight[(index.doc == d) & np.isin(index.term, ids[seed])].sum()) for d in range(4)]
+        assert np.allclose(index.scores(seed), want, rtol=1e-4)
+    assert index.scores(0)[3] > 0
+
+
 # 8
 
 

@@ -6,7 +6,9 @@ all documents: the longest remainder left seeds a sequence, its best unused neig
 document follow whole, the last one is cut where the window ends, and its rest seeds the next sequence. So only the
 last sequence of a shard is padded.
 
-Remainders are dealt to shards by row, and neighbours are searched in the seed's shard only.
+Neighbours are searched in the seed's shard only. So that they meet there, documents are placed by a tree that splits a
+sample of BM25 vectors, projected to PLACES places, into lexically similar shares of about SHARD_TOKENS ids; what the
+sample cannot split further (equal texts, too few documents) is dealt by row. What lies in another shard is missed.
 
 Null and empty texts hold the end id only; repeated rows are packed as often as they come; an empty table gives an
 empty result; other columns of the input are not carried.
@@ -20,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import common, pieces
@@ -29,6 +31,8 @@ WINDOW, END_ID = 4096, 2
 SHARD_TOKENS = 1 << 20
 #: BM25 parameters, and how many of a seed's terms form its query: all.
 K1, B, QUERY_TERMS = 1.2, 0.75, None
+#: Places of a projected document, sampled documents a shard, at most, and in the smallest leaf of the tree.
+PLACES, SAMPLE, SAMPLE_MOST, LEAF_LEAST = 64, 64, 1 << 16, 8
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -129,6 +133,101 @@ class Index:
         return out
 
 
+class Tree:
+    """Shards of lexically similar documents: splits of projected BM25 vectors, found on a sample."""
+
+    def __init__(self, vectors: np.ndarray, weights: np.ndarray, shards: int):
+        self.direction, self.threshold, self.child, self.first, self.parts = [], [], [], [], []
+        self.shards, whole, todo = 0, max(float(weights.sum()), 1e-9), [(self._node(), np.arange(len(vectors)))]
+        while todo:
+            node, rows = todo.pop()
+            share = weights[rows].sum() / whole * shards
+            split = self._split(vectors[rows], weights[rows], max(1, round(share))) if len(rows) >= 2 * LEAF_LEAST else None
+            if split is None:
+                self.first[node], self.parts[node] = self.shards, max(1, round(share))
+                self.shards += self.parts[node]
+                continue
+            self.direction[node], self.threshold[node], right = split
+            self.child[node] = [self._node(), self._node()]
+            todo += [(self.child[node][0], rows[~right]), (self.child[node][1], rows[right])]
+        self.direction, self.threshold, self.child = np.array(self.direction), np.array(self.threshold, np.float32), np.array(self.child)
+        self.first, self.parts = np.array(self.first), np.array(self.parts)
+
+    def _node(self) -> int:
+        for values, none in ((self.direction, np.zeros(PLACES, np.float32)), (self.threshold, 0.0), (self.child, [-1, -1]), (self.first, 0), (self.parts, 0)):
+            values.append(none)
+        return len(self.parts) - 1
+
+    @staticmethod
+    def _split(x: np.ndarray, weights: np.ndarray, shards: int) -> tuple[np.ndarray, float, np.ndarray] | None:
+        """Direction between two means and the place on it that leaves whole shards on both sides."""
+        if shards < 2:
+            return None
+        a = x[np.argmax(((x - x.mean(0)) ** 2).sum(1))]
+        b = x[np.argmax(((x - a) ** 2).sum(1))]
+        for _ in range(8):
+            near = x @ (b - a) > (b @ b - a @ a) / 2
+            if near.all() or not near.any():
+                break
+            a, b = x[~near].mean(0), x[near].mean(0)
+        direction = (b - a).astype(np.float32)
+        at = (x * direction).sum(1)
+        order = np.argsort(at, kind="stable")
+        filled = np.cumsum(weights[order])
+        left = min(max(1, round(shards * weights[~near].sum() / filled[-1])), shards - 1)
+        threshold = at[order[np.searchsorted(filled, filled[-1] * left / shards)]]
+        right = at > threshold
+        return (direction, threshold, right) if right.any() and not right.all() else None
+
+    def shard(self, x: np.ndarray, dealt: np.ndarray) -> np.ndarray:
+        node = np.zeros(len(x), np.int64)
+        while (inner := np.flatnonzero(self.child[node, 0] >= 0)).size:
+            n = node[inner]
+            node[inner] = self.child[n, ((x[inner] * self.direction[n]).sum(1) > self.threshold[n]).astype(int)]
+        return self.first[node] + dealt % self.parts[node]
+
+
+def projected(counts: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray, average: float, places: np.ndarray) -> np.ndarray:
+    """Unit vectors of documents: their BM25 weights by random signs."""
+    out = np.zeros((len(counts), PLACES), np.float32)
+    for row, (term, count) in zip(out, counts):
+        row[:] = bm25(idf, term, count, count.sum(), average) @ places[term]
+    size = np.linalg.norm(out, axis=1, keepdims=True)
+    return np.divide(out, size, out=out, where=size > 0)
+
+
+def placed(rests: DataFrame, idf: np.ndarray, average: float, width: int, shards: int, n: int, window: int) -> Column:
+    """Column of the shard of a remainder."""
+    if shards < 2:
+        return F.lit(0).cast("long")
+
+    def vectors(rest: pd.Series, terms: pd.Series, counts: pd.Series, signs: np.ndarray) -> np.ndarray:
+        return projected([term_counts(*x, width) for x in zip(rest, terms, counts)], idf, average, signs)
+
+    def signs() -> np.ndarray:
+        return np.random.default_rng(0).integers(0, 2, (len(idf), PLACES), np.int8).astype(np.float32) * 2 - 1
+
+    @F.pandas_udf("binary")
+    def vector(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        s = signs()
+        for rest, terms, counts in batches:
+            yield pd.Series([x.tobytes() for x in vectors(rest, terms, counts, s)], index=rest.index, dtype=object)
+
+    every = max(1, n // min(SAMPLE_MOST, SAMPLE * shards))
+    chosen = rests.where(F.pmod(F.xxhash64("row"), F.lit(every)) == 0)
+    # a short remainder costs a row's work besides its ids
+    sample = chosen.select("row", vector("rest", "terms", "counts").alias("v"), (F.octet_length("rest") / width + window / 64).alias("w")).toPandas().sort_values("row")
+    tree = Tree(np.frombuffer(b"".join(sample["v"]), np.float32).reshape(-1, PLACES), sample["w"].to_numpy(float), shards)
+
+    @F.pandas_udf("long")
+    def shard(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        s = signs()
+        for rest, terms, counts, dealt in batches:
+            yield pd.Series(tree.shard(vectors(rest, terms, counts, s), dealt.to_numpy()), index=rest.index)
+
+    return shard("rest", "terms", "counts", F.pmod(F.xxhash64("row", F.lit(1)), F.lit(1 << 31)))
+
+
 def pack_shard(ids: list[np.ndarray], index: Index, window: int) -> Iterator[tuple[int, int, int, int, int]]:
     """(document, begin, length, sequence, offset) of every piece of a shard's remainders."""
     unused = index.lengths > 0
@@ -206,7 +305,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, shard_token
 
     # a column with nulls would reach pandas as floats
     ids_apart = {"doc_id": F.coalesce("doc_id", F.lit(0)), "no_id": F.col("doc_id").isNull()}
-    dealt = rests.withColumns({"shard": F.pmod(F.xxhash64("row"), F.lit(shards)), **ids_apart})
+    dealt = rests.withColumns({"shard": placed(rests, idf, average, width, shards, n, window), **ids_apart})
     return dealt.groupBy("shard").applyInPandas(shard, PIECE)
 
 

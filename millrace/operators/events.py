@@ -69,8 +69,8 @@ def message_texts(events: DataFrame, key: str = "message_id") -> DataFrame:
     return events.groupBy(key).agg(F.array_join(F.transform(parts, lambda p: p["t"]), "").alias("content"))
 
 
-def last_versions(versions: DataFrame, keys: list[str]) -> DataFrame:
-    return versions.groupBy(*keys).agg(F.max_by("content", "version").alias("content"), F.max("version").alias("version"))
+def last_versions(versions: DataFrame, keys: list[str], value: str = "content") -> DataFrame:
+    return versions.groupBy(*keys).agg(F.max_by(value, "version").alias(value), F.max("version").alias("version"))
 
 
 def fold_calls(ordered: Column) -> Column:

@@ -85,10 +85,11 @@ def events_session(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The hourly counts by a stream over the same file; the watermark keeps back windows that may still grow."""
+    """The hourly counts by a stream over the same file: the last version of every window, those still open included."""
     ts = folds.stream_table(spark, f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     made = folds.tumbling(ts).select(F.col("window.start").alias("start"), "event_type", "n")
-    return folds.run_to_table(made, S.shared_path(spark, "stream-tumbling"))
+    versions = folds.run_to_versions(made, S.shared_path(spark, "stream-tumbling"))
+    return E.last_versions(versions, ["start", "event_type"], "n").select("start", "event_type", "n")
 
 
 def stream_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,6 +104,7 @@ def stream_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     messages_convert, message_fold, history_last_version, tool_pairing_fallback, tool_pairing_runid, event_extract_json, event_log_lines, events_tumbling, events_sliding, events_session, stream_tumbling, stream_fold,
 )}
+_TUMBLING = "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL"
 _FOLD = "SELECT conv_id AS message_id, string_agg(CASE WHEN role = 'system' THEN chr(10) || '[Error] ' || text ELSE text END, '' ORDER BY turn) AS content FROM conversations GROUP BY conv_id"
 ORACLES = {
     "messages_convert": "SELECT conv_id, turn, role, coalesce(nullif(text, ''), '') AS content FROM conversations WHERE turn % 5 <> 4 AND role IN ('user', 'assistant', 'system')",
@@ -116,7 +118,8 @@ ORACLES = {
         FROM r LEFT JOIN e ON r.message_id = e.message_id AND r.run = e.run WHERE r.event_type = 'click'""",
     "event_extract_json": "SELECT event_id, (props->>'$.k')::BIGINT AS k, event_type AS readable FROM events",
     "event_log_lines": "SELECT event_id AS ts, event_type AS event, user_id::VARCHAR AS run_id FROM events WHERE event_id % 7 <> 0",
-    "events_tumbling": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL",
+    "events_tumbling": _TUMBLING,
+    "stream_tumbling": _TUMBLING,
     "events_sliding": "SELECT start, count(*) AS n FROM (SELECT time_bucket(INTERVAL 30 MINUTE, ts) - k * INTERVAL 30 MINUTE AS start FROM events, (SELECT unnest([0, 1]) AS k)) GROUP BY start",
     "events_session": """SELECT user_id, min(ts) AS start, count(*) AS n FROM (SELECT *, sum(g) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM
         (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS g FROM events)) GROUP BY user_id, s""",

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from millrace.operators import events as E
@@ -52,6 +53,19 @@ def run_to_table(stream: DataFrame, path: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
+def run_to_versions(stream: DataFrame, path: str) -> DataFrame:
+    """Runs a stream of updates over what its source holds now, into Parquet at `path`; returns all versions of its rows,
+    with the number of their micro-batch as `version`. A batch that is run again replaces its rows."""
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/rows/version={batch}")
+
+    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/_state").outputMode("update").trigger(availableNow=True).start()
+    query.awaitTermination()
+    schema = T.StructType([*stream.schema.fields, T.StructField("version", T.LongType())])
+    return stream.sparkSession.read.schema(schema).option("basePath", f"{path}/rows").parquet(f"{path}/rows")
+
+
 def stream_table(spark: SparkSession, path: str, schema=None) -> DataFrame:
     """A stream over a Parquet folder or a single file: a stream's source takes a lone file only by a pattern."""
     return spark.readStream.schema(schema or spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from millrace.functions import text as T
 from millrace.operators import catalog, chunking, events, keyword, retrieval, sqlgate, vectors
 from millrace.sources import tables
+from millrace.streaming import folds
 
 
 def one(spark, expression, value):
@@ -278,3 +279,14 @@ def test_sources(spark, tmp_path):
     log = str(tmp_path / "log")
     tables.write_event_log(spark.createDataFrame([(1, "e", "n", "r", "{}")], tables.EVENT), log)
     assert tables.read_event_log(spark, log).count() == 1
+
+
+def test_stream_keeps_open_windows(spark, tmp_path):
+    for i, hours in enumerate((["00:10", "00:20", "01:05"], ["01:40", "01:50"])):
+        rows = spark.createDataFrame([(f"2024-01-01 {h}:00", "view", 1.0) for h in hours], "ts string, event_type string, value double")
+        rows.withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("ts timestamp, event_type string, value double").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    made = folds.tumbling(stream, late="2 hours").select(F.date_format("window.start", "HH").alias("hour"), "event_type", "n")
+    versions = folds.run_to_versions(made, f"{tmp_path}/out")
+    got = {r.hour: r.n for r in events.last_versions(versions, ["hour", "event_type"], "n").collect()}
+    assert got == {"00": 2, "01": 3}

@@ -17,6 +17,7 @@ QUERY = "Released under the MIT License"
 TERMS = ["Released", "under", "the", "MIT", "License"]
 #: A query vector by a rule: alternating signs over 64 places.
 VECTOR = [((i % 7) - 3) / 10 for i in range(64)]
+EMBEDDER = V.HashEmbedder(64)
 
 
 def keyword_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +66,23 @@ def rerank_function(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("position", "source", "file_id", "chunk_index", "rerank_score")
 
 
+def _all_embedded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[float]]:
+    """Every chunk with its vector, and the query's by the same embedder."""
+    return V.embed(chunks(spark, sf_dir), EMBEDDER), EMBEDDER([QUERY])[0].tolist()
+
+
+def hybrid_search_embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hybrid search whose semantic half sees all chunks."""
+    rows, vector = _all_embedded(spark, sf_dir)
+    return R.hybrid_search(rows, QUERY, vector).select("position", "source", "file_id", "chunk_index", "score", "preview")
+
+
+def rerank_function_embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, vector = _all_embedded(spark, sf_dir)
+    found = R.hybrid_search(rows, QUERY, vector, scorer=by_length)
+    return found.select("position", "source", "file_id", "chunk_index", "rerank_score")
+
+
 def multi_kb_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = S.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), F.lit(0).alias("chunk_index"), F.col("text").alias("content"), "source")
     return R.search_each(docs, QUERY, "source", 5).select("source", "rank", "file_id", "score")
@@ -76,7 +94,7 @@ def chunk_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("file_id", "chunk_index", F.size("embedding").alias("dim"), F.round(V.norm(F.col("embedding")), 6).alias("norm"))
 
 
-QUERIES = {f.__name__: f for f in (keyword_tokens, keyword_score, keyword_topk, knn_single, knn_batch, knn_by_label_filter, hybrid_search, rerank_function, multi_kb_search, chunk_embeddings)}
+QUERIES = {f.__name__: f for f in (keyword_tokens, keyword_score, keyword_topk, knn_single, knn_batch, knn_by_label_filter, hybrid_search, rerank_function, hybrid_search_embedded, rerank_function_embedded, multi_kb_search, chunk_embeddings)}
 
 
 def _score(text: str) -> str:

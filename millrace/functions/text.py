@@ -69,7 +69,7 @@ def preview(content: Column, size: int = 200) -> Column:
 def split_lines(text: Column) -> Column:
     """Lines as `str.splitlines` gives them: no empty line after the last line end."""
     parts = F.split(F.coalesce(text, F.lit("")), LINE_END, -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    return F.when(F.try_element_at(parts, F.lit(-1)) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
 
 
 #: The named character references of everyday pages; numeric ones are decoded by `html_unescape`.
@@ -130,7 +130,7 @@ def looks_like_table_row(title: Column) -> Column:
 def number_segments(number: Column) -> Column:
     """Whole numbers between the dots; null where a part is none."""
     parts = F.filter(F.split(F.coalesce(number, F.lit("")), r"\."), lambda p: strip(p) != "")
-    found = F.transform(parts, lambda p: strip(p).try_cast("int"))
+    found = F.transform(parts, lambda p: strip(p).try_cast("bigint"))
     return F.when((F.size(found) > 0) & F.forall(found, lambda x: x.isNotNull()), found)
 
 

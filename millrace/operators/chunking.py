@@ -17,7 +17,7 @@ HEADING = "struct<at:int,number:string,title:string>"
 
 def once(value: Column, use) -> Column:
     """use(value) with value evaluated once: the argument of a lambda is a local name."""
-    return F.element_at(F.transform(F.array(value), use), 1)
+    return F.get(F.transform(F.array(value), use), 0)
 
 
 def fixed_windows(text: Column, size: int = 500, overlap: int = 100) -> Column:
@@ -117,15 +117,15 @@ def heading_candidate(line: Column, at: Column) -> Column:
 def plausible_next(last: Column, cur: Column) -> Column:
     """Whether a number may follow inside an appendix: the next sibling, a first child, or the next at a higher level."""
     n, m = F.size(last), F.size(cur)
-    bumped = lambda k: (F.slice(cur, F.lit(1), m - 1) == F.slice(last, F.lit(1), m - 1)) & (F.element_at(cur, -1) == F.get(last, k - 1) + 1)
-    child = (m == n + 1) & (F.slice(cur, F.lit(1), n) == last) & (F.element_at(cur, -1) == 1)
+    bumped = lambda k: (F.slice(cur, F.lit(1), m - 1) == F.slice(last, F.lit(1), m - 1)) & (F.try_element_at(cur, F.lit(-1)) - 1 == F.get(last, k - 1))
+    child = (m == n + 1) & (F.slice(cur, F.lit(1), n) == last) & (F.try_element_at(cur, F.lit(-1)) == 1)
     return F.when(last.isNull(), F.get(cur, 0) == 1).when(m <= n, bumped(m)).otherwise(child)
 
 
 def headings(lines: Column) -> Column:
     """Array of (at, number, title): candidates in order, those inside an appendix only where they go on plausibly."""
     found = F.filter(F.transform(lines, heading_candidate), lambda c: c.isNotNull())
-    begin = F.struct(F.lit(None).cast("string").alias("appendix"), F.lit(None).cast("array<int>").alias("last"), F.array().cast(f"array<{HEADING}>").alias("heads"))
+    begin = F.struct(F.lit(None).cast("string").alias("appendix"), F.lit(None).cast("array<bigint>").alias("last"), F.array().cast(f"array<{HEADING}>").alias("heads"))
 
     def step(acc: Column, c: Column) -> Column:
         inside, cur = acc["appendix"].isNotNull(), T.number_segments(c["number"])
@@ -167,7 +167,7 @@ def heading_chunks(lines: Column, heads: Column, keep_preamble: bool = False) ->
 
             def prefix(j: Column) -> Column:
                 key = F.array_join(F.slice(segments, F.lit(1), j), ".")
-                named = F.element_at(F.filter(heads, lambda x: x["number"] == key), -1)
+                named = F.try_element_at(F.filter(heads, lambda x: x["number"] == key), F.lit(-1))
                 return F.struct(key.alias("number"), named["title"].alias("title"))
 
             return F.filter(F.transform(F.sequence(F.lit(1), F.size(segments)), prefix), lambda p: p["title"].isNotNull())

@@ -32,7 +32,7 @@ def readable_text(chunk: Column) -> Column:
     s = T.strip(chunk)
     looks = (s.startswith("{") & s.endswith("}")) | (s.startswith("[") & s.endswith("]"))
     v = F.try_parse_json(s)
-    last = F.element_at(F.try_variant_get(v, "$.messages", "array<variant>"), -1)
+    last = F.try_element_at(F.try_variant_get(v, "$.messages", "array<variant>"), F.lit(-1))
     from_object = F.coalesce(*[_field(v, k) for k in ("answer", "content", "message", "text")], _field(last, "content"), F.to_json(v))
 
     def item(x: Column) -> Column:

@@ -48,7 +48,7 @@ def html_documents(spark: SparkSession, path: str) -> DataFrame:
 
 def uploads(requests: DataFrame) -> DataFrame:
     """filename (base name only), content and size of (name, content_base64) rows."""
-    name = F.element_at(F.split(F.replace("name", F.lit("\\"), F.lit("/")), "/"), -1)
+    name = F.try_element_at(F.split(F.replace("name", F.lit("\\"), F.lit("/")), "/"), F.lit(-1))
     body = F.unbase64("content_base64")
     return requests.select(name.alias("filename"), body.alias("content"), F.octet_length(body).alias("size"))
 

@@ -139,6 +139,45 @@ def test_license_method(spark):
     assert made[4]["n_base"] == 3 and made[4]["last_word"] == 4 and made[3]["score"] < 0.8 and made[0]["score"] == 1.0
 
 
+def share_in_order(words, template):
+    """The largest share of a template's grams in order, on diagonals at most MERGE_GAP apart, by trying all places."""
+    grams = template.grams()
+    hits = [(i, at) for i in range(len(words) - 1) for at, g in enumerate(grams) if f"{words[i]} {words[i + 1]}" == g]
+    best = 0
+    for low in {i - at for i, at in hits}:
+        near, runs = sorted((i, at) for i, at in hits if low <= i - at <= low + license_scan.MERGE_GAP), []
+        for i, at in near:
+            runs.append((1 + max((n for j, b, n in runs if j < i and b < at), default=0), i, at))
+            runs[-1] = (i, at, runs[-1][0])
+        best = max(best, max(n for _, _, n in runs))
+    return best / len(grams)
+
+
+def test_license_places_are_verified(spark):
+    """Shuffled, reversed, interleaved, thinned and long texts against all places tried one by one."""
+    rng = np.random.default_rng(12)
+    long = license_scan.Template("long", " ".join(f"w{i % 90}" for i in range(140)), 0.8)
+    templates = (*license_scan.TEMPLATES, long)
+    texts = [long.text, "x " + long.text, license_scan.TEMPLATES[5].text, "4 0 nc 4 by nc cc by under cc licensed under"]
+    for t in templates:
+        words = t.text.split()
+        other = rng.choice(templates).text.split()
+        texts += [" ".join(words[::-1]), " ".join(rng.permutation(words)), " ".join(w for pair in zip(words, other) for w in pair)]
+        for rate in (0.05, 0.15, 0.3):
+            texts.append(" ".join(x for w in words for x in ([] if rng.random() < rate else ["zz", w] if rng.random() < rate else [w])))
+        cut = len(words) // 2
+        texts += [" ".join(words[cut:] + words[:cut]), " ".join([*words[:cut], *["gap"] * int(rng.integers(1, 6)), *words[cut:]])]
+    made = {r.doc_id: r for r in license_scan.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), templates).collect()}
+    for i, text in enumerate(texts):
+        words = text.split()
+        shares = [(t, share_in_order(words, t)) for t in templates if not t.base]
+        base = phrases(text)[4].split(",") if phrases(text)[4] else []
+        want = sorted({*base, *(t.label for t, share in shares if share >= t.least)})
+        assert made[i].labels == ",".join(want), text
+        assert math.isclose(made[i].score, 1.0 if base else max(share for _, share in shares), abs_tol=1e-8), text
+    assert made[0].score == made[1].score == made[2].score == 1.0 and made[0].labels == "long" and made[3].labels == "cc-by"
+
+
 # 4, 10
 
 

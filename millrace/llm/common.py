@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A word between ASCII blanks, as the contracts of several operators define it.
 BLANK_WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of one key from which a salted join splits the key.
+HOT_ROWS = 1024
 #: Rows up to which a keyed side is broadcast (checked by a count); beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
 #: Bytes of one Arrow batch, where the session has left Spark's default.
@@ -24,33 +27,63 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset a local session gets a folder
+    of its own; a cluster has none that all its machines see, so there it is an error."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/millrace-{sc.applicationId}"
 
 
-def saved(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends here and lost executors cost nothing."""
+_scratch: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables saved inside are deleted at the end; what is still needed must be saved as `lasting`, or written elsewhere."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def saved(df: DataFrame, name: str, lasting: bool = False, **options: str) -> DataFrame:
+    """Writes df to the shared folder and reads it back: lineage ends here and lost executors cost nothing. A lasting
+    table outlives the innermost scratch, not the one around it."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    for paths in _scratch[-2:-1] if lasting else _scratch[-1:]:
+        paths.append(path)
     df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Deletes every table this application saved; results that still read them can no longer be computed."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Marks a narrow saved table for broadcast only if its counted rows stay within the limit."""
     return F.broadcast(df) if df.count() <= limit else df
 
 
+def salted_join(left: DataFrame, right: DataFrame, on: list[str], by: str, n: str, how: str = "inner") -> DataFrame:
+    """Inner or left join with a saved `right` that has one row a key and counts the key's rows of `left` in column n.
+    A key with many rows is dealt by a hash of column `by` over as many copies of its right row. At most BROADCAST_ROWS
+    keys are split, whatever the sizes: no more can hold that share of all rows."""
+    totals = right.agg(F.sum(n).alias("rows"), F.max(n).alias("most")).first()
+    hot = max(HOT_ROWS, (totals["rows"] or 0) // BROADCAST_ROWS)
+    if (totals["most"] or 0) <= hot:
+        return left.join(right.drop(n), on, how)
+    salts = F.ceil(F.col(n) / hot).cast("int")
+    split = F.broadcast(right.where(F.col(n) > hot).select(*on, salts.alias("_salts")))
+    dealt = left.join(split, on, "left").withColumn("_salt", F.pmod(F.xxhash64(by), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_salts")
+    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(F.col(n) > hot, salts - 1).otherwise(0)))).drop(n)
+    return dealt.join(copies, [*on, "_salt"], how).drop("_salt")
+
+
 def map_batches(df: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow with batches of at most BATCH_BYTES (the setting stays with the session), so that a task needs little
     memory on both sides; a worker gives back what it no longer uses when a task ends."""

@@ -6,10 +6,12 @@ chance agreement. Pairs that may reach the bound are confirmed on their full shi
 connected components.
 
 No bucket is expanded into all its pairs: texts with equal sets are one node; in each bucket the nodes are first
-compared with one pivot only, another one in every band; afterwards just those bucket mates are compared that are not
-yet in one component, block by block within a task, so a large group of copies makes a few rows a member and no link
-between groups is lost. At the
-default bands a pair at the bound itself shares no bucket with probability 1.2e-7.
+compared with two pivots only: its hub, the node whose buckets are the largest (the original of many edited copies),
+and one node dealt anew in every band. Afterwards just those bucket mates are compared that are not yet in one
+component, block by block within a task: first by their packed bits, then on full sets for those nodes that have a
+likely partner at all. So a large group of copies makes a few rows a member and no link between groups is lost. At
+the default bands a pair at the bound itself shares no bucket with probability 1.2e-7. Keys that many rows share
+(buckets, hubs, equal sets) are joined in salted parts.
 
 Texts with fewer words than a shingle are one shingle of all their words; null texts and texts without words are empty
 and linked with nothing. Rows without doc_id are linked with nothing either (component null, kept). Repeated rows get
@@ -22,7 +24,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -98,12 +99,12 @@ def minima(shingles: np.ndarray) -> np.ndarray:
 
 
 def _signatures(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    names, known = ["doc_id", "n_shingles", "k0", "k1", "bands", *SIGNATURE], WordHashes()
+    names, known = ["doc_id", "text_hash", "n_shingles", "k0", "k1", "bands", *SIGNATURE], WordHashes()
     places = np.arange(HASHES, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     for batch in batches:
         at = 0
-        for texts in pieces.slices(batch.column(1)):
-            keys, n, k0, k1 = batch.column(0).slice(at, len(texts)), [], [], []
+        for texts in pieces.slices(batch.column(2)):
+            keys, n, k0, k1 = [batch.column(i).slice(at, len(texts)) for i in (0, 1)], [], [], []
             low = np.empty((len(texts), HASHES), np.uint32)
             for i, s in enumerate(shingle_sets(texts, k, known)):
                 digest = xxhash.xxh3_128_intdigest(s.tobytes())
@@ -118,15 +119,16 @@ def _signatures(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.Record
             bits = (mixed >> np.uint64(62)).reshape(len(texts), LONGS, 32)
             packed = (bits << (np.arange(32, dtype=np.uint64) * np.uint64(2))).sum(axis=2, dtype=np.uint64).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(texts) + 1) * BANDS, BANDS, dtype=np.int32)), pa.array(bands.view(np.int64).reshape(-1)))
-            columns = [keys, pa.array(n, pa.int64()), pa.array(k0, pa.int64()), pa.array(k1, pa.int64()), lists]
+            columns = [*keys, pa.array(n, pa.int64()), pa.array(k0, pa.int64()), pa.array(k1, pa.int64()), lists]
             yield pa.RecordBatch.from_arrays([*columns, *[pa.array(np.ascontiguousarray(packed[:, i])) for i in range(LONGS)]], names)
             at += len(texts)
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, set size, a 126-bit key of the set, band hashes and the packed low bits of every row."""
-    schema = "doc_id long, n_shingles long, k0 long, k1 long, bands array<long>, " + ", ".join(f"{s} long" for s in SIGNATURE)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    """doc_id, a hash of the text, set size, a 126-bit key of the set, band hashes and the packed low bits of every row."""
+    schema = "doc_id long, text_hash long, n_shingles long, k0 long, k1 long, bands array<long>, " + ", ".join(f"{s} long" for s in SIGNATURE)
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     return common.map_batches(rows, lambda batches: _signatures(batches, k), schema)
 
 
@@ -139,13 +141,14 @@ def estimate(a: str, b: str) -> Column:
     return ((1 - differ / HASHES) - 0.25) / 0.75
 
 
-def _likely(a: str, b: str, percent: int) -> Column:
-    small, large = F.least(f"{a}n", f"{b}n"), F.greatest(f"{a}n", f"{b}n")
-    return (100 * small >= percent * large) & (estimate(a, b) >= percent / 100 - SLACK)
-
-
-def _side(nodes: DataFrame, prefix: str) -> DataFrame:
-    return nodes.select(*[F.col(c).alias(f"{prefix}{c}") for c in ("node", "n", *SIGNATURE)])
+def _meet(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs (node, pivot) with the columns of both, those of the node as a_ and of the pivot as b_. A node has few
+    pivots, a pivot may have many nodes."""
+    own = [c for c in nodes.columns if c != "node"]
+    left = pairs.join(nodes.select("node", *[F.col(c).alias(f"a_{c}") for c in own]), "node")
+    counts = pairs.groupBy("pivot").agg(F.count("*").alias("_n"))
+    right = common.saved(counts.join(nodes.select(F.col("node").alias("pivot"), *[F.col(c).alias(f"b_{c}") for c in own]), "pivot"), "dedup-pivots")
+    return common.salted_join(left, right, ["pivot"], "node", "_n")
 
 
 def full_sets(due: DataFrame, nodes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
@@ -174,23 +177,57 @@ def full_sets(due: DataFrame, nodes: DataFrame, docs: DataFrame, k: int) -> Data
 
 
 def confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose full shingle sets are similar enough."""
-    sets = full_sets(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), nodes, docs, k)
-    left = sets.select(F.col("node").alias("a"), F.col("items").alias("a_items"))
-    right = sets.select(F.col("node").alias("b"), F.col("items").alias("b_items"))
-    joined = pairs.select("a", "b").join(left, "a").join(right, "b")
-    common_size = F.size(F.array_intersect("a_items", "b_items"))
-    union_size = F.size("a_items") + F.size("b_items") - common_size
-    return joined.where(100 * common_size >= percent * union_size).select("a", "b")
-
-
-def _joining(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Links (a, b) that join components, among the members of one or two blocks of a bucket group: estimates of all
-    pairs at once, then full sets for likely pairs that are not joined yet, the likeliest first."""
-    frame = frame.drop_duplicates("node").sort_values("node")
-    node, root, n = (frame[c].to_numpy() for c in ("node", "root", "n"))
-    signs = np.stack([frame[c].to_numpy(np.int64).view(np.uint64) for c in SIGNATURE], 1)
-    items = [np.asarray(x, np.int64).view(np.uint64) for x in frame["items"]]
+    """The pairs (node, pivot), as (a, b), whose full shingle sets are similar enough."""
+    sets = full_sets(pairs.select(F.explode(F.array("node", "pivot")).alias("node")).distinct(), nodes, docs, k)
+    both = F.size(F.array_intersect("a_items", "b_items"))
+    either = F.size("a_items") + F.size("b_items") - both
+    return _meet(pairs, sets).where(100 * both >= percent * either).select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+
+
+def _members(blocks: pa.ListScalar) -> dict[str, np.ndarray | pa.Array]:
+    """Columns of the members of one or two blocks, by node."""
+    held = blocks.values.flatten()
+    order = np.argsort(held.field("node").to_numpy(), kind="stable")
+    return {f.name: (a if pa.types.is_list(f.type) else a.to_numpy()) for f, a in ((f, held.field(f.name).take(pa.array(order))) for f in held.type)}
+
+
+def _likely_later(m: dict, signs: np.ndarray, i: int, percent: int) -> np.ndarray:
+    """The members after i, of other components, that may be similar enough to it, the likeliest first."""
+    n, root = m["n"], m["root"]
+    later = i + 1 + np.flatnonzero(root[i + 1 :] != root[i])
+    later = later[100 * np.minimum(n[later], n[i]) >= percent * np.maximum(n[later], n[i])]
+    x = signs[later] ^ signs[i]
+    agree = 1 - np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(0x5555555555555555)).sum(1, dtype=np.int64) / HASHES
+    guess = (agree - 0.25) / 0.75
+    near = guess >= percent / 100 - SLACK
+    return later[near][np.argsort(-guess[near], kind="stable")]
+
+
+def _with_partner(m: dict, percent: int) -> np.ndarray:
+    """The nodes that have a likely partner in another component."""
+    signs, due = np.stack([m[c].view(np.uint64) for c in SIGNATURE], 1), np.zeros(len(m["node"]), bool)
+    for i in range(len(due) - 1):
+        later = _likely_later(m, signs, i, percent)
+        due[later] = True
+        due[i] |= len(later) > 0
+    return m["node"][due]
+
+
+def _shared_sizes(m: dict, i: int, others: np.ndarray) -> np.ndarray:
+    """How many shingles the set of member i shares with each of the others."""
+    values, ends = m["values"], m["ends"]
+    own, sizes = values[ends[i] : ends[i + 1]], ends[others + 1] - ends[others]
+    starts = np.cumsum(sizes) - sizes
+    asked = values[np.repeat(ends[others] - starts, sizes) + np.arange(sizes.sum())]
+    found = own[np.minimum(np.searchsorted(own, asked), len(own) - 1)] == asked
+    return np.add.reduceat(found, starts, dtype=np.int64)
+
+
+def _joining(m: dict, percent: int) -> list[tuple[int, int]]:
+    """Links that join components: the full sets of likely pairs that are not joined yet are compared, those of one
+    member with all others at once."""
+    signs, node, root = np.stack([m[c].view(np.uint64) for c in SIGNATURE], 1), m["node"], m["root"]
+    m |= {"values": m["items"].flatten().to_numpy().view(np.uint64), "ends": np.concatenate([[0], np.cumsum(pc.list_value_length(m["items"]).to_numpy())])}
     above: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -198,41 +235,66 @@ def _joining(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
             x = up
         return x
 
-    low, out = np.uint64(0x5555555555555555), []
+    out = []
     for i in range(len(node) - 1):
-        later = i + 1 + np.flatnonzero(root[i + 1 :] != root[i])
-        later = later[100 * np.minimum(n[later], n[i]) >= percent * np.maximum(n[later], n[i])]
-        x = signs[later] ^ signs[i]
-        agree = 1 - np.bitwise_count((x | x >> np.uint64(1)) & low).sum(1, dtype=np.int64) / HASHES
-        guess = (agree - 0.25) / 0.75
-        for j in later[guess >= percent / 100 - SLACK][np.argsort(-guess[guess >= percent / 100 - SLACK], kind="stable")].tolist():
+        later = _likely_later(m, signs, i, percent)
+        own = find(int(root[i]))
+        later = later[np.array([find(r) != own for r in root[later].tolist()], bool)]
+        if not len(later):
+            continue
+        both = _shared_sizes(m, i, later)
+        sizes = np.diff(m["ends"])
+        for j in later[100 * both >= percent * (sizes[i] + sizes[later] - both)].tolist():
             a, b = find(int(root[i])), find(int(root[j]))
             if a != b:
-                both = len(np.intersect1d(items[i], items[j], assume_unique=True))
-                if 100 * both >= percent * (len(items[i]) + len(items[j]) - both):
-                    above[max(a, b)] = min(a, b)
-                    out.append((node[i], node[j]))
-    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+                above[max(a, b)] = min(a, b)
+                out.append((int(node[i]), int(node[j])))
+    return out
+
+
+def _block_pairs(members: DataFrame) -> DataFrame:
+    """(blocks): for every group `first` of the rows, each block of its members with itself or with a later block, as an
+    array of one or two arrays of members. Blocks hold about BLOCK_NODES members or BLOCK_SHINGLES shingles, so there are
+    as many rows as there are small groups, and for a large one the square of its blocks."""
+    size = F.greatest(F.count("*") / BLOCK_NODES, F.sum("n") / BLOCK_SHINGLES)
+    # each of these groups fills a block at least
+    large = members.groupBy("first").agg(F.ceil(size).cast("int").alias("_blocks")).where("_blocks > 1")
+    large = common.maybe_broadcast(common.saved(large, "dedup-large"))
+    dealt = members.join(large, "first", "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
+    block = F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int")
+    packed = dealt.groupBy("first", "_blocks", block.alias("_block")).agg(F.collect_list(F.struct(*[c for c in members.columns if c != "first"])).alias("held"))
+    single = packed.where("_blocks = 1").select(F.array("held").alias("blocks"))
+    other = packed.where("_blocks > 1").withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    pairs = other.groupBy("first", F.least("_block", "_other").alias("i"), F.greatest("_block", "_other").alias("j")).agg(F.collect_list("held").alias("blocks"))
+    return single.unionByName(pairs.select("blocks"))
 
 
 def join_mates(placed: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links between bucket mates of different components, for rows (band, node, root).
+    """Links between bucket mates of different components, for rows (band, node, root, size).
 
     Buckets with one smallest node form a group, so a node that shares many bands with the same mates is in few groups.
-    Groups are dealt into blocks of bounded size, and every pair of blocks is one task's work whose result is at
-    most a link for each node: the number of rows grows with the nodes, not with the pairs.
+    Pairs of blocks of a group are one task's work whose result is at most a link for each node: the number of rows
+    grows with the nodes, not with the pairs.
     """
-    mixed = placed.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min("node").alias("first")).where("x <> y")
-    members = placed.join(mixed.select("band", "first"), "band").select("first", "node", "root").distinct()
-    members = common.saved(members.join(nodes.select("node", "n"), "node"), "dedup-open")
-    size = F.greatest(F.count("*") / BLOCK_NODES, F.sum("n") / BLOCK_SHINGLES)
-    counted = members.groupBy("first").agg(F.ceil(size).cast("int").alias("blocks"))
-    data = full_sets(members.select("node").distinct(), nodes, docs, k).join(nodes.select("node", *SIGNATURE), "node")
-    dealt = members.join(counted, "first").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    keyed = paired.select("first", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "root", "n")
-    rows = keyed.join(data, "node")
-    return rows.groupBy("first", "i", "j").applyInPandas(lambda frame: _joining(frame, percent), "a long, b long")
+    mixed = placed.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min("node").alias("first"), F.count("*").alias("size")).where("x <> y")
+    mixed = common.saved(mixed.select("band", "first", "size"), "dedup-mixed")
+    members = common.salted_join(placed, mixed, ["band"], "node", "size").select("first", "node", "root").distinct()
+    signed = common.saved(members.join(nodes.select("node", "n", *SIGNATURE), "node"), "dedup-open")
+
+    def partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blocks in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(_with_partner(_members(blocks), percent), pa.int64())], ["node"])
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blocks in batch.column(0):
+                found = _joining(_members(blocks), percent)
+                yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    due = common.saved(common.map_batches(_block_pairs(signed), partners, "node long").distinct(), "dedup-partners")
+    sets = full_sets(due, nodes, docs, k)
+    return common.map_batches(_block_pairs(signed.join(sets, "node")), links, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -246,62 +308,87 @@ def components(edges: DataFrame) -> DataFrame:
             break
         state = now
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = common.saved(both.where("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct(), "stars")
-        least = large.groupBy("b").agg(F.min("a").alias("m"))
+        least = common.saved(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n")), "stars-least")
+        large = common.salted_join(both.where("v > u"), least, ["u"], "v", "n").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()
+        large = common.saved(large, "stars-large")
+        least = common.saved(large.groupBy("b").agg(F.min("a").alias("m"), F.count("*").alias("n")), "stars-least")
         # every smaller neighbour but the smallest, and the node itself, move to the smallest
-        moved = large.join(least, "b").where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))
+        moved = common.salted_join(large, least, ["b"], "a", "n").where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))
         edges = common.saved(moved.union(least.select(F.col("m").alias("a"), "b")).distinct(), "stars")
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).union(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id of the group) and kept for every row."""
+def _pivots(shared: DataFrame) -> DataFrame:
+    """(band, hub, other) for the buckets in rows (band, node, size): the node whose buckets are the largest, and the
+    smallest after flipping bits by the band's hash, so that bands choose it independently."""
+    flip = F.xxhash64("band").bitwiseAND(F.lit((1 << 63) - 1))
+    weights = shared.groupBy("node").agg(F.sum("size").alias("weight"))
+    chosen = shared.join(weights, "node").groupBy("band").agg(
+        F.max(F.struct("weight", "node")).alias("hub"), F.min(F.col("node").bitwiseXOR(flip)).alias("other"), F.count("*").alias("size")
+    )
+    return chosen.select("band", F.col("hub.node").alias("hub"), F.col("other").bitwiseXOR(flip).alias("other"), "size")
+
+
+def _grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """doc_id, a hash of the text, n_shingles, the smallest doc_id of the group, and the group (null: linked with nothing)."""
     made = common.saved(signatures(docs, k), "dedup-signatures")
-    sets = made.where("n_shingles > 0 and doc_id is not null").groupBy("k0", "k1")
+    linkable = made.where("n_shingles > 0 and doc_id is not null")
     firsts = [F.first(c).alias(c) for c in ("bands", *SIGNATURE)]
-    nodes = sets.agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), *firsts)
+    nodes = linkable.groupBy("k0", "k1").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.count("*").alias("rows"), *firsts)
     nodes = common.saved(nodes.withColumn("node", F.monotonically_increasing_id()), "dedup-nodes")
 
     rows = nodes.select("node", F.explode("bands").alias("band"))
-    # the pivot is the smallest node after flipping bits by the band's hash, so bands choose pivots independently
-    flip = F.xxhash64("band").bitwiseAND(F.lit((1 << 63) - 1))
-    flipped = rows.withColumn("flipped", F.col("node").bitwiseXOR(flip))
-    pivots = flipped.groupBy("band").agg(F.count("*").alias("size"), F.min("flipped").alias("pivot")).where("size > 1")
-    pivots = pivots.select("band", F.col("pivot").bitwiseXOR(flip).alias("pivot"))
-    shared = common.saved(rows.join(pivots, "band"), "dedup-buckets")
-    pairs = shared.where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-    likely = pairs.join(_side(nodes, "a_"), F.col("a") == F.col("a_node")).join(_side(nodes, "b_"), F.col("b") == F.col("b_node")).where(_likely("a_", "b_", percent))
-    likely = common.saved(likely.select("a", "b"), "dedup-pairs")
-    links = common.saved(confirm(likely, nodes, docs, k, percent), "dedup-links")
+    sizes = common.saved(rows.groupBy("band").agg(F.count("*").alias("size")).where("size > 1").withColumn("n", F.col("size")), "dedup-sizes")
+    shared = common.saved(common.salted_join(rows, sizes, ["band"], "node", "n"), "dedup-buckets")
+    chosen = common.salted_join(shared.select("band", "node"), common.saved(_pivots(shared), "dedup-chosen"), ["band"], "node", "size")
+    pairs = chosen.select("node", F.explode(F.array("hub", "other")).alias("pivot")).where("node <> pivot").distinct()
+    small, large = F.least("a_n", "b_n"), F.greatest("a_n", "b_n")
+    likely = (100 * small >= percent * large) & (estimate("a_", "b_") >= percent / 100 - SLACK)
+    met = _meet(common.saved(pairs, "dedup-met"), nodes.select("node", "n", *SIGNATURE)).where(likely).select("node", "pivot")
+    links = common.saved(confirm(common.saved(met, "dedup-pairs"), nodes, docs, k, percent), "dedup-links")
     roots = common.saved(components(links), "dedup-roots")
 
     # bucket mates that are not in one component yet
-    placed = shared.select("band", "node").join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
+    placed = shared.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
     more = common.saved(join_mates(placed, nodes, docs, k, percent), "dedup-more")
     if more.limit(1).count():
         roots = common.saved(components(links.union(more)), "dedup-roots")
 
-    smallest = nodes.select("node", "id", "k0", "k1").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    smallest = nodes.select("node", "id", "k0", "k1", "rows").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = common.saved(smallest, "dedup-placed")
-    groups = common.saved(smallest.groupBy("root").agg(F.min("id").alias("component_id")), "dedup-groups")
-    by_set = smallest.join(groups, "root").select("k0", "k1", "component_id")
-    linked = made.where("n_shingles > 0 and doc_id is not null").select("doc_id", "n_shingles", "k0", "k1").join(by_set, ["k0", "k1"])
-    alone = made.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    every = linked.select("doc_id", "n_shingles", "component_id").union(alone)
-    return every.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    groups = common.saved(smallest.groupBy("root").agg(F.min("id").alias("component_id"), F.count("*").alias("n")), "dedup-groups")
+    by_set = common.saved(common.salted_join(smallest, groups, ["root"], "node", "n").select("k0", "k1", "root", "component_id", "rows"), "dedup-sets-placed")
+    keys = ["doc_id", "text_hash", "n_shingles"]
+    linked = common.salted_join(linkable.select(*keys, "k0", "k1"), by_set, ["k0", "k1"], "doc_id", "rows")
+    alone = made.where("n_shingles = 0 or doc_id is null").select(*keys, F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("root"))
+    return linked.select(*keys, "component_id", "root").union(alone)
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id of the group) and kept for every row."""
+    with common.scratch(docs.sparkSession):
+        rows = _grouped(docs, k, percent).select("doc_id", "n_shingles", "component_id")
+        return common.saved(rows.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), "near-duplicates", lasting=True)
 
 
 def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The input without the documents whose group another one represents; rows that share a kept doc_id count as one
-    document, of which one row stays."""
-    decided = common.saved(near_duplicates(docs, k, percent).select("doc_id", "kept"), "dedup-decided")
-    dropped = common.maybe_broadcast(decided.where("not kept").select("doc_id").distinct())
-    stay = docs.join(dropped, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
-    again = decided.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1)
-    if again.count():
-        stay = stay.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(stay.where("doc_id is null"))
-    return stay
+    """The input with one row of every group: that of the smallest doc_id, and of several such rows the one with the
+    smallest text hash. Rows that are linked with nothing stay: without doc_id all, else one for each doc_id and text."""
+    with common.scratch(docs.sparkSession):
+        # rows are known by doc_id and text, so two texts under one doc_id are told apart
+        decided = common.saved(_grouped(docs, k, percent).where("doc_id is not null").select("doc_id", "text_hash", "root"), "dedup-decided")
+        first = F.min(F.struct("doc_id", "text_hash"))
+        kept = common.saved(decided.where("root is not null").groupBy("root").agg(first.alias("first"), F.count("*").alias("n")), "dedup-first")
+        named = common.salted_join(decided.where("root is not null"), kept, ["root"], "doc_id", "n")
+        gone = named.where(F.struct("doc_id", "text_hash") != F.col("first")).select("doc_id", "text_hash").distinct()
+        gone = common.saved(gone.withColumnRenamed("text_hash", "_hash").withColumnRenamed("doc_id", "_id"), "dedup-gone", lasting=True)
+        again = decided.groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count()
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    hashed = docs.select(*own, F.xxhash64(F.coalesce("text", F.lit(""))).alias("_hash_of_text"))
+    stay = hashed.join(common.maybe_broadcast(gone), (F.col("doc_id") == F.col("_id")) & (F.col("_hash_of_text") == F.col("_hash")), "left_anti")
+    if again:
+        stay = stay.where("doc_id is not null").dropDuplicates(["doc_id", "_hash_of_text"]).unionByName(stay.where("doc_id is null"))
+    return stay.select(*own)
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

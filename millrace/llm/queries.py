@@ -17,6 +17,7 @@ QUERIES = {
     "op10_token_files": token_files.op10_token_files,
 }
 ORACLES = {
+    "op1_source_mix": source_mix.ORACLE,
     "op3_license_scan": license_scan.ORACLE,
     "op5_quality_rules": quality_rules.ORACLE,
     "op8_near_dedup": near_dedup.ORACLE,

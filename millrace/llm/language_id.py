@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from millrace.llm import common, pieces
 
 BUCKETS, DIMENSIONS, ORDERS = 1 << 14, 16, (2, 3, 4)
-#: Bounds of the training sample: rows aimed at over all languages, and the languages learned (the most frequent).
-SAMPLE, MOST_LANGUAGES = 2000, 256
+#: Bound of the training sample: rows aimed at over all languages; twice as many are taken at most.
+SAMPLE = 2000
 #: Passes over the sample, more of them where it is so small that they would make fewer than STEPS steps.
 EPOCHS, STEPS, BATCH, RATE = 12, 500, 32, 8.0
 #: Share of wrong ones among the accepted predictions that the rejection threshold aims at.
@@ -133,15 +133,13 @@ def held_out(doc_id: Column) -> Column:
 def training_rows(docs: DataFrame, sample: int = SAMPLE) -> list[tuple[str, np.ndarray, np.ndarray]]:
     """Features of a bounded sample of the rows that may be learned from, in a fixed order."""
     open_rows = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = open_rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
-    if not counts:
+    counts = common.saved(open_rows.groupBy("lang").agg(F.count("*").alias("_n")), "language-counts")
+    languages = counts.count()
+    if not languages:
         return []
-    each = sample / len(counts)
-    rate = F.lit(None).cast("double")
-    for row in counts:
-        rate = F.when(F.col("lang") == row["lang"], min(1.0, each / row["count"])).otherwise(rate)
     draw = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / float(1 << 53)
-    drawn = open_rows.where((draw < rate) & F.col("text").rlike(r"\p{L}"))
+    rated = open_rows.select("doc_id", "lang", "text").join(common.maybe_broadcast(counts), "lang")
+    drawn = rated.where((draw < F.lit(sample / languages) / F.col("_n")) & F.col("text").rlike(r"\p{L}"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,7 +148,9 @@ def training_rows(docs: DataFrame, sample: int = SAMPLE) -> list[tuple[str, np.n
             columns = [pa.array([h.astype("<i4").tobytes() for h in held], pa.binary()), pa.array([f[h].astype("<f4").tobytes() for f, h in zip(found, held)], pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "lang", "buckets", "counts"])
 
-    made = common.map_batches(drawn.select("doc_id", "lang", "text"), count, "doc_id long, lang string, buckets binary, counts binary").limit(2 * sample).toArrow()
+    found = common.map_batches(drawn.select("doc_id", "lang", "text"), count, "doc_id long, lang string, buckets binary, counts binary")
+    # repeated rows may exceed the bound; which of them stay is settled by a hash
+    made = found.orderBy(F.xxhash64("doc_id", "lang", "buckets"), "doc_id").limit(2 * sample).toArrow()
     rows = sorted(zip(*(made.column(i).to_pylist() for i in range(4))), key=lambda r: (r[0], r[1], r[2]))
     return [(lang, np.frombuffer(b, "<i4"), np.frombuffer(c, "<f4")) for _, lang, b, c in rows]
 

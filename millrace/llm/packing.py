@@ -277,7 +277,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, shard_token
     """One row a piece: doc_id, start, length, checksum, the document's tokens, its sequence and the offset there."""
     v = pieces.vocabulary(tokenizer_path)
     width = 2 if v.size <= 1 << 16 else 4
-    rests = common.saved(remainders(docs, tokenizer_path, window).withColumn("row", F.monotonically_increasing_id()), "pack-rests")
+    rests = common.saved(remainders(docs, tokenizer_path, window).withColumn("row", F.monotonically_increasing_id()), "pack-rests", lasting=True)
     totals = rests.agg(F.count("*").alias("n"), F.sum(F.octet_length("rest") / width).alias("ids"), F.avg("doc_tokens").alias("average")).first()
     n, total = totals["n"], int(totals["ids"] or 0)
     frequency = term_frequencies(rests, v.size, width)

@@ -65,9 +65,10 @@ def _repeat_words(grams: str) -> Column:
     return F.when(F.size(F.array_distinct(grams)) == F.size(grams), 0).otherwise(once(once(ordered, covered), total))
 
 
-def quality_measures(docs: DataFrame, rules: tuple[Rule, ...] = RULES, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the base measures, the rules' ratios, base_failed and kept; `keep` names further input columns."""
-    stop = sorted({w for words in STOP_WORDS.values() for w in words.split()})
+def quality_measures(docs: DataFrame, rules: tuple[Rule, ...] = RULES, keep: tuple[str, ...] = (), stop_words: dict[str, str] = STOP_WORDS) -> DataFrame:
+    """doc_id, the base measures, the rules' ratios, base_failed and kept; `keep` names further input columns. A corpus
+    in other languages needs their stop words, or rules without the share of stop words."""
+    stop = sorted({w for words in stop_words.values() for w in words.split()})
     text, zero = F.col("_text"), F.lit(0)
     lines = F.filter(F.split(text, "\n"), lambda line: F.length(F.translate(line, " \t\n\x0b\x0c\r", "")) > 0)
     split = docs.select("doc_id", *keep, F.coalesce("text", F.lit("")).alias("_text")).select(
@@ -111,10 +112,10 @@ def quality_measures(docs: DataFrame, rules: tuple[Rule, ...] = RULES, keep: tup
     return measured.select("doc_id", *keep, *MEASURES, failed.alias("base_failed"), (here & ~failed & verdict).alias("kept"), "n_stop_words", "n_shouts", "n_lines")
 
 
-def keep_quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def keep_quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, stop_words: dict[str, str] = STOP_WORDS) -> DataFrame:
     """The documents that the rules keep, with their own columns."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    kept = quality_measures(docs.select("doc_id", "text", row), rules, ("_row",)).where("kept")
+    kept = quality_measures(docs.select("doc_id", "text", row), rules, ("_row",), stop_words).where("kept")
     return kept.select("_row.*")
 
 

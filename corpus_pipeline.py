@@ -9,8 +9,6 @@ docstrings say: a null text fails the quality rules, and an empty table gives an
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,9 +49,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed rows. What the stages save is deleted once the next stage has read it; the tables behind the result
+    stay until `common.release`."""
     docs = common.documents(spark, sf_dir)
-    for name, stage in STAGES[:-1]:
-        path = f"{common.shared_dir(spark)}/pipeline-{uuid.uuid4().hex}-{name.replace(' ', '-')}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with common.scratch(spark):
+        for name, stage in STAGES[:-1]:
+            with common.scratch(spark):
+                docs = common.saved(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}", lasting=True)
+        return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,12 +6,11 @@ chance agreement. Pairs that may reach the bound are confirmed on their full shi
 connected components.
 
 No bucket is expanded into all its pairs: texts with equal sets are one node; in each bucket the nodes are first
-compared with two pivots only: its hub, the node whose buckets are the largest (the original of many edited copies),
-and one node dealt anew in every band. Afterwards just those bucket mates are compared that are not yet in one
-component, block by block within a task: first by their packed bits, then on full sets for those nodes that have a
-likely partner at all. So a large group of copies makes a few rows a member and no link between groups is lost. At
-the default bands a pair at the bound itself shares no bucket with probability 1.2e-7. Keys that many rows share
-(buckets, hubs, equal sets) are joined in salted parts.
+compared with one pivot only: its hub, the node whose buckets are the largest (the original of many edited copies).
+Afterwards just those bucket mates are compared that are not yet in one component, block by block within a task: first
+by their packed bits, then on full sets for those nodes that have a likely partner at all. So a large group of copies
+makes a few rows a member and no link between groups is lost. At the default bands a pair at the bound itself shares
+no bucket with probability 1.2e-7. Keys that many rows share (buckets, hubs, equal sets) are joined in salted parts.
 
 Texts with fewer words than a shingle are one shingle of all their words; null texts and texts without words are empty
 and linked with nothing. Rows without doc_id are linked with nothing either (component null, kept). Repeated rows get
@@ -318,15 +317,11 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).union(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
 
 
-def _pivots(shared: DataFrame) -> DataFrame:
-    """(band, hub, other) for the buckets in rows (band, node, size): the node whose buckets are the largest, and the
-    smallest after flipping bits by the band's hash, so that bands choose it independently."""
-    flip = F.xxhash64("band").bitwiseAND(F.lit((1 << 63) - 1))
+def _hubs(shared: DataFrame) -> DataFrame:
+    """(band, hub, size) for the buckets in rows (band, node, size): the hub is the node whose buckets are the largest."""
     weights = shared.groupBy("node").agg(F.sum("size").alias("weight"))
-    chosen = shared.join(weights, "node").groupBy("band").agg(
-        F.max(F.struct("weight", "node")).alias("hub"), F.min(F.col("node").bitwiseXOR(flip)).alias("other"), F.count("*").alias("size")
-    )
-    return chosen.select("band", F.col("hub.node").alias("hub"), F.col("other").bitwiseXOR(flip).alias("other"), "size")
+    chosen = shared.join(weights, "node").groupBy("band").agg(F.max(F.struct("weight", "node")).alias("hub"), F.count("*").alias("size"))
+    return chosen.select("band", F.col("hub.node").alias("hub"), "size")
 
 
 def _grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -340,12 +335,12 @@ def _grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
     rows = nodes.select("node", F.explode("bands").alias("band"))
     sizes = common.saved(rows.groupBy("band").agg(F.count("*").alias("size")).where("size > 1").withColumn("n", F.col("size")), "dedup-sizes")
     shared = common.saved(common.salted_join(rows, sizes, ["band"], "node", "n"), "dedup-buckets")
-    chosen = common.salted_join(shared.select("band", "node"), common.saved(_pivots(shared), "dedup-chosen"), ["band"], "node", "size")
-    pairs = chosen.select("node", F.explode(F.array("hub", "other")).alias("pivot")).where("node <> pivot").distinct()
+    met = common.salted_join(shared.select("band", "node"), common.saved(_hubs(shared), "dedup-hubs"), ["band"], "node", "size")
+    pairs = common.saved(met.select("node", F.col("hub").alias("pivot")).where("node <> pivot").distinct(), "dedup-met")
     small, large = F.least("a_n", "b_n"), F.greatest("a_n", "b_n")
     likely = (100 * small >= percent * large) & (estimate("a_", "b_") >= percent / 100 - SLACK)
-    met = _meet(common.saved(pairs, "dedup-met"), nodes.select("node", "n", *SIGNATURE)).where(likely).select("node", "pivot")
-    links = common.saved(confirm(common.saved(met, "dedup-pairs"), nodes, docs, k, percent), "dedup-links")
+    pairs = common.saved(_meet(pairs, nodes.select("node", "n", *SIGNATURE)).where(likely).select("node", "pivot"), "dedup-pairs")
+    links = common.saved(confirm(pairs, nodes, docs, k, percent), "dedup-links")
     roots = common.saved(components(links), "dedup-roots")
 
     # bucket mates that are not in one component yet

@@ -82,9 +82,10 @@ def decode_entities(text: Column) -> Column:
     return text
 
 
-def html_to_text(page: Column, decode=decode_entities) -> Column:
-    """Visible text: scripts, styles and comments go, other tags become blanks, entities are decoded."""
-    text = F.coalesce(page, F.lit(""))
+def html_to_text(page: Column, decode=None) -> Column:
+    """Visible text: scripts, styles and comments go, other tags become blanks, all character references are decoded
+    (`decode_entities` knows the everyday ones and needs no Python)."""
+    decode, text = decode or html_unescape, F.coalesce(page, F.lit(""))
     for pattern in (r"(?is)<script.*?>.*?</script>", r"(?is)<style.*?>.*?</style>", r"(?is)<!--.*?-->"):
         text = F.regexp_replace(text, pattern, "")
     return collapse(decode(F.regexp_replace(text, r"(?s)<[^>]+>", " ")))
@@ -139,6 +140,16 @@ def mime_type(filename: Column) -> Column:
     return F.when(name.endswith(".pdf"), "application/pdf").when(name.endswith(".xlsx"), "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet").otherwise("application/octet-stream")
 
 
+def utf16_length(text: Column) -> Column:
+    """Length in UTF-16 units, as a browser counts it."""
+    return F.length(text) + F.regexp_count(text, F.lit(r"[\x{10000}-\x{10FFFF}]"))
+
+
+def listed(content: Column, size: int = 30) -> Column:
+    """The start of a chunk in one line of a list."""
+    return F.concat(F.regexp_replace(F.substring(content, 1, size), r"[\r\n]+", " "), F.lit("..."))
+
+
 def external_id(prefix: str, number: Column) -> Column:
     return F.concat(F.lit(f"{prefix}-"), number.cast("string"))
 

@@ -1,11 +1,15 @@
 """The catalog: collections, files, chunks and vectors as tables; listing, paging, point reads, upserts and cascades.
 
-Reads are expressions over the tables. A change is a new version of a table: `Catalog` writes it beside the old one
-and then moves a pointer, so a table is never overwritten while it is read, and a failed write changes nothing.
+Reads are expressions over the tables. `Catalog` stores them below one path: the list of collections, a list of files for
+each collection, and a folder of chunks for each version of a file. A change writes new folders beside the old ones and
+then renames a numbered pointer file into place that names all of them at once: a write that fails before changes
+nothing, and a file's row and its chunks cannot disagree, as the row names the version of its chunks. Only what a
+change concerns is written again.
 """
 
 from __future__ import annotations
 
+import json
 import time
 import uuid
 
@@ -16,9 +20,9 @@ from millrace.functions import text as T
 
 SCHEMAS = {
     "kb": "kb_id long, name string, description string, created_at_ms long",
-    "files": "kb_id long, file_id long, filename string, chunk_count int, status string, created_at_ms long",
-    "chunks": "kb_id long, file_id long, chunk_index int, content string, metadata string, embedding array<double>",
-    "counters": "kb_id long, next_file_id long",
+    "files": "kb_id long, file_id long, filename string, chunk_count int, status string, created_at_ms long, chunks_version string, upload string",
+    "chunks": "chunk_index int, content string, metadata string, embedding array<double>, kb_id long, file_id long, version string",
+    "uploads": "content binary",
 }
 ALLOWED = (".pdf", ".xlsx")
 
@@ -65,11 +69,17 @@ def read_chunks(chunks: DataFrame, specs: DataFrame, files: DataFrame) -> DataFr
 
 
 def upsert_uploads(files: DataFrame, uploads: DataFrame, next_id: Column) -> DataFrame:
-    """Files after uploads by name: a known name keeps its id and starts over, a new one takes the next ids."""
+    """Files after uploads by name: a known name keeps its id and starts over, new ones take the next ids in the order of
+    their names. Names are numbered within ranges (here: by their first characters) that are counted before."""
     from pyspark.sql import Window
 
-    new = uploads.select("filename").distinct().join(files.select("filename"), "filename", "left_anti")
-    numbered = new.select((next_id + F.row_number().over(Window.orderBy("filename")) - 1).alias("file_id"), "filename", F.lit(0).alias("chunk_count"), F.lit("uploaded").alias("status"))
+    new = uploads.select("filename").distinct().join(files.select("filename"), "filename", "left_anti").withColumn("_range", F.substring("filename", 1, 8))
+    counts = new.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = F.row_number().over(Window.partitionBy("_range").orderBy("filename"))
+    numbered = new.join(counts.select("_range", before.alias("_before")), "_range").select(
+        (next_id + F.col("_before") + within - 1).alias("file_id"), "filename", F.lit(0).alias("chunk_count"), F.lit("uploaded").alias("status")
+    )
     again = uploads.select("filename", F.lit(True).alias("again")).distinct()
     kept = files.join(again, "filename", "left").select(
         "file_id", "filename", F.when(F.col("again"), 0).otherwise(F.col("chunk_count")).alias("chunk_count"), F.when(F.col("again"), "uploaded").otherwise(F.col("status")).alias("status")
@@ -87,122 +97,220 @@ def default_meta(kb: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 class Catalog:
-    """Versioned tables below a path that driver and executors share."""
+    """Versioned tables below a path that driver and executors share. One writer at a time: of two changes that start from
+    the same pointer the second fails."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-
-    def _fs(self, path: str):
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
-
-    def _version(self, name: str) -> str | None:
-        found = f"{self.path}/{name}/current"
-        fs, p = self._fs(found)
-        return self.spark.read.text(found).first()[0] if fs.exists(p) else None
-
-    def table(self, name: str) -> DataFrame:
-        version = self._version(name)
-        if version is None:
+        self._jvm = spark.sparkContext._jvm
+        self._root = self._jvm.org.apache.hadoop.fs.Path(self.path)
+        self._fs = self._root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    # -- pointers and folders
+
+    def _path(self, name: str):
+        return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+
+    def _pointers(self) -> list[str]:
+        folder = self._path("pointers")
+        return sorted(x.getPath().getName() for x in self._fs.listStatus(folder) if x.getPath().getName().isdigit()) if self._fs.exists(folder) else []
+
+    def _state(self) -> dict:
+        """What the greatest pointer says: the version of the list of collections, of each collection's files, and the
+        next file ids. A new path has none; a path with tables but without a pointer is damaged."""
+        found = self._pointers()
+        if not found:
+            if self._fs.exists(self._path("kb")):
+                raise ValueError(f"{self.path} holds tables but no pointer to their versions")
+            return {"number": 0, "kb": None, "files": {}, "next": {}}
+        return json.loads(self.spark.read.text(f"{self.path}/pointers/{found[-1]}").first()[0])
+
+    def _commit(self, state: dict) -> None:
+        """Makes a state the current one by a rename, the last step of every change; older pointers but the last go."""
+        number = state["number"] + 1
+        draft, target = self._path(f"pointers/draft-{uuid.uuid4().hex}"), self._path(f"pointers/{number:012d}")
+        out = self._fs.create(draft)
+        out.write(bytearray(json.dumps(state | {"number": number}).encode()))
+        out.close()
+        if self._fs.exists(target) or not self._fs.rename(draft, target):
+            raise ValueError("the catalog has been changed meanwhile")
+        for old in self._pointers()[:-2]:
+            self._fs.delete(self._path(f"pointers/{old}"), False)
+
+    def _read(self, name: str, folder: str | None) -> DataFrame:
+        if folder is None:
             return self.spark.createDataFrame([], SCHEMAS[name])
-        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.path}/{name}/{version}")
+        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.path}/{folder}")
 
-    def _write(self, name: str, df: DataFrame) -> None:
-        version = uuid.uuid4().hex
+    def _write(self, name: str, df: DataFrame, folder: str) -> str:
         columns = [F.col(c.split(" ")[0]).cast(c.split(" ", 1)[1]) for c in SCHEMAS[name].split(", ")]
-        df.select(*columns).write.parquet(f"{self.path}/{name}/{version}")
-        target = f"{self.path}/{name}/current"
-        self.spark.createDataFrame([(version,)], "v string").coalesce(1).write.mode("overwrite").text(target)
+        version = f"{folder}/{uuid.uuid4().hex}"
+        df.select(*columns).write.parquet(f"{self.path}/{version}")
+        return version
+
+    def _with_kbs(self, state: dict, kb: DataFrame) -> dict:
+        return state | {"kb": self._write("kb", kb, "kb")}
+
+    def _with_files(self, state: dict, kb_id: int, files: DataFrame) -> dict:
+        return state | {"files": state["files"] | {str(kb_id): self._write("files", files, f"files/{kb_id}")}}
 
     def _rows(self, name: str, rows: list[tuple]) -> DataFrame:
         return self.spark.createDataFrame(rows, SCHEMAS[name])
 
+    def _files(self, state: dict, kb_id: int) -> DataFrame:
+        return self._read("files", state["files"].get(str(kb_id)))
+
     # -- collections
 
     def list_kbs(self) -> DataFrame:
-        return self.table("kb").orderBy(F.desc("created_at_ms"), "kb_id")
+        return self._read("kb", self._state()["kb"]).orderBy(F.desc("created_at_ms"), "kb_id")
 
     def create_kb(self, name: str, description: str | None = None) -> int:
         """Highest id plus one, so the id of a deleted last collection comes again; starts without files."""
-        kb = self.table("kb")
+        state = self._state()
+        kb = self._read("kb", state["kb"])
         kb_id = (kb.agg(F.max("kb_id")).first()[0] or 0) + 1
-        self._write("kb", kb.union(self._rows("kb", [(kb_id, name, description, int(time.time() * 1000))])))
-        for table in ("files", "chunks", "counters"):
-            self._write(table, self.table(table).where(F.col("kb_id") != kb_id))
+        state = self._with_kbs(state, kb.union(self._rows("kb", [(kb_id, name, description, int(time.time() * 1000))])))
+        self._commit(self._without(state, kb_id))
         return kb_id
 
+    @staticmethod
+    def _without(state: dict, kb_id: int) -> dict:
+        return state | {part: {k: v for k, v in state[part].items() if k != str(kb_id)} for part in ("files", "next")}
+
     def update_kb(self, kb_id: int, name: str | None = None, description: str | None = None) -> None:
-        here, kb = F.col("kb_id") == kb_id, self.table("kb")
+        state, here = self._state(), F.col("kb_id") == kb_id
+        kb = self._read("kb", state["kb"])
         for column, value in (("name", name), ("description", description)):
             if value is not None:
                 kb = kb.withColumn(column, F.when(here, F.lit(value)).otherwise(F.col(column)))
-        self._write("kb", kb)
+        self._commit(self._with_kbs(state, kb))
 
     def delete_kb(self, kb_id: int) -> None:
-        for table in SCHEMAS:
-            self._write(table, self.table(table).where(F.col("kb_id") != kb_id))
+        state = self._state()
+        state = self._with_kbs(state, self._read("kb", state["kb"]).where(F.col("kb_id") != kb_id))
+        self._commit(self._without(state, kb_id))
 
     # -- files
 
     def files(self, kb_id: int) -> DataFrame:
-        return self.table("files").where(F.col("kb_id") == kb_id).orderBy("file_id")
+        return self._files(self._state(), kb_id).orderBy("file_id")
 
-    def save_upload(self, kb_id: int, filename: str) -> int:
-        """Registers an uploaded file by its base name; a known name keeps its id. Ids are never used again."""
+    def save_upload(self, kb_id: int, filename: str, content: bytes | None = None) -> int:
+        """Registers an uploaded file by its base name and stores its content; a known name keeps its id and starts over.
+        Ids are never used again."""
         name = filename.replace("\\", "/").rsplit("/", 1)[-1]
         if not name.lower().endswith(ALLOWED):
             raise ValueError("only .pdf and .xlsx files can be uploaded")
-        files, counters = self.table("files"), self.table("counters")
-        mine = (F.col("kb_id") == kb_id) & (F.col("filename") == name)
+        state = self._state()
+        files, mine = self._files(state, kb_id), F.col("filename") == name
+        stored = self._write("uploads", self._rows("uploads", [(bytearray(content),)]), f"uploads/{kb_id}") if content is not None else None
         known = files.where(mine).agg(F.min("file_id")).first()[0]
         if known is not None:
-            fresh = files.withColumns({"chunk_count": F.when(mine, 0).otherwise(F.col("chunk_count")), "status": F.when(mine, "uploaded").otherwise(F.col("status"))})
-            self._write("files", fresh)
+            fresh = {"chunk_count": F.lit(0), "status": F.lit("uploaded"), "chunks_version": F.lit(None).cast("string"), "upload": F.lit(stored).cast("string")}
+            self._commit(self._with_files(state, kb_id, files.withColumns({c: F.when(mine, v).otherwise(F.col(c)) for c, v in fresh.items()})))
             return known
-        file_id = counters.where(F.col("kb_id") == kb_id).agg(F.max("next_file_id")).first()[0] or 1
-        self._write("files", files.union(self._rows("files", [(kb_id, file_id, name, 0, "uploaded", int(time.time() * 1000))])))
-        self._write("counters", counters.where(F.col("kb_id") != kb_id).union(self._rows("counters", [(kb_id, file_id + 1)])))
+        file_id = state["next"].get(str(kb_id), 1)
+        row = self._rows("files", [(kb_id, file_id, name, 0, "uploaded", int(time.time() * 1000), None, stored)])
+        state = self._with_files(state, kb_id, files.union(row))
+        self._commit(state | {"next": state["next"] | {str(kb_id): file_id + 1}})
         return file_id
 
-    def save_chunks(self, kb_id: int, file_id: int, chunks: DataFrame, dim: int | None = None) -> None:
-        """Replaces a file's chunks and vectors in one step and marks it done. chunks: chunk_index, content and
-        optionally metadata and embedding."""
-        from millrace.operators.vectors import checked_dimension
-
+    def upload(self, kb_id: int, filename: str) -> DataFrame:
+        """file_id, filename and content of an upload."""
+        row = self._files(self._state(), kb_id).where(F.col("filename") == filename).first()
+        if row is None or row["upload"] is None:
+            raise FileNotFoundError(f"{filename} has not been uploaded")
+        return self._read("uploads", row["upload"]).select(F.lit(row["file_id"]).cast("long").alias("file_id"), F.lit(filename).alias("filename"), "content")
+
+    def ingest(self, kb_id: int, filename: str, parse=None, embedder=None) -> int:
+        """Chunks and, with an embedder, vectors of an upload, by its extension; returns the number of chunks. `parse` turns
+        the bytes of a .pdf into text."""
+        from millrace.operators import ingest
+
+        upload = self.upload(kb_id, filename)
+        chunks = ingest.ingest_chunks(upload, ["file_id"], parse)
+        if failed := chunks.where("error is not null").first():
+            raise ValueError(failed["error"])
+        return self.save_chunks(kb_id, upload.first()["file_id"], chunks.select("chunk_index", "content", "metadata"), embedder=embedder)
+
+    def save_chunks(self, kb_id: int, file_id: int, chunks: DataFrame, dim: int | None = None, embedder=None) -> int:
+        """Replaces a file's chunks and vectors in one step and marks it done; returns their number. chunks: chunk_index,
+        content and optionally metadata and embedding; an embedder makes the vectors of those that are not blank."""
+        from millrace.operators import vectors
+
+        if embedder is not None:
+            chunks = vectors.embed(chunks, embedder)
         for column, kind in (("metadata", "string"), ("embedding", "array<double>")):
             if column not in chunks.columns:
                 chunks = chunks.withColumn(column, F.lit(None).cast(kind))
         if dim is not None:
-            chunks = checked_dimension(chunks.where("embedding is not null"), dim).unionByName(chunks.where("embedding is null"))
-        mine = (F.col("kb_id") == kb_id) & (F.col("file_id") == file_id)
-        new = chunks.select(F.lit(kb_id).cast("long").alias("kb_id"), F.lit(file_id).cast("long").alias("file_id"), "chunk_index", "content", "metadata", "embedding")
-        self._write("chunks", self.table("chunks").where(~mine).unionByName(new))
-        n = self.chunks(kb_id, file_id).count()
-        files = self.table("files")
-        self._write("files", files.withColumns({"chunk_count": F.when(mine, n).otherwise(F.col("chunk_count")), "status": F.when(mine, "done").otherwise(F.col("status"))}))
+            chunks = vectors.checked_dimension(chunks.where("embedding is not null"), dim).unionByName(chunks.where("embedding is null"))
+        state, version = self._state(), uuid.uuid4().hex
+        where = f"{self.path}/chunks/kb_id={kb_id}/file_id={file_id}/version={version}"
+        chunks.select(F.col("chunk_index").cast("int"), "content", "metadata", F.col("embedding").cast("array<double>")).write.parquet(where)
+        n = self.spark.read.parquet(where).count()
+        now, mine = int(time.time() * 1000), F.col("file_id") == file_id
+        done = {"chunk_count": F.lit(n).cast("int"), "status": F.lit("done"), "chunks_version": F.lit(version), "created_at_ms": F.lit(now)}
+        self._commit(self._with_files(state, kb_id, self._files(state, kb_id).withColumns({c: F.when(mine, v).otherwise(F.col(c)) for c, v in done.items()})))
+        return n
+
+    def add_vectors(self, kb_id: int, file_id: int, rows: DataFrame) -> int:
+        """Appends chunks with vectors to a file; all must have the dimension of the vectors that it has."""
+        from millrace.operators import vectors
+
+        old = self.chunks(kb_id, file_id).select("chunk_index", "content", "metadata", "embedding")
+        if first := old.where("embedding is not null").first():
+            rows = vectors.checked_dimension(rows, len(first["embedding"]))
+        return self.save_chunks(kb_id, file_id, old.unionByName(rows, allowMissingColumns=True))
+
+    def all_chunks(self, kb_ids: list[int]) -> DataFrame:
+        """kb_id, file_id, filename and the chunks of all files of some collections; only their folders are listed."""
+        state = self._state()
+        files = None
+        for kb_id in kb_ids:
+            own = self._files(state, kb_id).select("kb_id", "file_id", "filename", F.col("chunks_version").alias("version"))
+            files = own if files is None else files.union(own)
+        if files is None or not self._fs.exists(self._path("chunks")):
+            return self.spark.createDataFrame([], SCHEMAS["chunks"]).drop("version").withColumn("filename", F.lit(""))
+        stored = self.spark.read.schema(SCHEMAS["chunks"]).parquet(f"{self.path}/chunks").where(F.col("kb_id").isin(list(kb_ids)))
+        return stored.join(files, ["kb_id", "file_id", "version"]).drop("version")
 
     def chunks(self, kb_id: int, file_id: int) -> DataFrame:
-        return self.table("chunks").where((F.col("kb_id") == kb_id) & (F.col("file_id") == file_id)).orderBy("chunk_index")
+        row = self._files(self._state(), kb_id).where(F.col("file_id") == file_id).first()
+        if row is None or row["chunks_version"] is None:
+            return self.spark.createDataFrame([], SCHEMAS["chunks"]).drop("version")
+        folder = f"{self.path}/chunks/kb_id={kb_id}/file_id={file_id}/version={row['chunks_version']}"
+        own = self.spark.read.schema(SCHEMAS["chunks"].split(", kb_id")[0]).parquet(folder)
+        return own.withColumns({"kb_id": F.lit(kb_id).cast("long"), "file_id": F.lit(file_id).cast("long")}).orderBy("chunk_index")
 
     def delete_file(self, kb_id: int, file_id: int) -> bool:
-        mine = (F.col("kb_id") == kb_id) & (F.col("file_id") == file_id)
-        if not self.table("files").where(mine).limit(1).count():
+        state = self._state()
+        files = self._files(state, kb_id)
+        if not files.where(F.col("file_id") == file_id).limit(1).count():
             return False
-        for table in ("chunks", "files"):
-            self._write(table, self.table(table).where(~mine))
+        self._commit(self._with_files(state, kb_id, files.where(F.col("file_id") != file_id)))
         return True
 
     def delete_file_global(self, file_id: int) -> bool:
         """The file of that id in the lowest collection that has one."""
-        kb_id = self.table("files").where(F.col("file_id") == file_id).agg(F.min("kb_id")).first()[0]
-        return kb_id is not None and self.delete_file(kb_id, file_id)
+        return any(self.delete_file(kb_id, file_id) for kb_id in sorted(map(int, self._state()["files"])))
 
     def delete_vectors(self, kb_id: int, **fields) -> int:
-        """Removes the vectors (not the chunks) that match; returns how many."""
+        """Removes the vectors (not the chunks) that match, of files that have any; returns how many."""
         from millrace.operators.vectors import matching
 
-        chunks = self.table("chunks").join(self.table("files").select("kb_id", "file_id", "filename"), ["kb_id", "file_id"], "left")
-        hit = F.coalesce((F.col("kb_id") == kb_id) & F.col("embedding").isNotNull() & matching(**fields), F.lit(False))
-        n = chunks.where(hit).count()
-        self._write("chunks", chunks.withColumn("embedding", F.when(~hit, F.col("embedding"))))
+        state, version = self._state(), uuid.uuid4().hex
+        hit = F.coalesce(F.col("embedding").isNotNull() & matching(**fields), F.lit(False))
+        chunks = self.all_chunks([kb_id]).withColumn("_hit", hit)
+        concerned = chunks.where("_hit").groupBy("file_id").agg(F.count("*").alias("_n"))
+        n = concerned.agg(F.sum("_n")).first()[0] or 0
+        if n:
+            left = chunks.join(concerned, "file_id").withColumn("embedding", F.when(~F.col("_hit"), F.col("embedding"))).withColumn("version", F.lit(version))
+            left.select(*[c.split(" ")[0] for c in SCHEMAS["chunks"].split(", ")]).write.mode("append").partitionBy("kb_id", "file_id", "version").parquet(f"{self.path}/chunks")
+            files = self._files(state, kb_id).join(concerned, "file_id", "left")
+            self._commit(self._with_files(state, kb_id, files.withColumn("chunks_version", F.when(F.col("_n").isNotNull(), version).otherwise(F.col("chunks_version")))))
         return n
+
+    def clear_vectors(self, kb_id: int) -> int:
+        return self.delete_vectors(kb_id)

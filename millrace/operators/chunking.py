@@ -154,6 +154,19 @@ def allowed_heading(line: Column, at: Column, allowed: list[tuple[str, str]]) ->
     return once(T.sub(T.sub(F.coalesce(line, F.lit("")), rf"^{WS}*#{{1,6}}{WS}*"), r"[*_]+"), match)
 
 
+def distinct_headings(found: Column) -> Column:
+    """Array of (number, title) without blank titles and without what repeats the number and the normalised title of an
+    earlier one."""
+    clean = F.filter(F.transform(found, lambda h: F.struct(T.strip(F.coalesce(h["number"], F.lit(""))).alias("number"), T.strip(F.coalesce(h["title"], F.lit(""))).alias("title"))), lambda h: h["title"] != "")
+    key = lambda h: F.concat_ws("\0", h["number"], T.normalize_title(h["title"]))
+    return once(clean, lambda hs: once(F.transform(hs, key), lambda keys: F.filter(hs, lambda h, i: F.array_position(keys, key(h)) == i + 1)))
+
+
+def model_headings(answer: Column) -> Column:
+    """Headings of a table of contents from a model's answer, as distinct_headings gives them; none if it can't be read."""
+    return distinct_headings(F.coalesce(F.from_json(T.json_array_text(F.coalesce(answer, F.lit(""))), "array<struct<number:string,title:string>>"), F.array().cast("array<struct<number:string,title:string>>")))
+
+
 def heading_chunks(lines: Column, heads: Column, keep_preamble: bool = False) -> Column:
     """Array of (number, title, path, content): each heading's lines up to the next; without headings the whole text.
     What stands before the first heading is left out unless keep_preamble."""

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 2048
+#: Queries up to which their blocks are broadcast to the tasks that hold vectors.
+QUERY_ROWS = 100_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -80,7 +82,8 @@ def nearest_each(queries: DataFrame, vectors: DataFrame, k: int = 5, key: str =
                 keep = np.isfinite(found)
                 yield pd.DataFrame({"query_id": np.repeat(qk, keep.sum(1)), key: vk[order][keep], "score": found[keep] + 0.0})
 
-    pairs = v.crossJoin(q)  # blocks, not rows: each pair is one matrix product
+    # a stated query set against all rows, in blocks: each pair is one matrix product
+    pairs = v.crossJoin(F.broadcast(q) if queries.count() <= QUERY_ROWS else q)
     made = pairs.select("keys", "groups", "m", "q_keys", "q_groups", "q_m").mapInPandas(compare, f"query_id long, {key} long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))
     return made.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", key, "score")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.operators import catalog as C
+from millrace.operators.vectors import HashEmbedder
 from millrace.plans.chunk_queries import CHUNKS_SQL, chunks
 from millrace.sources import tables as S
 
@@ -44,15 +45,15 @@ def chunk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunk_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    short = F.replace(F.substring("content", 1, 30), F.lit("\n"), F.lit(" "))
-    return chunks(spark, sf_dir).select("file_id", "chunk_index", F.concat(short, F.lit("...")).alias("shown"))
+    return chunks(spark, sf_dir).select("file_id", "chunk_index", T.listed(F.col("content")).alias("shown"), T.utf16_length(F.col("content")).alias("n_utf16"))
 
 
 def read_chunks_semijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First chunk of every labelled document, asked for twice, and of ids that have no file."""
-    specs = S.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("file_id"), F.lit(0).alias("chunk_index"))
-    files = _files(spark, sf_dir).where("file_id % 2 = 0")
-    return C.read_chunks(chunks(spark, sf_dir), specs.union(specs), files).select("file_id", "chunk_index", "filename", "content")
+    """All chunks of every labelled document, asked for twice; the files of toxic documents are gone."""
+    labels, every = S.table(spark, sf_dir, "labels"), chunks(spark, sf_dir)
+    specs = every.select("file_id", "chunk_index").join(labels.select(F.col("doc_id").alias("file_id")), "file_id", "left_semi")
+    files = C.without_files(_files(spark, sf_dir), labels.where("toxic = 1").select(F.col("doc_id").alias("file_id")))
+    return C.read_chunks(every, specs.union(specs), files).select("file_id", "chunk_index", "filename", "content")
 
 
 def upload_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,8 +93,18 @@ def catalog_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.chunks(kb, file_id).join(F.broadcast(files.limit(1)), "file_id").select("chunk_index", F.length("content").alias("n"), "chunk_count", "status")
 
 
+def catalog_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A workbook of all regions uploaded, ingested by its extension with vectors, and read back from the collection."""
+    catalog = C.Catalog(spark, S.shared_path(spark, "catalog"))
+    kb = catalog.create_kb("regions")
+    rows = [[str(r.r_regionkey), r.r_name] for r in S.table(spark, sf_dir, "region").orderBy("r_regionkey").collect()]  # a constant of the schema: five regions
+    catalog.save_upload(kb, "in/regions.xlsx", S.workbook_bytes([("regions", [["key", "name"], *rows])]))
+    catalog.ingest(kb, "regions.xlsx", embedder=HashEmbedder(16))
+    return catalog.all_chunks([kb]).select("filename", "chunk_index", "content", F.size("embedding").alias("dim"))
+
+
 QUERIES = {f.__name__: f for f in (
-    files_page, files_pages, files_meta, files_mime, file_name_search, chunk_search, chunk_listing, read_chunks_semijoin, upload_upsert, delete_cascade, next_id, kb_listing, catalog_roundtrip,
+    files_page, files_pages, files_meta, files_mime, file_name_search, chunk_search, chunk_listing, read_chunks_semijoin, upload_upsert, delete_cascade, next_id, kb_listing, catalog_roundtrip, catalog_ingest,
 )}
 ORACLES = {
     "files_page": f"WITH {FILES_SQL} SELECT file_id, filename, chunk_count FROM files ORDER BY file_id LIMIT 10 OFFSET 20",
@@ -103,14 +114,17 @@ ORACLES = {
         THEN 'application/vnd.openxmlformats-officedocument.spreadsheetml.sheet' ELSE 'application/octet-stream' END AS mime FROM files""",
     "file_name_search": f"WITH {FILES_SQL} SELECT file_id, filename FROM files WHERE contains(filename, 'doc-1')",
     "chunk_search": f"WITH {CHUNKS_SQL} SELECT file_id, chunk_index FROM chunks WHERE contains(content, '12') OR contains(chunk_index::VARCHAR, '12')",
-    "chunk_listing": f"WITH {CHUNKS_SQL} SELECT file_id, chunk_index, replace(substr(content, 1, 30), chr(10), ' ') || '...' AS shown FROM chunks",
+    "chunk_listing": f"""WITH {CHUNKS_SQL} SELECT file_id, chunk_index, regexp_replace(substr(content, 1, 30), '[\\r\\n]+', ' ', 'g') || '...' AS shown,
+        (length(content) + len(list_filter(string_split(content, ''), lambda c: ord(c) > 65535)))::INT AS n_utf16 FROM chunks""",
     "read_chunks_semijoin": f"""WITH {CHUNKS_SQL}, {FILES_SQL} SELECT c.file_id, chunk_index, coalesce(filename, 'unknown') AS filename, content FROM chunks c
-        LEFT JOIN files f ON c.file_id = f.file_id AND f.file_id % 2 = 0 WHERE chunk_index = 0 AND c.file_id IN (SELECT doc_id FROM labels)""",
+        LEFT JOIN files f ON c.file_id = f.file_id AND f.file_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) WHERE c.file_id IN (SELECT doc_id FROM labels)""",
     "upload_upsert": f"""WITH {FILES_SQL}, u AS (SELECT DISTINCT concat('doc-', item_id, CASE item_id % 2 WHEN 0 THEN '.pdf' ELSE '.new' END) AS filename FROM benchmark)
         SELECT file_id, filename, CASE WHEN u.filename IS NULL THEN chunk_count ELSE 0 END AS chunk_count, CASE WHEN u.filename IS NULL THEN status ELSE 'uploaded' END AS status FROM files LEFT JOIN u USING (filename)
         UNION ALL SELECT (SELECT max(file_id) FROM files) + row_number() OVER (ORDER BY filename), filename, 0, 'uploaded' FROM u ANTI JOIN files USING (filename)""",
     "delete_cascade": f"WITH {CHUNKS_SQL} SELECT file_id, count(*) AS n FROM chunks WHERE file_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) GROUP BY file_id",
     "next_id": f"WITH {FILES_SQL} SELECT source, max(file_id) + 1 AS next_file_id, count(*) AS n FROM files GROUP BY source",
     "kb_listing": "SELECT 'kb-' || n_nationkey AS id, coalesce(r_name, 'Knowledge Base ' || n_nationkey) AS name, n_nationkey::BIGINT AS kb_id FROM nation LEFT JOIN region ON n_nationkey = r_regionkey",
+    "catalog_ingest": """SELECT 'regions.xlsx' AS filename, 0 AS chunk_index, '[Table] regions' || chr(10) || '[Sheet] regions' || chr(10) || '| key | name |' || chr(10) || '| --- | --- |' || chr(10)
+        || string_agg('| ' || r_regionkey || ' | ' || r_name || ' |', chr(10) ORDER BY r_regionkey) AS content, 16 AS dim FROM region""",
     "catalog_roundtrip": "SELECT doc_id::INT AS chunk_index, length(text)::INT AS n, (SELECT count(*) FROM documents)::INT AS chunk_count, 'done' AS status FROM documents",
 }

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.operators import chunking as C
+from millrace.operators import ingest as I
 from millrace.sources import tables as S
 
 STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
@@ -41,8 +43,9 @@ def cell_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def normalize_title(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = F.get(F.split("text", "\n"), 0)
-    return S.table(spark, sf_dir, "documents").select("doc_id", T.normalize_title(first).alias("title"))
+    """Every line of every text as a title."""
+    lines = S.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    return lines.select("doc_id", "n", T.normalize_title(F.col("line")).alias("title"))
 
 
 def _toc_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,6 +95,17 @@ def heading_chunks_numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("conv_id", "chunk_index", "number", "title", F.array_join(F.transform("path", lambda p: p["number"]), "/").alias("path"), "content")
 
 
+def heading_chunks_appendix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations below an appendix line: inside it a turn's number must follow the last one plausibly, so numbers
+    that skip open no chunk."""
+    turns = S.table(spark, sf_dir, "conversations")
+    number = F.when(F.col("turn") % 3 == 2, F.col("turn") + 5).otherwise(F.col("turn") + 1).cast("string")
+    part = F.concat(number, F.lit(" "), F.col("role"), F.lit("\n> "), F.replace("text", F.lit("\n"), F.lit("\n> ")))
+    made = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", part.alias("t")))).alias("p"))
+    texts = made.select("conv_id", F.concat(F.lit("Appendix B - Talks\n"), F.array_join(F.transform("p", lambda x: x["t"]), "\n")).alias("text"))
+    return C.split_headings(texts, ["conv_id"]).select("conv_id", "chunk_index", "number", "title", F.length("content").alias("n"))
+
+
 def heading_chunks_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = C.split_headings(S.table(spark, sf_dir, "documents"), ["doc_id"])
     return made.select("doc_id", "chunk_index", "number", "title", F.length("content").alias("n"))
@@ -129,6 +143,24 @@ def table_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _brand_sheets(spark, sf_dir).select("p_brand", F.array_join("lines", "\n").alias("table_text"), F.size("lines").alias("n_lines"))
 
 
+def workbook_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts of every brand as a workbook file, one sheet a size class, and one workbook without rows, read and split
+    into table parts again."""
+    parts = S.table(spark, sf_dir, "part").withColumn("sheet", F.when(F.col("p_size") < 25, "small").otherwise("large"))
+    row = F.struct("p_partkey", F.array(F.col("p_partkey").cast("string"), F.col("p_name"), F.col("p_size").cast("string")).alias("cells"))
+    sheets = parts.groupBy("p_brand", "sheet").agg(F.transform(F.sort_array(F.collect_list(row)), lambda r: r["cells"]).alias("body"))
+    books = sheets.groupBy("p_brand").agg(F.sort_array(F.collect_list(F.struct("sheet", "body"))).alias("sheets"))
+
+    @F.pandas_udf("binary")
+    def written(books: pd.Series) -> pd.Series:
+        return books.map(lambda sheets: S.workbook_bytes([(s["sheet"], [["key", "name", "size"], *s["body"]]) for s in sheets]))
+
+    content = books.select("p_brand", F.concat("p_brand", F.lit(".xlsx")).alias("filename"), written("sheets").alias("content"))
+    empty = spark.range(1).select(F.lit("none").alias("p_brand"), F.lit("none.xlsx").alias("filename"), F.lit(S.workbook_bytes([("blank", [[" ", ""]])])).alias("content"))
+    made = I.ingest_chunks(content.unionByName(empty), ["p_brand"])
+    return made.select("p_brand", "chunk_index", "content", F.get_json_object("metadata", "$.sheet_name").alias("sheet"))
+
+
 def _table_chunks(spark: SparkSession, sf_dir: str, max_rows: int, max_chars: int) -> DataFrame:
     made = C.split_tables(_brand_sheets(spark, sf_dir), ["p_brand"], F.lit("part"), max_rows, max_chars)
     return made.select("p_brand", "sheet", "part_index", "part_count", F.array_join("header", ",").alias("header"), "content")
@@ -151,8 +183,8 @@ def workbook_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    fixed_window_chunks, chunk_preview, html_to_text, cell_normalize, normalize_title, is_toc_line, toc_bounds, toc_chunks, heading_chunks_numbered,
-    heading_chunks_documents, allowed_heading_scan, strategy_dispatch, table_render, table_chunks_rowcap, table_chunks_charcap, workbook_sheets,
+    fixed_window_chunks, chunk_preview, html_to_text, cell_normalize, normalize_title, is_toc_line, toc_bounds, toc_chunks, heading_chunks_numbered, heading_chunks_appendix,
+    heading_chunks_documents, allowed_heading_scan, strategy_dispatch, table_render, table_chunks_rowcap, table_chunks_charcap, workbook_sheets, workbook_chunks,
 )}
 _HTML = "html"
 for _p in ("(?is)<script.*?>.*?</script>", "(?is)<style.*?>.*?</style>", "(?is)<!--.*?-->"):
@@ -160,12 +192,36 @@ for _p in ("(?is)<script.*?>.*?</script>", "(?is)<style.*?>.*?</style>", "(?is)<
 _HTML = f"regexp_replace({_HTML}, '(?s)<[^>]+>', ' ', 'g')"
 for _name, _char in T.ENTITIES.items():
     _HTML = f"replace({_HTML}, '&{_name};', '{_char.replace(chr(39), chr(39) * 2)}')"
+# Lines of documents as heading candidates, and the recursion that keeps those which an open appendix lets pass. No
+# document of the tables has a table of contents.
+_HEADS = r"""
+hl AS MATERIALIZED (SELECT doc_id, i - 1 AS "at", line, regexp_replace(regexp_replace(regexp_replace(line, '^\s*#{1,6}\s*', ''), '^\s*(\*\*|\*|_)\s*', ''), '\s*(\*\*|\*|_)\s*$', '') AS s
+  FROM (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM (SELECT doc_id, CASE WHEN ls[-1] = '' THEN ls[:-2] ELSE ls END AS ls
+    FROM (SELECT doc_id, regexp_split_to_array(coalesce(text, ''), '\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]') AS ls FROM documents)))),
+hc AS (SELECT doc_id, "at", line, CASE WHEN regexp_matches(s, '(?i)^\s*appendix\s+(\d+|[a-z])(?:\.|-|\s)+(.+?)\s*$') THEN 'p' WHEN regexp_matches(s, '^\s*([A-Za-z])(?:\.|-|\s)+(.+?)\s*$') THEN 'l'
+    WHEN regexp_matches(s, '^\s*(\d+(?:\.\d+)*)(?:\s+|\s*[-–]\s*)(.+?)\s*$') AND NOT (regexp_matches(s, '\b\d{1,5}\s*$') AND regexp_matches(s, '[.·-]{3,}')) THEN 'n' END AS kind, s FROM hl),
+hd AS (SELECT doc_id, "at", kind, CASE kind WHEN 'p' THEN 'Appendix ' || upper(regexp_extract(s, '(?i)^\s*appendix\s+(\d+|[a-z])', 1)) WHEN 'l' THEN upper(regexp_extract(s, '^\s*([A-Za-z])', 1))
+    ELSE regexp_extract(s, '^\s*(\d+(?:\.\d+)*)', 1) END AS number, CASE kind WHEN 'p' THEN regexp_extract(s, '(?i)^\s*appendix\s+(\d+|[a-z])(?:\.|-|\s)+(.+?)\s*$', 2)
+    WHEN 'l' THEN regexp_extract(s, '^\s*([A-Za-z])(?:\.|-|\s)+(.+?)\s*$', 2) ELSE regexp_extract(s, '^\s*(\d+(?:\.\d+)*)(?:\s+|\s*[-–]\s*)(.+?)\s*$', 2) END AS title FROM hc WHERE kind IS NOT NULL),
+hk AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY "at") AS k, CASE WHEN kind = 'n' THEN string_split(number, '.')::BIGINT[] END AS cur,
+    len(regexp_extract_all(title, '\b\d+(?:[,\-]\d+)*\b')) >= 2 OR regexp_matches(title, '\b\d{1,4}(?:-\d{1,4}){2,}\b') AS cells FROM hd
+    WHERE lower(trim(title)) NOT IN ('contents', 'table of contents', '目录')),
+hf(doc_id, k, appendix, last, kept) AS (SELECT DISTINCT doc_id, 0::BIGINT, NULL::VARCHAR, NULL::BIGINT[], false FROM hk
+  UNION ALL SELECT h.doc_id, h.k, CASE WHEN kind <> 'n' THEN h.number ELSE appendix END,
+    CASE WHEN kind <> 'n' THEN NULL WHEN appendix IS NOT NULL AND ok THEN cur ELSE last END, kind <> 'n' OR appendix IS NULL OR ok
+  FROM (SELECT h.*, f.appendix, f.last, NOT cells AND CASE WHEN f.last IS NULL THEN cur[1] = 1 WHEN len(cur) <= len(f.last) THEN cur[:len(cur) - 1] = f.last[:len(cur) - 1] AND cur[-1] = f.last[len(cur)] + 1
+      ELSE len(cur) = len(f.last) + 1 AND cur[:len(f.last)] = f.last AND cur[-1] = 1 END AS ok FROM hf f JOIN hk h ON h.doc_id = f.doc_id AND h.k = f.k + 1) h),
+ha AS (SELECT h.doc_id, h."at", h.title, CASE WHEN h.kind = 'n' AND f.appendix IS NOT NULL THEN f.appendix || '.' || h.number ELSE h.number END AS number FROM hk h JOIN hf f ON f.doc_id = h.doc_id AND f.k = h.k WHERE f.kept),
+hp AS (SELECT l.doc_id, l."at", l.line, a.number, a.title, count(a.number) OVER (PARTITION BY l.doc_id ORDER BY l."at") AS part, count(a.number) OVER (PARTITION BY l.doc_id) AS heads
+  FROM hl l LEFT JOIN ha a ON a.doc_id = l.doc_id AND a."at" = l."at"),
+hg AS (SELECT doc_id, part, any_value(heads) AS heads, max(number) AS number, max(title) AS title, string_agg(line, chr(10) ORDER BY "at") AS content FROM hp WHERE part > 0 OR heads = 0 GROUP BY doc_id, part)"""
 ORACLES = {
     "fixed_window_chunks": f"WITH {CHUNKS_SQL} SELECT file_id, chunk_index, content FROM chunks",
     "chunk_preview": f"WITH {CHUNKS_SQL} SELECT file_id, chunk_index, CASE WHEN length(content) > 200 THEN substr(content, 1, 200) || '...' ELSE content END AS preview, length(content)::INT AS n FROM chunks",
     "html_to_text": f"SELECT page_id, {STRIP.format('regexp_replace(' + _HTML + chr(44) + chr(39) + chr(92) + 's+' + chr(39) + chr(44) + chr(39) + ' ' + chr(39) + chr(44) + chr(39) + 'g' + chr(39) + ')')} AS text FROM pages",
     "cell_normalize": f"SELECT doc_id, {COLLAPSE.format(chr(99) + 'oalesce(text, ' + chr(39) * 2 + ')')} AS cell FROM documents",
-    "normalize_title": r"SELECT doc_id, regexp_replace(regexp_replace(lower(regexp_replace(string_split(text, chr(10))[1], '^\s+|\s+$', '', 'g')), '\s+', ' ', 'g'), '[.:;、，]+$', '') AS title FROM documents",
+    "normalize_title": r"""SELECT doc_id, (i - 1)::INT AS n, regexp_replace(regexp_replace(lower(regexp_replace(line, '^\s+|\s+$', '', 'g')), '\s+', ' ', 'g'), '[.:;、，]+$', '') AS title
+        FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)""",
     "is_toc_line": f"WITH {TOC_SQL} SELECT conv_id, n::INT AS n, {IS_TOC.format('line')} AS entry FROM toc_lines",
     # the entries follow the title without a gap, and the bodies begin with a numbered line without page
     "toc_bounds": f"""WITH {TOC_SQL},
@@ -188,5 +244,45 @@ ORACLES = {
     "table_chunks_rowcap": f"""WITH {SHEET_SQL} SELECT p_brand, p_brand AS sheet, (i // 7 + 1)::INT AS part_index, (max(i // 7) OVER (PARTITION BY p_brand) + 1)::INT AS part_count, 'key,name,type,size' AS header,
         '[Table] part' || chr(10) || '[Sheet] ' || p_brand || chr(10) || '| key | name | type | size |' || chr(10) || '| --- | --- | --- | --- |' || chr(10) || lines AS content
         FROM (SELECT p_brand, i // 7 * 7 AS i, string_agg(line, chr(10) ORDER BY i) AS lines FROM rows GROUP BY p_brand, i // 7)""",
+    # the turns' numbers are 1, 2, 7, 4, ...: after 2 nothing follows plausibly
+    "heading_chunks_appendix": """WITH l AS (SELECT conv_id, turn, (CASE WHEN turn % 3 = 2 THEN turn + 5 ELSE turn + 1 END) || ' ' || role || chr(10) || '> ' || replace(text, chr(10), chr(10) || '> ') AS part, role FROM conversations),
+        c AS (SELECT conv_id, -1 AS turn, 'Appendix B - Talks' AS part, NULL AS role FROM (SELECT DISTINCT conv_id FROM l) UNION ALL SELECT * FROM l),
+        g AS (SELECT conv_id, least(turn, 1) + 1 AS chunk_index, string_agg(part, chr(10) ORDER BY turn) AS content, min(role) FILTER (turn < 2) AS role FROM c GROUP BY ALL)
+        SELECT conv_id, chunk_index::INT AS chunk_index, CASE chunk_index WHEN 0 THEN 'Appendix B' ELSE 'Appendix B.' || chunk_index END AS number,
+          CASE chunk_index WHEN 0 THEN 'Talks' ELSE role END AS title, length(regexp_replace(content, '\\s+$', ''))::INT AS n FROM g""",
+    "toc_chunks": f"""WITH {TOC_SQL},
+        k AS (SELECT conv_id, n, CASE WHEN {IS_TOC.format('line')} THEN 'T' WHEN trim(line) = '' THEN 'N' ELSE 'O' END AS c FROM toc_lines WHERE n > 0),
+        r AS (SELECT *, count(*) FILTER (c = 'T') OVER w AS cnt, coalesce(max(n) FILTER (c = 'T') OVER w, 0) AS last FROM k WINDOW w AS (PARTITION BY conv_id ORDER BY n)),
+        b AS (SELECT conv_id, min(n) FILTER ((c = 'O' AND (cnt < 3 OR n - last > 20)) OR (c = 'N' AND cnt >= 3 AND n - last > 80)) AS stop FROM r GROUP BY conv_id),
+        e AS (SELECT conv_id, coalesce(max(n) FILTER (c = 'T' AND (stop IS NULL OR n < stop)), 0) + 1 AS stop FROM r JOIN b USING (conv_id) GROUP BY conv_id),
+        f AS (SELECT conv_id, CASE WHEN stop >= 3 THEN stop ELSE 0 END AS stop FROM e),
+        h AS (SELECT conv_id, n, line, stop, n >= stop AND regexp_full_match(line, '\\d+ (user|assistant|system)') AS head FROM toc_lines JOIN f USING (conv_id)),
+        g AS (SELECT *, count(*) FILTER (head) OVER (PARTITION BY conv_id ORDER BY n) AS part FROM h),
+        m AS (SELECT conv_id, part, any_value(stop) AS stop, min(line) FILTER (head) AS head, string_agg(line, chr(10) ORDER BY n) AS content FROM g WHERE part > 0 GROUP BY ALL),
+        t AS (SELECT conv_id, string_agg(replace(line, '.....', ''), chr(10) ORDER BY n) AS content FROM h WHERE n < stop AND (n = 0 OR {IS_TOC.format('line')}) GROUP BY conv_id)
+        SELECT conv_id, 0 AS chunk_index, 'toc' AS type, '' AS number, 'Contents' AS title, content FROM t
+        UNION ALL SELECT conv_id, (part - CASE WHEN stop > 0 THEN 0 ELSE 1 END)::INT, NULL, string_split(head, ' ')[1], string_split(head, ' ')[2], {STRIP.format('content')} FROM m""",
+    "heading_chunks_documents": f"""WITH RECURSIVE {_HEADS}
+        SELECT doc_id, greatest(part - 1, 0)::INT AS chunk_index, coalesce(number, '') AS number, coalesce(title, '') AS title, length({STRIP.format('content')})::INT AS n FROM hg
+        UNION ALL SELECT doc_id, 0, '', '', 0 FROM documents WHERE coalesce(text, '') = ''""",
+    "strategy_dispatch": f"""WITH RECURSIVE {_HEADS}, {CHUNKS_SQL},
+        every AS (SELECT doc_id, 'heading' AS type, length({STRIP.format('content')}) AS n FROM hg WHERE heads > 0
+          UNION ALL SELECT file_id, 'fixed', length(content) FROM chunks WHERE file_id NOT IN (SELECT doc_id FROM hg WHERE heads > 0))
+        SELECT doc_id, min(type) AS type, count(*) AS n, sum(n)::BIGINT AS chars FROM every GROUP BY doc_id""",
+    "table_chunks_charcap": f"""WITH RECURSIVE {SHEET_SQL},
+        fold AS (SELECT p_brand, i, line, 1 AS part, 1 AS n, 53 + 1 + length(line) AS chars FROM rows WHERE i = 0
+          UNION ALL SELECT r.p_brand, r.i, r.line, part + CASE WHEN n = 80 OR (n + 1 < 80 AND chars + 1 + length(r.line) >= 1000) THEN 1 ELSE 0 END,
+            CASE WHEN n = 80 OR (n + 1 < 80 AND chars + 1 + length(r.line) >= 1000) THEN 1 ELSE n + 1 END,
+            CASE WHEN n = 80 OR (n + 1 < 80 AND chars + 1 + length(r.line) >= 1000) THEN 53 ELSE chars END + 1 + length(r.line)
+          FROM fold f JOIN rows r ON r.p_brand = f.p_brand AND r.i = f.i + 1)
+        SELECT p_brand, p_brand AS sheet, part::INT AS part_index, (max(part) OVER (PARTITION BY p_brand))::INT AS part_count, 'key,name,type,size' AS header,
+        '[Table] part' || chr(10) || '[Sheet] ' || p_brand || chr(10) || '| key | name | type | size |' || chr(10) || '| --- | --- | --- | --- |' || chr(10) || lines AS content
+        FROM (SELECT p_brand, part, string_agg(line, chr(10) ORDER BY i) AS lines FROM fold GROUP BY p_brand, part)""",
+    "workbook_chunks": """WITH r AS (SELECT p_brand, CASE WHEN p_size < 25 THEN 'small' ELSE 'large' END AS sheet, p_partkey, '| ' || p_partkey || ' | ' || p_name || ' | ' || p_size || ' |' AS line FROM part),
+        n AS (SELECT *, (row_number() OVER (PARTITION BY p_brand, sheet ORDER BY p_partkey) - 1) // 80 AS k FROM r),
+        p AS (SELECT p_brand, sheet, k, string_agg(line, chr(10) ORDER BY p_partkey) AS lines FROM n GROUP BY ALL)
+        SELECT p_brand, (row_number() OVER (PARTITION BY p_brand ORDER BY sheet, k) - 1)::INT AS chunk_index, '[Table] ' || p_brand || chr(10) || '[Sheet] ' || sheet || chr(10)
+          || '| key | name | size |' || chr(10) || '| --- | --- | --- |' || chr(10) || lines AS content, sheet FROM p
+        UNION ALL SELECT 'none', 0, '[Table] none' || chr(10) || '[ExcelEmpty] 未读取到任何非空表格数据', ''""",
     "workbook_sheets": "SELECT p_brand AS sheet, (count(*) + 2)::INT AS n_lines FROM part GROUP BY p_brand",
 }

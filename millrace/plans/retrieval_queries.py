@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,11 @@ VECTOR = [((i % 7) - 3) / 10 for i in range(64)]
 EMBEDDER = V.HashEmbedder(64)
 
 
+def vowels(texts: list[str]) -> np.ndarray:
+    """An embedder that SQL can state as well: how often each vowel stands in a text."""
+    return np.array([[t.count(c) for c in "aeiou"] for t in texts], float)
+
+
 def keyword_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.table(spark, sf_dir, "benchmark").select("item_id", F.array_join(K.query_terms(F.col("text")), " ").alias("terms"))
 
@@ -47,9 +53,10 @@ def knn_by_label_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _embedded_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First chunks of documents with the vector of the same number, chunks without one having none."""
-    vectors = S.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("file_id"), F.lit(0).alias("chunk_index"), "embedding")
-    return chunks(spark, sf_dir).join(vectors, ["file_id", "chunk_index"], "left")
+    """Every chunk with one of the table's vectors, dealt by its numbers."""
+    vectors = S.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    dealt = (F.col("file_id") * 7 + F.col("chunk_index")) % F.lit(vectors.count())
+    return chunks(spark, sf_dir).withColumn("vec_id", dealt).join(vectors, "vec_id", "left").drop("vec_id")
 
 
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,13 +95,20 @@ def multi_kb_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.search_each(docs, QUERY, "source", 5).select("source", "rank", "file_id", "score")
 
 
+def multi_kb_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hybrid search in the collection of every source, over all chunks."""
+    sources = S.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), F.coalesce("source", F.lit("")).alias("kb"))
+    found = R.hybrid_each(_embedded_chunks(spark, sf_dir).join(sources, "file_id"), QUERY, VECTOR, "kb")
+    return found.select("kb", "position", "source", "file_id", "chunk_index", "score")
+
+
 def chunk_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors of all chunks by the model-free embedder, with their checked dimension and norm."""
-    made = V.checked_dimension(V.embed(chunks(spark, sf_dir), V.HashEmbedder(32)), 32)
-    return made.select("file_id", "chunk_index", F.size("embedding").alias("dim"), F.round(V.norm(F.col("embedding")), 6).alias("norm"))
+    """Vectors of all chunks by an embedder that counts vowels, with their checked dimension."""
+    made = V.checked_dimension(V.embed(chunks(spark, sf_dir), vowels), 5)
+    return made.select("file_id", "chunk_index", F.size("embedding").alias("dim"), *[F.round(F.get("embedding", i), 6).alias(f"v{i}") for i in range(5)])
 
 
-QUERIES = {f.__name__: f for f in (keyword_tokens, keyword_score, keyword_topk, knn_single, knn_batch, knn_by_label_filter, hybrid_search, rerank_function, hybrid_search_embedded, rerank_function_embedded, multi_kb_search, chunk_embeddings)}
+QUERIES = {f.__name__: f for f in (keyword_tokens, keyword_score, keyword_topk, knn_single, knn_batch, knn_by_label_filter, hybrid_search, rerank_function, hybrid_search_embedded, rerank_function_embedded, multi_kb_search, multi_kb_hybrid, chunk_embeddings)}
 
 
 def _score(text: str) -> str:
@@ -107,7 +121,7 @@ _KNN = """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddi
  p AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(q.v, e.v), 6) AS score FROM e q JOIN e ON q.vec_id <> e.vec_id {on} WHERE q.vec_id % 50 = 0)
  SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p) WHERE rank <= {k}"""
 _HYBRID = f"""WITH {CHUNKS_SQL},
- sem AS (SELECT file_id, chunk_index, content, round(list_cosine_similarity(embedding::DOUBLE[], {_V}), 6) AS score FROM chunks JOIN embeddings ON file_id = vec_id AND chunk_index = 0),
+ sem AS (SELECT file_id, chunk_index, content, round(list_cosine_similarity(embedding::DOUBLE[], {_V}), 6) AS score FROM chunks JOIN embeddings ON vec_id = (file_id * 7 + chunk_index) % (SELECT count(*) FROM embeddings)),
  s AS (SELECT *, row_number() OVER (ORDER BY score DESC, file_id, chunk_index) AS rank FROM sem QUALIFY rank <= 5),
  w AS (SELECT file_id, chunk_index, content, ({_score('content')})::DOUBLE AS score FROM chunks ANTI JOIN s USING (file_id, chunk_index)),
  k AS (SELECT *, row_number() OVER (ORDER BY score DESC, length(content), file_id DESC, chunk_index DESC) AS rank FROM w WHERE score > 0 QUALIFY rank <= 5),
@@ -127,5 +141,15 @@ ORACLES = {
     "rerank_function": f"""{_HYBRID} SELECT row_number() OVER (ORDER BY length(content), sr, rank)::INT AS position, source, file_id, chunk_index, -length(content)::DOUBLE AS rerank_score FROM u QUALIFY position <= 8""",
     "multi_kb_search": f"""WITH x AS (SELECT source, doc_id AS file_id, text, ({_score('text')})::DOUBLE AS score FROM documents)
         SELECT source, row_number() OVER (PARTITION BY source ORDER BY score DESC, length(text), file_id DESC)::INT AS rank, file_id, score FROM x WHERE score > 0 QUALIFY rank <= 5""",
-    "chunk_embeddings": f"WITH {CHUNKS_SQL} SELECT file_id, chunk_index, 32 AS dim, 1.0::DOUBLE AS norm FROM chunks",
+    "multi_kb_hybrid": f"""WITH {CHUNKS_SQL}, e AS (SELECT c.*, coalesce(source, '') AS kb, embedding FROM chunks c JOIN documents ON file_id = doc_id
+          JOIN embeddings ON vec_id = (file_id * 7 + chunk_index) % (SELECT count(*) FROM embeddings)),
+        s AS (SELECT kb, file_id, chunk_index, round(list_cosine_similarity(embedding::DOUBLE[], {_V}), 6) AS score FROM e),
+        t AS (SELECT *, row_number() OVER (PARTITION BY kb ORDER BY score DESC, file_id, chunk_index) AS rank FROM s QUALIFY rank <= 5),
+        w AS (SELECT kb, file_id, chunk_index, content, ({_score('content')})::DOUBLE AS score FROM e ANTI JOIN t USING (kb, file_id, chunk_index)),
+        k AS (SELECT *, row_number() OVER (PARTITION BY kb ORDER BY score DESC, length(content), file_id DESC, chunk_index DESC) AS rank FROM w WHERE score > 0 QUALIFY rank <= 5),
+        u AS (SELECT 'semantic' AS source, 0 AS sr, kb, file_id, chunk_index, score, rank FROM t UNION ALL SELECT 'keyword', 1, kb, file_id, chunk_index, score, rank FROM k)
+        SELECT kb, row_number() OVER (PARTITION BY kb ORDER BY sr, rank)::INT AS position, source, file_id, chunk_index, score FROM u QUALIFY position <= 8""",
+    "chunk_embeddings": f"""WITH {CHUNKS_SQL}, n AS (SELECT *, [length(content) - length(replace(content, c, '')) for c in ['a', 'e', 'i', 'o', 'u']]::DOUBLE[] AS v FROM chunks),
+        l AS (SELECT *, sqrt(list_sum([x * x for x in v])) AS size FROM n)
+        SELECT file_id, chunk_index, 5 AS dim, {', '.join(f'round(v[{i + 1}] / CASE WHEN size > 0 THEN size ELSE 1 END, 6) AS v{i}' for i in range(5))} FROM l""",
 }

@@ -9,6 +9,7 @@ import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
+from xml.sax.saxutils import escape, quoteattr
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -22,9 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share (spark.checkpoint.dir; a local one where it is unset)."""
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir). Where it is unset a local session
+    gets a folder of its own; on a cluster that is an error."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -81,14 +85,14 @@ def _column(reference: str) -> int:
     return n - 1
 
 
-def _sheet_rows(data: bytes, max_cols: int) -> Iterator[tuple[str, int, list[str]]]:
-    """(sheet, row number, cells) of a workbook, row by row."""
+def _sheet_rows(data: bytes, max_cols: int) -> Iterator[tuple[int, str, int, list[str]]]:
+    """(sheet number, sheet, row number, cells) of a workbook, row by row."""
     book = zipfile.ZipFile(io.BytesIO(data))
     shared = []
     if "xl/sharedStrings.xml" in book.namelist():
         shared = ["".join(t.text or "" for t in item.iter(f"{_NS}t")) for item in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).iter(f"{_NS}si")]
     targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))}
-    for sheet in ElementTree.fromstring(book.read("xl/workbook.xml")).iter(f"{_NS}sheet"):
+    for sheet_no, sheet in enumerate(ElementTree.fromstring(book.read("xl/workbook.xml")).iter(f"{_NS}sheet"), 1):
         target = targets.get(sheet.get(_REL), "").lstrip("/")
         try:
             source = book.open(target if target.startswith("xl/") else f"xl/{target}")
@@ -102,28 +106,44 @@ def _sheet_rows(data: bytes, max_cols: int) -> Iterator[tuple[str, int, list[str
                 text = "".join(t.text or "" for t in c.iter(f"{_NS}t")) if kind == "inlineStr" else value.text or "" if value is not None else ""
                 if at < max_cols:
                     cells[at] = shared[int(text)] if kind == "s" and text else text
-            yield sheet.get("name"), number, [cells.get(i, "") for i in range(max(cells, default=-1) + 1)]
+            yield sheet_no, sheet.get("name"), number, [cells.get(i, "") for i in range(max(cells, default=-1) + 1)]
             row.clear()
 
 
 def workbook_rows(content: DataFrame, max_rows: int = 2000, max_cols: int = 50) -> DataFrame:
-    """path, sheet, row_no and cells of .xlsx files: at most max_rows rows that are not blank, the header included.
-    A damaged file has no rows."""
+    """path, sheet_no, sheet, row_no and cells of .xlsx files: at most max_rows rows a sheet that are not blank, the header
+    included. A damaged file has the rows before the damage, or none."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for path, data in zip(frame["path"], frame["content"]):
                 rows, seen = [], {}
                 try:
-                    for sheet, number, cells in _sheet_rows(data, max_cols):
-                        if any(c.strip() for c in cells) and seen.setdefault(sheet, 0) < max_rows:
-                            seen[sheet] += 1
-                            rows.append((path, sheet, number, cells))
-                except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
+                    for sheet_no, sheet, number, cells in _sheet_rows(data, max_cols):
+                        if any(c.strip() for c in cells) and seen.setdefault(sheet_no, 0) < max_rows:
+                            seen[sheet_no] += 1
+                            rows.append((path, sheet_no, sheet, number, cells))
+                except (zipfile.BadZipFile, KeyError, IndexError, ValueError, TypeError, ElementTree.ParseError):
                     pass
-                yield pd.DataFrame(rows, columns=["path", "sheet", "row_no", "cells"])
+                yield pd.DataFrame(rows, columns=["path", "sheet_no", "sheet", "row_no", "cells"])
 
-    return content.select("path", "content").mapInPandas(run, "path string, sheet string, row_no int, cells array<string>")
+    return content.select("path", "content").mapInPandas(run, "path string, sheet_no int, sheet string, row_no int, cells array<string>")
+
+
+def workbook_bytes(sheets: list[tuple[str, list[list[str]]]]) -> bytes:
+    """A minimal .xlsx file of named sheets with text cells."""
+    main, rel = _NS[1:-1], _REL[1:-3]
+    package = "http://schemas.openxmlformats.org/package/2006/relationships"
+    listed = "".join(f'<sheet name={quoteattr(name)} sheetId="{i}" r:id="rId{i}"/>' for i, (name, _) in enumerate(sheets, 1))
+    targets = "".join(f'<Relationship Id="rId{i}" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(sheets) + 1))
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as book:
+        book.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets>{listed}</sheets></workbook>')
+        book.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{package}">{targets}</Relationships>')
+        for i, (_, rows) in enumerate(sheets, 1):
+            cells = "".join("<row>" + "".join(f'<c t="inlineStr"><is><t>{escape(c)}</t></is></c>' for c in row) + "</row>" for row in rows)
+            book.writestr(f"xl/worksheets/sheet{i}.xml", f'<worksheet xmlns="{main}"><sheetData>{cells}</sheetData></worksheet>')
+    return out.getvalue()
 
 
 def sheet_rows(rows: DataFrame, keys: list[str], max_rows: int = 2000, max_cols: int = 50) -> DataFrame:
@@ -158,5 +178,18 @@ def read_event_log(spark: SparkSession, path: str, streaming: bool = False) -> D
     return event_lines(spark.readStream.text(path) if streaming else spark.read.text(path))
 
 
+def write_text(texts: DataFrame, path: str, text: str = "text") -> None:
+    """One text a line end: a text's own last line end is not doubled."""
+    texts.select(F.regexp_replace(text, r"\n\z", "").alias("value")).write.mode("append").text(path)
+
+
+def protocol_lines(lines: DataFrame) -> DataFrame:
+    """kind (text, tool, error) and content of older `type:json` lines; others are skipped."""
+    kind = F.substring_index("value", ":", 1)
+    body = F.try_variant_get(F.try_parse_json(F.expr("substring(value, instr(value, ':') + 1)")), "$", "string")
+    named = F.when(kind == "0", "text").when(kind == "8", "tool").when(kind == "3", "error")
+    return lines.where(F.contains("value", F.lit(":"))).select(named.alias("kind"), body.alias("content")).where("kind is not null and content is not null")
+
+
 def write_event_log(events: DataFrame, path: str) -> None:
     events.write.mode("append").json(path)

@@ -30,20 +30,19 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = LATE) -> Da
 
 
 def stream_message_texts(events: DataFrame, key: str = "message_id") -> DataFrame:
-    """key, version and content after every micro-batch that touched a message; the greatest version is the last.
+    """key, version and what every micro-batch that touched a message adds to its content; `events.joined_versions` puts
+    the whole together. The state of a message is the number of its last version.
 
     events: key, seq, event, text. A micro-batch's events of one message are taken in the order of seq.
     """
     rows = events.select(key, "seq", E.event_text(F.col("event"), F.col("text")).alias("t"))
 
     def fold(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        version, content = state.get if state.exists else (0, "")
-        new = pd.concat(list(frames)).sort_values("seq")
-        content += "".join(new["t"])
-        state.update((version + 1, content))
-        yield pd.DataFrame({key: [group[0]], "version": [version + 1], "content": [content]})
+        version = state.get[0] + 1 if state.exists else 1
+        state.update((version,))
+        yield pd.DataFrame({key: [group[0]], "version": [version], "content": ["".join(pd.concat(list(frames)).sort_values("seq")["t"])]})
 
-    return rows.groupBy(key).applyInPandasWithState(fold, f"{key} long, version long, content string", "version long, content string", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy(key).applyInPandasWithState(fold, f"{key} long, version long, content string", "version long", "append", GroupStateTimeout.NoTimeout)
 
 
 def run_to_table(stream: DataFrame, path: str) -> DataFrame:

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from millrace.llm import language_id, license_scan, near_dedup, ogg_media, packing, pieces, quality_rules, secret_scan, source_mix, token_counts, token_files
+from millrace.llm import common, language_id, license_scan, near_dedup, ogg_media, packing, pieces, quality_rules, secret_scan, source_mix, token_counts, token_files
 from tests.llm.samples import blank_words, documents, empty, lowered, rows_of
 
 WORD_BPE, BYTE_BPE = (public_tokenizers.path(n) for n in ("word_bpe_49k.json", "byte_bpe_50k.json"))
@@ -358,6 +358,34 @@ def test_packing_prefers_neighbours():
     assert sum(len(v) == 1 for v in mixed.values()) >= len(mixed) - 1
 
 
+def test_packing_takes_the_best_unused_neighbours():
+    """The greedy choice, restated with a full sort for every sequence."""
+    rng, window = np.random.default_rng(5), 300
+    ids = [rng.integers(0, 400, int(rng.integers(1, window))) for _ in range(70)]
+    frequency = np.zeros(400)
+    for x in ids:
+        frequency[np.unique(x)] += 1
+    idf = np.log1p((70 - frequency + 0.5) / (frequency + 0.5)).astype(np.float32)
+    weights = packing.Index(ids, idf, 150.0)
+    score = lambda seed: [float(weights.weight[(weights.doc == d) & np.isin(weights.term, ids[seed])].sum()) for d in range(70)]
+    unused, want, sequence, carried = set(range(70)), [], 0, None
+    while unused or carried:
+        seed, begin = carried or (min(unused, key=lambda d: (-len(ids[d]), d)), 0)
+        unused.discard(seed)
+        carried, used = None, len(ids[seed]) - begin
+        want.append((seed, begin, used, sequence, 0))
+        for d in sorted(unused, key=lambda d, s=score(seed): (-round(s[d], 3), d)):
+            if used == window:
+                break
+            length = min(len(ids[d]), window - used)
+            want.append((d, 0, length, sequence, used))
+            unused.discard(d)
+            used += length
+            carried = (d, length) if length < len(ids[d]) else None
+        sequence += 1
+    assert list(packing.pack_shard(ids, packing.Index(ids, idf, 150.0), window)) == want
+
+
 def test_packing_places_neighbours_together(spark):
     rng = np.random.default_rng(3)
     topics = [w.split() for w in ("river stone bank water flood", "engine wheel brake motor clutch", "violin chord melody rhythm opera", "doctor nurse clinic fever vaccine", "pepper garlic onion butter flour", "planet comet orbit galaxy lunar", "court judge lawyer verdict jury", "goal referee stadium coach league")]
@@ -463,9 +491,9 @@ def test_components(spark):
 def test_estimate(spark):
     rng, rows = np.random.default_rng(8), []
     for share in (0.0, 0.3, 0.6, 0.8, 0.95):
-        common = [f"c{share}{i}" for i in range(int(1000 * share))]
+        both = [f"c{share}{i}" for i in range(int(1000 * share))]
         for side in "ab":
-            rows.append((int(share * 100), " ".join(common + [f"{side}{share}{rng.integers(1 << 40)}" for _ in range((1000 - len(common)) // 2)])))
+            rows.append((int(share * 100), " ".join(both + [f"{side}{share}{rng.integers(1 << 40)}" for _ in range((1000 - len(both)) // 2)])))
     made = near_dedup.signatures(spark.createDataFrame(rows, "doc_id long, text string"), 1)
     a, b = (made.select(F.col("doc_id").alias(f"{p}id"), F.col("k0").alias(f"{p}k0"), *[F.col(s).alias(f"{p}{s}") for s in near_dedup.SIGNATURE]) for p in ("a_", "b_"))
     pairs = a.join(b, (F.col("a_id") == F.col("b_id")) & (F.col("a_k0") < F.col("b_k0"))).select(F.col("a_id").alias("doc_id"), near_dedup.estimate("a_", "b_").alias("e")).collect()
@@ -480,6 +508,38 @@ def test_deduplicated(docs, held):
     assert sorted(got) == sorted(want - {None})
 
 
+def test_one_doc_id_for_two_texts(spark):
+    """Rows that share a doc_id are decided by their texts: no text loses its last copy."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a), (2, a), (2, b), (2, b), (3, c), (None, a), (4, None), (4, "")]
+    made = near_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), 5).collect()
+    assert sorted(map(str, map(tuple, made))) == sorted(map(str, [(1, a), (2, b), (3, c), (None, a), (4, None)])) or sorted(map(str, map(tuple, made))) == sorted(map(str, [(1, a), (2, b), (3, c), (None, a), (4, "")]))
+
+
+def test_salted_join(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    left = spark.createDataFrame([(0 if i < 40 else i, i) for i in range(60)] + [(None, 99)], "k long, v long")
+    right = left.groupBy("k").agg(F.count("*").alias("n"), F.max("v").alias("m")).where("k <> 59")
+    want = left.join(right.drop("n"), ["k"])
+    assert rows_of(common.salted_join(left, right, ["k"], "v", "n").select("k", "v", "m")) == rows_of(want.select("k", "v", "m"))
+    assert common.salted_join(left, right, ["k"], "v", "n", "left").count() == 61
+
+
+def test_blocks_of_a_large_group(spark, monkeypatch):
+    """Bucket groups larger than a block: no link is lost between blocks."""
+    monkeypatch.setattr(near_dedup, "BLOCK_NODES", 4)
+    rng, words = np.random.default_rng(2), [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(40):
+        own = list(words)
+        for j in rng.choice(120, 16, replace=False):
+            own[j] = f"x{i}-{j}"
+        rows.append((i, " ".join(own)))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(table, 1).collect()}
+    assert got == {d: c for d, _, c in groups(table.collect(), 1)}
+
+
 # 9
 
 

@@ -128,6 +128,23 @@ def test_headings(spark):
     assert [c[0] for c in split(spark, "2 contents\n1 Intro ..... 7\n3-4 x\n2024-01-02 x")] == ["3", "2024"]
 
 
+def test_numbers_without_a_parent(spark):
+    for f in (chunking.split_headings, chunking.split_adaptive, chunking.split_document):
+        assert [c[:2] for c in split(spark, "1.2 Orphan title\nbody", f)] == [("1.2", "Orphan title")]
+    docs = spark.createDataFrame([(1, "1 A\n1.2.3 B\n2.1 C\nAppendix A - X\n99999999999999999999 Z\n9223372036854775807 P\n1 Q\n1.1 R\n3.1 S")], "id int, text string")
+    made = chunking.split_headings(docs, ["id"]).orderBy("chunk_index").collect()
+    assert [(r["number"], [p["number"] for p in r["path"]]) for r in made] == [
+        ("1", ["1"]), ("1.2.3", ["1", "1.2.3"]), ("2.1", ["2.1"]), ("Appendix A", ["Appendix A"]), ("Appendix A.1", ["Appendix A", "Appendix A.1"]),
+        ("Appendix A.1.1", ["Appendix A", "Appendix A.1", "Appendix A.1.1"]),
+    ]
+
+
+def test_model_headings(spark):
+    answer = '```json\n[{"number": "1", "title": "Scope."}, {"number": "1", "title": " scope"}, {"number": "2", "title": " "}, {"title": "Scope"}, {"number": "2", "title": "Scope"}]\n```'
+    assert [tuple(h) for h in one(spark, chunking.model_headings, answer)] == [("1", "Scope."), ("", "Scope"), ("2", "Scope")]
+    assert one(spark, chunking.model_headings, "no list") == [] and one(spark, chunking.model_headings, None) == []
+
+
 def test_heading_path_and_preamble(spark):
     docs = spark.createDataFrame([(1, "before\n1 A\n1.1 B\n1.1 C\n1.1.2 D")], "id int, text string")
     lines = T.split_lines(F.col("text"))
@@ -199,9 +216,87 @@ def test_hybrid(spark):
     assert retrieval.hybrid_search(rows, "  ", [1.0, 0.0]).count() == 0
 
 
+def test_rerank_keeps_the_given_order_where_the_scorer_fails(spark):
+    hits = spark.createDataFrame([(1, 0, "a", 0, 2), (2, 0, "bbb", 0, 1), (3, 0, "", 1, 1)], "file_id long, chunk_index int, content string, source_rank int, rank int")
+
+    def broken(content):
+        raise RuntimeError("no model")
+
+    order = lambda scorer: [r["file_id"] for r in retrieval.rerank(hits, scorer).orderBy("position").collect()]
+    assert order(broken) == order(None) == [2, 1, 3]
+    assert order(lambda content: -content.str.len().astype(float)) == [1, 2]
+    assert [r["file_id"] for r in retrieval.rerank(hits.where("content = ''"), lambda c: c.str.len().astype(float)).collect()] == [3]
+
+
 # -- catalog, SQL, events
 
 
+def test_catalog_survives_a_write_that_fails(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/kb"
+    c = catalog.Catalog(spark, path)
+    kb = c.create_kb("a")
+    file_id = c.save_upload(kb, "one.pdf")
+    chunks = spark.createDataFrame([(0, "p"), (1, "q")], "chunk_index int, content string")
+    c.save_chunks(kb, file_id, chunks)
+    with monkeypatch.context() as broken:
+        broken.setattr(catalog.Catalog, "_commit", lambda self, state: (_ for _ in ()).throw(OSError("lost")))
+        for change in (lambda: c.save_chunks(kb, file_id, chunks.limit(1)), lambda: c.create_kb("b"), lambda: c.delete_kb(kb), lambda: c.save_upload(kb, "two.pdf")):
+            with pytest.raises(OSError):
+                change()
+    again = catalog.Catalog(spark, path)
+    assert again.chunks(kb, file_id).count() == 2 and again.files(kb).first()["chunk_count"] == 2 and again.list_kbs().count() == 1
+    assert again.create_kb("b") == 2 and again.save_upload(kb, "two.pdf") == 2
+    late = again._state()
+    again.update_kb(2, name="c")
+    with pytest.raises(ValueError, match="meanwhile"):
+        again._commit(late)
+    for pointer in (tmp_path / "kb" / "pointers").iterdir():
+        pointer.unlink()
+    with pytest.raises(ValueError, match="no pointer"):
+        again.list_kbs()
+
+
+def test_ingest(spark, tmp_path):
+    c = catalog.Catalog(spark, f"file://{tmp_path}/kb")
+    kb, embedder = c.create_kb("a"), vectors.HashEmbedder(8)
+    c.save_upload(kb, "x/book.xlsx", tables.workbook_bytes([("S1", [["h", "k"], ["1", "a & b"]]), ("S2", [["h"], *[[str(i)] for i in range(81)]])]))
+    c.save_upload(kb, "empty.xlsx", tables.workbook_bytes([("S", [])]))
+    c.save_upload(kb, "paper.pdf", b"1 Scope\ntext\n1.1 Aim\nmore")
+    c.save_upload(kb, "bad.pdf", b"\xff")
+    assert c.ingest(kb, "book.xlsx", embedder=embedder) == 3
+    parts = [r["content"] for r in c.chunks(kb, 1).collect()]
+    assert parts[0] == "[Table] book\n[Sheet] S1\n| h | k |\n| --- | --- |\n| 1 | a & b |" and parts[2].endswith("| 80 |") and parts[1].count("\n") == 83
+    assert c.ingest(kb, "empty.xlsx") == 1 and c.chunks(kb, 2).first()["content"].startswith("[Table] empty\n[ExcelEmpty] ")
+    assert c.ingest(kb, "paper.pdf", bytes.decode, embedder) == 2
+    assert [json.loads(r["metadata"])["number"] for r in c.chunks(kb, 3).collect()] == ["1", "1.1"]
+    for name, error in (("bad.pdf", ValueError), ("none.pdf", FileNotFoundError)):
+        with pytest.raises(error):
+            c.ingest(kb, name, bytes.decode)
+    every = c.all_chunks([kb])
+    assert every.count() == 6 and {r["filename"] for r in every.collect()} == {"book.xlsx", "empty.xlsx", "paper.pdf"}
+    extra = spark.createDataFrame([(3, "new", [1.0] * 8)], "chunk_index int, content string, embedding array<double>")
+    assert c.add_vectors(kb, 1, extra) == 4
+    with pytest.raises(Exception, match="dimensions"):
+        c.add_vectors(kb, 1, extra.withColumn("embedding", F.array(F.lit(1.0))))
+    assert c.clear_vectors(kb) == 6 and c.clear_vectors(kb) == 0 and c.all_chunks([kb]).count() == 7
+
+
+def test_gate_reads_registered_tables_only(spark, sf, tmp_path):
+    sqlgate.register(spark, sf, ("region",))
+    path = f"{sf}/region.parquet"
+    allowed = ("select count(*) as n from region", "with x as (select * from region) select count(*) as n from x", "select count(*) as n from REGION where r_name in (select r_name from region)", "select count(*) as n from range(5)")
+    assert all(sqlgate.run_query(spark, q).first()["n"] == 5 for q in allowed)
+    spark.sql(f"create table if not exists kept using parquet location 'file://{tmp_path}/kept' as select 1 as a")
+    refused = (f"select * from parquet.`{path}`", f"select (select count(*) from parquet.`{path}`) as n", f"with x as (select * from parquet.`{path}`) select * from x", "select java_method('java.lang.System', 'getProperty', 'user.home')",
+               "select `reflect`('java.lang.System', 'getProperty', 'user.home')", "select transform(r_name) using 'cat' as (x string) from region", "select * from kept", "with x as (select 1 as a) insert\ninto kept select * from x", f"select * from text.`{path}`")
+    for query in refused:
+        with pytest.raises(ValueError):
+            sqlgate.run_query(spark, query)
+    assert spark.table("kept").count() == 1
+    spark.sql("drop table kept")
+    assert sqlgate.query_result(spark, allowed[0]) == {"ok": True, "columns": ["n"], "rows": [[5]]} and not sqlgate.query_result(spark, "drop table x")["ok"]
+
+
 def test_catalog(spark, tmp_path):
     c = catalog.Catalog(spark, f"file://{tmp_path}/kb")
     first, second = c.create_kb("a"), c.create_kb("b", "text")
@@ -250,7 +345,51 @@ def test_tool_calls(spark):
     assert [(r["id"], r["state"], r["output"], r["error"]) for r in made] == [("r1", "error", None, "boom"), ("r2", "done", "c", None), ("r3", "open", None, None)]
 
 
+def calls_by_scan(rows):
+    """The fold of one message, event by event."""
+    calls = []
+    for _, seq, event, name, run, text in sorted(rows, key=lambda r: r[1]):
+        if event == "on_tool_start":
+            calls.append([run, name, "open", None, None])
+            continue
+        hit = next((c for c in calls if run is not None and c[0] == run), None)
+        hit = hit or next((c for c in reversed(calls) if name is not None and c[1] == name and c[2] == "open"), None)
+        if hit:
+            failed = event == "on_tool_error"
+            hit[2:] = ["error" if failed else "done", None if failed else text, (text or "Tool error") if failed else None]
+    return [tuple(c) for c in calls]
+
+
+def test_tool_calls_by_scan(spark):
+    rng, rows = random.Random(9), []
+    for message in range(60):
+        for seq in rng.sample(range(1000), 40):
+            kind = rng.choice(["on_tool_start", "on_tool_start", "on_tool_end", "on_tool_error"])
+            rows.append((message, seq, kind, rng.choice(["a", "b", None]), rng.choice([None, None, *[f"r{i}" for i in range(12)]]), rng.choice(["x", "y"])))
+    made = events.tool_calls(spark.createDataFrame(rows, "message_id long, seq int, event string, name string, run_id string, text string")).orderBy("message_id", "position").collect()
+    for message in range(60):
+        got = [(r["id"], r["name"], r["state"], r["output"], r["error"]) for r in made if r["message_id"] == message]
+        assert got == calls_by_scan([r for r in rows if r[0] == message])
+
+
+def test_event_kinds(spark):
+    cases = [
+        ("on_chat_model_stream", None, '{"chunk": {"content": "hi"}}', ("on_chat_model_stream", "hi", None, None, None)),
+        ("on_chat_model_stream", None, '{"chunk": {"content": "", "tool_call_chunks": [{"args": "{"}]}}', ("on_chat_model_stream", "{", None, None, None)),
+        ("on_chat_model_stream", None, '{"chunk": {"content": ""}}', None), ("on_llm_new_token", None, '{"token": ""}', ("on_llm_new_token", "", None, None, None)), ("on_llm_new_token", None, '{"token": 3}', None),
+        ("on_llm_end", None, '{"output": {"content": ["a"]}}', ("on_llm_end", '["a"]', None, None, None)), ("on_chat_model_end", None, '{"output": {"content": null}}', None),
+        ("on_tool_start", "t", "{}", ("on_tool_start", "{}", "t", "", None)), ("on_tool_start", "", "{}", None), ("on_tool_end", "t", '{"output": {"a": 1}}', ("on_tool_end", '{"a":1}', "t", "", None)),
+        ("on_tool_error", "t", "{}", ("on_tool_error", None, "t", "", "")), ("error", None, '{"error": "e"}', ("error", None, None, None, "e")), ("error", None, '{"error": ""}', None), ("other", "t", "{}", None), (None, None, None, None),
+    ]
+    made = events.parse_events(spark.createDataFrame([(e, n, None, d) for e, n, d, _ in cases], "event string, name string, run_id string, data string"))
+    assert sorted(map(str, map(tuple, made.collect()))) == sorted(str(w) for *_, w in cases if w)
+    for value, want in ((None, ""), ("null", ""), ('"a"', "a"), ('["a", {"text": "b"}, {"no": 1}, 3]', "ab3"), ('{"a":1}', '{"a":1}'), ("7", "7")):
+        assert one(spark, events.as_text, value) == want
+
+
 def test_readable_text(spark):
+    for chunk in ('{"messages": []}', '{"messages": null}', '{"messages": [1]}', "[]", "{}"):
+        assert one(spark, events.readable_text, chunk) == ("" if chunk == "[]" else chunk.replace(" ", ""))
     cases = {'{"answer": "a", "content": "c"}': "a", '["x", {"preview": "p"}, null, {"title": "t"}, 3]': "x\np\nt\n3", "{bad}": "{bad}", "plain": "plain", '{"messages": [{"content": "m"}]}': "m"}
     for chunk, want in cases.items():
         assert one(spark, events.readable_text, chunk) == want
@@ -281,6 +420,14 @@ def test_sources(spark, tmp_path):
     assert tables.read_event_log(spark, log).count() == 1
 
 
+def test_lines_and_lengths(spark, tmp_path):
+    tables.write_text(spark.createDataFrame([("a\n",), ("b",)], "text string").coalesce(1), f"{tmp_path}/out")
+    assert sorted(r.value for r in spark.read.text(f"{tmp_path}/out").collect()) == ["a", "b"]
+    lines = spark.createDataFrame([('0:"hi"',), ('8:"tool"',), ('3:"bad: x"',), ("9:{}",), ("plain",), ("0:{",)], "value string")
+    assert [tuple(r) for r in tables.protocol_lines(lines).collect()] == [("text", "hi"), ("tool", "tool"), ("error", "bad: x")]
+    assert one(spark, T.utf16_length, "a😀é") == 4 and one(spark, T.listed, "ab\r\n\ncd" + "x" * 40) == "ab cd" + "x" * 23 + "..."
+
+
 def test_stream_keeps_open_windows(spark, tmp_path):
     for i, hours in enumerate((["00:10", "00:20", "01:05"], ["01:40", "01:50"])):
         rows = spark.createDataFrame([(f"2024-01-01 {h}:00", "view", 1.0) for h in hours], "ts string, event_type string, value double")

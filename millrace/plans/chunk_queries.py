@@ -192,6 +192,8 @@ for _p in ("(?is)<script.*?>.*?</script>", "(?is)<style.*?>.*?</style>", "(?is)<
 _HTML = f"regexp_replace({_HTML}, '(?s)<[^>]+>', ' ', 'g')"
 for _name, _char in T.ENTITIES.items():
     _HTML = f"replace({_HTML}, '&{_name};', '{_char.replace(chr(39), chr(39) * 2)}')"
+#: Characters of the header and rule of a brand's table.
+_HEAD = len("| key | name | type | size |\n| --- | --- | --- | --- |")
 # Lines of documents as heading candidates, and the recursion that keeps those which an open appendix lets pass. No
 # document of the tables has a table of contents.
 _HEADS = r"""
@@ -270,10 +272,10 @@ ORACLES = {
           UNION ALL SELECT file_id, 'fixed', length(content) FROM chunks WHERE file_id NOT IN (SELECT doc_id FROM hg WHERE heads > 0))
         SELECT doc_id, min(type) AS type, count(*) AS n, sum(n)::BIGINT AS chars FROM every GROUP BY doc_id""",
     "table_chunks_charcap": f"""WITH RECURSIVE {SHEET_SQL},
-        fold AS (SELECT p_brand, i, line, 1 AS part, 1 AS n, 53 + 1 + length(line) AS chars FROM rows WHERE i = 0
+        fold AS (SELECT p_brand, i, line, 1 AS part, 1 AS n, {_HEAD} + 1 + length(line) AS chars FROM rows WHERE i = 0
           UNION ALL SELECT r.p_brand, r.i, r.line, part + CASE WHEN n = 80 OR (n + 1 < 80 AND chars + 1 + length(r.line) >= 1000) THEN 1 ELSE 0 END,
             CASE WHEN n = 80 OR (n + 1 < 80 AND chars + 1 + length(r.line) >= 1000) THEN 1 ELSE n + 1 END,
-            CASE WHEN n = 80 OR (n + 1 < 80 AND chars + 1 + length(r.line) >= 1000) THEN 53 ELSE chars END + 1 + length(r.line)
+            CASE WHEN n = 80 OR (n + 1 < 80 AND chars + 1 + length(r.line) >= 1000) THEN {_HEAD} ELSE chars END + 1 + length(r.line)
           FROM fold f JOIN rows r ON r.p_brand = f.p_brand AND r.i = f.i + 1)
         SELECT p_brand, p_brand AS sheet, part::INT AS part_index, (max(part) OVER (PARTITION BY p_brand))::INT AS part_count, 'key,name,type,size' AS header,
         '[Table] part' || chr(10) || '[Sheet] ' || p_brand || chr(10) || '| key | name | type | size |' || chr(10) || '| --- | --- | --- | --- |' || chr(10) || lines AS content

@@ -86,6 +86,8 @@ NUMBERED = rf"^{WS}*(\d+(?:\.\d+)*)(?:{WS}+|{WS}*[-–]{WS}*)(.+?){WS}*\z"
 APPENDIX = rf"^{WS}*[Aa][Pp][Pp][Ee][Nn][Dd][Ii][Xx]{WS}+(\d+|[A-Za-z])(?:\.|-|{WS})+(.+?){WS}*\z"
 LETTER = rf"^{WS}*([A-Za-z])(?:\.|-|{WS})+(.+?){WS}*\z"
 CONTENTS = ("contents", "table of contents", "目录")
+#: Headings of one block of the fold over a document.
+HEADINGS = 256
 
 
 def bare_line(line: Column) -> Column:
@@ -125,7 +127,8 @@ def plausible_next(last: Column, cur: Column) -> Column:
 def headings(lines: Column) -> Column:
     """Array of (at, number, title): candidates in order, those inside an appendix only where they go on plausibly."""
     found = F.filter(F.transform(lines, heading_candidate), lambda c: c.isNotNull())
-    begin = F.struct(F.lit(None).cast("string").alias("appendix"), F.lit(None).cast("array<bigint>").alias("last"), F.array().cast(f"array<{HEADING}>").alias("heads"))
+    none = F.array().cast(f"array<{HEADING}>")
+    state = lambda appendix, last, heads: F.struct(appendix.alias("appendix"), last.alias("last"), heads.alias("heads"))
 
     def step(acc: Column, c: Column) -> Column:
         inside, cur = acc["appendix"].isNotNull(), T.number_segments(c["number"])
@@ -135,9 +138,19 @@ def headings(lines: Column) -> Column:
         head = F.struct(c["at"].alias("at"), number.alias("number"), c["title"].alias("title"))
         heads = F.when(opens | follows, F.concat(acc["heads"], F.array(head))).otherwise(acc["heads"])
         last = F.when(opens, F.lit(None)).when(inside & follows, cur).otherwise(acc["last"])
-        return F.struct(F.when(opens, c["number"]).otherwise(acc["appendix"]).alias("appendix"), last.alias("last"), heads.alias("heads"))
+        return state(F.when(opens, c["number"]).otherwise(acc["appendix"]), last, heads)
 
-    return F.aggregate(found, begin, step, lambda acc: acc["heads"])
+    def fold(found: Column) -> Column:
+        # block by block, as an array that grew with every heading would be copied each time
+        def block(acc: Column, b: Column) -> Column:
+            own = F.aggregate(F.slice(found, b * HEADINGS + 1, F.lit(HEADINGS)), state(acc["appendix"], acc["last"], none), step)
+            return once(own, lambda own: state(own["appendix"], own["last"], F.concat(acc["heads"], F.array(own["heads"]))))
+
+        blocks = F.sequence(F.lit(0), F.floor(F.size(found) / HEADINGS).cast("int"))
+        begin = state(F.lit(None).cast("string"), F.lit(None).cast("array<bigint>"), F.array().cast(f"array<array<{HEADING}>>"))
+        return F.flatten(F.aggregate(blocks, begin, block)["heads"])
+
+    return once(found, fold)
 
 
 def allowed_heading(line: Column, at: Column, allowed: list[tuple[str, str]]) -> Column:

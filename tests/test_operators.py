@@ -139,6 +139,13 @@ def test_numbers_without_a_parent(spark):
     ]
 
 
+def test_many_headings(spark):
+    """More headings than a block of the fold; the open appendix and the last number carry over."""
+    text = "\n".join(["1 A", "Appendix C - D", *[f"{i} H" for i in range(1, 700)], "702 skipped", "700 T"])
+    made = split(spark, text)
+    assert [c[0] for c in made] == ["1", "Appendix C", *[f"Appendix C.{i}" for i in range(1, 701)]]
+
+
 def test_model_headings(spark):
     answer = '```json\n[{"number": "1", "title": "Scope."}, {"number": "1", "title": " scope"}, {"number": "2", "title": " "}, {"title": "Scope"}, {"number": "2", "title": "Scope"}]\n```'
     assert [tuple(h) for h in one(spark, chunking.model_headings, answer)] == [("1", "Scope."), ("", "Scope"), ("2", "Scope")]

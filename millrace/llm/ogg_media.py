@@ -6,7 +6,8 @@ from lacing values (also across pages), pages are told apart by serial number, a
 
 Null text counts as empty and gives one unit of blanks; equal texts give equal bytes; a very long text becomes many
 pages of at most 255 segments; rows repeat as they come; an empty table gives an empty result; other columns of the
-input are not carried. Bytes that are no valid stream give a row whose `error` says why, and nulls.
+input are not carried. Bytes that are no valid stream give a row whose `error` says why, and nulls; so do chained
+streams, which begin again after their last pages. Times are those of page ends, as granule positions tell no others.
 """
 
 from __future__ import annotations

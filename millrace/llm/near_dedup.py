@@ -142,12 +142,13 @@ def estimate(a: str, b: str) -> Column:
 
 def _meet(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs (node, pivot) with the columns of both, those of the node as a_ and of the pivot as b_. A node has few
-    pivots, a pivot may have many nodes."""
+    pivots, a pivot may have many nodes. The pivots' sets have no bound that would allow a broadcast, so the plan is the
+    same at every size."""
     own = [c for c in nodes.columns if c != "node"]
     left = pairs.join(nodes.select("node", *[F.col(c).alias(f"a_{c}") for c in own]), "node")
     counts = pairs.groupBy("pivot").agg(F.count("*").alias("_n"))
     right = common.saved(counts.join(nodes.select(F.col("node").alias("pivot"), *[F.col(c).alias(f"b_{c}") for c in own]), "pivot"), "dedup-pivots")
-    return common.salted_join(left, right, ["pivot"], "node", "_n")
+    return common.salted_join(left, right.hint("merge"), ["pivot"], "node", "_n")
 
 
 def full_sets(due: DataFrame, nodes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
@@ -293,7 +294,7 @@ def join_mates(placed: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, per
 
     due = common.saved(common.map_batches(_block_pairs(signed), partners, "node long").distinct(), "dedup-partners")
     sets = full_sets(due, nodes, docs, k)
-    return common.map_batches(_block_pairs(signed.join(sets, "node")), links, "a long, b long")
+    return common.map_batches(_block_pairs(signed.join(sets.hint("merge"), "node")), links, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:

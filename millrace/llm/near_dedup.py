@@ -142,11 +142,11 @@ def estimate(a: str, b: str) -> Column:
 
 def _meet(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs (node, pivot) with the columns of both, those of the node as a_ and of the pivot as b_. A node has few
-    pivots, a pivot may have many nodes. The pivots' sets have no bound that would allow a broadcast, so the plan is the
-    same at every size."""
+    pivots, a pivot may have many nodes. The pivots' sets have no bound that would allow a broadcast; the narrow pairs
+    and counts are broadcast where their counted rows allow it, so that the wide columns are dealt by pivot only."""
     own = [c for c in nodes.columns if c != "node"]
-    left = pairs.join(nodes.select("node", *[F.col(c).alias(f"a_{c}") for c in own]), "node")
-    counts = pairs.groupBy("pivot").agg(F.count("*").alias("_n"))
+    left = common.maybe_broadcast(pairs).join(nodes.select("node", *[F.col(c).alias(f"a_{c}") for c in own]), "node")
+    counts = common.maybe_broadcast(common.saved(pairs.groupBy("pivot").agg(F.count("*").alias("_n")), "dedup-counts"))
     right = common.saved(counts.join(nodes.select(F.col("node").alias("pivot"), *[F.col(c).alias(f"b_{c}") for c in own]), "pivot"), "dedup-pivots")
     return common.salted_join(left, right.hint("merge"), ["pivot"], "node", "_n")
 
@@ -172,7 +172,8 @@ def full_sets(due: DataFrame, nodes: DataFrame, docs: DataFrame, k: int) -> Data
     ids = common.maybe_broadcast(due.select(F.col("id").alias("doc_id")).distinct())
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(ids, "doc_id", "left_semi")
     made = common.map_batches(rows, make, "id long, k0 long, k1 long, items array<long>")
-    sets = made.join(due, ["id", "k0", "k1"]).dropDuplicates(["node"]).select("node", "items")
+    # these keys name a node as well, and the join has dealt the sets by them: no second shuffle
+    sets = made.join(due, ["id", "k0", "k1"]).dropDuplicates(["id", "k0", "k1"]).select("node", "items")
     return common.saved(sets, "dedup-sets")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import language_id, license_scan, near_dedup, ogg_media, packing, quality_rules, secret_scan, source_mix, token_counts, token_files
+from millrace.llm import language_id, license_scan, near_dedup, ogg_media, packing, quality_rules, secret_scan, source_mix, token_counts, token_files, vector_codes
 
 QUERIES = {
     "op5_quality_rules": quality_rules.op5_quality_rules,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_near_dedup": near_dedup.op8_near_dedup,
     "op9_secret_scan": secret_scan.op9_secret_scan,
     "op10_token_files": token_files.op10_token_files,
+    "op11_vector_codes": vector_codes.op11_vector_codes,
 }
 ORACLES = {
     "op1_source_mix": source_mix.ORACLE,
@@ -22,4 +23,5 @@ ORACLES = {
     "op5_quality_rules": quality_rules.ORACLE,
     "op8_near_dedup": near_dedup.ORACLE,
     "op9_secret_scan": secret_scan.ORACLE,
+    "op11_vector_codes": vector_codes.ORACLE,
 }

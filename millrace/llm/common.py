@@ -5,7 +5,8 @@ from __future__ import annotations
 import contextlib
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,28 +40,51 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/millrace-{sc.applicationId}"
 
 
-_scratch: list[list[str]] = []
+#: The open scopes of this thread or task, the innermost last: paths that go when the scope ends.
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
+#: Paths that no scope owns: tables behind results. `release` deletes them.
+_kept: dict[str, list[str]] = {}
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 @contextlib.contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Tables saved inside are deleted at the end; what is still needed must be saved as `lasting`, or written elsewhere."""
-    _scratch.append([])
+    """Tables saved inside are deleted at the end; what is still needed must be saved as `lasting`, or written elsewhere.
+    Scopes belong to the thread that opened them, so queries in several threads don't touch each other's tables."""
+    own: list[str] = []
+    token = _scopes.set((*_scopes.get(), own))
     try:
         yield
     finally:
-        for path in _scratch.pop():
-            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        _scopes.reset(token)
+        for path in own:
+            delete(spark, path)
+
+
+def register(spark: SparkSession, path: str, lasting: bool = False) -> None:
+    """Gives a path to the innermost scope (a lasting one to the scope around it), or where there is none to `release`."""
+    scopes = _scopes.get()[: -1 if lasting else None]
+    (scopes[-1] if scopes else _kept.setdefault(spark.sparkContext.applicationId, [])).append(path)
+
 
+def release(spark: SparkSession) -> int:
+    """Deletes the tables behind all results made so far, which can't be read afterwards, and says how many there were."""
+    paths = _kept.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        delete(spark, path)
+    return len(paths)
 
-def saved(df: DataFrame, name: str, lasting: bool = False, **options: str) -> DataFrame:
+
+def saved(df: DataFrame, name: str, lasting: bool = False, by: Sequence[str] = (), **options: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends here and lost executors cost nothing. A lasting
-    table outlives the innermost scratch, not the one around it."""
+    table outlives the innermost scratch, not the one around it. `by` names columns whose values get a folder each."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    for paths in _scratch[-2:-1] if lasting else _scratch[-1:]:
-        paths.append(path)
-    df.write.options(**options).parquet(path)
+    register(df.sparkSession, path, lasting)
+    df.write.options(**options).partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -84,12 +108,16 @@ def salted_join(left: DataFrame, right: DataFrame, on: list[str], by: str, n: st
     return dealt.join(copies, [*on, "_salt"], how).drop("_salt")
 
 
-def map_batches(df: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with batches of at most BATCH_BYTES (the setting stays with the session), so that a task needs little
-    memory on both sides; a worker gives back what it no longer uses when a task ends."""
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_BYTES, so that a task needs little memory on both sides; the setting stays."""
     setting = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if df.sparkSession.conf.get(setting) == DEFAULT_BATCH_BYTES:
-        df.sparkSession.conf.set(setting, BATCH_BYTES)
+    if spark.conf.get(setting) == DEFAULT_BATCH_BYTES:
+        spark.conf.set(setting, BATCH_BYTES)
+
+
+def map_batches(df: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow with small batches; a worker gives back what it no longer uses when a task ends."""
+    small_batches(df.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from make(batches)

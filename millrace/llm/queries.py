@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import language_id, license_scan, near_dedup, ogg_media, packing, quality_rules, secret_scan, source_mix, token_counts, token_files, vector_codes
+from millrace.llm import filter_audit, language_id, license_scan, line_dedup, near_dedup, ogg_media, packing, quality_rules, secret_scan, source_mix, token_counts, token_files, vector_codes
 
 QUERIES = {
     "op5_quality_rules": quality_rules.op5_quality_rules,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_secret_scan": secret_scan.op9_secret_scan,
     "op10_token_files": token_files.op10_token_files,
     "op11_vector_codes": vector_codes.op11_vector_codes,
+    "op12_line_dedup": line_dedup.op12_line_dedup,
+    "op13_filter_audit": filter_audit.op13_filter_audit,
 }
 ORACLES = {
     "op1_source_mix": source_mix.ORACLE,
@@ -24,4 +26,6 @@ ORACLES = {
     "op8_near_dedup": near_dedup.ORACLE,
     "op9_secret_scan": secret_scan.ORACLE,
     "op11_vector_codes": vector_codes.ORACLE,
+    "op12_line_dedup": line_dedup.ORACLE,
+    "op13_filter_audit": filter_audit.ORACLE,
 }

@@ -25,14 +25,17 @@ def fixed_windows(text: Column, size: int = 500, overlap: int = 100) -> Column:
     if size <= 0 or not 0 <= overlap < size:
         raise ValueError("size must be positive and overlap at least 0 and less than size")
     step = size - overlap
+    met = -(-size // step)  # blocks that a window meets
     s = T.strip(F.coalesce(text, F.lit("")))
 
-    def windows(s: Column) -> Column:
-        last = F.when(F.length(s) > size, F.ceil((F.length(s) - size) / step)).otherwise(0).cast("int")
-        made = F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(s, i * step + 1, F.lit(size)))
-        return F.when(s == "", F.array().cast("array<string>")).otherwise(made)
+    def windows(s: Column, n: Column) -> Column:
+        # one pass cuts the text into blocks of a step, as a substring would walk from its start for every window
+        last = F.when(n > size, F.ceil((n - size) / step)).otherwise(0).cast("int")
+        joined = lambda blocks: lambda block, i: F.substring(F.array_join(F.slice(blocks, i + 1, F.lit(met)), ""), 1, size)
+        cut = F.regexp_extract_all(s, F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
+        return once(cut, lambda blocks: F.transform(F.slice(blocks, F.lit(1), last + 1), joined(blocks)))
 
-    return once(s, windows)
+    return once(s, lambda s: once(F.length(s), lambda n: windows(s, n)))
 
 
 # -- tables of contents ------------------------------------------------------------------------------------------

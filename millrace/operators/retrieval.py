@@ -48,14 +48,16 @@ def rerank(hits: DataFrame, scorer: Callable[[pd.Series], pd.Series] | None, k:
 
 
 def hybrid_search(chunks: DataFrame, query: str, query_vector: list[float], semantic_k: int = 5, keyword_k: int = 5, k: int = 8, scorer=None) -> DataFrame:
-    """position, source, key, score and preview. chunks: file_id, chunk_index, content, embedding. A blank query finds
-    nothing; without a reranker semantic hits come first."""
+    """position, source, key, score and preview. chunks: file_id, chunk_index, content, embedding; they are read by each
+    search, so a table should be given. A blank query finds nothing; without a reranker semantic hits come first. The
+    searches rank keys; contents are fetched for what they found."""
     if not query.strip():
         return rerank(chunks.select(*KEY, "content", F.lit(0).alias("source_rank"), F.lit(0).alias("rank"), F.lit(0.0).alias("score"), F.lit("").alias("source")).where("false"), None, k)
-    near = semantic_search(chunks, query_vector, semantic_k).select(*KEY, "content", "score", "rank", F.lit("semantic").alias("source"), F.lit(0).alias("source_rank"))
-    words = keyword.keyword_search(chunks, query, keyword_k, exclude=near).select(*KEY, "content", "score", "rank", F.lit("keyword").alias("source"), F.lit(1).alias("source_rank"))
-    found = rerank(near.unionByName(words), scorer, k)
-    return found.withColumn("preview", T.preview(F.col("content")))
+    near = semantic_search(chunks.select(*KEY, "embedding"), query_vector, semantic_k).select(*KEY, "score", "rank", F.lit("semantic").alias("source"), F.lit(0).alias("source_rank"))
+    words = keyword.keyword_search(chunks.select(*KEY, "content"), query, keyword_k, exclude=near).select(*KEY, "score", "rank", F.lit("keyword").alias("source"), F.lit(1).alias("source_rank"))
+    # at most semantic_k + keyword_k keys
+    hits = chunks.select(*KEY, "content").join(F.broadcast(near.unionByName(words)), KEY)
+    return rerank(hits, scorer, k).withColumn("preview", T.preview(F.col("content")))
 
 
 def search_each(chunks: DataFrame, query: str, group: str, k: int = 5) -> DataFrame:

@@ -12,13 +12,13 @@ from millrace.operators import keyword as K
 from millrace.operators import retrieval as R
 from millrace.operators import vectors as V
 from millrace.plans.chunk_queries import CHUNKS_SQL, chunks
+from millrace.sources import shared
 from millrace.sources import tables as S
 
 QUERY = "Released under the MIT License"
 TERMS = ["Released", "under", "the", "MIT", "License"]
 #: A query vector by a rule: alternating signs over 64 places.
 VECTOR = [((i % 7) - 3) / 10 for i in range(64)]
-EMBEDDER = V.HashEmbedder(64)
 
 
 def vowels(texts: list[str]) -> np.ndarray:
@@ -26,12 +26,15 @@ def vowels(texts: list[str]) -> np.ndarray:
     return np.array([[t.count(c) for c in "aeiou"] for t in texts], float)
 
 
+EMBEDDER = vowels
+
+
 def keyword_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.table(spark, sf_dir, "benchmark").select("item_id", F.array_join(K.query_terms(F.col("text")), " ").alias("terms"))
 
 
 def keyword_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.table(spark, sf_dir, "documents").select("doc_id", K.keyword_score(F.coalesce("text", F.lit("")), F.lit(QUERY)).alias("score"))
+    return S.table(spark, sf_dir, "documents").select("doc_id", K.keyword_score(F.coalesce("text", F.lit("")), QUERY).alias("score"))
 
 
 def keyword_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,10 +56,11 @@ def knn_by_label_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _embedded_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every chunk with one of the table's vectors, dealt by its numbers."""
+    """Every chunk, made and saved once, with one of the table's vectors, dealt by its numbers."""
     vectors = S.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     dealt = (F.col("file_id") * 7 + F.col("chunk_index")) % F.lit(vectors.count())
-    return chunks(spark, sf_dir).withColumn("vec_id", dealt).join(vectors, "vec_id", "left").drop("vec_id")
+    made = shared.saved(chunks(spark, sf_dir).withColumn("vec_id", dealt), "chunks")
+    return made.join(vectors, "vec_id", "left").drop("vec_id")
 
 
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,8 +78,8 @@ def rerank_function(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _all_embedded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[float]]:
-    """Every chunk with its vector, and the query's by the same embedder."""
-    return V.embed(chunks(spark, sf_dir), EMBEDDER), EMBEDDER([QUERY])[0].tolist()
+    """Every chunk with its vector, made and saved once, and the query's by the same embedder."""
+    return shared.saved(V.embed(chunks(spark, sf_dir), EMBEDDER), "chunks"), EMBEDDER([QUERY])[0].tolist()
 
 
 def hybrid_search_embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,7 +130,17 @@ _HYBRID = f"""WITH {CHUNKS_SQL},
  w AS (SELECT file_id, chunk_index, content, ({_score('content')})::DOUBLE AS score FROM chunks ANTI JOIN s USING (file_id, chunk_index)),
  k AS (SELECT *, row_number() OVER (ORDER BY score DESC, length(content), file_id DESC, chunk_index DESC) AS rank FROM w WHERE score > 0 QUALIFY rank <= 5),
  u AS (SELECT 'semantic' AS source, 0 AS sr, * FROM s UNION ALL SELECT 'keyword', 1, * FROM k)"""
+_VOWELS = "[length({0}) - length(replace({0}, c, '')) for c in ['a', 'e', 'i', 'o', 'u']]::DOUBLE[]"
+#: The same over vectors made of the chunks themselves; a chunk without vowels has a vector without length.
+_EMBEDDED = f"""WITH {CHUNKS_SQL},
+ sem AS (SELECT file_id, chunk_index, content, round(CASE WHEN list_sum(v) > 0 THEN list_cosine_similarity(v, q) ELSE 0 END, 6) AS score FROM (SELECT *, {_VOWELS.format('content')} AS v, {_VOWELS.format(f"'{QUERY}'")} AS q FROM chunks)),
+{_HYBRID[_HYBRID.index(" s AS"):]}"""
+_FIRST = """ SELECT row_number() OVER (ORDER BY sr, rank)::INT AS position, source, file_id, chunk_index, score,
+        CASE WHEN length(content) > 200 THEN substr(content, 1, 200) || '...' ELSE content END AS preview FROM u QUALIFY position <= 8"""
+_RERANKED = " SELECT row_number() OVER (ORDER BY length(content), sr, rank)::INT AS position, source, file_id, chunk_index, -length(content)::DOUBLE AS rerank_score FROM u QUALIFY position <= 8"
 ORACLES = {
+    "hybrid_search_embedded": _EMBEDDED + _FIRST,
+    "rerank_function_embedded": _EMBEDDED + _RERANKED,
     "keyword_tokens": """SELECT item_id, (SELECT coalesce(string_agg(t, ' ' ORDER BY i), '') FROM (SELECT t, min(i) AS i FROM (SELECT unnest(x) AS t, generate_subscripts(x, 1) AS i
         FROM (SELECT regexp_extract_all(b.text, '[A-Za-z0-9_]+|[一-鿿]+') AS x)) WHERE NOT regexp_full_match(t, '[A-Za-z0-9_]') GROUP BY t)) AS terms FROM benchmark b""",
     "keyword_score": f"SELECT doc_id, ({_score('text')})::DOUBLE AS score FROM documents",
@@ -136,9 +150,8 @@ ORACLES = {
         FROM (SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], {_V}), 6) AS score FROM embeddings) QUALIFY rank <= 5""",
     "knn_batch": _KNN.format(on="", k=5),
     "knn_by_label_filter": _KNN.format(on="AND q.label = e.label", k=3),
-    "hybrid_search": f"""{_HYBRID} SELECT row_number() OVER (ORDER BY sr, rank)::INT AS position, source, file_id, chunk_index, score,
-        CASE WHEN length(content) > 200 THEN substr(content, 1, 200) || '...' ELSE content END AS preview FROM u QUALIFY position <= 8""",
-    "rerank_function": f"""{_HYBRID} SELECT row_number() OVER (ORDER BY length(content), sr, rank)::INT AS position, source, file_id, chunk_index, -length(content)::DOUBLE AS rerank_score FROM u QUALIFY position <= 8""",
+    "hybrid_search": _HYBRID + _FIRST,
+    "rerank_function": _HYBRID + _RERANKED,
     "multi_kb_search": f"""WITH x AS (SELECT source, doc_id AS file_id, text, ({_score('text')})::DOUBLE AS score FROM documents)
         SELECT source, row_number() OVER (PARTITION BY source ORDER BY score DESC, length(text), file_id DESC)::INT AS rank, file_id, score FROM x WHERE score > 0 QUALIFY rank <= 5""",
     "multi_kb_hybrid": f"""WITH {CHUNKS_SQL}, e AS (SELECT c.*, coalesce(source, '') AS kb, embedding FROM chunks c JOIN documents ON file_id = doc_id

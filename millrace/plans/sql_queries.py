@@ -73,13 +73,16 @@ def sql_approx_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.table(spark, sf_dir, "events").groupBy("event_type").agg((F.abs(F.approx_count_distinct("user_id", 0.02) / F.count_distinct("user_id") - 1) < 0.1).alias("near"))
 
 
-#: One of each kind of verdict, and the texts that a substring gate gets wrong.
-GATE = ["", "  ", "select 1;", "select 1; select 2", "select ';'", "drop table t", "SELECT last_update FROM t", "with x as (select 1) delete\nfrom t", "explain select 1", "Insert into t values (1)", "with a as (select 1) select * from a;;"]
+#: What stands before and after a turn's text to make statements of all kinds.
+FRAMES = [("", ""), ("select ", ""), ("  with a as (select 1) ", ";;"), ("select '", "'; select 2"), ("Select 'drop", " '"), ("explain ", "")]
 
 
 def sql_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(list(enumerate(GATE)), "id int, query string")
-    return rows.select("id", F.coalesce(G.verdict(F.col("query")), F.lit("ok")).alias("verdict"))
+    """The verdict on statements made of every turn's text."""
+    turns = S.table(spark, sf_dir, "conversations")
+    frame = F.get(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in FRAMES]), ((F.col("conv_id") + F.col("turn")) % len(FRAMES)).cast("int"))
+    made = turns.select("conv_id", "turn", G.verdict(F.concat(frame["a"], F.coalesce("text", F.lit("")), frame["b"])).alias("verdict"))
+    return made.select("conv_id", "turn", F.coalesce("verdict", F.lit("ok")).alias("verdict"))
 
 
 def sql_describe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,15 +92,16 @@ def sql_describe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {**{name: _runner(name) for name in STATEMENTS}, "sql_join_asof": sql_join_asof, "sql_approx_distinct": sql_approx_distinct, "sql_gate": sql_gate, "sql_describe": sql_describe}
-_GATE_ROWS = ", ".join(f"({i}, '" + q.replace("'", "''") + "')" for i, q in enumerate(GATE))
+_FRAMED = " ".join(f"WHEN {i} THEN '{a.replace(chr(39), chr(39) * 2)}' || coalesce(text, '') || '{b.replace(chr(39), chr(39) * 2)}'" for i, (a, b) in enumerate(FRAMES))
 _BANNED = " OR ".join(f"contains(l, '{b}')" for b in G.BANNED)
 ORACLES = {
     **STATEMENTS,
     "sql_join_asof": """SELECT p.event_id, c.event_id AS click_id FROM (SELECT * FROM events WHERE event_type = 'purchase') p
         LEFT JOIN LATERAL (SELECT event_id FROM events c WHERE c.event_type = 'click' AND c.user_id = p.user_id AND c.ts <= p.ts ORDER BY c.ts DESC, c.event_id DESC LIMIT 1) c ON true""",
     "sql_approx_distinct": "SELECT DISTINCT event_type, true AS near FROM events",
-    "sql_gate": f"""WITH g(id, query) AS (VALUES {_GATE_ROWS}), q AS (SELECT id, trim(query) AS q, lower(trim(query)) AS l FROM g)
-        SELECT id, CASE WHEN q = '' THEN '{G.EMPTY}' WHEN {_BANNED} THEN '{G.WRITES}' WHEN contains(rtrim(q, ';'), ';') THEN '{G.SEVERAL}'
+    "sql_gate": f"""WITH g AS (SELECT conv_id, turn, CASE (conv_id + turn) % {len(FRAMES)} {_FRAMED} END AS query FROM conversations),
+        q AS (SELECT conv_id, turn, regexp_replace(query, '^\\s+|\\s+$', '', 'g') AS q, lower(regexp_replace(query, '^\\s+|\\s+$', '', 'g')) AS l FROM g)
+        SELECT conv_id, turn, CASE WHEN q = '' THEN '{G.EMPTY}' WHEN {_BANNED} THEN '{G.WRITES}' WHEN contains(rtrim(q, ';'), ';') THEN '{G.SEVERAL}'
         WHEN NOT (starts_with(l, 'select') OR starts_with(l, 'with')) THEN '{G.NO_READ}' ELSE 'ok' END AS verdict FROM q""",
     "sql_describe": "SELECT table_name, (column_index - 1)::INT AS cid, column_name AS name FROM duckdb_columns() WHERE table_name IN ('region', 'nation', 'customer')",
 }

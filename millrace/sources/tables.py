@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import io
 import re
-import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
@@ -16,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
+from millrace.sources import shared
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,15 +22,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share (spark.checkpoint.dir). Where it is unset a local session
-    gets a folder of its own; on a cluster that is an error."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path in the folder that driver and executors share; `shared.release` deletes it."""
+    return shared.new_path(spark, name)
 
 
 def files(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:

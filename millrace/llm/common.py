@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import contextlib
-import tempfile
-import uuid
-from collections.abc import Callable, Iterator, Sequence
-from contextvars import ContextVar
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.sources.shared import delete, new_path, register, release, saved, scratch, shared_dir
+
+__all__ = ["delete", "new_path", "register", "release", "saved", "scratch", "shared_dir"]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A word between ASCII blanks, as the contracts of several operators define it.
 BLANK_WORD = r"[^\x20\x09-\x0D]+"
@@ -27,67 +26,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset a local session gets a folder
-    of its own; a cluster has none that all its machines see, so there it is an error."""
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/millrace-{sc.applicationId}"
-
-
-#: The open scopes of this thread or task, the innermost last: paths that go when the scope ends.
-_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
-#: Paths that no scope owns: tables behind results. `release` deletes them.
-_kept: dict[str, list[str]] = {}
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-@contextlib.contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """Tables saved inside are deleted at the end; what is still needed must be saved as `lasting`, or written elsewhere.
-    Scopes belong to the thread that opened them, so queries in several threads don't touch each other's tables."""
-    own: list[str] = []
-    token = _scopes.set((*_scopes.get(), own))
-    try:
-        yield
-    finally:
-        _scopes.reset(token)
-        for path in own:
-            delete(spark, path)
-
-
-def register(spark: SparkSession, path: str, lasting: bool = False) -> None:
-    """Gives a path to the innermost scope (a lasting one to the scope around it), or where there is none to `release`."""
-    scopes = _scopes.get()[: -1 if lasting else None]
-    (scopes[-1] if scopes else _kept.setdefault(spark.sparkContext.applicationId, [])).append(path)
-
-
-def release(spark: SparkSession) -> int:
-    """Deletes the tables behind all results made so far, which can't be read afterwards, and says how many there were."""
-    paths = _kept.pop(spark.sparkContext.applicationId, [])
-    for path in paths:
-        delete(spark, path)
-    return len(paths)
-
-
-def saved(df: DataFrame, name: str, lasting: bool = False, by: Sequence[str] = (), **options: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends here and lost executors cost nothing. A lasting
-    table outlives the innermost scratch, not the one around it. `by` names columns whose values get a folder each."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    register(df.sparkSession, path, lasting)
-    df.write.options(**options).partitionBy(*by).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Marks a narrow saved table for broadcast only if its counted rows stay within the limit."""
     return F.broadcast(df) if df.count() <= limit else df

@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import itertools
 import math
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -88,8 +87,7 @@ class Walk:
 
     def __init__(self, spark: SparkSession, filters: str):
         self.spark, self.filters, self.seen = spark, filters, set()
-        self.path = f"{common.shared_dir(spark)}/audit-edges-{uuid.uuid4().hex}"
-        common.register(spark, self.path)
+        self.path = common.new_path(spark, "audit-edges")
 
     def visit(self, state: DataFrame, applied: frozenset[str] = frozenset()) -> None:
         self.seen.add(applied)

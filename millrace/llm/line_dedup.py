@@ -80,6 +80,7 @@ class LineRuns:
         self.spark, self.fanout = spark, fanout
         self.buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
         self.levels: list[list[str]] = []
+        self.paths: dict[str, str] = {}
 
     def __enter__(self) -> LineRuns:
         return self
@@ -90,14 +91,13 @@ class LineRuns:
 
     def _write(self, rows: DataFrame) -> str:
         name = f"line_run_{uuid.uuid4().hex}"
-        path = f"{common.shared_dir(self.spark)}/{name}"
-        common.register(self.spark, path)
+        self.paths[name] = path = common.new_path(self.spark, name)
         rows.write.bucketBy(self.buckets, *KEY).sortBy(*KEY).option("path", path).saveAsTable(name)
         return name
 
     def _drop(self, name: str) -> None:
         self.spark.sql(f"DROP TABLE {name}")
-        common.delete(self.spark, f"{common.shared_dir(self.spark)}/{name}")
+        common.delete(self.spark, self.paths.pop(name))
 
     def runs(self) -> list[DataFrame]:
         """All runs, the older ones first."""

@@ -378,14 +378,15 @@ def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         kept = common.saved(decided.where("root is not null").groupBy("root").agg(first.alias("first"), F.count("*").alias("n")), "dedup-first")
         named = common.salted_join(decided.where("root is not null"), kept, ["root"], "doc_id", "n")
         gone = named.where(F.struct("doc_id", "text_hash") != F.col("first")).select("doc_id", "text_hash").distinct()
-        gone = common.saved(gone.withColumnRenamed("text_hash", "_hash").withColumnRenamed("doc_id", "_id"), "dedup-gone", lasting=True)
+        gone = common.saved(gone.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")), "dedup-gone", lasting=True)
         again = decided.groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count()
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    hashed = docs.select(*own, F.xxhash64(F.coalesce("text", F.lit(""))).alias("_hash_of_text"))
-    stay = hashed.join(common.maybe_broadcast(gone), (F.col("doc_id") == F.col("_id")) & (F.col("_hash_of_text") == F.col("_hash")), "left_anti")
+    # the input stays in one struct, so its columns can have any names
+    row, text = F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.coalesce("text", F.lit(""))
+    hashed = docs.select(row.alias("row"), F.col("doc_id").alias("own_id"), F.xxhash64(text).alias("own_hash"))
+    stay = hashed.join(common.maybe_broadcast(gone), (F.col("own_id") == F.col("id")) & (F.col("own_hash") == F.col("hash")), "left_anti")
     if again:
-        stay = stay.where("doc_id is not null").dropDuplicates(["doc_id", "_hash_of_text"]).unionByName(stay.where("doc_id is null"))
-    return stay.select(*own)
+        stay = stay.where("own_id is not null").dropDuplicates(["own_id", "own_hash"]).unionByName(stay.where("own_id is null"))
+    return stay.select("row.*")
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -202,5 +202,5 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    directory = f"{common.shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    directory = common.new_path(spark, "token-files")
     return read_token_files(write_token_files(common.documents(spark, sf_dir), directory, public_tokenizers.path("byte_bpe_50k.json")))

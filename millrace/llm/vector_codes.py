@@ -174,14 +174,14 @@ def usable(vectors: DataFrame) -> DataFrame:
 def train(vectors: DataFrame, parts: int = PARTS, entries: int = ENTRIES, rounds: int = ROUNDS, scale: int = SCALE) -> Codebooks | None:
     """Codebooks from all usable rows; None if there are none with an id."""
     rows = usable(vectors)
-    first = [r["v"] for r in rows.where("vec_id is not null").orderBy("vec_id", "v").limit(entries).collect()]
-    if not first:
+    named = rows.where("vec_id is not null").orderBy("vec_id", "v")
+    if (one := named.first()) is None:
         return None
-    if (dim := len(first[0])) % parts:
+    if (dim := len(one["v"])) % parts:
         raise ValueError(f"vectors of {dim} components can't be cut into {parts} equal parts")
     if not 0 < entries <= 256:
         raise ValueError("a code of two hexadecimal digits names at most 256 entries")
-    start = np.floor(np.array([v for v in first if len(v) == dim], float) * scale)
+    start = np.floor(np.array([r["v"] for r in named.where(F.size("v") == dim).limit(entries).collect()], float) * scale)
     if np.abs(start).max() >= LARGEST:
         raise ValueError(f"a component times {scale} must be below {LARGEST} in size")
     books = np.ascontiguousarray(start.astype(np.int64).reshape(len(start), parts, -1).transpose(1, 0, 2))
@@ -247,7 +247,7 @@ WITH kept AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, label, list
   WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 one AS MATERIALIZED (SELECT * FROM kept WHERE len(v) = (SELECT len(v) FROM kept WHERE vec_id IS NOT NULL ORDER BY vec_id, v LIMIT 1)),
 part AS MATERIALIZED (SELECT r, p, v[p * len(v) // {PARTS} + 1 : (p + 1) * len(v) // {PARTS}] AS v FROM one, range({PARTS}) t(p)),
-book0 AS MATERIALIZED (SELECT p, e, v FROM part JOIN (SELECT r, row_number() OVER (ORDER BY vec_id, v) - 1 AS e FROM kept WHERE vec_id IS NOT NULL QUALIFY e < {ENTRIES}) USING (r)){rounds},
+book0 AS MATERIALIZED (SELECT p, e, v FROM part JOIN (SELECT r, row_number() OVER (ORDER BY vec_id, v) - 1 AS e FROM one WHERE vec_id IS NOT NULL QUALIFY e < {ENTRIES}) USING (r)){rounds},
 last AS MATERIALIZED {nearest_of(f"book{ROUNDS}")},
 coded AS (SELECT r, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM last GROUP BY r),
 books AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM book{ROUNDS})

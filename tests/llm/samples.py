@@ -3,7 +3,7 @@
 import random
 import re
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, rank int, kept string, size string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, rank int, kept string, size string, _id string, _hash long, _text string, id long, n string"
 
 
 def lowered(text):
@@ -32,12 +32,27 @@ def texts():
 
 
 def documents(spark):
-    rows = [(i, t, ("en", "de", None)[i % 3], (None, "a", "b", "ü", "z")[i % 5], len(t), i, "x", None) for i, t in enumerate(texts())]
-    rows += [(7, rows[7][1], "en", "a", 5, None, None, None)] * 2  # repeated rows
-    rows += [(500, None, None, None, None, None, None, None), (None, rows[3][1], None, "b", None, 1, "y", "z"), (None, None, None, None, None, None, None, None), (501, rows[40][1], "en", "", 3, 2, "", "")]
+    rows = [(i, t, ("en", "de", None)[i % 3], (None, "a", "b", "ü", "z")[i % 5], len(t), i, "x", None, "k", i, None, 7, "n") for i, t in enumerate(texts())]
+    other = (None,) * 5
+    rows += [(7, rows[7][1], "en", "a", 5, None, None, None, *other)] * 2  # repeated rows
+    rows += [(500, *(None,) * 7, *other), (None, rows[3][1], None, "b", None, 1, "y", "z", *other), (None,) * 13, (501, rows[40][1], "en", "", 3, 2, "", "", *other)]
     return spark.createDataFrame(rows, SCHEMA).repartition(5)
 
 
+def embeddings(spark):
+    """Vectors of small and equal components; null and non-finite ones, repeated and null ids, another dimension."""
+    rng = random.Random(4)
+    rows = [(i if i % 7 else i // 2, [rng.choice([-1.5, -0.25, 0.0, 0.001, 0.5, 2.0]) for _ in range(32)], (None, 1, 2)[i % 3]) for i in range(150)]
+    rows += [(None, [0.5] * 32, 1), (None, None, None), (3, None, 1), (4, [None] + [0.1] * 31, 1), (5, [float("nan")] * 32, 2), (6, [0.5] * 31 + [float("inf")], 2), (7, [], 2), (8, [1.0] * 16, 2)]
+    rows += [(200, [0.25] * 32, 1)] * 40
+    return spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<float>, label int, code string, v int").repartition(3)
+
+
+def labels(spark):
+    rows = [(i, i % 2, int(i % 5 == 0)) for i in range(0, 70)] + [(3, 1, 1), (3, None, 0), (None, 1, 1), (500, 1, None), (9999, 1, 1)]
+    return spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, quality int, toxic int, good string")
+
+
 def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 

@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 from millrace.llm import queries
-from tests.llm.samples import documents
+from tests.llm.samples import documents, embeddings, labels
 from tests.test_queries import rows
 
 
@@ -23,8 +23,9 @@ def test_operator_equals_its_sql(name, spark, sf):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_operator_equals_its_sql_on_odd_rows(name, spark, tmp_path):
     """Nulls, repeated rows, empty and long texts, extra columns."""
-    documents(spark).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     connection = duckdb.connect()
-    connection.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for table in (documents, embeddings, labels):
+        table(spark).coalesce(1).write.parquet(f"{tmp_path}/{table.__name__}.parquet")
+        connection.sql(f"CREATE VIEW {table.__name__} AS SELECT * FROM '{tmp_path}/{table.__name__}.parquet/*.parquet'")
     got, want = queries.QUERIES[name](spark, str(tmp_path)).toPandas(), connection.sql(queries.ORACLES[name]).df()
     assert rows(got) == rows(want)

@@ -1,14 +1,15 @@
 """Lexical retrieval packing: training sequences of related documents.
 
 Texts are encoded once. Every full window of a long document is a sequence of its own; what remains, less than one
-window, is dealt to shards. A shard holds a BM25 index of its documents, with frequencies and lengths over all ids of
-all documents: the longest remainder left seeds a sequence, its best unused neighbours by all terms of the seed's
-document follow whole, the last one is cut where the window ends, and its rest seeds the next sequence. So only the
-last sequence of a shard is padded.
+window, is dealt to shards. A shard holds a BM25 inverted index of its documents, with frequencies and lengths over all
+ids of all documents: the longest remainder left seeds a sequence, the lists of all terms of the seed's document give its
+best unused neighbours, which follow whole, the last one is cut where the window ends, and its rest seeds the next
+sequence. So only the last sequence of a shard is padded.
 
-Neighbours are searched in the seed's shard only. So that they meet there, documents are placed by a tree that splits a
-sample of BM25 vectors, projected to PLACES places, into lexically similar shares of about SHARD_TOKENS ids; what the
-sample cannot split further (equal texts, too few documents) is dealt by row. What lies in another shard is missed.
+Neighbours are searched in the seed's shard only. So that they meet there, a tree of splits, found on a sample of SAMPLE
+projected BM25 vectors, parts documents into leaves of lexically similar ones, and the signs of their places around its
+mean order a leaf. A shard is a subtree or a range of a large leaf of about SHARD_TOKENS ids, however many there are;
+only texts that no sign tells apart are parted by row. What lies in another shard is missed.
 
 Null and empty texts hold the end id only; repeated rows are packed as often as they come; an empty table gives an
 empty result; other columns of the input are not carried.
@@ -22,17 +23,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import common, pieces
 
 WINDOW, END_ID = 4096, 2
 SHARD_TOKENS = 1 << 20
-#: BM25 parameters, and how many of a seed's terms form its query: all.
-K1, B, QUERY_TERMS = 1.2, 0.75, None
-#: Places of a projected document, sampled documents a shard, at most, and in the smallest leaf of the tree.
-PLACES, SAMPLE, SAMPLE_MOST, LEAF_LEAST = 64, 64, 1 << 16, 8
+K1, B = 1.2, 0.75
+#: Places of a projected document, and how many of their signs order a leaf; documents of the sample that the tree is
+#: found on, its leaves, and the fewest sampled documents in a leaf.
+PLACES, SIGNS, SAMPLE, LEAVES, LEAF_LEAST = 64, 16, 1 << 14, 256, 8
+#: The share of listed documents that must be unused; below it the lists are made shorter.
+STALE = 0.7
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -101,68 +104,65 @@ def bm25(idf: np.ndarray, term: np.ndarray, count: np.ndarray, length: np.ndarra
 
 
 class Index:
-    """BM25 index of one shard: for each document its terms with their weights. `counts` holds the terms and counts of
-    the whole documents where `ids` are what remains of them."""
+    """BM25 inverted index of one shard: for each term the documents that hold it, with their weights. `counts` holds the
+    terms and counts of the whole documents where `ids` are what remains of them."""
 
     def __init__(self, ids: list[np.ndarray], idf: np.ndarray, average: float, counts: list[tuple[np.ndarray, np.ndarray]] | None = None):
         self.lengths = np.array([len(x) for x in ids], np.int64)
         counts = [np.unique(x, return_counts=True) for x in ids] if counts is None else counts
         sizes = np.array([len(t) for t, _ in counts], np.int64)
-        self.doc = np.repeat(np.arange(len(ids)), sizes)
-        self.term = np.concatenate([t for t, _ in counts] or [np.zeros(0)]).astype(np.int64)
+        doc = np.repeat(np.arange(len(ids), dtype=np.int32), sizes)
+        term = np.concatenate([t for t, _ in counts] or [np.zeros(0)]).astype(np.int64)
         count = np.concatenate([c for _, c in counts] or [np.zeros(0)]).astype(np.int64)
-        whole = np.bincount(self.doc, count, len(ids))
-        self.weight = bm25(idf, self.term, count, whole[self.doc], average)
-        self.terms, self.query_terms = np.unique(self.term, return_inverse=True)
-        self.query_bounds = np.append(0, np.cumsum(sizes))
-        self.keep(np.ones(len(ids), bool))
+        whole = np.bincount(doc, count, len(ids))
+        weight = bm25(idf, term, count, whole[doc], average)
+        #: The terms of each document, as numbers of this shard's terms: its query.
+        self.terms, numbered = np.unique(term, return_inverse=True)
+        self.query_terms, self.query_bounds = numbered.astype(np.int32), np.append(0, np.cumsum(sizes))
+        order = np.argsort(numbered, kind="stable")
+        self.posting_doc, self.posting_weight = doc[order], weight[order]
+        self.posting_bounds = np.append(0, np.cumsum(np.bincount(numbered, minlength=len(self.terms))))
 
     def keep(self, docs: np.ndarray) -> None:
-        """From now on only these documents are scored."""
-        held = docs[self.doc]
-        doc, self.held_terms, self.held_weight = self.doc[held], self.query_terms[held].astype(np.int32), self.weight[held]
-        self.held_docs, self.starts = np.unique(doc, return_index=True)
+        """From now on only these documents are found: the lists lose the postings of all others."""
+        held = docs[self.posting_doc]
+        self.posting_bounds = np.append(0, np.cumsum(held))[self.posting_bounds]
+        self.posting_doc, self.posting_weight = self.posting_doc[held], self.posting_weight[held]
 
     def scores(self, seed: int) -> np.ndarray:
-        asked = np.zeros(len(self.terms), np.float32)
-        begin, end = self.query_bounds[seed], self.query_bounds[seed + 1]
-        asked[self.query_terms[begin:end][:QUERY_TERMS]] = 1
-        out = np.zeros(len(self.lengths), np.float32)
-        if len(self.starts):
-            out[self.held_docs] = np.add.reduceat(self.held_weight * asked[self.held_terms], self.starts)
-        return out
+        """Scores of all documents by the terms of one: its terms' lists are read, no others."""
+        asked = self.query_terms[self.query_bounds[seed] : self.query_bounds[seed + 1]]
+        starts, sizes = self.posting_bounds[asked], self.posting_bounds[asked + 1] - self.posting_bounds[asked]
+        ends = np.cumsum(sizes)
+        at = np.repeat(starts - (ends - sizes), sizes)
+        at += np.arange(len(at))
+        return np.bincount(self.posting_doc[at], self.posting_weight[at], len(self.lengths))
 
 
 class Tree:
-    """Shards of lexically similar documents: splits of projected BM25 vectors, found on a sample."""
-
-    def __init__(self, vectors: np.ndarray, weights: np.ndarray, shards: int):
-        self.direction, self.threshold, self.child, self.first, self.parts = [], [], [], [], []
-        self.shards, whole, todo = 0, max(float(weights.sum()), 1e-9), [(self._node(), np.arange(len(vectors)))]
-        while todo:
-            node, rows = todo.pop()
-            share = weights[rows].sum() / whole * shards
-            split = self._split(vectors[rows], weights[rows], max(1, round(share))) if len(rows) >= 2 * LEAF_LEAST else None
-            if split is None:
-                self.first[node], self.parts[node] = self.shards, max(1, round(share))
-                self.shards += self.parts[node]
-                continue
-            self.direction[node], self.threshold[node], right = split
-            self.child[node] = [self._node(), self._node()]
-            todo += [(self.child[node][0], rows[~right]), (self.child[node][1], rows[right])]
-        self.direction, self.threshold, self.child = np.array(self.direction), np.array(self.threshold, np.float32), np.array(self.child)
-        self.first, self.parts = np.array(self.first), np.array(self.parts)
-
-    def _node(self) -> int:
-        for values, none in ((self.direction, np.zeros(PLACES, np.float32)), (self.threshold, 0.0), (self.child, [-1, -1]), (self.first, 0), (self.parts, 0)):
+    """Splits of projected BM25 vectors, found on a sample, into leaves of lexically similar documents; within a leaf the
+    signs of a document's first places around the leaf's mean."""
+
+    def __init__(self, vectors: np.ndarray, leaves: int = LEAVES):
+        self.direction, self.threshold, self.child, self.center = [], [], [], []
+        self._grow(vectors, leaves)
+        self.direction, self.threshold = np.array(self.direction), np.array(self.threshold, np.float32)
+        self.child, self.center = np.array(self.child), np.array(self.center, np.float32)
+
+    def _grow(self, x: np.ndarray, leaves: int) -> int:
+        """Adds the node of these vectors and those below it."""
+        node = len(self.child)
+        for values, none in ((self.direction, np.zeros(PLACES, np.float32)), (self.threshold, 0.0), (self.child, [-1, -1]), (self.center, x.mean(0) if len(x) else np.zeros(PLACES))):
             values.append(none)
-        return len(self.parts) - 1
+        if split := self._split(x) if leaves > 1 and len(x) >= 2 * LEAF_LEAST else None:
+            self.direction[node], self.threshold[node], right = split
+            share = min(max(1, round(leaves * right.mean())), leaves - 1)
+            self.child[node] = [self._grow(x[~right], leaves - share), self._grow(x[right], share)]
+        return node
 
     @staticmethod
-    def _split(x: np.ndarray, weights: np.ndarray, shards: int) -> tuple[np.ndarray, float, np.ndarray] | None:
-        """Direction between two means and the place on it that leaves whole shards on both sides."""
-        if shards < 2:
-            return None
+    def _split(x: np.ndarray) -> tuple[np.ndarray, float, np.ndarray] | None:
+        """Direction between two means, and the place on it that parts what is nearer to either."""
         a = x[np.argmax(((x - x.mean(0)) ** 2).sum(1))]
         b = x[np.argmax(((x - a) ** 2).sum(1))]
         for _ in range(8):
@@ -170,21 +170,39 @@ class Tree:
             if near.all() or not near.any():
                 break
             a, b = x[~near].mean(0), x[near].mean(0)
-        direction = (b - a).astype(np.float32)
-        at = (x * direction).sum(1)
-        order = np.argsort(at, kind="stable")
-        filled = np.cumsum(weights[order])
-        left = min(max(1, round(shards * weights[~near].sum() / filled[-1])), shards - 1)
-        threshold = at[order[np.searchsorted(filled, filled[-1] * left / shards)]]
-        right = at > threshold
+        direction, threshold = (b - a).astype(np.float32), np.float32((b @ b - a @ a) / 2)
+        right = (x * direction).sum(1) > threshold
         return (direction, threshold, right) if right.any() and not right.all() else None
 
-    def shard(self, x: np.ndarray, dealt: np.ndarray) -> np.ndarray:
+    def place(self, x: np.ndarray) -> np.ndarray:
+        """The leaf of documents, then SIGNS signs."""
         node = np.zeros(len(x), np.int64)
         while (inner := np.flatnonzero(self.child[node, 0] >= 0)).size:
             n = node[inner]
             node[inner] = self.child[n, ((x[inner] * self.direction[n]).sum(1) > self.threshold[n]).astype(int)]
-        return self.first[node] + dealt % self.parts[node]
+        signs = (x > self.center[node])[:, :SIGNS] @ (1 << np.arange(SIGNS - 1, -1, -1, dtype=np.int64))
+        return node << SIGNS | signs
+
+    def groups(self, ids: dict[int, int], shard_tokens: int) -> dict[int, tuple[int, int, int]]:
+        """For each leaf its group, how many shards that has, and its ids; ids: of each leaf. The largest subtrees that
+        round to one shard are groups, else leaves."""
+        out: dict[int, tuple[int, int, int]] = {}
+
+        def leaves(node: int) -> list[int]:
+            return [int(node)] if self.child[node, 0] < 0 else [*leaves(self.child[node, 0]), *leaves(self.child[node, 1])]
+
+        def visit(node: int) -> None:
+            below = leaves(node)
+            total = sum(ids.get(x, 0) for x in below)
+            shards = max(1, round(total / shard_tokens))
+            if shards == 1 or len(below) == 1:
+                out.update({x: (node, shards, total) for x in below})
+            else:
+                visit(self.child[node, 0])
+                visit(self.child[node, 1])
+
+        visit(0)
+        return out
 
 
 def projected(counts: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray, average: float, places: np.ndarray) -> np.ndarray:
@@ -196,10 +214,8 @@ def projected(counts: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray, aver
     return np.divide(out, size, out=out, where=size > 0)
 
 
-def placed(rests: DataFrame, idf: np.ndarray, average: float, width: int, shards: int, n: int, window: int) -> Column:
-    """Column of the shard of a remainder."""
-    if shards < 2:
-        return F.lit(0).cast("long")
+def placed(rests: DataFrame, idf: np.ndarray, average: float, width: int, n: int) -> tuple[DataFrame, Tree]:
+    """The rests with their leaf, the signs in it and their ids; and the tree."""
 
     def vectors(rest: pd.Series, terms: pd.Series, counts: pd.Series, signs: np.ndarray) -> np.ndarray:
         return projected([term_counts(*x, width) for x in zip(rest, terms, counts)], idf, average, signs)
@@ -213,26 +229,53 @@ def placed(rests: DataFrame, idf: np.ndarray, average: float, width: int, shards
         for rest, terms, counts in batches:
             yield pd.Series([x.tobytes() for x in vectors(rest, terms, counts, s)], index=rest.index, dtype=object)
 
-    every = max(1, n // min(SAMPLE_MOST, SAMPLE * shards))
-    chosen = rests.where(F.pmod(F.xxhash64("row"), F.lit(every)) == 0)
-    # a short remainder costs a row's work besides its ids
-    sample = chosen.select("row", vector("rest", "terms", "counts").alias("v"), (F.octet_length("rest") / width + window / 64).alias("w")).toPandas().sort_values("row")
-    tree = Tree(np.frombuffer(b"".join(sample["v"]), np.float32).reshape(-1, PLACES), sample["w"].to_numpy(float), shards)
+    chosen = rests.where(F.pmod(F.xxhash64("row"), F.lit(max(1, n // SAMPLE))) == 0)
+    sample = chosen.select("row", vector("rest", "terms", "counts").alias("v")).toPandas().sort_values("row")
+    tree = Tree(np.frombuffer(b"".join(sample["v"]), np.float32).reshape(-1, PLACES))
 
     @F.pandas_udf("long")
-    def shard(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+    def place(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         s = signs()
-        for rest, terms, counts, dealt in batches:
-            yield pd.Series(tree.shard(vectors(rest, terms, counts, s), dealt.to_numpy()), index=rest.index)
-
-    return shard("rest", "terms", "counts", F.pmod(F.xxhash64("row", F.lit(1)), F.lit(1 << 31)))
+        for rest, terms, counts in batches:
+            yield pd.Series(tree.place(vectors(rest, terms, counts, s)), index=rest.index)
+
+    made = rests.withColumn("place", place("rest", "terms", "counts"))
+    return made.withColumns({"leaf": F.shiftright("place", SIGNS), "ids": (F.octet_length("rest") / width).cast("long")}), tree
+
+
+def sharded(rests: DataFrame, idf: np.ndarray, average: float, width: int, n: int, shard_tokens: int) -> DataFrame:
+    """The rests with the number of their shard: a group of leaves, or a range of a large leaf's signs of about
+    shard_tokens ids. The ids before a range are summed over counts by place, of which a leaf has at most 2^SIGNS; what
+    no sign tells apart and is still larger is parted by row, into the shards that its ids reach over."""
+    rows, tree = placed(rests, idf, average, width, n)
+    rows = common.saved(rows, "pack-placed", lasting=True)
+    counts = common.saved(rows.groupBy("leaf", "place").agg(F.sum("ids").alias("ids"), F.count("*").alias("n")), "pack-places")
+    leaves = {r["leaf"]: r["ids"] for r in counts.groupBy("leaf").agg(F.sum("ids").alias("ids")).collect()}  # at most LEAVES rows
+    groups, first, begins = tree.groups(leaves, shard_tokens), 0, {}
+    for group, shards, _ in groups.values():
+        if group not in begins:
+            begins[group], first = first, first + shards
+    named = [(leaf, begins[group], shards, total) for leaf, (group, shards, total) in groups.items()]
+    named = rests.sparkSession.createDataFrame(named, "leaf long, first long, shards long, total long")
+    before = F.coalesce(F.sum("ids").over(Window.partitionBy("leaf").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    at = F.when(F.col("shards") == 1, 0).otherwise(F.floor(before * F.col("shards") / F.col("total")))
+    parts = F.when(F.col("shards") == 1, 1).otherwise(F.greatest(F.round(F.col("ids") / shard_tokens), F.lit(1)))
+    dealt = counts.join(F.broadcast(named), "leaf").select("place", "n", "first", "shards", at.cast("long").alias("at"), parts.cast("long").alias("parts"))
+    dealt, rows = common.saved(dealt, "pack-dealt", lasting=True), rows.drop("leaf", "ids")
+    if dealt.count() <= common.BROADCAST_ROWS:
+        found = rows.join(F.broadcast(dealt.drop("n")), "place")
+    else:
+        found = common.salted_join(rows, dealt, ["place"], "row", "n")
+    part = F.pmod(F.xxhash64("row", F.lit(1)), F.col("parts"))
+    number = F.col("first") + F.least(F.col("at") + part, F.col("shards") - 1)
+    return found.withColumn("number", number).drop("place", "first", "shards", "at", "parts")
 
 
 def pack_shard(ids: list[np.ndarray], index: Index, window: int) -> Iterator[tuple[int, int, int, int, int]]:
     """(document, begin, length, sequence, offset) of every piece of a shard's remainders."""
     unused = index.lengths > 0
     index.keep(unused)
-    left = scored = int(unused.sum())
+    left = listed = int(unused.sum())
     order, at = np.argsort(-index.lengths, kind="stable"), 0
     sequence = used = 0
     carried: tuple[int, int] | None = None  # a document cut at the end of the last sequence, and where
@@ -251,9 +294,9 @@ def pack_shard(ids: list[np.ndarray], index: Index, window: int) -> Iterator[tup
         length = int(index.lengths[seed]) - begin
         yield seed, begin, length, sequence, 0
         used = length
-        if left < scored / 2:
+        if left < listed * STALE:
             index.keep(unused)
-            scored = left
+            listed = left
         found = index.scores(seed) if used < window and left else None
         while used < window and left:
             scores = np.where(unused, found, -1.0)
@@ -283,11 +326,14 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, shard_token
     frequency = term_frequencies(rests, v.size, width)
     idf = np.log1p((n - frequency + 0.5) / (frequency + 0.5)).astype(np.float32)
     average = totals["average"] or 0.0
-    shards = max(1, -(-total // shard_tokens))
+    if total > shard_tokens:
+        rows = sharded(rests, idf, average, width, n, shard_tokens)
+    else:
+        rows = rests.withColumn("number", F.lit(0).cast("long"))
 
     def shard(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("row", kind="stable")
-        number = int(frame["shard"].iloc[0])
+        number = int(frame["number"].iloc[0])
         ids = [np.frombuffer(x, f"<u{width}") for x in frame["rest"]]
         doc_ids = [None if none else d for d, none in zip(frame["doc_id"].tolist(), frame["no_id"])]
         tokens, windows = frame["doc_tokens"].tolist(), frame["windows"].tolist()
@@ -304,9 +350,8 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, shard_token
         return pd.DataFrame({c: pd.array(list(values), "Int64") for c, values in zip(columns, zip(*out))})
 
     # a column with nulls would reach pandas as floats
-    ids_apart = {"doc_id": F.coalesce("doc_id", F.lit(0)), "no_id": F.col("doc_id").isNull()}
-    dealt = rests.withColumns({"shard": placed(rests, idf, average, width, shards, n, window), **ids_apart})
-    return dealt.groupBy("shard").applyInPandas(shard, PIECE)
+    rows = rows.withColumns({"doc_id": F.coalesce("doc_id", F.lit(0)), "no_id": F.col("doc_id").isNull()})
+    return rows.groupBy("number").applyInPandas(shard, PIECE)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

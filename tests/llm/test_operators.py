@@ -342,6 +342,19 @@ def test_packing(docs, held):
     assert padding < 0.1 * window * len(sequences)
 
 
+def plain_scores(ids, frequency, n, average, seed):
+    """BM25 of every document by the distinct terms of one, term by term."""
+    out = []
+    for x in ids:
+        score = 0.0
+        for t in set(ids[seed].tolist()):
+            count = int((x == t).sum())
+            idf = math.log1p((n - frequency[t] + 0.5) / (frequency[t] + 0.5))
+            score += idf * count * (packing.K1 + 1) / (count + packing.K1 * (1 - packing.B + packing.B * len(x) / average))
+        out.append(score)
+    return out
+
+
 def test_packing_prefers_neighbours():
     rng = np.random.default_rng(0)
     ids = [rng.integers(1000 * (i % 2), 1000 * (i % 2) + 60, 100) for i in range(40)]
@@ -350,8 +363,7 @@ def test_packing_prefers_neighbours():
         frequency[np.unique(x)] += 1
     index = packing.Index(ids, np.log1p((40 - frequency + 0.5) / (frequency + 0.5)).astype(np.float32), 100.0)
     for seed in range(40):
-        want = [sum(float(index.weight[(index.term == t) & (index.doc == d)].sum()) for t in index.terms[index.query_terms[index.query_bounds[seed] : index.query_bounds[seed + 1]]][: packing.QUERY_TERMS]) for d in range(40)]
-        assert np.allclose(index.scores(seed), want, rtol=1e-4)
+        assert np.allclose(index.scores(seed), plain_scores(ids, frequency, 40, 100.0, seed), rtol=1e-4)
     mixed = collections.defaultdict(set)
     for d, _, _, s, _ in packing.pack_shard(ids, index, 1000):
         mixed[s].add(d % 2)
@@ -366,8 +378,7 @@ def test_packing_takes_the_best_unused_neighbours():
     for x in ids:
         frequency[np.unique(x)] += 1
     idf = np.log1p((70 - frequency + 0.5) / (frequency + 0.5)).astype(np.float32)
-    weights = packing.Index(ids, idf, 150.0)
-    score = lambda seed: [float(weights.weight[(weights.doc == d) & np.isin(weights.term, ids[seed])].sum()) for d in range(70)]
+    score = lambda seed: plain_scores(ids, frequency, 70, 150.0, seed)
     unused, want, sequence, carried = set(range(70)), [], 0, None
     while unused or carried:
         seed, begin = carried or (min(unused, key=lambda d: (-len(ids[d]), d)), 0)
@@ -413,12 +424,28 @@ def test_packing_counts_whole_documents(spark):
 
 
 def test_packing_scores_all_terms():
+    """Lists of kept documents give the scores of all terms; others are found no more."""
     ids = [np.arange(40), np.arange(30, 60), np.arange(100, 130), np.array([39, 200])]
-    index = packing.Index(ids, np.linspace(5, 1, 300).astype(np.float32), 30.0)
-    for seed in range(4):
-        want = [float(index.weight[(index.doc == d) & np.isin(index.term, ids[seed])].sum()) for d in range(4)]
-        assert np.allclose(index.scores(seed), want, rtol=1e-4)
-    assert index.scores(0)[3] > 0
+    frequency = np.zeros(300)
+    for x in ids:
+        frequency[x] += 1
+    index = packing.Index(ids, np.log1p((4 - frequency + 0.5) / (frequency + 0.5)).astype(np.float32), 30.0)
+    want = [plain_scores(ids, frequency, 4, 30.0, seed) for seed in range(4)]
+    assert all(np.allclose(index.scores(seed), want[seed], rtol=1e-4) for seed in range(4)) and want[0][3] > 0
+    index.keep(np.array([True, False, True, True]))
+    assert all(np.allclose(index.scores(seed), np.array(want[seed]) * [1, 0, 1, 1], rtol=1e-4) for seed in range(4))
+    index.keep(np.zeros(4, bool))
+    assert not index.scores(0).any()
+
+
+def test_packing_parts_equal_texts(spark):
+    """One text a third of all rows, and rows of nothing else: no shard holds more than its share."""
+    rows = [(i, "same words again and again " * 8 if i % 3 == 0 else f"other{i} text{i} of{i} its{i} own{i} " * 8) for i in range(600)]
+    made = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), WORD_BPE, window=256, shard_tokens=4000).collect()
+    shards = collections.Counter()
+    for p in made:
+        shards[p.sequence_id >> 40] += p.length
+    assert len(shards) > 5 and max(shards.values()) < 4 * sum(shards.values()) / len(shards)
 
 
 # 8

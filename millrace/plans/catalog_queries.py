@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,8 +104,28 @@ def catalog_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.all_chunks([kb]).select("filename", "chunk_index", "content", F.size("embedding").alias("dim"))
 
 
+def catalog_bulk_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A workbook of every customer's orders, all uploaded in one change and ingested in another, then read back with their
+    files' rows and the id that the next file would get."""
+    row = F.struct("o_orderkey", F.array(F.col("o_orderkey").cast("string"), "o_orderstatus", "o_orderpriority").alias("cells"))
+    books = S.table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.transform(F.sort_array(F.collect_list(row)), lambda r: r["cells"]).alias("body"))
+
+    @F.pandas_udf("binary")
+    def written(bodies: pd.Series) -> pd.Series:
+        return bodies.map(lambda body: S.workbook_bytes([("orders", [["key", "status", "priority"], *body])]))
+
+    catalog = C.Catalog(spark, S.shared_path(spark, "catalog"))
+    kb = catalog.create_kb("customers")
+    catalog.save_uploads(kb, books.select(F.concat(F.lit("in/customer-"), F.col("o_custkey").cast("string"), F.lit(".xlsx")).alias("filename"), written("body").alias("content")))
+    catalog.ingest_all(kb)
+    files = catalog.files(kb).select("file_id", "chunk_count", "status")
+    made = catalog.all_chunks([kb]).join(files, "file_id").join(F.broadcast(catalog.next_ids().select(F.col("kb_id"), "next_id")), "kb_id")
+    return made.select("file_id", "filename", "chunk_index", "content", "chunk_count", "status", "next_id")
+
+
 QUERIES = {f.__name__: f for f in (
     files_page, files_pages, files_meta, files_mime, file_name_search, chunk_search, chunk_listing, read_chunks_semijoin, upload_upsert, delete_cascade, next_id, kb_listing, catalog_roundtrip, catalog_ingest,
+    catalog_bulk_ingest,
 )}
 ORACLES = {
     "files_page": f"WITH {FILES_SQL} SELECT file_id, filename, chunk_count FROM files ORDER BY file_id LIMIT 10 OFFSET 20",
@@ -126,5 +147,9 @@ ORACLES = {
     "kb_listing": "SELECT 'kb-' || n_nationkey AS id, coalesce(r_name, 'Knowledge Base ' || n_nationkey) AS name, n_nationkey::BIGINT AS kb_id FROM nation LEFT JOIN region ON n_nationkey = r_regionkey",
     "catalog_ingest": """SELECT 'regions.xlsx' AS filename, 0 AS chunk_index, '[Table] regions' || chr(10) || '[Sheet] regions' || chr(10) || '| key | name |' || chr(10) || '| --- | --- |' || chr(10)
         || string_agg('| ' || r_regionkey || ' | ' || r_name || ' |', chr(10) ORDER BY r_regionkey) AS content, 16 AS dim FROM region""",
+    "catalog_bulk_ingest": """WITH f AS (SELECT 'customer-' || o_custkey || '.xlsx' AS filename, 'customer-' || o_custkey AS stem, string_agg('| ' || o_orderkey || ' | ' || o_orderstatus || ' | ' || o_orderpriority || ' |', chr(10) ORDER BY o_orderkey) AS body
+          FROM orders GROUP BY o_custkey)
+        SELECT row_number() OVER (ORDER BY filename) AS file_id, filename, 0 AS chunk_index, '[Table] ' || stem || chr(10) || '[Sheet] orders' || chr(10) || '| key | status | priority |' || chr(10) || '| --- | --- | --- |' || chr(10) || body AS content,
+          1 AS chunk_count, 'done' AS status, (SELECT count(*) + 1 FROM f) AS next_id FROM f""",
     "catalog_roundtrip": "SELECT doc_id::INT AS chunk_index, length(text)::INT AS n, (SELECT count(*) FROM documents)::INT AS chunk_count, 'done' AS status FROM documents",
 }

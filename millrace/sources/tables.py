@@ -103,8 +103,13 @@ def _sheet_rows(data: bytes, max_cols: int) -> Iterator[tuple[int, str, int, lis
 
 
 def workbook_rows(content: DataFrame, max_rows: int = 2000, max_cols: int = 50) -> DataFrame:
-    """path, sheet_no, sheet, row_no and cells of .xlsx files: at most max_rows rows a sheet that are not blank, the header
-    included. A damaged file has the rows before the damage, or none."""
+    """path, sheet_no, sheet, row_no and cells of the .xlsx files that can be read whole."""
+    return read_workbooks(content, max_rows, max_cols).where("error is null").drop("error")
+
+
+def read_workbooks(content: DataFrame, max_rows: int = 2000, max_cols: int = 50) -> DataFrame:
+    """path, sheet_no, sheet, row_no, cells and error of .xlsx files: at most max_rows rows a sheet that are not blank, the
+    header included. A damaged file has one row with its error and no other."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -115,11 +120,12 @@ def workbook_rows(content: DataFrame, max_rows: int = 2000, max_cols: int = 50)
                         if any(c.strip() for c in cells) and seen.setdefault(sheet_no, 0) < max_rows:
                             seen[sheet_no] += 1
                             rows.append((path, sheet_no, sheet, number, cells))
-                except (zipfile.BadZipFile, KeyError, IndexError, ValueError, TypeError, ElementTree.ParseError):
-                    pass
-                yield pd.DataFrame(rows, columns=["path", "sheet_no", "sheet", "row_no", "cells"])
+                    made = pd.DataFrame(rows, columns=["path", "sheet_no", "sheet", "row_no", "cells"]).assign(error=None)
+                except Exception as e:  # zip, XML, references: whatever a damaged file raises
+                    made = pd.DataFrame({"path": [path], "sheet_no": [0], "sheet": [None], "row_no": [0], "cells": [None], "error": [f"the workbook can't be read: {type(e).__name__}: {e}"]})
+                yield made
 
-    return content.select("path", "content").mapInPandas(run, "path string, sheet_no int, sheet string, row_no int, cells array<string>")
+    return content.select("path", "content").mapInPandas(run, "path string, sheet_no int, sheet string, row_no int, cells array<string>, error string")
 
 
 def workbook_bytes(sheets: list[tuple[str, list[list[str]]]]) -> bytes:

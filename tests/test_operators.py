@@ -288,6 +288,82 @@ def test_ingest(spark, tmp_path):
     assert c.clear_vectors(kb) == 6 and c.clear_vectors(kb) == 0 and c.all_chunks([kb]).count() == 7
 
 
+def folders(tmp_path):
+    return {str(p.relative_to(tmp_path)) for p in tmp_path.glob("kb/*/*/*") if p.is_dir()} | {str(p.relative_to(tmp_path)) for p in tmp_path.glob("kb/kb/*")}
+
+
+def test_bulk_ingest(spark, tmp_path):
+    """Many uploads in one change: what is damaged keeps its state and has its error; a later upload starts over."""
+    c = catalog.Catalog(spark, f"file://{tmp_path}/kb")
+    kb = c.create_kb("a")
+    book = lambda cell: tables.workbook_bytes([("S", [["h"], [cell]])])
+    assert c.save_upload(kb, "old.xlsx", book("old")) == 1
+    half = book("x" * 5000)
+    broken = bytearray(book("y"))
+    broken[60] ^= 255
+    rows = [("in/a.xlsx", book("1")), ("b.xlsx", book("2")), ("old.xlsx", book("new")), ("half.xlsx", half[: len(half) // 2]), ("junk.xlsx", b"junk"), ("empty.xlsx", tables.workbook_bytes([("S", [])])), ("p.pdf", b"1 Scope\ntext"), ("bad.pdf", b"\xff"), ("b.xlsx", book("2"))]
+    uploads = spark.createDataFrame([(n, bytearray(b)) for n, b in rows], "filename string, content binary")
+    assert c.save_uploads(kb, uploads) == 8
+    before = len(c.snapshots())
+    errors = {r.filename: r.error for r in c.ingest_all(kb, bytes.decode, vectors.HashEmbedder(4)).collect()}
+    assert set(errors) == {"half.xlsx", "junk.xlsx", "bad.pdf"} and errors["half.xlsx"].startswith("the workbook can't be read: BadZipFile") and errors["bad.pdf"].startswith("UnicodeDecodeError")
+    assert len(c.snapshots()) == before + 1
+    files = {r.filename: r for r in c.files(kb).collect()}
+    assert [files[n].file_id for n in ("old.xlsx", "a.xlsx", "b.xlsx", "bad.pdf")] == [1, 2, 3, 4] and c.next_ids().first()["next_id"] == 9
+    assert {n for n, r in files.items() if r.status == "done"} == {"old.xlsx", "a.xlsx", "b.xlsx", "empty.xlsx", "p.pdf"}
+    got = {r.filename: (r.content.rsplit("\n", 1)[-1], len(r.embedding)) for r in c.all_chunks([kb]).collect()}
+    assert got["old.xlsx"] == ("| new |", 4) and got["a.xlsx"] == ("| 1 |", 4) and got["p.pdf"][0] == "text" and got["empty.xlsx"][0].startswith("[ExcelEmpty]")
+    assert c.chunks(kb, 2).first()["content"].endswith("| 1 |")
+    assert c.ingest_all(kb, bytes.decode).count() == 3 and len(c.snapshots()) == before + 2
+    assert c.delete_files(kb, spark.createDataFrame([(1,), (2,), (99,), (2,)], "file_id long")) == 2 and c.files(kb).count() == 6
+    with pytest.raises(Exception, match="only .pdf"):
+        c.save_uploads(kb, spark.createDataFrame([("x.exe", bytearray(b""))], "filename string, content binary"))
+    assert c.save_uploads(kb, uploads.where("false")) == 0
+
+
+def test_writers_that_meet(spark, tmp_path, monkeypatch):
+    """A change that another writer has overtaken is made again; its chunks are written once."""
+    c, other = (catalog.Catalog(spark, f"file://{tmp_path}/kb") for _ in range(2))
+    kb = c.create_kb("a")
+    a, b = c.save_upload(kb, "a.pdf"), c.save_upload(kb, "b.pdf")
+    chunks = spark.createDataFrame([(0, "p")], "chunk_index int, content string")
+    commit, met = catalog.Catalog._commit, []
+
+    def overtaken(self, state):
+        if self is c and len(met) < 2:
+            met.append(other.save_upload(kb, f"other{len(met)}.pdf"))
+        commit(self, state)
+
+    monkeypatch.setattr(catalog.Catalog, "_commit", overtaken)
+    assert c.save_chunks(kb, a, chunks) == 1
+    assert met == [3, 4] and {r.filename: r.status for r in c.files(kb).collect()} == {"a.pdf": "done", "b.pdf": "uploaded", "other0.pdf": "uploaded", "other1.pdf": "uploaded"}
+    assert len(list((tmp_path / "kb/chunks/kb_id=1").iterdir())) == 1
+    monkeypatch.setattr(catalog.Catalog, "_commit", lambda self, state: (_ for _ in ()).throw(catalog.ChangedMeanwhile("always")))
+    with pytest.raises(catalog.ChangedMeanwhile):
+        c.delete_file(kb, b)
+
+
+def test_snapshots_and_clean(spark, tmp_path):
+    c = catalog.Catalog(spark, f"file://{tmp_path}/kb")
+    kb = c.create_kb("a")
+    a = c.save_upload(kb, "a.xlsx", tables.workbook_bytes([("S", [["h"], ["1"]])]))
+    for text in ("one", "two", "three"):
+        c.save_chunks(kb, a, spark.createDataFrame([(0, text)], "chunk_index int, content string"))
+    numbers = c.snapshots()
+    assert numbers == [1, 2, 3, 4, 5]
+    at = lambda n: [r.content for r in catalog.Catalog(spark, c.path, n).chunks(kb, a).collect()]
+    assert [at(n) for n in numbers[1:]] == [[], ["one"], ["two"], ["three"]]
+    with pytest.raises(ValueError, match="can't be changed"):
+        catalog.Catalog(spark, c.path, 3).create_kb("b")
+    assert len(folders(tmp_path)) == 1 + 4 + 1 + 3  # collections, file lists, upload, chunks
+    assert c.clean(keep=2) == 2 + 1 and c.snapshots() == [4, 5] and at(4) == ["two"] and at(5) == ["three"]
+    with pytest.raises(ValueError, match="no snapshot"):
+        at(3)
+    c.delete_kb(kb)
+    assert c.clean(keep=1) > 0 and folders(tmp_path) == {str(p.relative_to(tmp_path)) for p in tmp_path.glob("kb/kb/*")} and len(folders(tmp_path)) == 1
+    assert c.clean(keep=1) == 0 and c.create_kb("b") == 1 and c.all_chunks([1]).count() == 0
+
+
 def test_gate_reads_registered_tables_only(spark, sf, tmp_path):
     sqlgate.register(spark, sf, ("region",))
     path = f"{sf}/region.parquet"
@@ -296,10 +372,23 @@ def test_gate_reads_registered_tables_only(spark, sf, tmp_path):
     spark.sql(f"create table if not exists kept using parquet location 'file://{tmp_path}/kept' as select 1 as a")
     refused = (f"select * from parquet.`{path}`", f"select (select count(*) from parquet.`{path}`) as n", f"with x as (select * from parquet.`{path}`) select * from x", "select java_method('java.lang.System', 'getProperty', 'user.home')",
                "select `reflect`('java.lang.System', 'getProperty', 'user.home')", "select transform(r_name) using 'cat' as (x string) from region", "select * from kept", "with x as (select 1 as a) insert\ninto kept select * from x", f"select * from text.`{path}`")
+    names = "== Analyzed Logical Plan =="
+    refused += (
+        f"SELECT '{names}' AS x, r_name FROM parquet.`{path}`", f"SELECT '{names}' AS m, a FROM (SELECT TRANSFORM(r_name) USING 'echo ran' AS (a string) FROM region)",
+        f"SELECT r_name FROM IDENTIFIER('parquet.`{path}`')", "SELECT 'CTE [kept]' AS c, a FROM kept", "select identifier('reflect')('java.lang.System', 'getenv', 'HOME')", "select * from default.kept",
+        "with kept as (select 1 as a) select * from (select * from spark_catalog.default.kept)", "with x as (select * from kept), kept as (select 1 as a) select * from x", "select * from (with kept as (select 1) select * from kept) join kept",
+        "select * from region where exists (select * from kept)", "select * from region order by (select max(a) from kept)", "select max(r_name) over (order by (select a from kept)) from region", "select * from region, lateral (select * from kept)",
+        "select transform(array(1), x -> reflect('java.lang.System', 'getenv', 'HOME'))", "select builtin.reflect('java.lang.System', 'getenv', 'HOME')", "select * from sql_keywords()", "select '${env:HOME}'",
+        "with recursive r(n) as (select 1 union all select a from kept) select * from r", "select * from region version as of 1",
+    )
     for query in refused:
         with pytest.raises(ValueError):
             sqlgate.run_query(spark, query)
     assert spark.table("kept").count() == 1
+    for query in ("SELECT 'we reflect' AS n", f"select '{names}' as n", "with kept as (select 5 as n) select n from kept", "with recursive r(n) as (select 1 union all select n + 1 from r where n < 5) select max(n) as n from r",
+                  "select n from region lateral view explode(array(5)) t as n", "select n from (values (5)) t(n) where n in (select count(*) from region)", "select x as n from region, lateral (select 5 as x)"):
+        assert sqlgate.run_query(spark, query).count() >= 1
+    assert sqlgate.open_database(spark, None) == sqlgate.NO_DATABASE and sqlgate.open_database(spark, f"file://{tmp_path}/none").startswith(sqlgate.MISSING_DATABASE) and sqlgate.open_database(spark, sf) is None
     spark.sql("drop table kept")
     assert sqlgate.query_result(spark, allowed[0]) == {"ok": True, "columns": ["n"], "rows": [[5]]} and not sqlgate.query_result(spark, "drop table x")["ok"]
 

@@ -26,6 +26,8 @@ CUT = regex.compile(r"(?<=[^\s])(?= [^\s])")
 SLICE = 1 << 20
 TAIL = ".,;:!?#*$%&|"
 CACHE = 100_000
+#: How many times as many pre-tokens as units are cached.
+PIECES = 3
 #: Where white space stands on both sides of a space (or the text ends after it).
 MIXED_BLANKS = r"[\s\v\x1c-\x1f\x{85}\p{Z}] ([\s\v\x1c-\x1f\x{85}\p{Z}]|$)"
 
@@ -122,13 +124,22 @@ class ByUnit:
     def __init__(self, path: str, make: Callable[[str], Any], special: Callable[[str], Any], add: Callable[[list], Any], cache: int | None = None):
         self.vocabulary = vocabulary(path)
         self.special, self.add = special, add
-        self.piece, self.plain, self.spaced = Cache(make, cache), Cache(self.whole, cache), Cache(lambda unit: self.whole(" " + unit), cache)
+        # a missed unit costs little if its pre-tokens are known, of which there are fewer
+        self.piece = Cache(make, PIECES * (cache or CACHE))
+        self.plain, self.spaced = Cache(self.whole, cache), Cache(lambda unit: self.whole(" " + unit), cache)
 
     def whole(self, text: str) -> Any:
+        if self.vocabulary.lowers and text.isascii():
+            # ASCII letters and closing marks, the commonest case: two pre-tokens at most
+            if text.isalpha():
+                return self.piece[text.lower()]
+            core = text.rstrip(TAIL)
+            if core.isalpha():
+                return self.add([self.piece[core.lower()], self.piece[text[len(core) :]]])
         core = text.rstrip(TAIL)
         head = core[1:] if core[:1] == " " else core
         if head.isalpha() and (not self.vocabulary.lowers or text.isascii() or plain_letters(head)):
-            # letters and closing marks, the common case: two pre-tokens at most
+            # other letters
             value = self.piece[core.replace("Σ", "σ").lower() if self.vocabulary.lowers else core]
             return value if len(core) == len(text) else self.add([value, self.piece[text[len(core) :]]])
         out = []

@@ -114,10 +114,11 @@ class ChangedMeanwhile(ValueError):
 
 class Catalog:
     """Versioned tables below a path that driver and executors share, and whose renames fail if the target exists. A
-    catalog opened `at` the number of a snapshot reads that state and refuses changes."""
+    catalog opened `at` the number of a snapshot reads that state and refuses changes. An `indexed` one writes a segment
+    of the keyword index with every version of chunks; so must all writers of its path, or their chunks are not found."""
 
-    def __init__(self, spark: SparkSession, path: str, at: int | None = None):
-        self.spark, self.path, self.at = spark, path.rstrip("/"), at
+    def __init__(self, spark: SparkSession, path: str, at: int | None = None, indexed: bool = False):
+        self.spark, self.path, self.at, self.indexed = spark, path.rstrip("/"), at, indexed
         self._jvm = spark.sparkContext._jvm
         self._root = self._jvm.org.apache.hadoop.fs.Path(self.path)
         self._fs = self._root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -220,6 +221,7 @@ class Catalog:
         for table, named in (("files", tables), ("uploads", uploads)):
             gone += [x for kb in self._names(table) for v in self._names(f"{table}/{kb}") if (x := f"{table}/{kb}/{v}") not in named]
         gone += [f"chunks/{x}" for kb in self._names("chunks") for v in self._names(f"chunks/{kb}") if (x := f"{kb}/{v}") not in chunks]
+        gone += [f"postings/{x}" for kb in self._names("postings") for v in self._names(f"postings/{kb}") if (x := f"{kb}/{v}") not in chunks]
         gone += [f"pointers/{x}" for x in self._names("pointers") if x.startswith("draft-")]
         for number in numbers[:-keep]:
             self._fs.delete(self._path(f"pointers/{number:012d}"), False)
@@ -365,6 +367,10 @@ class Catalog:
         where = f"{self.path}/chunks/kb_id={kb_id}/version={version}"
         columns = [F.col(c.split(" ")[0]).cast(c.split(" ", 1)[1]) for c in STORED.split(", ")]
         chunks.select(*columns).repartitionByRange("file_id", "chunk_index").sortWithinPartitions("file_id", "chunk_index").write.parquet(where)
+        if self.indexed:
+            from millrace.operators import keyword_index
+
+            keyword_index.postings(self.spark.read.schema(STORED).parquet(where)).write.parquet(f"{self.path}/postings/kb_id={kb_id}/version={version}")
         return version, self.spark.read.schema(STORED).parquet(where).groupBy("file_id").agg(F.count("*").cast("int").alias("_n"))
 
     def _save(self, kb_id: int, chunks: DataFrame, also: int | None = None) -> None:
@@ -398,6 +404,14 @@ class Catalog:
         self._save(kb_id, chunks.withColumn("file_id", F.lit(file_id).cast("long")), also=file_id)
         return self._files(self._state(), kb_id).where(F.col("file_id") == file_id).agg(F.max("chunk_count")).first()[0] or 0
 
+    def save_all(self, kb_id: int, chunks: DataFrame) -> None:
+        """Replaces the chunks (file_id, chunk_index, content and optionally metadata and embedding) of all files that have
+        any, in one change."""
+        for column, kind in (("metadata", "string"), ("embedding", "array<double>")):
+            if column not in chunks.columns:
+                chunks = chunks.withColumn(column, F.lit(None).cast(kind))
+        self._save(kb_id, chunks)
+
     def add_vectors(self, kb_id: int, file_id: int, rows: DataFrame) -> int:
         """Appends chunks with vectors to a file; all must have the dimension of the vectors that it has."""
         from millrace.operators import vectors
@@ -420,6 +434,23 @@ class Catalog:
         stored = self.spark.read.schema(SCHEMAS["chunks"]).parquet(f"{self.path}/chunks").where(F.col("kb_id").isin(list(kb_ids)))
         return stored.join(files, ["kb_id", "file_id", "version"]).drop("version")
 
+    def keyword_search(self, kb_ids: list[int], query: str, k: int = 5) -> DataFrame:
+        """The k best chunks of every collection by the index: kb_id, file_id, chunk_index, score, rank and content."""
+        from millrace.operators import keyword_index
+
+        chunks = self.all_chunks(kb_ids).select("kb_id", "file_id", "chunk_index", "content")
+        if not self._fs.exists(self._path("postings")):
+            return chunks.select("kb_id", "file_id", "chunk_index", F.lit(0.0).alias("score"), F.lit(0).alias("rank"), "content").where("false")
+        state, live = self._state(), None
+        for kb_id in kb_ids:
+            own = self._files(state, kb_id).select("kb_id", "file_id", F.col("chunks_version").alias("version"))
+            live = own if live is None else live.union(own)
+        stored = self.spark.read.schema(f"{keyword_index.POSTING}, kb_id long, version string").parquet(f"{self.path}/postings").where(F.col("kb_id").isin(list(kb_ids)))
+        with shared.scratch(self.spark):
+            index = keyword_index.KeywordIndex.of(stored.join(live, ["kb_id", "file_id", "version"], "left_semi"))
+            hits = keyword_index.search(index, chunks, query, k, by=("kb_id",)).hits
+            return shared.saved(chunks.join(F.broadcast(hits), ["kb_id", "file_id", "chunk_index"]), "keyword-found", lasting=True)
+
     def chunks(self, kb_id: int, file_id: int) -> DataFrame:
         row = self._files(self._state(), kb_id).where(F.col("file_id") == file_id).first()
         if row is None or row["chunks_version"] is None:

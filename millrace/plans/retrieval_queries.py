@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
+from millrace.operators import catalog as C
 from millrace.operators import keyword as K
+from millrace.operators import keyword_index as KI
 from millrace.operators import retrieval as R
 from millrace.operators import vectors as V
 from millrace.plans.chunk_queries import CHUNKS_SQL, chunks
@@ -41,6 +43,30 @@ def keyword_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.keyword_search(chunks(spark, sf_dir), QUERY, 5).select("rank", "file_id", "chunk_index", "score")
 
 
+def keyword_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """keyword_topk through the index over all chunks."""
+    every = shared.saved(chunks(spark, sf_dir), "chunks")
+    return KI.search(KI.KeywordIndex.build(every), every, QUERY, 5).hits.select("rank", "file_id", "chunk_index", "score")
+
+
+def catalog_keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyword search in the collections of two languages, by the index that the catalog keeps with its chunks."""
+    catalog = C.Catalog(spark, S.shared_path(spark, "catalog"), indexed=True)
+    docs = S.table(spark, sf_dir, "documents").select("doc_id", "lang")
+    every = shared.saved(chunks(spark, sf_dir).join(docs.withColumnRenamed("doc_id", "file_id"), "file_id"), "chunks")
+    ids = []
+    for lang in ("en", "de"):
+        ids.append(kb := catalog.create_kb(lang))
+        name = F.concat(F.lit("doc-"), F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.lit(".pdf"))
+        catalog.save_uploads(kb, docs.where(F.col("lang") == lang).select(name.alias("filename"), F.lit(None).cast("binary").alias("content")))
+        files = catalog.files(kb).select("file_id", F.regexp_extract("filename", r"\d+", 0).cast("long").alias("doc_id"))
+        own = every.where(F.col("lang") == lang).withColumnRenamed("file_id", "doc_id").join(files, "doc_id")
+        catalog.save_all(kb, own.select("file_id", "chunk_index", "content"))
+    found = catalog.keyword_search(ids, QUERY, 5)
+    named = catalog.files(ids[0]).union(catalog.files(ids[1])).select("kb_id", "file_id", F.regexp_extract("filename", r"\d+", 0).cast("long").alias("doc_id"))
+    return found.join(named, ["kb_id", "file_id"]).select("kb_id", "rank", "doc_id", "chunk_index", "score")
+
+
 def knn_single(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.nearest(S.table(spark, sf_dir, "embeddings"), VECTOR, 5)
 
@@ -112,7 +138,7 @@ def chunk_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("file_id", "chunk_index", F.size("embedding").alias("dim"), *[F.round(F.get("embedding", i), 6).alias(f"v{i}") for i in range(5)])
 
 
-QUERIES = {f.__name__: f for f in (keyword_tokens, keyword_score, keyword_topk, knn_single, knn_batch, knn_by_label_filter, hybrid_search, rerank_function, hybrid_search_embedded, rerank_function_embedded, multi_kb_search, multi_kb_hybrid, chunk_embeddings)}
+QUERIES = {f.__name__: f for f in (keyword_tokens, keyword_score, keyword_topk, keyword_index_topk, catalog_keyword_search, knn_single, knn_batch, knn_by_label_filter, hybrid_search, rerank_function, hybrid_search_embedded, rerank_function_embedded, multi_kb_search, multi_kb_hybrid, chunk_embeddings)}
 
 
 def _score(text: str) -> str:
@@ -146,6 +172,8 @@ ORACLES = {
     "keyword_score": f"SELECT doc_id, ({_score('text')})::DOUBLE AS score FROM documents",
     "keyword_topk": f"""WITH {CHUNKS_SQL}, x AS (SELECT file_id, chunk_index, content, ({_score('content')})::DOUBLE AS score FROM chunks)
         SELECT row_number() OVER (ORDER BY score DESC, length(content), file_id DESC, chunk_index DESC)::INT AS rank, file_id, chunk_index, score FROM x WHERE score > 0 QUALIFY rank <= 5""",
+    "catalog_keyword_search": f"""WITH {CHUNKS_SQL}, x AS (SELECT CASE lang WHEN 'en' THEN 1 ELSE 2 END AS kb_id, file_id, chunk_index, content, ({_score('content')})::DOUBLE AS score FROM chunks JOIN documents ON doc_id = file_id WHERE lang IN ('en', 'de'))
+        SELECT kb_id::BIGINT AS kb_id, row_number() OVER (PARTITION BY kb_id ORDER BY score DESC, length(content), file_id DESC, chunk_index DESC)::INT AS rank, file_id AS doc_id, chunk_index, score FROM x WHERE score > 0 QUALIFY rank <= 5""",
     "knn_single": f"""SELECT row_number() OVER (ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
         FROM (SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], {_V}), 6) AS score FROM embeddings) QUALIFY rank <= 5""",
     "knn_batch": _KNN.format(on="", k=5),
@@ -166,3 +194,4 @@ ORACLES = {
         l AS (SELECT *, sqrt(list_sum([x * x for x in v])) AS size FROM n)
         SELECT file_id, chunk_index, 5 AS dim, {', '.join(f'round(v[{i + 1}] / CASE WHEN size > 0 THEN size ELSE 1 END, 6) AS v{i}' for i in range(5))} FROM l""",
 }
+ORACLES["keyword_index_topk"] = ORACLES["keyword_topk"]

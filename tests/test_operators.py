@@ -11,8 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
-from millrace.operators import catalog, chunking, events, keyword, retrieval, sqlgate, vectors
-from millrace.sources import tables
+from millrace.operators import catalog, chunking, events, keyword, keyword_index, retrieval, sqlgate, vectors
+from millrace.sources import shared, tables
 from millrace.streaming import folds
 
 
@@ -203,6 +203,64 @@ def test_keyword(spark):
     assert keyword.scored(rows, " ").count() == 0
 
 
+WORDS = ["alpha", "beta", "gammas", "under", "thunder", "the", "then", "a1", "x_y", "指南", "南", "é", "İstanbul", "\u212aelvin"]
+
+
+@pytest.fixture(scope="module")
+def worded(spark):
+    """Chunks of words that hold each other, of both scripts, with ties, blank and null contents."""
+    rng = np.random.default_rng(7)
+    rows = [(i // 3, i % 3, " ".join(rng.choice(WORDS, rng.integers(0, 25))) + rng.choice(["", "指南指南", " The Alpha under", "!"])) for i in range(400)]
+    rows += [(900, 0, None), (901, 0, "  "), (902, 0, "the alpha"), (903, 0, "the alpha"), (904, 1, "THE ALPHA thealpha")]
+    table = spark.createDataFrame(rows, "file_id long, chunk_index int, content string").withColumn("kb", F.col("file_id") % 3)
+    table = shared.saved(table, "worded")
+    plain = keyword_index.KeywordIndex.build(table.select("file_id", "chunk_index", "content"))
+    return table, plain, keyword_index.KeywordIndex.of(keyword_index.postings(table, ["kb", "file_id", "chunk_index"]))
+
+
+@pytest.mark.parametrize("query", ["the alpha", "The Alpha under", "under", "th", "a1 x_y 指南 gamma", "指", "kelvin istanbul", "zzz the", "zzz", " ", "e", "the then a1 alpha beta gammas under thunder", "é the"])
+def test_keyword_index_equals_the_scan(worded, query):
+    table, plain, keyed = worded
+    shown = lambda rows: [(r["rank"], r["file_id"], r["chunk_index"], r["score"]) for r in rows.orderBy("rank").collect()]
+    for k in (2, 1000):
+        found = keyword_index.search(plain, table.select("file_id", "chunk_index", "content"), query, k)
+        assert shown(found.hits) == shown(keyword.keyword_search(table, query, k))
+    each = keyword_index.search(keyed, table, query, 2, by=("kb",)).hits.select("kb", "file_id", "chunk_index", "score", "rank")
+    scan = retrieval.search_each(table, query, "kb", 2).select("kb", "file_id", "chunk_index", "score", "rank")
+    assert sorted(map(tuple, each.collect())) == sorted(map(tuple, scan.collect()))
+
+
+def test_keyword_index_stops_early(spark):
+    """Common terms add too little: their lists are read for candidates only, and few contents are compared."""
+    rows = [(i, 0, "the of and " * 3 + ("rare rarer rarest " * 3 if i % 100 == 0 else "")) for i in range(2000)] + [(5000, 0, "rare rarer rarest the")]
+    table = spark.createDataFrame(rows, "file_id long, chunk_index int, content string")
+    query = "rare rarer rarest the of"
+    found = keyword_index.search(keyword_index.KeywordIndex.build(table), table, query, 5)
+    assert found.whole_lists == ["rarer", "rarest", "rare"][: len(found.whole_lists)] or set(found.whole_lists) <= {"rare", "rarer", "rarest"}
+    assert found.compared <= 21
+    assert [tuple(r) for r in found.hits.orderBy("rank").select("rank", "file_id", "score").collect()] == [tuple(r) for r in keyword.keyword_search(table, query, 5).orderBy("rank").select("rank", "file_id", "score").collect()]
+
+
+def test_catalog_keeps_its_index(spark, tmp_path):
+    """Chunks that are replaced, deleted or cleaned are found no more; those of other versions are."""
+    c = catalog.Catalog(spark, f"file://{tmp_path}/kb", indexed=True)
+    kb, other = c.create_kb("a"), c.create_kb("b")
+    a, b = c.save_upload(kb, "a.pdf"), c.save_upload(kb, "b.pdf")
+    chunk = lambda text: spark.createDataFrame([(0, text)], "chunk_index int, content string")
+    hits = lambda query: sorted((r.kb_id, r.file_id, r["rank"], r.score, r.content) for r in c.keyword_search([kb, other], query).collect())
+    assert hits("river") == []
+    c.save_chunks(kb, a, chunk("the river bank"))
+    c.save_chunks(kb, b, chunk("a river"))
+    c.save_chunks(other, c.save_upload(other, "c.pdf"), chunk("riverbed"))
+    assert hits("river") == [(1, 1, 2, 6.0, "the river bank"), (1, 2, 1, 6.0, "a river"), (2, 1, 1, 6.0, "riverbed")]
+    c.save_chunks(kb, a, chunk("a lake"))
+    c.delete_file(other, 1)
+    assert hits("river") == [(1, 2, 1, 6.0, "a river")] and hits("lake") == [(1, 1, 1, 6.0, "a lake")]
+    before = len(list((tmp_path / "kb/postings").glob("*/*")))
+    assert c.clean(keep=1) > 0 and len(list((tmp_path / "kb/postings").glob("*/*"))) == before - 2
+    assert hits("river lake") == [(1, 1, 1, 1.0, "a lake"), (1, 2, 2, 1.0, "a river")]
+
+
 def test_vectors(spark):
     rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, [-1.0, 0.0]), (4, [2.0, 0.0]), (5, [1.0, 1.0])], "vec_id long, embedding array<double>")
     assert [(r["vec_id"], r["score"]) for r in vectors.nearest(rows, [3.0, 0.0], 5).orderBy("rank").collect()] == [(1, 1.0), (4, 1.0), (5, 0.707107), (2, 0.0), (3, -1.0)]

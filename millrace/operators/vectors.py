@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 2048
-#: Queries up to which their blocks are broadcast to the tasks that hold vectors.
-QUERY_ROWS = 100_000
+#: Bytes of query vectors up to which their blocks are broadcast to the tasks that hold vectors.
+QUERY_BYTES = 64 << 20
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -77,13 +77,17 @@ def nearest_each(queries: DataFrame, vectors: DataFrame, k: int = 5, key: str =
                 a, b = np.frombuffer(row.q_m, "<f8").reshape(len(qk), -1), np.frombuffer(row.m, "<f8").reshape(len(vk), -1)
                 s = np.round(a @ b.T, 6)
                 s[(qk[:, None] == vk[None]) | (np.array(row.q_groups, object)[:, None] != np.array(row.groups, object)[None])] = -np.inf
-                order = np.lexsort((np.broadcast_to(vk, s.shape), -s))[:, :k]
-                found = np.take_along_axis(s, order, 1)
-                keep = np.isfinite(found)
-                yield pd.DataFrame({"query_id": np.repeat(qk, keep.sum(1)), key: vk[order][keep], "score": found[keep] + 0.0})
+                few = min(k, len(vk))
+                # all that reach the k-th score of their row, so that ties are decided by key; only those are sorted
+                at, of = np.nonzero((s >= -np.partition(-s, few - 1, axis=1)[:, few - 1 : few]) & np.isfinite(s))
+                order = np.lexsort((vk[of], -s[at, of], at))
+                at, of = at[order], of[order]
+                best = np.arange(len(at)) - np.searchsorted(at, at) < few
+                yield pd.DataFrame({"query_id": qk[at[best]], key: vk[of[best]], "score": s[at[best], of[best]] + 0.0})
 
     # a stated query set against all rows, in blocks: each pair is one matrix product
-    pairs = v.crossJoin(F.broadcast(q) if queries.count() <= QUERY_ROWS else q)
+    size = queries.agg(F.sum(F.coalesce(F.size(column), F.lit(0))).alias("n")).first()["n"] or 0
+    pairs = v.crossJoin(F.broadcast(q) if 8 * size <= QUERY_BYTES else q)
     made = pairs.select("keys", "groups", "m", "q_keys", "q_groups", "q_m").mapInPandas(compare, f"query_id long, {key} long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))
     return made.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", key, "score")

@@ -12,6 +12,7 @@ from millrace.operators import catalog as C
 from millrace.operators import keyword as K
 from millrace.operators import keyword_index as KI
 from millrace.operators import retrieval as R
+from millrace.operators import vector_index as VI
 from millrace.operators import vectors as V
 from millrace.plans.chunk_queries import CHUNKS_SQL, chunks
 from millrace.sources import shared
@@ -81,6 +82,12 @@ def knn_by_label_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.nearest_each(rows.where("vec_id % 50 = 0"), rows, 3, within="label")
 
 
+def knn_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """knn_batch through cells that most queries skip."""
+    rows = S.table(spark, sf_dir, "embeddings")
+    return VI.nearest_each(rows.where("vec_id % 50 = 0"), VI.build(rows), 5).rows
+
+
 def _embedded_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every chunk, made and saved once, with one of the table's vectors, dealt by its numbers."""
     vectors = S.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
@@ -138,7 +145,7 @@ def chunk_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("file_id", "chunk_index", F.size("embedding").alias("dim"), *[F.round(F.get("embedding", i), 6).alias(f"v{i}") for i in range(5)])
 
 
-QUERIES = {f.__name__: f for f in (keyword_tokens, keyword_score, keyword_topk, keyword_index_topk, catalog_keyword_search, knn_single, knn_batch, knn_by_label_filter, hybrid_search, rerank_function, hybrid_search_embedded, rerank_function_embedded, multi_kb_search, multi_kb_hybrid, chunk_embeddings)}
+QUERIES = {f.__name__: f for f in (keyword_tokens, keyword_score, keyword_topk, keyword_index_topk, catalog_keyword_search, knn_single, knn_batch, knn_by_label_filter, knn_cells, hybrid_search, rerank_function, hybrid_search_embedded, rerank_function_embedded, multi_kb_search, multi_kb_hybrid, chunk_embeddings)}
 
 
 def _score(text: str) -> str:
@@ -195,3 +202,4 @@ ORACLES = {
         SELECT file_id, chunk_index, 5 AS dim, {', '.join(f'round(v[{i + 1}] / CASE WHEN size > 0 THEN size ELSE 1 END, 6) AS v{i}' for i in range(5))} FROM l""",
 }
 ORACLES["keyword_index_topk"] = ORACLES["keyword_topk"]
+ORACLES["knn_cells"] = ORACLES["knn_batch"]

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
-from millrace.operators import catalog, chunking, events, keyword, keyword_index, retrieval, sqlgate, vectors
+from millrace.operators import catalog, chunking, events, keyword, keyword_index, retrieval, sqlgate, vector_index, vectors
 from millrace.sources import shared, tables
 from millrace.streaming import folds
 
@@ -273,6 +273,32 @@ def test_vectors(spark):
     assert all(abs(np.linalg.norm(r["v"]) - (r["vec_id"] != 2)) < 1e-12 for r in unit)
 
 
+def clustered(spark, n, copies):
+    """Vectors around a few directions, with zero vectors, copies of one vector, nulls and two labels."""
+    rng = np.random.default_rng(n)
+    base = rng.normal(size=(6, 8))
+    rows = [(i, (base[i % 6] + rng.normal(scale=0.05, size=8)).tolist(), i % 2) for i in range(n)]
+    rows += [(n + i, base[0].tolist(), 0) for i in range(copies)] + [(n + copies, [0.0] * 8, 1), (n + copies + 1, [0.0] * 8, 0), (n + copies + 2, None, 0), (None, [1.0] * 8, 0)]
+    return spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+
+
+@pytest.mark.parametrize("n, copies, cells, k, within", [(600, 30, 24, 5, None), (600, 30, 24, 3, "label"), (40, 0, 3, 100, None), (1, 0, 5, 2, None), (300, 200, 1, 4, None)])
+def test_cells_equal_all_pairs(spark, n, copies, cells, k, within):
+    rows = clustered(spark, n, copies).cache()
+    queries = rows.where("vec_id % 7 = 0 or vec_id >= " + str(n + copies))
+    found = vector_index.nearest_each(queries, vector_index.build(rows, within=within, cells=cells), k, within=within)
+    want = vectors.nearest_each(queries, rows, k, within=within)
+    shown = lambda t: sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in t.collect())
+    assert shown(found.rows) == shown(want)
+    assert found.read <= found.pairs and (cells < 24 or found.read < found.pairs / 2)
+
+
+def test_cells_of_nothing(spark):
+    none = clustered(spark, 5, 0).where("false")
+    assert vector_index.build(none) is None
+    assert vector_index.nearest_each(none, vector_index.build(clustered(spark, 5, 0)), 3).rows.count() == 0
+
+
 def test_hybrid(spark):
     rows = spark.createDataFrame([(i, 0, f"alpha {'beta ' * (i % 4)}", [float(i), 1.0] if i < 3 else None) for i in range(9)], "file_id long, chunk_index int, content string, embedding array<double>")
     got = retrieval.hybrid_search(rows, "beta", [1.0, 0.0]).orderBy("position").collect()

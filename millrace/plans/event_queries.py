@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.operators import events as E
+from millrace.sources import event_log
 from millrace.sources import tables as S
-from millrace.streaming import folds
+from millrace.streaming import folds, tool_calls
 
 
 def messages_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,11 +37,15 @@ def history_last_version(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _tool_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = S.table(spark, sf_dir, "events").where("event_type in ('click', 'purchase')")
+    return _as_tool_events(S.table(spark, sf_dir, "events")).drop("ts")
+
+
+def _as_tool_events(events: DataFrame) -> DataFrame:
+    rows = events.where("event_type in ('click', 'purchase')")
     name = F.concat(F.lit("tool"), F.col("event_id") % 3)
     kind = F.when(F.col("event_type") == "click", "on_tool_start").otherwise("on_tool_end")
     run = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("r"), F.col("event_id")))
-    return rows.select(F.col("user_id").alias("message_id"), F.col("event_id").alias("seq"), kind.alias("event"), name.alias("name"), run.alias("run_id"), F.col("props").alias("text"))
+    return rows.select(F.col("user_id").alias("message_id"), F.col("event_id").alias("seq"), kind.alias("event"), name.alias("name"), run.alias("run_id"), F.col("props").alias("text"), "ts")
 
 
 def tool_pairing_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,8 +124,30 @@ def stream_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.joined_versions(versions, ["message_id"])
 
 
+def event_log_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events written as lines through the log's sink, every seventh broken, and read as a stream from its byte ranges."""
+    event_log.register(spark)
+    rows = S.table(spark, sf_dir, "events")
+    line = F.to_json(F.struct(F.col("event_id").alias("ts"), F.col("event_type").alias("event"), F.lit("n").alias("name"), F.col("user_id").cast("string").alias("run_id"), F.struct(F.col("value").alias("v")).alias("data")))
+    broken = F.when(F.col("event_id") % 7 == 0, F.substring(line, F.lit(1), F.length(line) - 1)).otherwise(line)
+    path = S.shared_path(spark, "event-log")
+    rows.select(broken.alias("value")).write.format("line_log").mode("append").save(path)
+    read = spark.readStream.format("line_log").load(path)
+    return folds.run_to_table(S.event_lines(read).select("ts", "event", "run_id"), S.shared_path(spark, "event-log-read"))
+
+
+def tool_calls_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The calls of tool_pairing_fallback by a stream that keeps the calls of a message as state."""
+    rows = folds.stream_table(spark, f"{sf_dir}/events.parquet")
+    events = _as_tool_events(rows).withColumn("ts", F.col("ts").cast("timestamp"))
+    with folds.rocksdb(spark):
+        versions = folds.run_to_table(tool_calls.stream_tool_calls(events), S.shared_path(spark, "tool-calls"))
+    return tool_calls.last_calls(versions)
+
+
 QUERIES = {f.__name__: f for f in (
     messages_convert, message_fold, history_last_version, tool_pairing_fallback, tool_pairing_runid, event_dispatch, event_extract_json, event_log_lines, events_tumbling, events_sliding, events_session, stream_tumbling, stream_fold,
+    event_log_source, tool_calls_stream,
 )}
 _TUMBLING = "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL"
 _FOLD = "SELECT conv_id AS message_id, string_agg(CASE WHEN role = 'system' THEN chr(10) || '[Error] ' || text ELSE text END, '' ORDER BY turn) AS content FROM conversations GROUP BY conv_id"
@@ -152,9 +179,11 @@ ORACLES = {
         SELECT kind, text, tool, error, count(*) AS n, count(*) FILTER (called) AS n_ids FROM e GROUP BY ALL""",
     "event_extract_json": "SELECT event_id, (props->>'$.k')::BIGINT AS k, event_type AS readable FROM events",
     "event_log_lines": "SELECT event_id AS ts, event_type AS event, user_id::VARCHAR AS run_id FROM events WHERE event_id % 7 <> 0",
+    "event_log_source": "SELECT event_id AS ts, event_type AS event, user_id::VARCHAR AS run_id FROM events WHERE event_id % 7 <> 0",
     "events_tumbling": _TUMBLING,
     "stream_tumbling": _TUMBLING,
     "events_sliding": "SELECT start, count(*) AS n FROM (SELECT time_bucket(INTERVAL 30 MINUTE, ts) - k * INTERVAL 30 MINUTE AS start FROM events, (SELECT unnest([0, 1]) AS k)) GROUP BY start",
     "events_session": """SELECT user_id, min(ts) AS start, count(*) AS n FROM (SELECT *, sum(g) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM
         (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS g FROM events)) GROUP BY user_id, s""",
 }
+ORACLES["tool_calls_stream"] = ORACLES["tool_pairing_fallback"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -65,6 +66,18 @@ def run_to_versions(stream: DataFrame, path: str) -> DataFrame:
     return stream.sparkSession.read.schema(schema).option("basePath", f"{path}/rows").parquet(f"{path}/rows")
 
 
+@contextlib.contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Streams that start inside keep their state in RocksDB, as processors with timers need; the setting is put back."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def stream_table(spark: SparkSession, path: str, schema=None) -> DataFrame:
     """A stream over a Parquet folder or a single file: a stream's source takes a lone file only by a pattern."""
     return spark.readStream.schema(schema or spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.operators import catalog, chunking, events, keyword, keyword_index, retrieval, sqlgate, vector_index, vectors
-from millrace.sources import shared, tables
-from millrace.streaming import folds
+from millrace.sources import event_log, shared, tables
+from millrace.streaming import folds, tool_calls
 
 
 def one(spark, expression, value):
@@ -608,6 +608,98 @@ def test_lines_and_lengths(spark, tmp_path):
     assert one(spark, T.utf16_length, "a😀é") == 4 and one(spark, T.listed, "ab\r\n\ncd" + "x" * 40) == "ab cd" + "x" * 23 + "..."
 
 
+@pytest.mark.parametrize("size", [1, 7, 50, 10_000])
+def test_log_ranges_read_every_line_once(tmp_path, monkeypatch, size):
+    """Ranges and reads of any size; empty lines, lines longer than a range, an unfinished last line."""
+    rng = np.random.default_rng(size)
+    lines = ["".join(rng.choice(list("aé\t{}"), int(n))) for n in rng.choice([0, 1, 5, 40, 200], 300)]
+    data = "\n".join(lines).encode() + b"\nunfinished"
+    (tmp_path / "a.log").write_bytes(data)
+    monkeypatch.setattr(event_log, "RANGE", size)
+    for read in (1, 3, 64, 1 << 20):
+        if size == 1 and read == 1:
+            continue
+        monkeypatch.setattr(event_log, "READ", read)
+        reader = event_log.LogReader(str(tmp_path))
+        got = [(at, value) for p in reader.partitions() for b in reader.read(p) for at, value in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+        assert [v for _, v in got] == [*lines, "unfinished"]
+        assert all(data[at : at + len(v.encode())] == v.encode() for at, v in got)
+        assert event_log._whole(str(tmp_path), "a.log", 0, len(data)) == len(data) - len("unfinished") == event_log._whole(str(tmp_path), "a.log", 9, len(data))
+
+
+def test_log_stream_waits_for_the_end_of_a_line(spark, tmp_path):
+    """A cut line comes whole in a later micro-batch; a second run goes on where the first ended."""
+    event_log.register(spark)
+    log = tmp_path / "log"
+    log.mkdir()
+    stream = tables.event_lines(spark.readStream.format("line_log").load(str(log))).select("ts", "event")
+    read = lambda: sorted(tuple(r) for r in folds.run_to_table(stream, f"file://{tmp_path}/out").collect())
+    (log / "a.log").write_bytes(b'{"ts": 1, "event": "a"}\nbad\n{"ts": 2, "ev')
+    assert read() == [(1, "a")]
+    with (log / "a.log").open("ab") as f:
+        f.write(b'ent": "b"}\n{"ts": 3')
+    (log / "b.log").write_bytes(b'{"ts": 9, "event": "z"}\n')
+    (log / "draft-x").write_bytes(b'{"ts": 7, "event": "no"}\n')
+    assert read() == [(1, "a"), (2, "b"), (9, "z")]
+    assert read() == [(1, "a"), (2, "b"), (9, "z")]
+    batch = spark.read.format("line_log").load(str(log))
+    assert batch.count() == 5 and tables.event_lines(batch).count() == 3
+
+
+def test_log_sink_commits_a_batch_once(spark, tmp_path):
+    sink = event_log.LogStreamWriter(str(tmp_path))
+    rows = lambda *values: iter([{"value": v} for v in values])
+    first = [sink.write(rows("a", "b")), sink.write(rows()), sink.write(rows("c"))]
+    sink.commit(first, 4)
+    again = [sink.write(rows("a", "b", "c")), sink.write(rows())]
+    sink.commit(again, 4)
+    sink.abort([sink.write(rows("lost"))], 5)
+    assert [p.name for p in tmp_path.iterdir()] == ["batch-000000000004-00000.log"] and (tmp_path / "batch-000000000004-00000.log").read_text() == "a\nb\nc\n"
+    event_log.register(spark)
+    (tmp_path / "in").mkdir()
+    source = spark.readStream.schema("value string").text(str(tmp_path / "in"))
+    (tmp_path / "in" / "x").write_text("1\n2\n")
+    query = source.writeStream.format("line_log").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start(str(tmp_path / "log"))
+    query.awaitTermination()
+    assert sorted(r.value for r in spark.read.format("line_log").load(str(tmp_path / "log")).collect()) == ["1", "2"]
+    with pytest.raises(Exception):
+        spark.range(1).selectExpr("'x' as value").write.format("line_log").mode("overwrite").save(str(tmp_path / "log"))
+
+
+def test_stream_of_tool_calls(spark, tmp_path):
+    """Calls over several micro-batches: ends by run, twice and by name, timers that let go, and the batch form's result."""
+    def start(m, seq, name, run, t):
+        return (m, seq, "on_tool_start", name, run, None, 10_000 + t)
+
+    def end(m, seq, name, run, t, text="out", event="on_tool_end"):
+        return (m, seq, event, name, run, text, 10_000 + t)
+
+    batches = [
+        [start(1, 1, "f", None, 0), start(1, 2, "f", "r", 1), start(2, 1, "g", None, 2), end(1, 3, "g", None, 3)],
+        [end(1, 4, "f", None, 4, '{"content": "x"}'), end(1, 5, "g", "r", 5, None, "on_tool_error"), start(1, 6, "f", None, 5), end(1, 7, "f", None, 5)],
+        [end(1, 8, "f", None, 6), start(3, 1, "h", None, 600)],
+        [start(3, 2, "h", None, 2000), start(4, 1, "x", None, 4000)],
+        [end(2, 2, "g", None, 4100)],
+    ]
+    schema = "message_id long, seq long, event string, name string, run_id string, text string, ts long"
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).withColumn("ts", F.timestamp_seconds("ts")).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    every = spark.createDataFrame(sum(batches, []), schema)
+    stream = spark.readStream.schema(schema.replace("ts long", "ts timestamp")).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    with folds.rocksdb(spark):
+        versions = folds.run_to_table(tool_calls.stream_tool_calls(stream, late="1 second"), f"file://{tmp_path}/long")
+        short = folds.run_to_table(tool_calls.stream_tool_calls(stream, expiry=300_000, late="1 second"), f"file://{tmp_path}/short")
+    assert rows_text(tool_calls.last_calls(versions)) == rows_text(events.tool_calls(every))
+    assert not versions.where("expired").count()
+    gone = sorted((r.message_id, r.version) for r in short.where("expired").collect())
+    assert (2, 1) in gone and (3, 1) in gone and (4, 1) not in gone
+    assert [r.state for r in tool_calls.last_calls(short).where("message_id = 2").collect()] == ["open"]  # its end came too late
+
+
+def rows_text(table):
+    return sorted(str(tuple(r)) for r in table.collect())
+
+
 def test_stream_keeps_open_windows(spark, tmp_path):
     for i, hours in enumerate((["00:10", "00:20", "01:05"], ["01:40", "01:50"])):
         rows = spark.createDataFrame([(f"2024-01-01 {h}:00", "view", 1.0) for h in hours], "ts string, event_type string, value double")

@@ -33,7 +33,9 @@ SHARD_TOKENS = 1 << 20
 K1, B = 1.2, 0.75
 #: Places of a projected document, and how many of their signs order a leaf; documents of the sample that the tree is
 #: found on, its leaves, and the fewest sampled documents in a leaf.
-PLACES, SIGNS, SAMPLE, LEAVES, LEAF_LEAST = 64, 16, 1 << 14, 256, 8
+PLACES, SIGNS, SAMPLE, LEAVES, LEAF_LEAST = 128, 16, 1 << 14, 256, 8
+#: Units and pre-tokens that a task remembers.
+CACHE = 300_000
 #: The share of listed documents that must be unused; below it the lists are made shorter.
 STALE = 0.7
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -44,11 +46,11 @@ def _crc(ids: np.ndarray) -> int:
 
 
 def remainders(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
-    """doc_id, doc_tokens, the checksums of full windows, and the ids of the rest as little-endian bytes; for documents
-    with a full window also the distinct ids of the whole document and their counts, which the rest does not tell."""
+    """doc_id, doc_tokens, the checksums of full windows, the ids of the rest as little-endian bytes, and the distinct ids
+    of the whole document with their counts."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = pieces.encoder(tokenizer_path)
+        encoder = pieces.encoder(tokenizer_path, CACHE)
         end = np.array([end_id], encoder.dtype)
         for batch in batches:
             at = 0
@@ -62,9 +64,9 @@ def remainders(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_i
                     windows.append([_crc(ids[w * window : (w + 1) * window]) for w in range(full)])
                     stored = "<u4" if encoder.dtype.itemsize > 2 else "<u2"
                     rests.append(ids[full * window :].astype(stored).tobytes())
-                    term, count = np.unique(ids, return_counts=True) if full else (None, None)
-                    terms.append(term.astype(stored).tobytes() if full else None)
-                    counts.append(count.astype("<u4").tobytes() if full else None)
+                    term, count = np.unique(ids, return_counts=True)
+                    terms.append(term.astype(stored).tobytes())
+                    counts.append(count.astype("<u4").tobytes())
                 columns = [batch.column(0).slice(at, len(texts)), pa.array(tokens, pa.int64()), pa.array(windows, pa.list_(pa.int64()))]
                 columns += [pa.array(x, pa.binary()) for x in (rests, terms, counts)]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "doc_tokens", "windows", "rest", "terms", "counts"])
@@ -74,25 +76,22 @@ def remainders(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_i
     return common.map_batches(rows, encode, "doc_id long, doc_tokens long, windows array<long>, rest binary, terms binary, counts binary")
 
 
-def term_counts(rest: bytes, terms: bytes | None, counts: bytes | None, width: int) -> tuple[np.ndarray, np.ndarray]:
+def term_counts(terms: bytes, counts: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct ids of a whole document and their counts."""
-    if terms is None:
-        return np.unique(np.frombuffer(rest, f"<u{width}"), return_counts=True)
     return np.frombuffer(terms, f"<u{width}"), np.frombuffer(counts, "<u4")
 
 
 def term_frequencies(rests: DataFrame, vocabulary_size: int, width: int) -> np.ndarray:
-    """How many documents hold each id, in a full window or the rest. Bounded by the vocabulary, whatever the input."""
+    """How many documents hold each id. Bounded by the vocabulary, whatever the input."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(vocabulary_size, np.int64)
         for batch in batches:
-            for rest, terms in zip(batch.column(0), batch.column(1)):
-                total[np.frombuffer((terms if terms.is_valid else rest).as_buffer(), f"<u{width}")] += 1  # a repeated id adds 1
+            total += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), f"<u{width}"), minlength=vocabulary_size)
         held = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(total[held])], ["term", "n"])
 
-    found = common.map_batches(rests.select("rest", "terms"), count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
+    found = common.map_batches(rests.select("terms"), count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
     frequency = np.zeros(vocabulary_size, np.int64)
     frequency[found["term"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
     return frequency
@@ -205,11 +204,15 @@ class Tree:
         return out
 
 
-def projected(counts: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray, average: float, places: np.ndarray) -> np.ndarray:
-    """Unit vectors of documents: their BM25 weights by random signs."""
-    out = np.zeros((len(counts), PLACES), np.float32)
-    for row, (term, count) in zip(out, counts):
-        row[:] = bm25(idf, term, count, count.sum(), average) @ places[term]
+def projected(terms: list[bytes], counts: list[bytes], width: int, idf: np.ndarray, average: float) -> np.ndarray:
+    """Unit vectors of documents: the BM25 weight of every term, with a sign, in one of PLACES places."""
+    sizes = np.fromiter(map(len, terms), np.int64, len(terms)) // width
+    term, count = np.frombuffer(b"".join(terms), f"<u{width}").astype(np.int64), np.frombuffer(b"".join(counts), "<u4").astype(np.int64)
+    doc = np.repeat(np.arange(len(terms)), sizes)
+    weight = bm25(idf, term, count, np.bincount(doc, count, len(terms))[doc], average)
+    mixed = (term + 1) * 0x9E3779B1 % (1 << 32)
+    sign = np.where(mixed >> 31, weight, -weight)
+    out = np.bincount(doc * PLACES + (mixed >> 8) % PLACES, sign, len(terms) * PLACES).reshape(-1, PLACES).astype(np.float32)
     size = np.linalg.norm(out, axis=1, keepdims=True)
     return np.divide(out, size, out=out, where=size > 0)
 
@@ -217,29 +220,19 @@ def projected(counts: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray, aver
 def placed(rests: DataFrame, idf: np.ndarray, average: float, width: int, n: int) -> tuple[DataFrame, Tree]:
     """The rests with their leaf, the signs in it and their ids; and the tree."""
 
-    def vectors(rest: pd.Series, terms: pd.Series, counts: pd.Series, signs: np.ndarray) -> np.ndarray:
-        return projected([term_counts(*x, width) for x in zip(rest, terms, counts)], idf, average, signs)
-
-    def signs() -> np.ndarray:
-        return np.random.default_rng(0).integers(0, 2, (len(idf), PLACES), np.int8).astype(np.float32) * 2 - 1
-
     @F.pandas_udf("binary")
-    def vector(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        s = signs()
-        for rest, terms, counts in batches:
-            yield pd.Series([x.tobytes() for x in vectors(rest, terms, counts, s)], index=rest.index, dtype=object)
+    def vector(terms: pd.Series, counts: pd.Series) -> pd.Series:
+        return pd.Series([x.tobytes() for x in projected(list(terms), list(counts), width, idf, average)], index=terms.index, dtype=object)
 
     chosen = rests.where(F.pmod(F.xxhash64("row"), F.lit(max(1, n // SAMPLE))) == 0)
-    sample = chosen.select("row", vector("rest", "terms", "counts").alias("v")).toPandas().sort_values("row")
+    sample = chosen.select("row", vector("terms", "counts").alias("v")).toPandas().sort_values("row")
     tree = Tree(np.frombuffer(b"".join(sample["v"]), np.float32).reshape(-1, PLACES))
 
     @F.pandas_udf("long")
-    def place(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        s = signs()
-        for rest, terms, counts in batches:
-            yield pd.Series(tree.place(vectors(rest, terms, counts, s)), index=rest.index)
+    def place(terms: pd.Series, counts: pd.Series) -> pd.Series:
+        return pd.Series(tree.place(projected(list(terms), list(counts), width, idf, average)), index=terms.index)
 
-    made = rests.withColumn("place", place("rest", "terms", "counts"))
+    made = rests.withColumn("place", place("terms", "counts"))
     return made.withColumns({"leaf": F.shiftright("place", SIGNS), "ids": (F.octet_length("rest") / width).cast("long")}), tree
 
 
@@ -320,16 +313,16 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, shard_token
     """One row a piece: doc_id, start, length, checksum, the document's tokens, its sequence and the offset there."""
     v = pieces.vocabulary(tokenizer_path)
     width = 2 if v.size <= 1 << 16 else 4
-    rests = common.saved(remainders(docs, tokenizer_path, window).withColumn("row", F.monotonically_increasing_id()), "pack-rests", lasting=True)
-    totals = rests.agg(F.count("*").alias("n"), F.sum(F.octet_length("rest") / width).alias("ids"), F.avg("doc_tokens").alias("average")).first()
-    n, total = totals["n"], int(totals["ids"] or 0)
-    frequency = term_frequencies(rests, v.size, width)
-    idf = np.log1p((n - frequency + 0.5) / (frequency + 0.5)).astype(np.float32)
-    average = totals["average"] or 0.0
-    if total > shard_tokens:
-        rows = sharded(rests, idf, average, width, n, shard_tokens)
-    else:
-        rows = rests.withColumn("number", F.lit(0).cast("long"))
+    with common.scratch(docs.sparkSession):
+        rests = common.saved(remainders(docs, tokenizer_path, window).withColumn("row", F.monotonically_increasing_id()), "pack-rests")
+        totals = rests.agg(F.count("*").alias("n"), F.sum(F.octet_length("rest") / width).alias("ids"), F.avg("doc_tokens").alias("average")).first()
+        n, total, average = totals["n"], int(totals["ids"] or 0), totals["average"] or 0.0
+        frequency = term_frequencies(rests, v.size, width)
+        idf = np.log1p((n - frequency + 0.5) / (frequency + 0.5)).astype(np.float32)
+        if total > shard_tokens:
+            rows = sharded(rests, idf, average, width, n, shard_tokens)
+        else:  # one shard, which a task holds anyway
+            rows = common.saved(rests.withColumn("number", F.lit(0).cast("long")), "pack-placed", lasting=True)
 
     def shard(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("row", kind="stable")
@@ -342,7 +335,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, shard_token
             for w, check in enumerate(checks):
                 out.append((doc_id, w * window, window, int(check), n_tokens, base + sequence, 0))
                 sequence += 1
-        counts = [term_counts(*x, width) for x in zip(frame["rest"], frame["terms"], frame["counts"])]
+        counts = [term_counts(*x, width) for x in zip(frame["terms"], frame["counts"])]
         for d, begin, length, s, offset in pack_shard(ids, Index(ids, idf, average, counts), window):
             start = tokens[d] - len(ids[d]) + begin
             out.append((doc_ids[d], start, length, _crc(ids[d][begin : begin + length]), tokens[d], base + sequence + s, offset))

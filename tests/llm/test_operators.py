@@ -419,7 +419,7 @@ def test_packing_counts_whole_documents(spark):
     frequency = packing.term_frequencies(rests, 1 << 16, 2)
     assert {int(t): int(frequency[t]) for t in np.flatnonzero(frequency)} == want
     for r in rests.collect():
-        term, count = packing.term_counts(r.rest, r.terms, r.counts, 2)
+        term, count = packing.term_counts(r.terms, r.counts, 2)
         assert dict(zip(term.tolist(), count.tolist())) == collections.Counter(whole[r.doc_id])
 
 

@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.operators import joins as J
+from millrace.operators import sketches as K
 from millrace.operators import sqlgate as G
+from millrace.operators import table_functions as TF
+from millrace.plans.chunk_queries import CHUNKS_SQL
+from millrace.sources import shared
 from millrace.sources import tables as S
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
@@ -73,6 +78,56 @@ def sql_approx_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.table(spark, sf_dir, "events").groupBy("event_type").agg((F.abs(F.approx_count_distinct("user_id", 0.02) / F.count_distinct("user_id") - 1) < 0.1).alias("near"))
 
 
+def join_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """sql_join_range by bins of time: a user's hours are dealt to many tasks."""
+    events = S.table(spark, sf_dir, "events")
+    starts = events.where("event_type = 'purchase'").select("event_id", "user_id", "ts", (F.col("ts") + F.expr("INTERVAL '1' HOUR")).alias("stop"))
+    met = J.points_in_intervals(starts, events.select("event_id", "user_id", "ts"), "ts", "stop", "ts", 1800, ("user_id",))
+    return met.groupBy(F.col("interval.event_id").alias("event_id")).agg(F.count("*").alias("n"))
+
+
+def join_interval_keyless(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events of all users in the ten minutes after every error, without any equality."""
+    events = S.table(spark, sf_dir, "events")
+    starts = events.where("event_type = 'error'").select("event_id", "ts", (F.col("ts") + F.expr("INTERVAL '10' MINUTE")).alias("stop"))
+    met = J.points_in_intervals(starts, events.select("event_id", "ts", "event_type"), "ts", "stop", "ts", 60)
+    return met.groupBy(F.col("interval.event_id").alias("event_id"), F.col("point.event_type").alias("event_type")).agg(F.count("*").alias("n"))
+
+
+def join_asof_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """sql_join_asof over ranges of user and time, however many rows a user has."""
+    events = S.table(spark, sf_dir, "events")
+    made = J.latest_before(events.where("event_type = 'purchase'").select("event_id", "user_id", "ts"), events.where("event_type = 'click'"), "user_id", "ts", "event_id")
+    return made.select("event_id", F.col("latest.tie").alias("click_id"))
+
+
+def join_asof_one_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over all users together: one key holds every row."""
+    events = S.table(spark, sf_dir, "events").withColumn("one", F.lit(1))
+    made = J.latest_before(events.where("event_type = 'purchase'").select("event_id", "one", "ts"), events.where("event_type = 'click'"), "one", "ts", "event_id")
+    return made.select("event_id", F.col("latest.tie").alias("click_id"))
+
+
+def sketch_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of every day's events merged by type: the exact counts of users and the median, and whether they lie within
+    the sketches' bounds."""
+    events = S.table(spark, sf_dir, "events")
+    days = events.withColumn("day", F.to_date("ts"))
+    files = shared.saved(K.of_files(days, ["event_type", "day"], F.col("user_id"), F.col("value")), "sketches")
+    whole = K.merged(files, ["event_type"])
+    low, high = K.distinct_bounds(F.col("distinct_sketch"))
+    least, most = K.quantile_bounds(F.col("value_sketch"), 0.5)
+    bounds = whole.select("event_type", "rows", low.alias("low"), high.alias("high"), least.alias("least"), most.alias("most"))
+    exact = events.groupBy("event_type").agg(F.count_distinct("user_id").alias("users"), F.percentile("value", 0.5).alias("median"))
+    return exact.join(bounds, "event_type").select("event_type", "rows", "users", F.round("median", 6).alias("median"), F.col("users").between(F.col("low"), F.col("high")).alias("users_within"), F.col("median").between(F.col("least"), F.col("most")).alias("median_within"))
+
+
+def sql_split_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """fixed_window_chunks as a statement that calls a table function, through the gate."""
+    G.register(spark, sf_dir, ("documents",))
+    return G.run_query(spark, "SELECT doc_id AS file_id, chunk_index, content FROM documents, LATERAL split_fixed(text)", TF.register(spark))
+
+
 #: What stands before and after a turn's text to make statements of all kinds.
 FRAMES = [("", ""), ("select ", ""), ("  with a as (select 1) ", ";;"), ("select '", "'; select 2"), ("Select 'drop", " '"), ("explain ", "")]
 
@@ -91,13 +146,20 @@ def sql_describe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "table_name string, cid int, name string")
 
 
-QUERIES = {**{name: _runner(name) for name in STATEMENTS}, "sql_join_asof": sql_join_asof, "sql_approx_distinct": sql_approx_distinct, "sql_gate": sql_gate, "sql_describe": sql_describe}
+QUERIES = {**{name: _runner(name) for name in STATEMENTS}, "sql_join_asof": sql_join_asof, "sql_approx_distinct": sql_approx_distinct, "sql_gate": sql_gate, "sql_describe": sql_describe,
+           **{f.__name__: f for f in (join_interval, join_interval_keyless, join_asof_ranges, join_asof_one_key, sketch_bounds, sql_split_fixed)}}
 _FRAMED = " ".join(f"WHEN {i} THEN '{a.replace(chr(39), chr(39) * 2)}' || coalesce(text, '') || '{b.replace(chr(39), chr(39) * 2)}'" for i, (a, b) in enumerate(FRAMES))
 _BANNED = " OR ".join(f"contains(l, '{b}')" for b in G.BANNED)
 ORACLES = {
     **STATEMENTS,
     "sql_join_asof": """SELECT p.event_id, c.event_id AS click_id FROM (SELECT * FROM events WHERE event_type = 'purchase') p
         LEFT JOIN LATERAL (SELECT event_id FROM events c WHERE c.event_type = 'click' AND c.user_id = p.user_id AND c.ts <= p.ts ORDER BY c.ts DESC, c.event_id DESC LIMIT 1) c ON true""",
+    "join_interval": STATEMENTS["sql_join_range"],
+    "join_interval_keyless": "SELECT a.event_id, b.event_type, COUNT(*) AS n FROM events a JOIN events b ON b.ts >= a.ts AND b.ts < a.ts + INTERVAL 10 MINUTE WHERE a.event_type = 'error' GROUP BY ALL",
+    "join_asof_one_key": """SELECT event_id, (SELECT c.event_id FROM events c WHERE c.event_type = 'click' AND (c.ts, c.event_id) = last) AS click_id FROM (SELECT event_id, event_type,
+        max(CASE WHEN event_type = 'click' THEN (ts, event_id) END) OVER (ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last FROM events) WHERE event_type = 'purchase'""",
+    "sketch_bounds": "SELECT event_type, count(*) AS rows, count(DISTINCT user_id) AS users, round(quantile_cont(value, 0.5), 6) AS median, true AS users_within, true AS median_within FROM events GROUP BY event_type",
+    "sql_split_fixed": f"WITH {CHUNKS_SQL} SELECT file_id, chunk_index, content FROM chunks",
     "sql_approx_distinct": "SELECT DISTINCT event_type, true AS near FROM events",
     "sql_gate": f"""WITH g AS (SELECT conv_id, turn, CASE (conv_id + turn) % {len(FRAMES)} {_FRAMED} END AS query FROM conversations),
         q AS (SELECT conv_id, turn, regexp_replace(query, '^\\s+|\\s+$', '', 'g') AS q, lower(regexp_replace(query, '^\\s+|\\s+$', '', 'g')) AS l FROM g)
@@ -105,3 +167,4 @@ ORACLES = {
         WHEN NOT (starts_with(l, 'select') OR starts_with(l, 'with')) THEN '{G.NO_READ}' ELSE 'ok' END AS verdict FROM q""",
     "sql_describe": "SELECT table_name, (column_index - 1)::INT AS cid, column_name AS name FROM duckdb_columns() WHERE table_name IN ('region', 'nation', 'customer')",
 }
+ORACLES["join_asof_ranges"] = ORACLES["sql_join_asof"]

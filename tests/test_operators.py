@@ -1,5 +1,6 @@
 """Rules that the tables do not exercise, against plain restatements of them."""
 
+import datetime
 import io
 import json
 import random
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
-from millrace.operators import catalog, chunking, events, keyword, keyword_index, retrieval, sqlgate, vector_index, vectors
+from millrace.operators import catalog, chunking, events, joins, keyword, keyword_index, retrieval, sketches, sqlgate, table_functions, vector_index, vectors
 from millrace.sources import event_log, shared, tables
 from millrace.streaming import folds, tool_calls
 
@@ -709,3 +710,77 @@ def test_stream_keeps_open_windows(spark, tmp_path):
     versions = folds.run_to_versions(made, f"{tmp_path}/out")
     got = {r.hour: r.n for r in events.last_versions(versions, ["hour", "event_type"], "n").collect()}
     assert got == {"00": 2, "01": 3}
+
+
+# -- joins on time, sketches, table functions
+
+
+@pytest.mark.parametrize("first, last", [(0, 0), (5, 4), (-3, 200), (63, 64), (64, 127), (1, 130), (-100, 100_000), (0, 64**3 * 3 + 5), (-(64**4), 64**4 * 2 + 9)])
+def test_bins_cover_an_interval_once(spark, first, last):
+    got = spark.range(1).select(joins.cover(F.lit(first).cast("long"), F.lit(last).cast("long"))).first()[0]
+    spans = sorted((b.bin * 64**b.level, (b.bin + 1) * 64**b.level - 1) for b in got)
+    assert len(spans) <= 2 * 64 * joins.LEVELS + 64 * 3
+    if first > last:
+        assert not spans
+        return
+    assert spans[0][0] == first and spans[-1][1] == last and all(a[1] + 1 == b[0] for a, b in zip(spans, spans[1:]))
+
+
+def test_points_in_intervals_equal_all_pairs(spark):
+    rng = np.random.default_rng(3)
+    stamp = lambda s: None if s is None else datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=float(s))
+    spans = [(i, int(rng.integers(0, 3)), s := float(rng.integers(0, 5000)), s + float(rng.choice([0, 1, 59, 600, 90_000, -5]))) for i in range(120)] + [(500, 1, None, 5.0), (501, None, 0.0, 9e6)]
+    points = [(i, int(rng.integers(0, 3)), float(rng.integers(0, 9000))) for i in range(300)] + [(900, 0, None), (901, None, 1.0), (902, 1, 4_000_000.0)]
+    left = spark.createDataFrame([(i, k, stamp(a), stamp(b)) for i, k, a, b in spans], "id long, k int, start timestamp, stop timestamp")
+    right = spark.createDataFrame([(i, k, stamp(t)) for i, k, t in points], "id long, k int, at timestamp")
+    for keys in ((), ("k",)):
+        for width in (1, 45, 86_400):
+            got = joins.points_in_intervals(left, right, "start", "stop", "at", width, keys).select("interval.id", F.col("point.id").alias("p")).collect()
+            want = [(i, p) for i, k, a, b in spans for p, q, t in points if None not in (a, t) and a <= t < b and (not keys or (k is not None and k == q))]
+            assert sorted(map(tuple, got)) == sorted(want)
+
+
+@pytest.mark.parametrize("parts", [1, 2, 13])
+def test_latest_before_equals_a_scan(spark, parts):
+    """Keys that fill many ranges, keys in one, ties in time, null keys and times."""
+    rng = np.random.default_rng(parts)
+    key = lambda: [None, 1, 1, 1, 1, 1, 2, 3][rng.integers(0, 8)]
+    left = [(i, key(), None if rng.random() < 0.05 else int(rng.integers(0, 40))) for i in range(200)]
+    right = [(1000 + i, key(), None if rng.random() < 0.05 else int(rng.integers(5, 40))) for i in range(40)] + [(7, 9, 1)]
+    a, b = spark.createDataFrame(left, "id long, k int, t long"), spark.createDataFrame(right, "id long, k int, t long")
+    got = joins.latest_before(a, b, "k", "t", "id", parts).collect()
+    want = {(i, k, t): max(((u, j) for j, l, u in right if None not in (k, t, u) and l == k and u <= t), default=None) for i, k, t in left}
+    assert len(got) == len(left) and all((r.latest and tuple(r.latest)) == want[r.id, r.k, r.t] for r in got)
+
+
+def test_sketches_merge(spark):
+    """A collection's bounds from its files', the exact counts within; a file written again replaces its own."""
+    rows = spark.range(60_000).select((F.col("id") % 7).alias("file"), (F.col("id") % 20_000).alias("user"), F.sqrt("id").alias("value"), F.lit("kb").alias("kb"))
+    files = sketches.of_files(rows, ["kb", "file"], F.col("user"), F.col("value"))
+    low, high = sketches.distinct_bounds(F.col("distinct_sketch"))
+    shown = lambda s: sketches.merged(s, ["kb"]).select("rows", low.alias("low"), high.alias("high"), *[c.alias(n) for r in (10, 50, 99) for c, n in zip(sketches.quantile_bounds(F.col("value_sketch"), r / 100), (f"a{r}", f"b{r}"))]).first()
+    whole = shown(files)
+    assert whole.rows == 60_000 and whole.low <= 20_000 <= whole.high and whole.high - whole.low < 4000
+    assert all(whole[f"a{r}"] <= (600 * r) ** 0.5 <= whole[f"b{r}"] for r in (10, 50, 99))
+    fresh = sketches.of_files(rows.where("file = 3").withColumn("user", F.col("user") + 100_000), ["kb", "file"], F.col("user"), F.col("value"))
+    again = shown(sketches.replaced(files, fresh, ["kb", "file"]))
+    exact = rows.select(F.when(F.col("file") == 3, F.col("user") + 100_000).otherwise(F.col("user")).alias("u")).distinct().count()
+    assert again.rows == 60_000 and again.low <= exact <= again.high and exact > 20_000
+
+
+def test_table_functions(spark):
+    texts = ["", "  ", None, "x" * 500, " é" * 700, "[Sheet] A\n| a |\n\n[Sheet]  B b \n| c |", "one\n\ntwo\n" + "long " * 20]
+    spark.createDataFrame(list(enumerate(texts)), "id int, text string").createOrReplaceTempView("some_texts")
+    names = table_functions.register(spark)
+    run = lambda q: [tuple(r) for r in sqlgate.run_query(spark, q, names).collect()]
+    got = run("SELECT id, chunk_index, content FROM some_texts, LATERAL split_text(text, 'fixed', 300, 50) ORDER BY id, chunk_index")
+    assert got == [(i, n, w) for i, t in enumerate(texts) for n, w in enumerate(windows(t or "", 300, 50))]
+    assert run("SELECT sheet, content FROM some_texts, LATERAL split_text(text, 'sheets') ORDER BY sheet") == [("A", "| a |"), ("B b", "| c |")]
+    parts = run("SELECT line, content FROM some_texts, LATERAL split_text(text, 'lines', 12) WHERE id = 6 ORDER BY chunk_index")
+    assert parts == [(0, "one\n\ntwo"), (3, "long " * 20)]
+    assert sqlgate.run_query(spark, "SELECT * FROM some_texts, LATERAL split_text(text, 'lines')", names).columns == ["id", "text", "chunk_index", "content", "line"]
+    for bad in ("SELECT * FROM some_texts, LATERAL split_text(text, text)", "SELECT * FROM some_texts, LATERAL split_text(text, 'other')"):
+        with pytest.raises(ValueError):
+            run(bad)
+    with pytest.raises(ValueError):
+        sqlgate.run_query(spark, "SELECT * FROM some_texts, LATERAL split_fixed(text)")

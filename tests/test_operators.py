@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
-from millrace.operators import catalog, chunking, events, joins, keyword, keyword_index, retrieval, sketches, sqlgate, table_functions, vector_index, vectors
+from millrace.operators import catalog, chunking, events, joins, keyword, keyword_index, retrieval, sketches, sqlgate, table_functions, tools, vector_index, vectors
 from millrace.sources import event_log, shared, tables
 from millrace.streaming import folds, tool_calls
 
@@ -712,6 +712,52 @@ def test_stream_keeps_open_windows(spark, tmp_path):
     assert got == {"00": 2, "01": 3}
 
 
+# -- tools
+
+
+def test_knowledge_tools(spark, tmp_path):
+    c, embedder = catalog.Catalog(spark, f"file://{tmp_path}/kb"), vectors.HashEmbedder(64)
+    one, two = c.create_kb("a"), c.create_kb("b")
+    for kb, texts in ((one, ["river bank", "lake"]), (two, ["river delta"])):
+        file_id = c.save_upload(kb, "x.pdf")
+        c.save_chunks(kb, file_id, spark.createDataFrame([(i, t, '{"number": "1"}' if i else None) for i, t in enumerate(texts)], "chunk_index int, content string, metadata string"), embedder=embedder)
+    single, both = tools.KnowledgeTools(c, [one], embedder), tools.KnowledgeTools(c, [one, 77, two], embedder)
+    hits = json.loads(single.query("river"))
+    assert [(h["file_id"], h["chunk_index"], h["preview"]) for h in hits][0] == (1, 0, "river bank") and "metadata" not in hits[0] and "kb_id" not in hits[0] and hits[0]["filename"] == "x.pdf"
+    assert {(h["kb_id"], h["preview"]) for h in json.loads(both.query("river"))} == {(1, "river bank"), (1, "lake"), (2, "river delta")}
+    assert single.query(" ") == "[]" and tools.KnowledgeTools(c, [one]).query("river") != "[]"
+    assert single.files_meta([]) == tools.NO_IDS and json.loads(single.files_meta([1, 5, 1])) == [{"id": 1, "filename": "x.pdf", "chunk_count": 2, "status": "done"}]
+    assert single.read_chunks([]) == tools.NO_CHUNKS
+    read = json.loads(both.read_chunks([{"fileId": 1, "chunkIndex": 1}, {"file_id": "1", "chunk_index": 1}, {"fileId": None}, {"fileId": 9, "chunkIndex": 0}]))
+    assert read == [{"file_id": 1, "chunk_index": 1, "filename": "x.pdf", "content": "lake", "metadata": '{"number": "1"}', "kb_id": 1}]
+    assert json.loads(single.list_files(0, 5)) == [{"id": 1, "filename": "x.pdf", "chunk_count": 2}] and single.list_files(1, 5) == "[]"
+    # a collection that can't be read is skipped, but a single one's failure is seen
+    import shutil
+
+    shutil.rmtree(next((tmp_path / "kb/files/1").iterdir()))
+    for folder in (tmp_path / "kb/files/1").iterdir():
+        shutil.rmtree(folder)
+    assert {h["kb_id"] for h in json.loads(both.query("river"))} == {2}
+    with pytest.raises(Exception):
+        single.query("river")
+
+
+def test_reranker_switch():
+    scorer = lambda content: content.str.len()
+    assert all(tools.default_scorer(scorer, {"KB_RERANK": v}) is scorer for v in ("1", "True", " yes "))
+    assert all(tools.default_scorer(scorer, s) is None for s in ({}, {"KB_RERANK": "0"}, {"KB_RERANK": ""}))
+
+
+def test_sql_tools(spark, sf):
+    none = tools.SqlTools(spark, None)
+    assert json.loads(none.run("select 1"))["error"] == sqlgate.NO_DATABASE and json.loads(none.check("select 1")) == {"ok": True} and not json.loads(none.check("drop table x"))["ok"]
+    assert json.loads(tools.SqlTools(spark, f"{sf}/none").list_tables())["error"].startswith(sqlgate.MISSING_DATABASE)
+    real = tools.SqlTools(spark, sf)
+    assert {"nation", "region"} <= set(json.loads(real.list_tables())) and json.loads(real.schema("region, nope"))["nope"] == []
+    assert json.loads(real.run("select r_name, date'2024-01-02' as d from region order by 1 limit 1")) == {"ok": True, "columns": ["r_name", "d"], "rows": [["AFRICA", "2024-01-02"]]}
+    assert not json.loads(real.run("select * from parquet.`/x`"))["ok"]
+
+
 # -- joins on time, sketches, table functions
 
 

@@ -64,6 +64,50 @@ def map_batches(df: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], Iterat
     return df.mapInArrow(work, schema)
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value evaluated once: the argument of a lambda is a local name."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def scan(items: Column, begin: Column, step: Callable[[Column, Column], tuple[Column, Column]], kind: str, block: int = 256) -> Column:
+    """What a pass over an array makes of its items, with a state: step(state, item) gives the next state and an array of
+    `kind`, and those are joined. Outputs grow in blocks, as an array that grew with every item would be copied each time."""
+    pair = lambda state, out: F.struct(state.alias("state"), out.alias("out"))
+    none, nothing = F.array().cast(f"array<{kind}>"), F.array().cast(f"array<array<{kind}>>")
+
+    def one(acc: Column, item: Column) -> Column:
+        state, made = step(acc["state"], item)
+        return pair(state, F.concat(acc["out"], made))
+
+    def whole(items: Column) -> Column:
+        def next_block(acc: Column, b: Column) -> Column:
+            own = F.aggregate(F.slice(items, b * block + 1, F.lit(block)), pair(acc["state"], none), one)
+            return once(own, lambda own: pair(own["state"], F.concat(acc["out"], F.array(own["out"]))))
+
+        blocks = F.sequence(F.lit(0), F.floor(F.size(items) / block).cast("int"))
+        return F.flatten(F.aggregate(blocks, pair(begin, nothing), next_block)["out"])
+
+    return once(items, whole)
+
+
+class Cut:
+    """Parts of a text by code points, each in the time of its own length: the text is cut into blocks once."""
+
+    SIZE = 4096
+
+    def __init__(self, blocks: Column):
+        self.blocks = blocks
+
+    @staticmethod
+    def of(text: Column, use: Callable[[Cut], Column]) -> Column:
+        return once(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{Cut.SIZE}}}"), F.lit(0)), lambda blocks: use(Cut(blocks)))
+
+    def part(self, begin: Column, end: Column) -> Column:
+        first, last = F.floor(begin / self.SIZE).cast("int"), F.floor(end / self.SIZE).cast("int")
+        joined = F.array_join(F.slice(self.blocks, first + 1, last - first + 1), "")
+        return F.substring(joined, (begin % self.SIZE + 1).cast("int"), F.greatest(end - begin, F.lit(0)).cast("int"))
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 

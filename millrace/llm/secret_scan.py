@@ -117,22 +117,22 @@ def candidates(keyed: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return met.where("n = needed").groupBy("doc_id", "text_hash").agg(F.collect_set("kind").alias("kinds"))
 
 
+SPAN, PIECE = "struct<start:bigint,rank:int,end:bigint>", "struct<begin:bigint,end:bigint,rank:int>"
+
+
 def _spans(text: Column, rule: Rule, rank: int) -> Column:
     """Array of (start, rank, end) in code points of the leftmost non-overlapping matches that pass the rule."""
-    kind = "array<struct<start:bigint,rank:int,end:bigint>>"
     sizes = F.transform(F.split(text, rule.pattern, -1), lambda x: F.length(x).cast("bigint"))
     whole = F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)), lambda x: F.length(x).cast("bigint"))
     bound = F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)), lambda x: F.length(x).cast("bigint")) if rule.group else whole
     gaps = F.zip_with(F.slice(sizes, 1, F.size(whole)), F.arrays_zip(whole.alias("whole"), bound.alias("bound")), lambda g, m: F.struct(g.alias("gap"), m["whole"].alias("whole"), m["bound"].alias("bound")))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(kind).alias("spans"))
 
-    def step(acc: Column, m: Column) -> Column:
-        begin = acc["at"] + m["gap"]
+    def step(at: Column, m: Column) -> tuple[Column, Column]:
+        begin = at + m["gap"]
         span = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), (begin + m["whole"]).alias("end"))
-        spans = F.when(m["bound"] >= rule.least, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"])
-        return F.struct((begin + m["whole"]).alias("at"), spans.alias("spans"))
+        return begin + m["whole"], F.when(m["bound"] >= rule.least, F.array(span)).otherwise(F.array().cast(f"array<{SPAN}>"))
 
-    return F.aggregate(gaps, start, step, lambda acc: acc["spans"])
+    return common.scan(gaps, F.lit(0).cast("bigint"), step, SPAN)
 
 
 def _named(spans: Column, rules: tuple[Rule, ...]) -> Column:
@@ -175,17 +175,18 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     found = find_spans(docs.select("doc_id", "text", row), rules, ("_row",))
     kinds = F.array(*[F.lit(f"[{r.kind}]") for r in rules])
-    text = F.col("text")
-    begin = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        shown = F.concat(text.substr((acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.get(kinds, s["rank"]))
-        out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.array(shown))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
+    def step(at: Column, s: Column) -> tuple[Column, Column]:
+        piece = F.struct(at.alias("begin"), s["start"].alias("end"), s["rank"].alias("rank"))
+        return F.greatest(at, s["end"]), F.when(s["start"] >= at, F.array(piece)).otherwise(F.array().cast(f"array<{PIECE}>"))
 
-    done = F.aggregate(
-        "spans", begin, step, lambda acc: F.concat(F.array_join(acc["out"], ""), text.substr((acc["at"] + 1).cast("int"), F.length(text)))
-    )
+    def replaced(cut: common.Cut) -> Column:
+        pieces = common.scan(F.col("spans"), F.lit(0).cast("bigint"), step, PIECE)
+        shown = F.transform(pieces, lambda p: F.concat(cut.part(p["begin"], p["end"]), F.get(kinds, p["rank"])))
+        end = F.array_max(F.transform("spans", lambda s: s["end"]))
+        return F.concat(F.array_join(shown, ""), cut.part(end, F.length("text").cast("bigint")))
+
+    done = common.Cut.of(F.col("text"), replaced)
     new = F.when(F.size("spans") > 0, done).otherwise(F.col("_row.text"))
     made = found.select("_row", new.alias("_text"))
     columns = []

@@ -1,8 +1,8 @@
 """Language identification: averaged hashed subword embeddings under a linear softmax, trained in numpy.
 
 Byte n-grams of the lower-cased letters of a text are hashed into BUCKETS rows of an embedding; their average goes
-through a linear softmax. Training is stochastic gradient descent on a sample of at most 2 * SAMPLE labelled rows,
-spread evenly over the languages; a part of it stays aside to set the softmax temperature and the score below which a
+through a linear softmax. Training is stochastic gradient descent on a sample of at most 2 * SAMPLE labelled rows
+(with very many languages 2 * LEAST for each of them), spread evenly over the languages; a part of it stays aside to set the softmax temperature and the score below which a
 prediction is marked as rejected. Prediction sees whole texts and nothing but texts; the model is a table of BUCKETS
 rows, so its size does not depend on the data.
 
@@ -26,6 +26,8 @@ from millrace.llm import common, pieces
 BUCKETS, DIMENSIONS, ORDERS = 1 << 14, 16, (2, 3, 4)
 #: Bound of the training sample: rows aimed at over all languages; twice as many are taken at most.
 SAMPLE = 2000
+#: Rows of a language that are aimed at in any case, if it has as many.
+LEAST = 8
 #: Passes over the sample, more of them where it is so small that they would make fewer than STEPS steps.
 EPOCHS, STEPS, BATCH, RATE = 12, 500, 32, 8.0
 #: Share of wrong ones among the accepted predictions that the rejection threshold aims at.
@@ -137,6 +139,7 @@ def training_rows(docs: DataFrame, sample: int = SAMPLE) -> list[tuple[str, np.n
     languages = counts.count()
     if not languages:
         return []
+    sample = max(sample, LEAST * languages)
     draw = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / float(1 << 53)
     rated = open_rows.select("doc_id", "lang", "text").join(common.maybe_broadcast(counts), "lang")
     drawn = rated.where((draw < F.lit(sample / languages) / F.col("_n")) & F.col("text").rlike(r"\p{L}"))

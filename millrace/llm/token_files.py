@@ -30,7 +30,7 @@ from millrace.llm import common, pieces
 MAGIC, VERSION = b"MRBP", 1
 END_ID = 0
 #: Pre-tokens whose ids a worker keeps.
-CACHE = 500_000
+CACHE = 300_000
 BLOCK_IDS, FILE_IDS = 1 << 16, 1 << 23
 HEAD = struct.Struct("<4sIIII")
 BLOCK = np.dtype([("first", "<u8"), ("offset", "<u8"), ("ids", "<u8")])

@@ -112,6 +112,79 @@ def test_language(spark, sf):
     assert np.array_equal(model.table, again.table)
 
 
+def plain_training(rows, seed, epochs, batch, rate):
+    """The same descent, one row and one bucket at a time, in double precision: logits of every row, temperature, threshold."""
+    languages, rng, d = sorted({lang for lang, _, _ in rows}), np.random.default_rng(seed), language_id.DIMENSIONS
+    embedding = rng.uniform(-1, 1, (language_id.BUCKETS, d)).astype(np.float32).astype(float) / d
+    weights, bias = [[0.0] * len(languages) for _ in range(d)], [0.0] * len(languages)
+    permuted = rng.permutation(len(rows))
+    aside = set(permuted[: len(rows) // 5].tolist())
+    learned = [i for i in range(len(rows)) if i not in aside]
+    share = [{int(b): c / sum(counts.tolist()) for b, c in zip(buckets, counts.tolist())} for _, buckets, counts in rows]
+
+    def forward(i):
+        hidden = [sum(x * embedding[b][j] for b, x in share[i].items()) for j in range(d)]
+        return hidden, [sum(hidden[j] * weights[j][k] for j in range(d)) + bias[k] for k in range(len(languages))]
+
+    def chances(logits, t=1.0):
+        e = [math.exp((x - max(logits)) / t) for x in logits]
+        return [x / sum(e) for x in e]
+
+    steps, done = epochs * -(-len(learned) // batch), 0
+    for _ in range(epochs):
+        order = rng.permutation(np.array(learned)).tolist()
+        for at in range(0, len(order), batch):
+            some, step = order[at : at + batch], rate * (1 - done / steps)
+            done += 1
+            held = [forward(i) for i in some]
+            errors = [[(p - (languages[k] == rows[i][0])) / len(some) for k, p in enumerate(chances(logits))] for i, (_, logits) in zip(some, held)]
+            back = [[sum(e[k] * weights[j][k] for k in range(len(languages))) for j in range(d)] for e in errors]
+            for j in range(d):
+                for k in range(len(languages)):
+                    weights[j][k] -= step * sum(h[j] * e[k] for (h, _), e in zip(held, errors))
+            for k in range(len(languages)):
+                bias[k] -= step / 8 * sum(e[k] for e in errors)
+            for i, g in zip(some, back):
+                for b, x in share[i].items():
+                    for j in range(d):
+                        embedding[b][j] -= step * batch * x * g[j]
+    logits = [forward(i)[1] for i in range(len(rows))]
+    check = sorted(aside)
+    loss = lambda t: sum(-math.log(chances(logits[i], t)[languages.index(rows[i][0])] + 1e-12) for i in check)
+    temperature = min(np.geomspace(0.25, 20, 120).tolist(), key=loss)
+    scored = sorted(((max(p := chances(logits[i], temperature)), languages[p.index(max(p))] == rows[i][0]) for i in check), key=lambda x: -x[0])
+    threshold, wrong = 1.0, 0
+    for n, (score, right) in enumerate(scored, 1):
+        wrong += not right
+        if wrong <= language_id.ACCEPTED_ERROR * n:
+            threshold = score
+    return languages, logits, temperature, threshold
+
+
+def test_language_training_equals_a_plain_restatement(monkeypatch):
+    monkeypatch.setattr(language_id, "EPOCHS", 3)
+    monkeypatch.setattr(language_id, "STEPS", 0)
+    rng, rows = np.random.default_rng(1), []
+    for i, words in enumerate(("der die und das mit", "the and of that with", "les des une dans avec") * 14):
+        text = " ".join(rng.choice(words.split(), 6))
+        found = language_id.features(text)
+        held = np.flatnonzero(found)
+        rows.append((("de", "en", "fr")[i % 3], held.astype("<i4"), found[held].astype("<f4")))
+    model = language_id.train(rows)
+    languages, logits, temperature, threshold = plain_training(rows, 7, 3, language_id.BATCH, language_id.RATE)
+    got = [model.logits(np.bincount(b, c, language_id.BUCKETS)) for _, b, c in rows]
+    assert model.languages == languages and np.allclose(got, logits, atol=2e-3)
+    assert math.isclose(model.temperature, temperature, rel_tol=0.06) and math.isclose(model.threshold, threshold, abs_tol=0.02)
+    assert len({tuple(np.round(x, 3)) for x in got}) > 10
+
+
+def test_every_language_is_learned(spark):
+    """More languages than half of the sample's rows: each has its share still."""
+    rows = [(i, f"{'abcdefghij'[i % 10]}{i % 40} wort word mot", f"l{i % 40}", "s", 0) for i in range(1600)]
+    made = language_id.training_rows(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), sample=20)
+    assert len({lang for lang, _, _ in made}) == 40 and len(made) <= 2 * language_id.LEAST * 40
+
+
 def test_features_of_long_texts():
     text = "ab cd é " * 300_000
     assert language_id.features(text).sum() > 3 * 2_000_000

@@ -89,6 +89,8 @@ NUMBERED = rf"^{WS}*(\d+(?:\.\d+)*)(?:{WS}+|{WS}*[-–]{WS}*)(.+?){WS}*\z"
 APPENDIX = rf"^{WS}*[Aa][Pp][Pp][Ee][Nn][Dd][Ii][Xx]{WS}+(\d+|[A-Za-z])(?:\.|-|{WS})+(.+?){WS}*\z"
 LETTER = rf"^{WS}*([A-Za-z])(?:\.|-|{WS})+(.+?){WS}*\z"
 CONTENTS = ("contents", "table of contents", "目录")
+#: What every heading line of any kind begins with, after its marks: most lines need no other test.
+HEADING_START = rf"^(?:{WS}|[#*_])*(?:\d|[A-Za-z](?:[.-]|{WS})|[Aa][Pp][Pp][Ee][Nn][Dd][Ii][Xx]{WS})"
 #: Headings of one block of the fold over a document.
 HEADINGS = 256
 
@@ -116,7 +118,7 @@ def heading_candidate(line: Column, at: Column) -> Column:
             .when(T.like(s, NUMBERED) & ~listed & ~entry, numbered)
         )
 
-    return once(bare_line(line), classify)
+    return F.when(T.like(F.coalesce(line, F.lit("")), HEADING_START), once(bare_line(line), classify))
 
 
 def plausible_next(last: Column, cur: Column) -> Column:

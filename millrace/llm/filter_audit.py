@@ -46,7 +46,7 @@ def _measures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = len(texts)
             units = pc.ascii_split_whitespace(texts)
             codes, ends = units.flatten().dictionary_encode(), units.offsets.to_numpy().astype(np.int64)
-            filled = np.array([bool(w) for w in codes.dictionary.to_pylist()] or [False], bool)
+            filled = np.array([bool(w) for w in pieces.strings(codes.dictionary)] or [False], bool)
             index, owner = codes.indices.to_numpy().astype(np.int64), np.repeat(np.arange(n), np.diff(ends))
             real = filled[index]  # blanks at a text's ends leave empty units
             words = np.bincount(owner[real], minlength=n)

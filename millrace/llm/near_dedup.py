@@ -71,7 +71,7 @@ def shingle_sets(texts: pa.StringArray, k: int, known: WordHashes) -> Iterator[n
         return
     units = pc.ascii_split_whitespace(pc.ascii_lower(texts))
     codes, offsets = units.flatten().dictionary_encode(), units.offsets.to_numpy()
-    distinct = codes.dictionary.to_pylist()
+    distinct = pieces.strings(codes.dictionary)
     hashes = np.fromiter(map(known.__getitem__, distinct), np.uint64, len(distinct))
     index = codes.indices.to_numpy()
     full = np.array([bool(w) for w in distinct], bool)[index] if len(index) else np.zeros(0, bool)

@@ -45,31 +45,38 @@ def _crc(ids: np.ndarray) -> int:
     return zlib.crc32(np.ascontiguousarray(ids, "<u4"))
 
 
+def _counted(ids: np.ndarray, offsets: np.ndarray) -> tuple[pa.BinaryArray, pa.BinaryArray]:
+    """The distinct ids of every document, in order, and their counts, as bytes."""
+    shift = ids.dtype.itemsize * 8
+    keys = np.repeat(np.arange(len(offsets) - 1, dtype=np.uint64), np.diff(offsets)) << np.uint64(shift) | ids
+    keys.sort()
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    doc, counts = (keys[first] >> np.uint64(shift)).astype(np.int64), np.diff(np.append(first, len(keys))).astype("<u4")
+    bounds = np.append(0, np.cumsum(np.bincount(doc, minlength=len(offsets) - 1)))
+    packed = lambda values: pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer((bounds * values.itemsize).astype("<i4").tobytes()), pa.py_buffer(values.tobytes())])
+    return packed(keys[first].astype(ids.dtype)), packed(counts)
+
+
 def remainders(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
     """doc_id, doc_tokens, the checksums of full windows, the ids of the rest as little-endian bytes, and the distinct ids
     of the whole document with their counts."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = pieces.encoder(tokenizer_path, CACHE)
-        end = np.array([end_id], encoder.dtype)
         for batch in batches:
             at = 0
             for texts in pieces.slices(batch.column(1)):
-                all_ids, offsets = encoder.encode(texts)
-                tokens, windows, rests, terms, counts = [], [], [], [], []
-                for i in range(len(texts)):
-                    ids = np.append(all_ids[offsets[i] : offsets[i + 1]], end)
-                    full = len(ids) // window
-                    tokens.append(len(ids))
-                    windows.append([_crc(ids[w * window : (w + 1) * window]) for w in range(full)])
-                    stored = "<u4" if encoder.dtype.itemsize > 2 else "<u2"
-                    rests.append(ids[full * window :].astype(stored).tobytes())
-                    term, count = np.unique(ids, return_counts=True)
-                    terms.append(term.astype(stored).tobytes())
-                    counts.append(count.astype("<u4").tobytes())
-                columns = [batch.column(0).slice(at, len(texts)), pa.array(tokens, pa.int64()), pa.array(windows, pa.list_(pa.int64()))]
-                columns += [pa.array(x, pa.binary()) for x in (rests, terms, counts)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "doc_tokens", "windows", "rest", "terms", "counts"])
+                ids, offsets = encoder.encode(texts)
+                ids, offsets = np.insert(ids, offsets[1:], end_id), offsets + np.arange(len(offsets))
+                ids = ids.astype("<u4" if encoder.dtype.itemsize > 2 else "<u2", copy=False)
+                windows, rests = [], []
+                for begin, stop in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+                    full = begin + (stop - begin) // window * window
+                    windows.append([_crc(ids[w : w + window]) for w in range(begin, full, window)])
+                    rests.append(ids[full:stop].tobytes())
+                terms, counts = _counted(ids, offsets)
+                columns = [batch.column(0).slice(at, len(texts)), pa.array(np.diff(offsets)), pa.array(windows, pa.list_(pa.int64())), pa.array(rests, pa.binary())]
+                yield pa.RecordBatch.from_arrays([*columns, terms, counts], ["doc_id", "doc_tokens", "windows", "rest", "terms", "counts"])
                 at += len(texts)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -339,8 +346,8 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, shard_token
         for d, begin, length, s, offset in pack_shard(ids, Index(ids, idf, average, counts), window):
             start = tokens[d] - len(ids[d]) + begin
             out.append((doc_ids[d], start, length, _crc(ids[d][begin : begin + length]), tokens[d], base + sequence + s, offset))
-        columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-        return pd.DataFrame({c: pd.array(list(values), "Int64") for c, values in zip(columns, zip(*out))})
+        columns, names = list(zip(*out)), ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+        return pd.DataFrame({"doc_id": pd.array(list(columns[0]), "Int64"), **{c: np.array(x, np.int64) for c, x in zip(names, columns[1:])}})
 
     # a column with nulls would reach pandas as floats
     rows = rows.withColumns({"doc_id": F.coalesce("doc_id", F.lit(0)), "no_id": F.col("doc_id").isNull()})

@@ -149,11 +149,11 @@ class ByUnit:
             units = pc.ascii_split_whitespace(texts)
             # an empty text splits into one empty unit, whose value is that of no pre-token
             codes = units.flatten().dictionary_encode()
-            return units.offsets.to_numpy(), codes.indices.to_numpy(), list(map(self.plain.__getitem__, codes.dictionary.to_pylist()))
+            return units.offsets.to_numpy(), codes.indices.to_numpy(), list(map(self.plain.__getitem__, strings(codes.dictionary)))
         mixed = pc.match_substring_regex(texts, MIXED_BLANKS).to_numpy(zero_copy_only=False)
         units = pc.split_pattern(pc.if_else(pa.array(mixed), "", texts) if mixed.any() else texts, " ")
         codes, offsets = units.flatten().dictionary_encode(), units.offsets.to_numpy()
-        values = list(map(self.spaced.__getitem__, codes.dictionary.to_pylist()))
+        values = list(map(self.spaced.__getitem__, strings(codes.dictionary)))
         index = codes.indices.to_numpy().copy()
         for i, at in enumerate(offsets[:-1].tolist()):  # a text's first unit has no space before it
             index[at] = len(values)
@@ -161,6 +161,11 @@ class ByUnit:
         return offsets, index, values
 
 
+def strings(array: pa.StringArray) -> list[str]:
+    """The array as a list, at a tenth of the time of to_pylist."""
+    return array.to_numpy(zero_copy_only=False).tolist()
+
+
 def slices(texts: pa.StringArray, size: int = SLICE * 8) -> Iterator[pa.StringArray]:
     """Runs of texts of about `size` bytes: long texts then need little memory at a time."""
     ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))

@@ -50,3 +50,20 @@ def test_run_and_empty(spark, sf, tmp_path):
     assert {r.doc_id for r in made.select("doc_id").collect()} <= ids and made.count() > 0
     empty(spark).write.parquet(f"file://{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, f"file://{tmp_path}").count() == 0
+
+
+def test_run_equals_its_stages_on_odd_rows(spark, tmp_path):
+    """Null ids, repeated rows and clashing columns through the whole run: as many ids of every document as by single stages."""
+    documents(spark).write.parquet(f"file://{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"file://{tmp_path}/documents.parquet")
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, str(tmp_path)).write.parquet(f"file://{tmp_path}/{i}")
+        docs = spark.read.parquet(f"file://{tmp_path}/{i}")
+
+    def ids(packed):
+        total = collections.Counter()
+        for r in packed.collect():
+            total[r.doc_id] += r.length
+        return total
+
+    assert ids(corpus_pipeline.run(spark, f"file://{tmp_path}")) == ids(docs) != {}

@@ -37,7 +37,7 @@ PLACES, SIGNS, SAMPLE, LEAVES, LEAF_LEAST = 128, 16, 1 << 14, 256, 8
 #: Units and pre-tokens that a task remembers.
 CACHE = 300_000
 #: The share of listed documents that must be unused; below it the lists are made shorter.
-STALE = 0.7
+STALE = 0.8
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -46,15 +46,21 @@ def _crc(ids: np.ndarray) -> int:
 
 
 def _counted(ids: np.ndarray, offsets: np.ndarray) -> tuple[pa.BinaryArray, pa.BinaryArray]:
-    """The distinct ids of every document, in order, and their counts, as bytes."""
+    """The distinct ids of every document, in order, and their counts, as bytes (one a count where that suffices for all
+    of a document's, else four)."""
     shift = ids.dtype.itemsize * 8
     keys = np.repeat(np.arange(len(offsets) - 1, dtype=np.uint64), np.diff(offsets)) << np.uint64(shift) | ids
     keys.sort()
     first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
     doc, counts = (keys[first] >> np.uint64(shift)).astype(np.int64), np.diff(np.append(first, len(keys))).astype("<u4")
     bounds = np.append(0, np.cumsum(np.bincount(doc, minlength=len(offsets) - 1)))
-    packed = lambda values: pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer((bounds * values.itemsize).astype("<i4").tobytes()), pa.py_buffer(values.tobytes())])
-    return packed(keys[first].astype(ids.dtype)), packed(counts)
+    packed = lambda ends, data: pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(ends.astype("<i4").tobytes()), pa.py_buffer(data)])
+    terms = packed(bounds * ids.dtype.itemsize, keys[first].astype(ids.dtype).tobytes())
+    large = np.bincount(doc[counts > 255], minlength=len(offsets) - 1) > 0
+    if not large.any():
+        return terms, packed(bounds, counts.astype(np.uint8).tobytes())
+    parts = [counts[a:b].astype("<u4" if wide else np.uint8).tobytes() for a, b, wide in zip(bounds[:-1].tolist(), bounds[1:].tolist(), large.tolist())]
+    return terms, pa.array(parts, pa.binary())
 
 
 def remainders(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
@@ -85,7 +91,7 @@ def remainders(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_i
 
 def term_counts(terms: bytes, counts: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct ids of a whole document and their counts."""
-    return np.frombuffer(terms, f"<u{width}"), np.frombuffer(counts, "<u4")
+    return np.frombuffer(terms, f"<u{width}"), np.frombuffer(counts, np.uint8 if len(counts) * width == len(terms) else "<u4")
 
 
 def term_frequencies(rests: DataFrame, vocabulary_size: int, width: int) -> np.ndarray:
@@ -126,7 +132,8 @@ class Index:
         self.terms, numbered = np.unique(term, return_inverse=True)
         self.query_terms, self.query_bounds = numbered.astype(np.int32), np.append(0, np.cumsum(sizes))
         order = np.argsort(numbered, kind="stable")
-        self.posting_doc, self.posting_weight = doc[order], weight[order]
+        # of the types that bincount takes as they are
+        self.posting_doc, self.posting_weight = doc[order].astype(np.intp), weight[order].astype(float)
         self.posting_bounds = np.append(0, np.cumsum(np.bincount(numbered, minlength=len(self.terms))))
 
     def keep(self, docs: np.ndarray) -> None:
@@ -214,12 +221,12 @@ class Tree:
 def projected(terms: list[bytes], counts: list[bytes], width: int, idf: np.ndarray, average: float) -> np.ndarray:
     """Unit vectors of documents: the BM25 weight of every term, with a sign, in one of PLACES places."""
     sizes = np.fromiter(map(len, terms), np.int64, len(terms)) // width
-    term, count = np.frombuffer(b"".join(terms), f"<u{width}").astype(np.int64), np.frombuffer(b"".join(counts), "<u4").astype(np.int64)
+    mixed = np.arange(1, len(idf) + 1) * 0x9E3779B1 % (1 << 32)
+    place, sign = mixed // 256 % PLACES, np.where(mixed >> 31, 1, -1).astype(np.float32)
+    term, count = np.frombuffer(b"".join(terms), f"<u{width}"), np.concatenate([term_counts(*x, width)[1] for x in zip(terms, counts)] or [np.zeros(0, np.uint8)])
     doc = np.repeat(np.arange(len(terms)), sizes)
-    weight = bm25(idf, term, count, np.bincount(doc, count, len(terms))[doc], average)
-    mixed = (term + 1) * 0x9E3779B1 % (1 << 32)
-    sign = np.where(mixed >> 31, weight, -weight)
-    out = np.bincount(doc * PLACES + (mixed >> 8) % PLACES, sign, len(terms) * PLACES).reshape(-1, PLACES).astype(np.float32)
+    weight = bm25(idf * sign, term, count.astype(np.float32), np.bincount(doc, count, len(terms)).astype(np.float32)[doc], np.float32(average))
+    out = np.bincount(doc * PLACES + place[term], weight, len(terms) * PLACES).reshape(-1, PLACES).astype(np.float32)
     size = np.linalg.norm(out, axis=1, keepdims=True)
     return np.divide(out, size, out=out, where=size > 0)
 

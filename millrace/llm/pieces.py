@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 import unicodedata
 from array import array
 from collections.abc import Callable, Iterator
@@ -21,6 +22,9 @@ import regex
 #: The pre-token patterns of the two public vocabularies.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The same for printable ASCII (lower-cased under the first), where letters and digits are plain ranges.
+ASCII_WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+"
+ASCII_BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"
 #: A place where a very long text can be cut without changing its pre-tokens.
 CUT = regex.compile(r"(?<=[^\s])(?= [^\s])")
 SLICE = 1 << 20
@@ -55,6 +59,7 @@ class Vocabulary:
         self.path = path
         self.lowers = self.spec["normalizer"] is not None
         self.pattern = regex.compile(WORD_PATTERN if self.lowers else BYTE_PATTERN)
+        self.quick = re.compile(ASCII_WORD_PATTERN if self.lowers else ASCII_BYTE_PATTERN)
         self.special = {t["content"]: t["id"] for t in self.spec["added_tokens"]}
         self.special_pattern = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         self.suffix = self.spec["model"]["end_of_word_suffix"] or ""
@@ -138,6 +143,9 @@ class ByUnit:
             # other letters
             value = self.piece[core.replace("Σ", "σ").lower() if self.vocabulary.lowers else core]
             return value if len(core) == len(text) else self.add([value, self.piece[text[len(core) :]]])
+        if len(text) <= SLICE and text.isascii() and text.isprintable() and "<|" not in text:
+            values = list(map(self.piece.__getitem__, self.vocabulary.quick.findall(text.lower() if self.vocabulary.lowers else text)))
+            return values[0] if len(values) == 1 else self.add(values)
         out = []
         for special, pieces in self.vocabulary.segments(text):
             out += map(self.special if special else self.piece.__getitem__, pieces)

@@ -131,7 +131,11 @@ def plausible_next(last: Column, cur: Column) -> Column:
 
 def headings(lines: Column) -> Column:
     """Array of (at, number, title): candidates in order, those inside an appendix only where they go on plausibly."""
-    found = F.filter(F.transform(lines, heading_candidate), lambda c: c.isNotNull())
+    return accepted_headings(F.filter(F.transform(lines, heading_candidate), lambda c: c.isNotNull()))
+
+
+def accepted_headings(found: Column) -> Column:
+    """The same from the candidates of all lines."""
     none = F.array().cast(f"array<{HEADING}>")
     state = lambda appendix, last, heads: F.struct(appendix.alias("appendix"), last.alias("last"), heads.alias("heads"))
 
@@ -205,7 +209,7 @@ def heading_chunks(lines: Column, heads: Column, keep_preamble: bool = False) ->
 
         def one(h: Column, k: Column) -> Column:
             stop = F.coalesce(F.get(heads, k + 1)["at"], F.size(lines))
-            return chunk(h["number"], h["title"], path(h), F.slice(lines, h["at"] + 1, stop - h["at"]))
+            return chunk(h["number"], h["title"], path(h), F.slice(lines, h["at"] + 1, F.greatest(stop - h["at"], F.lit(0))))
 
         made = F.transform(heads, one)
         if keep_preamble:

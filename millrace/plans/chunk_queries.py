@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from millrace.functions import text as T
 from millrace.operators import chunking as C
 from millrace.operators import ingest as I
+from millrace.operators import long_texts as L
 from millrace.sources import tables as S
 
 STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
@@ -30,6 +31,18 @@ def fixed_window_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks(spark, sf_dir).select("file_id", "chunk_index", "content")
 
 
+def fixed_window_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """fixed_window_chunks over documents cut into blocks that any task may take."""
+    made = L.windows(L.blocks(S.table(spark, sf_dir, "documents"), "doc_id", size=2048))
+    return made.select(F.col("doc").alias("file_id"), "chunk_index", "content")
+
+
+def heading_chunks_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """heading_chunks_documents over rows of lines."""
+    made = L.headings(L.lines(L.line_blocks(S.table(spark, sf_dir, "documents"), "doc_id", size=8)))
+    return made.select(F.col("doc").alias("doc_id"), "chunk_index", "number", "title", F.length("content").alias("n"))
+
+
 def chunk_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks(spark, sf_dir).select("file_id", "chunk_index", T.preview(F.col("content")).alias("preview"), F.length("content").alias("n"))
 
@@ -184,7 +197,7 @@ def workbook_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     fixed_window_chunks, chunk_preview, html_to_text, cell_normalize, normalize_title, is_toc_line, toc_bounds, toc_chunks, heading_chunks_numbered, heading_chunks_appendix,
-    heading_chunks_documents, allowed_heading_scan, strategy_dispatch, table_render, table_chunks_rowcap, table_chunks_charcap, workbook_sheets, workbook_chunks,
+    fixed_window_blocks, heading_chunks_lines, heading_chunks_documents, allowed_heading_scan, strategy_dispatch, table_render, table_chunks_rowcap, table_chunks_charcap, workbook_sheets, workbook_chunks,
 )}
 _HTML = "html"
 for _p in ("(?is)<script.*?>.*?</script>", "(?is)<style.*?>.*?</style>", "(?is)<!--.*?-->"):
@@ -288,3 +301,5 @@ ORACLES = {
         UNION ALL SELECT 'none', 0, '[Table] none' || chr(10) || '[ExcelEmpty] 未读取到任何非空表格数据', ''""",
     "workbook_sheets": "SELECT p_brand AS sheet, (count(*) + 2)::INT AS n_lines FROM part GROUP BY p_brand",
 }
+ORACLES["fixed_window_blocks"] = ORACLES["fixed_window_chunks"]
+ORACLES["heading_chunks_lines"] = ORACLES["heading_chunks_documents"]

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
-from millrace.operators import catalog, chunking, events, joins, keyword, keyword_index, retrieval, sketches, sqlgate, table_functions, tools, vector_index, vectors
+from millrace.operators import catalog, chunking, events, joins, keyword, keyword_index, long_texts, retrieval, sketches, sqlgate, table_functions, tools, vector_index, vectors
 from millrace.sources import event_log, shared, tables
 from millrace.streaming import folds, tool_calls
 
@@ -82,8 +82,31 @@ def test_fixed_windows(spark, n):
 
 
 def test_window_arguments():
-    with pytest.raises(ValueError):
-        chunking.fixed_windows(F.lit("a"), 10, 10)
+    for make in (lambda: chunking.fixed_windows(F.lit("a"), 10, 10), lambda: long_texts.windows(None, 0, 0)):
+        with pytest.raises(ValueError):
+            make()
+
+
+@pytest.mark.parametrize("size, overlap", [(40, 13), (40, 0), (7, 6)])
+def test_windows_of_blocks(spark, size, overlap):
+    """Documents over many blocks: blank ends of any length, blocks of blanks only, texts that end at a block's end."""
+    rng = np.random.default_rng(size)
+    texts = ["", " ", None, "x", "x" * 40, "x" * 41, " " * 130 + "a b" + "\t" * 90, "é😀" * 60 + "\n" * 40, *["".join(rng.choice(list("ab \n😀"), int(n))) for n in rng.integers(1, 400, 25)]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = long_texts.windows(long_texts.blocks(docs, "id", size=40), size, overlap).collect()
+    assert sorted((r.doc, r.chunk_index, r.content) for r in got) == [(i, n, w) for i, t in enumerate(texts) for n, w in enumerate(windows(t or "", size, overlap))]
+
+
+def test_headings_of_lines(spark):
+    """Chapters and appendices over blocks of few lines, as for whole texts; documents without headings are one chunk."""
+    rng = np.random.default_rng(4)
+    kinds = ["1 One", "2 Two", "1.1 Sub", "Appendix A - First", "3 Skipped", "text", "  ", "## **4 Four**", "Appendix B Second", "plain words", "2.1 Last \u2028 broken", "B. Letter"]
+    texts = ["\n".join(rng.choice(kinds, int(n))) for n in rng.integers(1, 60, 30)] + ["no heading\nat all", "", "\n\n1 A\n\n"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    keep = ["chunk_index", "number", "title", "path", "content"]
+    for size in (1, 5):
+        got = long_texts.headings(long_texts.lines(long_texts.line_blocks(docs, "id", size=size))).select(F.col("doc").alias("id"), *keep)
+        assert rows_text(got) == rows_text(chunking.split_headings(docs, ["id"]).select("id", *keep))
 
 
 def bounds_by_scan(lines, is_toc, is_noise, is_title):

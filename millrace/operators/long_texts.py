@@ -56,8 +56,9 @@ def windows(parts: DataFrame, size: int = 500, overlap: int = 100) -> DataFrame:
 
 
 def lines(parts: DataFrame) -> DataFrame:
-    """(doc, at, line) of documents given as blocks that end at line ends: a line feed between two blocks is not in either."""
-    own = parts.select("doc", "block", T.split_lines(F.col("content")).alias("lines"))
+    """(doc, at, line) of documents given as blocks of whole lines with their line ends; an empty block is an empty line."""
+    found = T.split_lines(F.col("content"))
+    own = parts.select("doc", "block", F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(""))).alias("lines"))
     before = Window.partitionBy("doc").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     counts = own.select("doc", "block", F.size("lines").alias("n")).withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
     rows = own.join(counts.select("doc", "block", "first"), ["doc", "block"])
@@ -65,9 +66,9 @@ def lines(parts: DataFrame) -> DataFrame:
 
 
 def line_blocks(docs: DataFrame, doc: str, text: str = "text", size: int = 4096) -> DataFrame:
-    """(doc, block, content) of whole texts, `size` lines a block."""
+    """(doc, block, content) of whole texts, `size` lines a block, each with a line feed."""
     held = docs.select(F.col(doc).alias("doc"), T.split_lines(F.col(text)).alias("lines"))
-    cut = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.size("lines") - 1, F.lit(0)) / size).cast("int")), lambda b: F.array_join(F.slice("lines", b * size + 1, F.lit(size)), "\n"))
+    cut = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.size("lines") - 1, F.lit(0)) / size).cast("int")), lambda b: F.array_join(F.transform(F.slice("lines", b * size + 1, F.lit(size)), lambda x: F.concat(x, F.lit("\n"))), ""))
     return held.select("doc", F.posexplode(cut).alias("block", "content")).repartition("doc", "block")
 
 

@@ -48,6 +48,16 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             delete(spark, path)
 
 
+@contextlib.contextmanager
+def unscoped() -> Iterator[None]:
+    """Tables saved inside belong to no open scope but to `release`: for a result that outlives the scope it is made in."""
+    token = _scopes.set(())
+    try:
+        yield
+    finally:
+        _scopes.reset(token)
+
+
 def register(spark: SparkSession, path: str, lasting: bool = False) -> None:
     """Gives a path to the innermost scope (a lasting one to the scope around it), or where there is none to `release`."""
     scopes = _scopes.get()[: -1 if lasting else None]

@@ -56,4 +56,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         for name, stage in STAGES[:-1]:
             with common.scratch(spark):
                 docs = common.saved(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}", lasting=True)
-        return STAGES[-1][1](spark, docs, sf_dir)
+        with common.unscoped():
+            return STAGES[-1][1](spark, docs, sf_dir)

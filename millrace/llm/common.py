@@ -8,9 +8,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.sources.shared import delete, new_path, register, release, saved, scratch, shared_dir
+from millrace.sources.shared import delete, new_path, register, release, saved, scratch, shared_dir, unscoped
 
-__all__ = ["delete", "new_path", "register", "release", "saved", "scratch", "shared_dir"]
+__all__ = ["delete", "new_path", "register", "release", "saved", "scratch", "shared_dir", "unscoped"]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A word between ASCII blanks, as the contracts of several operators define it.
 BLANK_WORD = r"[^\x20\x09-\x0D]+"

@@ -255,7 +255,7 @@ def sharded(rests: DataFrame, idf: np.ndarray, average: float, width: int, n: in
     shard_tokens ids. The ids before a range are summed over counts by place, of which a leaf has at most 2^SIGNS; what
     no sign tells apart and is still larger is parted by row, into the shards that its ids reach over."""
     rows, tree = placed(rests, idf, average, width, n)
-    rows = common.saved(rows, "pack-placed", lasting=True)
+    rows = common.saved(rows, "pack-placed", lasting=True, compression="uncompressed")
     counts = common.saved(rows.groupBy("leaf", "place").agg(F.sum("ids").alias("ids"), F.count("*").alias("n")), "pack-places")
     leaves = {r["leaf"]: r["ids"] for r in counts.groupBy("leaf").agg(F.sum("ids").alias("ids")).collect()}  # at most LEAVES rows
     groups, first, begins = tree.groups(leaves, shard_tokens), 0, {}
@@ -328,7 +328,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, shard_token
     v = pieces.vocabulary(tokenizer_path)
     width = 2 if v.size <= 1 << 16 else 4
     with common.scratch(docs.sparkSession):
-        rests = common.saved(remainders(docs, tokenizer_path, window).withColumn("row", F.monotonically_increasing_id()), "pack-rests")
+        rests = common.saved(remainders(docs, tokenizer_path, window).withColumn("row", F.monotonically_increasing_id()), "pack-rests", compression="uncompressed")  # ids hardly shrink
         totals = rests.agg(F.count("*").alias("n"), F.sum(F.octet_length("rest") / width).alias("ids"), F.avg("doc_tokens").alias("average")).first()
         n, total, average = totals["n"], int(totals["ids"] or 0), totals["average"] or 0.0
         frequency = term_frequencies(rests, v.size, width)

@@ -90,11 +90,6 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def plain_letters(word: str) -> bool:
-    """Whether normalising and lower-casing leave one run of letters."""
-    return unicodedata.is_normalized("NFC", word) and word.replace("Σ", "σ").lower().isalpha()
-
-
 class Cache(dict):
     """A dict that fills itself from `make` and stays within `limit` entries (CACHE): what comes later is made anew, and after
     four times as many overflows it starts over (the words of the data may have changed)."""
@@ -130,19 +125,15 @@ class ByUnit:
         self.piece, self.plain, self.spaced = Cache(make, cache), Cache(self.whole, cache), Cache(lambda unit: self.whole(" " + unit), cache)
 
     def whole(self, text: str) -> Any:
-        if self.vocabulary.lowers and text.isascii():
-            # ASCII letters and closing marks, the commonest case: two pre-tokens at most
-            if text.isalpha():
-                return self.piece[text.lower()]
-            core = text.rstrip(TAIL)
-            if core.isalpha():
-                return self.add([self.piece[core.lower()], self.piece[text[len(core) :]]])
+        # letters and closing marks: two pre-tokens at most
         core = text.rstrip(TAIL)
-        head = core[1:] if core[:1] == " " else core
-        if head.isalpha() and (not self.vocabulary.lowers or text.isascii() or plain_letters(head)):
-            # other letters
-            value = self.piece[core.replace("Σ", "σ").lower() if self.vocabulary.lowers else core]
-            return value if len(core) == len(text) else self.add([value, self.piece[text[len(core) :]]])
+        if self.vocabulary.lowers:
+            word = core.replace("Σ", "σ").lower()
+            letters = core.isalpha() and word.isalpha() and unicodedata.is_normalized("NFC", core)
+        else:
+            word, letters = core, (core[1:] if core[:1] == " " else core).isalpha()
+        if letters:
+            return self.piece[word] if len(core) == len(text) else self.add([self.piece[word], self.piece[text[len(core) :]]])
         if len(text) <= SLICE and text.isascii() and text.isprintable() and "<|" not in text:
             values = list(map(self.piece.__getitem__, self.vocabulary.quick.findall(text.lower() if self.vocabulary.lowers else text)))
             return values[0] if len(values) == 1 else self.add(values)
@@ -151,13 +142,28 @@ class ByUnit:
             out += map(self.special if special else self.piece.__getitem__, pieces)
         return out[0] if len(out) == 1 else self.add(out)
 
+    def lowered(self, units: pa.StringArray) -> list:
+        """Values of distinct units under a vocabulary that lowers case: ASCII letters with closing marks, the commonest case,
+        are lowered and cut as arrays, so that only their distinct words are looked up."""
+        cores = pc.ascii_rtrim(pc.ascii_lower(units), characters=TAIL)
+        simple = pc.and_(pc.string_is_ascii(units), pc.ascii_is_alpha(cores)).to_numpy(zero_copy_only=False)
+        words = cores.filter(pa.array(simple)).dictionary_encode()
+        found = list(map(self.piece.__getitem__, strings(words.dictionary)))
+        held, values = strings(units), [None] * len(units)
+        marks = (pc.binary_length(units).to_numpy() - pc.binary_length(cores).to_numpy())[simple].tolist()
+        for i, word, n in zip(np.flatnonzero(simple).tolist(), words.indices.to_numpy().tolist(), marks):
+            values[i] = found[word] if not n else self.add([found[word], self.piece[held[i][-n:]]])
+        for i in np.flatnonzero(~simple).tolist():
+            values[i] = self.plain[held[i]]
+        return values
+
     def batch(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray, list]:
         """(text of each unit's first index: offsets, index of each unit into the values, values of distinct units)."""
         if self.vocabulary.lowers:
             units = pc.ascii_split_whitespace(texts)
             # an empty text splits into one empty unit, whose value is that of no pre-token
             codes = units.flatten().dictionary_encode()
-            return units.offsets.to_numpy(), codes.indices.to_numpy(), list(map(self.plain.__getitem__, strings(codes.dictionary)))
+            return units.offsets.to_numpy(), codes.indices.to_numpy(), self.lowered(codes.dictionary)
         mixed = pc.match_substring_regex(texts, MIXED_BLANKS).to_numpy(zero_copy_only=False)
         units = pc.split_pattern(pc.if_else(pa.array(mixed), "", texts) if mixed.any() else texts, " ")
         codes, offsets = units.flatten().dictionary_encode(), units.offsets.to_numpy()

@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from millrace.llm import common, pieces
 
 WINDOW, END_ID = 4096, 2
+#: Ids that are sorted, and documents that are projected, at a time.
+SORTED, PROJECTED = 1 << 18, 512
 SHARD_TOKENS = 1 << 20
 K1, B = 1.2, 0.75
 #: Places of a projected document, and how many of their signs order a leaf; documents of the sample that the tree is
@@ -78,7 +80,10 @@ def remainders(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_i
                     full = begin + (stop - begin) // window * window
                     windows.append([_crc(ids[w : w + window]) for w in range(begin, full, window)])
                     rests.append(ids[full:stop].tobytes())
-                terms, counts = _counted(ids, offsets)
+                # by parts of the slice, as sorting needs several words an id
+                steps = np.unique(np.append(np.searchsorted(offsets, np.arange(0, offsets[-1] + 1, SORTED)), len(texts)))
+                parts = [_counted(ids[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in zip(np.append(0, steps[:-1]), steps) if a < b]
+                terms, counts = (pa.concat_arrays([p[i] for p in parts]) for i in (0, 1))
                 columns = [batch.column(0).slice(at, len(texts)), pa.array(np.diff(offsets)), pa.array(windows, pa.list_(pa.int64())), pa.array(rests, pa.binary())]
                 yield pa.RecordBatch.from_arrays([*columns, terms, counts], ["doc_id", "doc_tokens", "windows", "rest", "terms", "counts"])
                 at += len(texts)
@@ -232,9 +237,13 @@ def projected(terms: list[bytes], counts: list[bytes], width: int, idf: np.ndarr
 def placed(rests: DataFrame, idf: np.ndarray, average: float, width: int, n: int) -> tuple[DataFrame, Tree]:
     """The rests with their leaf, the signs in it and their ids; and the tree."""
 
+    def vectors(terms: pd.Series, counts: pd.Series) -> np.ndarray:
+        parts = [projected(list(terms[i : i + PROJECTED]), list(counts[i : i + PROJECTED]), width, idf, average) for i in range(0, len(terms), PROJECTED)]
+        return np.concatenate(parts or [np.zeros((0, PLACES), np.float32)])
+
     @F.pandas_udf("binary")
     def vector(terms: pd.Series, counts: pd.Series) -> pd.Series:
-        return pd.Series([x.tobytes() for x in projected(list(terms), list(counts), width, idf, average)], index=terms.index, dtype=object)
+        return pd.Series([x.tobytes() for x in vectors(terms, counts)], index=terms.index, dtype=object)
 
     chosen = rests.where(F.pmod(F.xxhash64("row"), F.lit(max(1, n // SAMPLE))) == 0)
     sample = chosen.select("row", vector("terms", "counts").alias("v")).toPandas().sort_values("row")
@@ -242,7 +251,7 @@ def placed(rests: DataFrame, idf: np.ndarray, average: float, width: int, n: int
 
     @F.pandas_udf("long")
     def place(terms: pd.Series, counts: pd.Series) -> pd.Series:
-        return pd.Series(tree.place(projected(list(terms), list(counts), width, idf, average)), index=terms.index)
+        return pd.Series(tree.place(vectors(terms, counts)), index=terms.index)
 
     made = rests.withColumn("place", place("terms", "counts"))
     return made.withColumns({"leaf": F.shiftright("place", SIGNS), "ids": (F.octet_length("rest") / width).cast("long")}), tree
@@ -253,7 +262,7 @@ def sharded(rests: DataFrame, idf: np.ndarray, average: float, width: int, n: in
     shard_tokens ids. The ids before a range are summed over counts by place, of which a leaf has at most 2^SIGNS; what
     no sign tells apart and is still larger is parted by row, into the shards that its ids reach over."""
     rows, tree = placed(rests, idf, average, width, n)
-    rows = common.saved(rows, "pack-placed", lasting=True, compression="uncompressed")
+    rows = common.saved(rows, "pack-placed", lasting=True)
     counts = common.saved(rows.groupBy("leaf", "place").agg(F.sum("ids").alias("ids"), F.count("*").alias("n")), "pack-places")
     leaves = {r["leaf"]: r["ids"] for r in counts.groupBy("leaf").agg(F.sum("ids").alias("ids")).collect()}  # at most LEAVES rows
     groups, first, begins = tree.groups(leaves, shard_tokens), 0, {}
@@ -326,7 +335,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, shard_token
     v = pieces.vocabulary(tokenizer_path)
     width = 2 if v.size <= 1 << 16 else 4
     with common.scratch(docs.sparkSession):
-        rests = common.saved(remainders(docs, tokenizer_path, window).withColumn("row", F.monotonically_increasing_id()), "pack-rests", compression="uncompressed")  # ids hardly shrink
+        rests = common.saved(remainders(docs, tokenizer_path, window).withColumn("row", F.monotonically_increasing_id()), "pack-rests")
         totals = rests.agg(F.count("*").alias("n"), F.sum(F.octet_length("rest") / width).alias("ids"), F.avg("doc_tokens").alias("average")).first()
         n, total, average = totals["n"], int(totals["ids"] or 0), totals["average"] or 0.0
         frequency = term_frequencies(rests, v.size, width)

@@ -13,6 +13,8 @@ from millrace.functions import text as T
 
 WS = T.WS
 HEADING = "struct<at:int,number:string,title:string>"
+#: Starts of table parts that are gathered in one array.
+STARTS = 256
 
 
 def once(value: Column, use) -> Column:
@@ -320,23 +322,31 @@ def table_parts(lines: Column, max_rows: int = 200, max_chars: int = 8000) -> Co
     next one unless it is the part's first; a table without rows is one part.
     """
     max_rows, max_chars = max_rows if max_rows > 0 else 50, max_chars if max_chars > 0 else 6000
-    def pack(head: Column) -> Column:
-        body = F.slice(lines, F.size(head) + 1, F.greatest(F.size(lines) - F.size(head), F.lit(0)))
-        base = F.length(F.array_join(head, "\n"))
-        begin = F.struct(F.lit(0).alias("rows"), base.alias("chars"), F.array(F.lit(0)).alias("starts"), F.lit(0).alias("at"))
-
-        def step(acc: Column, size: Column) -> Column:
-            at, rows, chars = acc["at"] + 1, acc["rows"] + 1, acc["chars"] + 1 + size
-            by_rows, by_chars = rows >= max_rows, (chars >= max_chars) & (acc["rows"] > 0)
-            starts = F.when(by_rows, F.concat(acc["starts"], F.array(at))).when(by_chars, F.concat(acc["starts"], F.array(acc["at"]))).otherwise(acc["starts"])
-            kept_rows = F.when(by_rows, 0).when(by_chars, 1).otherwise(rows)
-            kept_chars = F.when(by_rows, base).when(by_chars, base + 1 + size).otherwise(chars)
-            return F.struct(kept_rows.alias("rows"), kept_chars.alias("chars"), starts.alias("starts"), at.alias("at"))
-
-        starts = F.aggregate(F.transform(body, lambda r: F.length(r)), begin, step, lambda acc: F.filter(acc["starts"], lambda x: (x < acc["at"]) | (x == 0)))
-        return once(starts, lambda starts: F.transform(starts, lambda x, k: F.concat(head, F.slice(body, x + 1, F.coalesce(F.get(starts, k + 1), F.size(body)) - x))))
-
-    return once(F.slice(lines, 1, 2), pack)
+
+    def pack(head: Column, body: Column) -> Column:
+        return once(F.length(F.array_join(head, "\n")), lambda base: once(_part_starts(body, base, max_rows, max_chars), lambda starts: F.transform(starts, lambda x, k: F.concat(head, F.slice(body, x + 1, F.coalesce(F.get(starts, k + 1), F.size(body)) - x)))))
+
+    # bound once: what stands in a lambda is evaluated for each of its elements
+    return once(F.slice(lines, 1, 2), lambda head: once(F.slice(lines, F.size(head) + 1, F.greatest(F.size(lines) - F.size(head), F.lit(0))), lambda body: pack(head, body)))
+
+
+def _part_starts(body: Column, base: Column, max_rows: int, max_chars: int) -> Column:
+    """Where the parts of the rows `body` begin, under a head of `base` characters. Starts are gathered in blocks, as adding
+    to an array copies it."""
+    begin = F.struct(F.lit(0).alias("rows"), base.alias("chars"), F.array(F.lit(0)).alias("starts"), F.array().cast("array<array<int>>").alias("blocks"), F.lit(0).alias("at"))
+
+    def step(acc: Column, size: Column) -> Column:
+        at, rows, chars = acc["at"] + 1, acc["rows"] + 1, acc["chars"] + 1 + size
+        by_rows, by_chars = rows >= max_rows, (chars >= max_chars) & (acc["rows"] > 0)
+        new, full = F.when(by_rows, at).when(by_chars, acc["at"]), F.size(acc["starts"]) >= STARTS
+        starts = F.when(~by_rows & ~by_chars, acc["starts"]).when(full, F.array(new)).otherwise(F.concat(acc["starts"], F.array(new)))
+        blocks = F.when((by_rows | by_chars) & full, F.concat(acc["blocks"], F.array(acc["starts"]))).otherwise(acc["blocks"])
+        kept_rows = F.when(by_rows, 0).when(by_chars, 1).otherwise(rows)
+        kept_chars = F.when(by_rows, base).when(by_chars, base + 1 + size).otherwise(chars)
+        return F.struct(kept_rows.alias("rows"), kept_chars.alias("chars"), starts.alias("starts"), blocks.alias("blocks"), at.alias("at"))
+
+    every = lambda acc: F.filter(F.flatten(F.concat(acc["blocks"], F.array(acc["starts"]))), lambda x: (x < acc["at"]) | (x == 0))
+    return F.aggregate(F.transform(body, lambda r: F.length(r)), begin, step, every)
 
 
 def split_tables(sheets: DataFrame, keys: list[str], table_name: Column, max_rows: int = 200, max_chars: int = 8000, summary: Column | None = None) -> DataFrame:

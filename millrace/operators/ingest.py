@@ -20,9 +20,10 @@ EMPTY = "[ExcelEmpty] 未读取到任何非空表格数据"
 CHUNK = "{keys}, chunk_index int, content string, metadata string, error string"
 
 
-def workbook_chunks(uploads: DataFrame, keys: list[str], max_rows: int = SHEET_ROWS, part_rows: int = PART_ROWS, part_chars: int = PART_CHARS) -> DataFrame:
+def workbook_chunks(uploads: DataFrame, keys: list[str], max_rows: int | None = SHEET_ROWS, part_rows: int = PART_ROWS, part_chars: int = PART_CHARS) -> DataFrame:
     """keys, chunk_index, content, metadata and error of (keys, filename, content) workbooks: the parts of their sheets'
-    tables in order, or one placeholder where no sheet has a row; a damaged one has its error only."""
+    tables in order, or one placeholder where no sheet has a row; a damaged one has its error only. Without max_rows sheets
+    are read whole."""
     named = uploads.withColumn("path", F.to_json(F.struct(*keys, "filename")))
     # read once: the sheets and the errors both come from it
     read = shared.saved(S.read_workbooks(named.select("path", "content"), max_rows, SHEET_COLUMNS), "workbooks")
@@ -47,12 +48,12 @@ def text_chunks(texts: DataFrame, keys: list[str]) -> DataFrame:
     return made.select(*keys, "chunk_index", "content", F.to_json(F.struct("type", "number", "title")).alias("metadata"))
 
 
-def ingest_chunks(uploads: DataFrame, keys: list[str], parse: Callable[[bytes], str] | None = None) -> DataFrame:
+def ingest_chunks(uploads: DataFrame, keys: list[str], parse: Callable[[bytes], str] | None = None, max_rows: int | None = SHEET_ROWS, part_chars: int = PART_CHARS) -> DataFrame:
     """keys, chunk_index, content, metadata and error of (keys, filename, content) uploads. `parse` turns the bytes of a
     .pdf into text; a file that it fails on, or that has another extension, has one row with an error only."""
     name, none = F.lower("filename"), F.lit(None).cast("string")
     columns = [*keys, "chunk_index", "content", "metadata"]
-    books = workbook_chunks(uploads.where(name.endswith(".xlsx")), keys).select(*columns, "error")
+    books = workbook_chunks(uploads.where(name.endswith(".xlsx")), keys, max_rows, part_chars=part_chars).select(*columns, "error")
     failed = lambda rows, error: rows.select(*keys, F.lit(None).cast("int").alias("chunk_index"), none.alias("content"), none.alias("metadata"), error.alias("error"))
     others = failed(uploads.where(F.coalesce(~name.endswith(".xlsx") & ~name.endswith(".pdf"), F.lit(True))), F.lit(OTHER))
     pdfs = uploads.where(name.endswith(".pdf"))

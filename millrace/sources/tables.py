@@ -107,9 +107,9 @@ def workbook_rows(content: DataFrame, max_rows: int = 2000, max_cols: int = 50)
     return read_workbooks(content, max_rows, max_cols).where("error is null").drop("error")
 
 
-def read_workbooks(content: DataFrame, max_rows: int = 2000, max_cols: int = 50) -> DataFrame:
+def read_workbooks(content: DataFrame, max_rows: int | None = 2000, max_cols: int = 50) -> DataFrame:
     """path, sheet_no, sheet, row_no, cells and error of .xlsx files: at most max_rows rows a sheet that are not blank, the
-    header included. A damaged file has one row with its error and no other."""
+    header included (None: all). A damaged file has one row with its error and no other."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -117,8 +117,8 @@ def read_workbooks(content: DataFrame, max_rows: int = 2000, max_cols: int = 50)
                 rows, seen = [], {}
                 try:
                     for sheet_no, sheet, number, cells in _sheet_rows(data, max_cols):
-                        if any(c.strip() for c in cells) and seen.setdefault(sheet_no, 0) < max_rows:
-                            seen[sheet_no] += 1
+                        if any(c.strip() for c in cells) and (max_rows is None or seen.setdefault(sheet_no, 0) < max_rows):
+                            seen[sheet_no] = seen.get(sheet_no, 0) + 1
                             rows.append((path, sheet_no, sheet, number, cells))
                     made = pd.DataFrame(rows, columns=["path", "sheet_no", "sheet", "row_no", "cells"]).assign(error=None)
                 except Exception as e:  # zip, XML, references: whatever a damaged file raises

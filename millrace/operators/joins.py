@@ -1,6 +1,7 @@
-"""Joins on time that no single key or task has to hold: points in intervals by bins, and the latest row before each.
+"""Joins on time that no single key or task has to hold: points in intervals by bins or only counted, and the latest row
+before each.
 
-Both give what a join of all pairs with the condition would, and neither collects a key's rows in one task.
+They give what a join of all pairs with the condition would, and none collects a key's rows in one task.
 """
 
 from __future__ import annotations
@@ -43,6 +44,40 @@ def points_in_intervals(intervals: DataFrame, points: DataFrame, start: str, sto
     return met.where((F.col(f"point.{at}") >= F.col(f"interval.{start}")) & (F.col(f"point.{at}") < F.col(f"interval.{stop}"))).select("interval", "point")
 
 
+def counts_in_intervals(intervals: DataFrame, points: DataFrame, start: str, stop: str, at: str, ids: list[str], keys: tuple[str, ...] = (), by: tuple[str, ...] = ()) -> DataFrame:
+    """ids (columns of the intervals), by (columns of the points, of few values) and `n`: the pairs of `points_in_intervals`
+    counted by these columns, without making them.
+
+    The points in an interval are those before its end less those before its start. Points, counted by time, and ends of
+    intervals are dealt to ranges of keys, by and time; a range's running count begins with that of the ranges before.
+    """
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    held = lambda rows, c: rows.where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys)).where(c) if keys else rows.where(c)
+    group = F.struct(*[F.col(f"`{c}`") for c in (*keys, *by)]) if keys or by else F.struct(F.lit(0))
+    due = held(intervals, F.col(start) < F.col(stop))
+    ends = F.explode(F.array(F.struct(micros(start).alias("at"), F.lit(-1).alias("sign")), F.struct(micros(stop).alias("at"), F.lit(1).alias("sign"))))
+    asked = due.select(F.struct(*ids).alias("id"), *keys, ends.alias("end")).select("id", *keys, "end.at", "end.sign")
+    given = held(points, F.col(at).isNotNull()).select(*keys, *by, micros(at).alias("at")).groupBy(*keys, *by, "at").agg(F.count("*").alias("n"))
+    given = shared.saved(given, "points-by-time")
+    if by:
+        kinds = shared.saved(given.select(*by).distinct(), "point-kinds")
+        asked = asked.crossJoin(F.broadcast(kinds) if kinds.count() <= 100_000 else kinds)
+    a = asked.select("id", group.alias("group"), "at", "sign", F.lit(0).cast("long").alias("n"))
+    b = given.select(F.lit(None).cast(a.schema["id"].dataType).alias("id"), group.alias("group"), "at", F.lit(2).alias("sign"), "n")
+    # ends come before the points of their time, which so are inside at a start and outside at a stop
+    order = ["at", "sign"]
+    dealt = shared.saved(a.unionByName(b).repartitionByRange("group", *order).withColumn("part", F.spark_partition_id()), "interval-ends")
+    edges = dealt.groupBy("part").agg(F.min("group").alias("low"), F.max("group").alias("high"))
+    edge = shared.saved(edges.select("part", F.explode(F.array_distinct(F.array("low", "high"))).alias("group")), "interval-edges")
+    sums = dealt.join(F.broadcast(edge), ["part", "group"]).groupBy("part", "group").agg(F.sum("n").alias("sum"))
+    before = Window.partitionBy("group").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = sums.select("part", "group", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("carried"))
+    within = Window.partitionBy("part", "group").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    passed = dealt.withColumn("own", F.sum("n").over(within)).where("id IS NOT NULL").join(F.broadcast(carried), ["part", "group"], "left")
+    n = F.sum(F.col("sign") * (F.col("own") + F.coalesce("carried", F.lit(0))))
+    return passed.groupBy("id", *[F.col("group")[c].alias(c) for c in by]).agg(n.alias("n")).where("n > 0").select("id.*", *by, "n")
+
+
 def latest_before(left: DataFrame, right: DataFrame, key: str, at: str, tie: str, parts: int | None = None) -> DataFrame:
     """Every row of left with `latest`, the (at, tie) of the last row of right with its key at or before its time; of equal
     times the largest `tie` counts. Rows without key or time have none.

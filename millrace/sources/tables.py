@@ -70,6 +70,10 @@ _NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 
 
+#: Rows of workbooks that make a frame, at least.
+FRAME = 4096
+
+
 def _column(reference: str) -> int:
     n = 0
     for c in re.match(r"[A-Z]*", reference)[0]:
@@ -112,6 +116,9 @@ def read_workbooks(content: DataFrame, max_rows: int | None = 2000, max_cols: in
     header included (None: all). A damaged file has one row with its error and no other."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # many small workbooks make one frame, as each frame is sent on by itself
+        shaped = lambda rows: pd.DataFrame(rows, columns=["path", "sheet_no", "sheet", "row_no", "cells", "error"])
+        due = []
         for frame in frames:
             for path, data in zip(frame["path"], frame["content"]):
                 rows, seen = [], {}
@@ -119,11 +126,15 @@ def read_workbooks(content: DataFrame, max_rows: int | None = 2000, max_cols: in
                     for sheet_no, sheet, number, cells in _sheet_rows(data, max_cols):
                         if any(c.strip() for c in cells) and (max_rows is None or seen.setdefault(sheet_no, 0) < max_rows):
                             seen[sheet_no] = seen.get(sheet_no, 0) + 1
-                            rows.append((path, sheet_no, sheet, number, cells))
-                    made = pd.DataFrame(rows, columns=["path", "sheet_no", "sheet", "row_no", "cells"]).assign(error=None)
+                            rows.append((path, sheet_no, sheet, number, cells, None))
                 except Exception as e:  # zip, XML, references: whatever a damaged file raises
-                    made = pd.DataFrame({"path": [path], "sheet_no": [0], "sheet": [None], "row_no": [0], "cells": [None], "error": [f"the workbook can't be read: {type(e).__name__}: {e}"]})
-                yield made
+                    rows = [(path, 0, None, 0, None, f"the workbook can't be read: {type(e).__name__}: {e}")]
+                due += rows
+                if len(due) >= FRAME:
+                    yield shaped(due)
+                    due = []
+        if due:
+            yield shaped(due)
 
     return content.select("path", "content").mapInPandas(run, "path string, sheet_no int, sheet string, row_no int, cells array<string>, error string")
 

@@ -98,6 +98,7 @@ def minima(shingles: np.ndarray) -> np.ndarray:
 
 
 def _signatures(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    pieces.forget()
     names, known = ["doc_id", "text_hash", "n_shingles", "k0", "k1", "bands", *SIGNATURE], WordHashes()
     places = np.arange(HASHES, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     for batch in batches:

@@ -6,7 +6,10 @@ repeat their words, so each distinct pre-token goes to the library's model once
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import functools
+import gc
 import json
 import unicodedata
 from array import array
@@ -204,3 +207,12 @@ class Encoder(ByUnit):
 @functools.lru_cache(maxsize=4)
 def encoder(path: str, cache: int | None = None) -> Encoder:
     return Encoder(path, cache)
+
+
+def forget() -> None:
+    """Frees what a worker has kept for encoding, for a step that makes no ids: some 120 MB after 100,000 units."""
+    if encoder.cache_info().currsize:
+        encoder.cache_clear()
+        gc.collect()
+        with contextlib.suppress(AttributeError, OSError):  # other C libraries than glibc keep what is freed
+            ctypes.CDLL(None).malloc_trim(0)

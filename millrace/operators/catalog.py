@@ -438,18 +438,20 @@ class Catalog:
         """The k best chunks of every collection by the index: kb_id, file_id, chunk_index, score, rank and content."""
         from millrace.operators import keyword_index
 
-        chunks = self.all_chunks(kb_ids).select("kb_id", "file_id", "chunk_index", "content")
-        if not self._fs.exists(self._path("postings")):
-            return chunks.select("kb_id", "file_id", "chunk_index", F.lit(0.0).alias("score"), F.lit(0).alias("rank"), "content").where("false")
-        state, live = self._state(), None
+        state, live, columns = self._state(), None, ["kb_id", "file_id", "chunk_index", "score", "rank", "content"]
         for kb_id in kb_ids:
             own = self._files(state, kb_id).select("kb_id", "file_id", F.col("chunks_version").alias("version"))
             live = own if live is None else live.union(own)
-        stored = self.spark.read.schema(f"{keyword_index.POSTING}, kb_id long, version string").parquet(f"{self.path}/postings").where(F.col("kb_id").isin(list(kb_ids)))
+        if live is None or not self._fs.exists(self._path("postings")):
+            return self.spark.createDataFrame([], "kb_id long, file_id long, chunk_index int, score double, rank int, content string")
+        # hits are checked against the files in the index, so contents need no join with these
+        mine = F.col("kb_id").isin(list(kb_ids))
+        chunks = self.spark.read.schema(SCHEMAS["chunks"]).parquet(f"{self.path}/chunks").where(mine).select("kb_id", "version", *keyword_index.KEY, "content")
+        stored = self.spark.read.schema(f"{keyword_index.POSTING}, kb_id long, version string").parquet(f"{self.path}/postings").where(mine)
         with shared.scratch(self.spark):
-            index = keyword_index.KeywordIndex.of(stored.join(live, ["kb_id", "file_id", "version"], "left_semi"))
+            index = keyword_index.KeywordIndex.of(stored, ["kb_id", "version", *keyword_index.KEY], live)
             hits = keyword_index.search(index, chunks, query, k, by=("kb_id",)).hits
-            return shared.saved(chunks.join(F.broadcast(hits), ["kb_id", "file_id", "chunk_index"]), "keyword-found", lasting=True)
+            return shared.saved(chunks.join(F.broadcast(hits), index.keys).select(*columns), "keyword-found", lasting=True)
 
     def chunks(self, kb_id: int, file_id: int) -> DataFrame:
         row = self._files(self._state(), kb_id).where(F.col("file_id") == file_id).first()

@@ -14,6 +14,7 @@ from millrace.operators import keyword_index as KI
 from millrace.operators import retrieval as R
 from millrace.operators import vector_index as VI
 from millrace.operators import vectors as V
+from millrace.operators.chunking import split_fixed
 from millrace.plans.chunk_queries import CHUNKS_SQL, chunks
 from millrace.sources import shared
 from millrace.sources import tables as S
@@ -54,7 +55,8 @@ def catalog_keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyword search in the collections of two languages, by the index that the catalog keeps with its chunks."""
     catalog = C.Catalog(spark, S.shared_path(spark, "catalog"), indexed=True)
     docs = S.table(spark, sf_dir, "documents").select("doc_id", "lang")
-    every = shared.saved(chunks(spark, sf_dir).join(docs.withColumnRenamed("doc_id", "file_id"), "file_id"), "chunks")
+    texts = S.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), "lang", "text")
+    every = shared.saved(split_fixed(texts, ["file_id", "lang"]), "chunks")
     ids = []
     for lang in ("en", "de"):
         ids.append(kb := catalog.create_kb(lang))

@@ -1,86 +1,90 @@
-"""Tool calls as a stream: the calls of a message as state, with event-time timers that let go of calls nobody ends."""
+"""Tool calls as a stream: the calls of a message as state, with event-time timeouts that let go of calls nobody ends."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from millrace.operators import events as E
 
 #: How long a call may stay open or be ended again by its run; and how late events may come.
 EXPIRY, LATE = 30 * 24 * 3600 * 1000, "10 minutes"
-CALL = "seq long, position long, run_id string, name string, started long, ended boolean"
-OUT = "message_id long, position long, version long, id string, name string, event string, text string, expired boolean"
-
-
-class CallFold(StatefulProcessor):
-    """State of a message: its calls that are open or may be ended again by their run, in the order of their starts, and how
-    many calls it has had. Every start and end gives a row for its call, the end's seq as its version; so does a timer for
-    a call that is still open when it expires."""
-
-    def __init__(self, expiry: int):
-        self.expiry = expiry
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.calls, self.count = handle.getListState("calls", CALL), handle.getValueState("count", "n long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        calls, n = [list(c) for c in self.calls.get()], self.count.get()[0] if self.count.exists() else 0
-        out, timers = [], set()
-        for seq, event, name, run_id, text, ts in pd.concat(list(rows)).sort_values("seq")[["seq", "event", "name", "run_id", "text", "ms"]].astype(object).itertuples(index=False):
-            name, run_id, text = (None if pd.isna(x) else x for x in (name, run_id, text))
-            if event == "on_tool_start":
-                calls.append([int(seq), n, run_id, name, int(ts), False])
-                out.append((key[0], n, int(seq), run_id, name, event, None, False))
-                timers.add(int(ts) + self.expiry)
-                n += 1
-                continue
-            # the first call of its run, else the latest open one of its tool
-            call = next((c for c in calls if run_id is not None and c[2] == run_id), None)
-            call = call or next((c for c in reversed(calls) if name is not None and c[3] == name and not c[5]), None)
-            if call is not None:
-                call[5] = True
-                out.append((key[0], call[1], int(seq), call[2], call[3], event, text, False))
+#: A row of the result without its message.
+ROW = "position long, version long, id string, name string, event string, text string, expired boolean"
+
+
+def folded(calls: list[list], n: int, rows: Iterable[tuple]) -> tuple[int, list[tuple]]:
+    """Takes (seq, event, name, run_id, text, ms) in their order into the calls of a message, which has had n; how many it
+    has had then, and a row (position, version, id, name, event, text) for the call of every start and end. A run and the
+    open calls of a tool are looked up, so that a message of many calls takes time in proportion."""
+    runs, opened, out = {}, {}, []
+
+    def known(call: list) -> None:
+        if call[2] is not None:
+            runs.setdefault(call[2], call)
+        if not call[5] and call[3] is not None:
+            opened.setdefault(call[3], []).append(call)
+
+    for call in calls:
+        known(call)
+    for seq, event, name, run_id, text, ms in rows:
+        if event == "on_tool_start":
+            calls.append([seq, n, run_id, name, ms, False])
+            known(calls[-1])
+            out.append((n, seq, run_id, name, event, None))
+            n += 1
+            continue
+        # the first call of its run, else the latest open one of its tool
+        call = runs.get(run_id) if run_id is not None else None
+        if call is None:
+            stack = opened.get(name, [])
+            while stack and stack[-1][5]:
+                stack.pop()
+            call = stack[-1] if stack else None
+        if call is not None:
+            call[5] = True
+            out.append((call[1], seq, call[2], call[3], event, text))
+    return n, out
+
+
+def _taken(expiry: int):
+    """State of a message: how many calls it has had, and those that are open or may be ended again by their run, in the
+    order of their starts. Every start and end gives a row for its call, the end's seq as its version; so does the timeout
+    for a call that is still open when it expires. Events, calls and rows are JSON: a group costs Python by its columns."""
+
+    def take(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n, calls = state.get if state.exists else (0, "[]")
+        calls, made = json.loads(calls), []
+        if not state.hasTimedOut:
+            rows = sorted((json.loads(x) for f in frames for x in f["e"]), key=lambda r: r["seq"])
+            n, made = folded(calls, n, (tuple(map(r.get, ("seq", "event", "name", "run_id", "text", "ms"))) for r in rows))
+        out, now = [(*r, False) for r in made], state.getCurrentWatermarkMs()
+        out += [(c[1], c[0], c[2], c[3], "on_tool_start", None, True) for c in calls if c[4] + expiry <= now and not c[5]]
         # an ended call without a run can't be ended again
-        self._keep([c for c in calls if not c[5] or c[2] is not None], n)
-        for at in timers:
-            self.handle.registerTimer(at)
-        yield self._frame(out)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        calls = [list(c) for c in self.calls.get()]
-        gone = [c for c in calls if c[4] + self.expiry <= now]
-        self._keep([c for c in calls if c[4] + self.expiry > now], self.count.get()[0])
-        yield self._frame([(key[0], c[1], c[0], c[2], c[3], "on_tool_start", None, True) for c in gone if not c[5]])
-
-    def _keep(self, calls: list, n: int) -> None:
-        if calls:
-            self.calls.put([tuple(c) for c in calls])
-        else:
-            self.calls.clear()
-        self.count.update((n,))
-
-    def _frame(self, rows: list[tuple]) -> pd.DataFrame:
-        columns = [c.split(" ")[0] for c in OUT.split(", ")]
-        kinds = {"message_id": "int64", "position": "int64", "version": "int64", "expired": "bool"}
-        return pd.DataFrame(rows, columns=columns).astype(kinds)
-
-    def close(self) -> None:
-        pass
+        kept = [c for c in calls if c[4] + expiry > now and (not c[5] or c[2] is not None)]
+        state.update((n, json.dumps(kept)))
+        if kept:
+            state.setTimeoutTimestamp(min(c[4] for c in kept) + expiry)
+        names = [c.split(" ")[0] for c in ROW.split(", ")]
+        yield pd.DataFrame({"message_id": [key[0]], "rows": [json.dumps([dict(zip(names, r, strict=True)) for r in out])]})
+
+    return take
 
 
 def stream_tool_calls(events: DataFrame, expiry: int = EXPIRY, late: str = LATE) -> DataFrame:
-    """Rows of OUT for every start and end of a call. events: message_id, seq, event, name, run_id, text and ts (the event
-    time). A micro-batch's events of one message are taken in the order of seq. Needs the RocksDB state store."""
+    """message_id and the columns of ROW for every start and end of a call. events: message_id, seq, event, name, run_id,
+    text and ts (the event time). A micro-batch's events of one message are taken in the order of seq."""
     kinds = ("on_tool_start", "on_tool_end", "on_tool_error")
-    rows = events.withWatermark("ts", late).where(F.col("event").isin(*kinds)).withColumn("ms", F.unix_millis("ts"))
-    return rows.groupBy("message_id").transformWithStateInPandas(CallFold(expiry), OUT, "append", "EventTime")
+    event = F.to_json(F.struct("seq", "event", "name", "run_id", "text", F.unix_millis("ts").alias("ms")))
+    rows = events.withWatermark("ts", late).where(F.col("event").isin(*kinds)).select("message_id", "ts", event.alias("e"))
+    made = rows.groupBy("message_id").applyInPandasWithState(_taken(expiry), "message_id long, rows string", "n long, calls string", "append", GroupStateTimeout.EventTimeTimeout)
+    kind = "array<struct<" + ROW.replace(" ", ":").replace(",:", ",") + ">>"
+    return made.select("message_id", F.inline(F.from_json("rows", kind, {"maxStringLen": str(2**31 - 1)})))
 
 
 def last_calls(versions: DataFrame) -> DataFrame:

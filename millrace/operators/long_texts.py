@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.operators import chunking as C
-from millrace.operators import joins
 from millrace.sources import shared
 
 #: Code points of a block.
@@ -56,13 +55,9 @@ def windows(parts: DataFrame, size: int = 500, overlap: int = 100) -> DataFrame:
 
 
 def lines(parts: DataFrame) -> DataFrame:
-    """(doc, at, line) of documents given as blocks of whole lines with their line ends; an empty block is an empty line."""
+    """(doc, block, lines) of documents given as blocks of whole lines with their line ends; an empty block is an empty line."""
     found = T.split_lines(F.col("content"))
-    own = parts.select("doc", "block", F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(""))).alias("lines"))
-    before = Window.partitionBy("doc").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    counts = own.select("doc", "block", F.size("lines").alias("n")).withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    rows = own.join(counts.select("doc", "block", "first"), ["doc", "block"])
-    return rows.select("doc", "first", F.posexplode("lines").alias("i", "line")).select("doc", (F.col("first") + F.col("i")).cast("int").alias("at"), "line")
+    return parts.select("doc", "block", F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(""))).alias("lines"))
 
 
 def line_blocks(docs: DataFrame, doc: str, text: str = "text", size: int = 4096) -> DataFrame:
@@ -73,22 +68,35 @@ def line_blocks(docs: DataFrame, doc: str, text: str = "text", size: int = 4096)
 
 
 def headings(rows: DataFrame) -> DataFrame:
-    """doc, chunk_index, number, title, path and content of the heading chunks of documents given as lines (doc, at, line).
+    """doc, chunk_index, number, title, path and content of the heading chunks of documents given as lines (doc, block, lines).
 
-    Candidates are found line by line; those of a document, in order, carry the state of its appendices. Every line then
-    takes the latest heading before it, by ranges of document and line, and the lines of a chunk are joined.
+    Candidates are found line by line; those of a document, in order, carry the state of its appendices. Every block is
+    then cut at the headings that stand in it; what comes before them belongs to the last one of the blocks before, which
+    is carried along a document's blocks without their lines. The pieces of a chunk are joined.
     """
     saved = shared.saved(rows, "long-lines")
-    found = saved.withColumn("c", C.heading_candidate(F.col("line"), F.col("at"))).where("c is not null")
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct("at", "c"))), lambda x: x["c"])
-    heads = found.groupBy("doc").agg(ordered.alias("found")).select("doc", C.accepted_headings(F.col("found")).alias("heads"))
-    every = saved.select("doc").distinct().join(heads, "doc", "left").withColumn("heads", F.coalesce("heads", F.array().cast(f"array<{C.HEADING}>")))
+    begins = saved.select("doc", "block", F.posexplode("lines").alias("i", "line")).where(T.like(F.col("line"), C.HEADING_START))
+    found = begins.select("doc", "block", "i", C.heading_candidate(F.col("line"), F.col("i")).alias("c")).where("c is not null")
+    # a candidate's place is its number in the document, so that lines need not be counted
+    ordered = found.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("block", "i", "c"))).alias("found"))
+    numbered = F.transform("found", lambda x, k: x["c"].withField("at", k))
+    heads = ordered.select("doc", F.transform("found", lambda x: F.struct(x["block"].alias("block"), x["i"].alias("i"))).alias("places"), C.accepted_headings(numbered).alias("heads"))
+    every = saved.groupBy("doc").agg(F.min("block").alias("start")).join(heads, "doc", "left").withColumn("heads", F.coalesce("heads", F.array().cast(f"array<{C.HEADING}>")))
     nothing: Column = F.array().cast("array<string>")
-    chunks = every.select("doc", "heads", F.posexplode(C.heading_chunks(nothing, F.col("heads"))).alias("chunk_index", "chunk"))
+    chunks = every.select("doc", "start", "places", "heads", F.posexplode(C.heading_chunks(nothing, F.col("heads"))).alias("chunk_index", "chunk"))
     # without headings the whole document is one chunk, from its first line on
-    begun = chunks.select("doc", "chunk_index", F.coalesce(F.get("heads", F.col("chunk_index"))["at"], F.lit(0)).alias("at"), "chunk.number", "chunk.title", "chunk.path")
+    place = F.get("places", F.get("heads", F.col("chunk_index"))["at"])
+    begun = chunks.select("doc", "chunk_index", F.coalesce(place["block"], "start").alias("block"), F.coalesce(place["i"], F.lit(0)).alias("i"), "chunk.number", "chunk.title", "chunk.path")
     begun = shared.saved(begun, "long-heads")
-    of = joins.latest_before(saved, begun, "doc", "at", "chunk_index").where("latest is not null")
-    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "\n")
-    contents = of.groupBy("doc", F.col("latest.tie").alias("chunk_index")).agg(T.strip(joined).alias("content"))
-    return begun.drop("at").join(contents, ["doc", "chunk_index"], "left").withColumn("content", F.coalesce("content", F.lit("")))
+    own = begun.groupBy("doc", "block").agg(F.sort_array(F.collect_list(F.struct("i", "chunk_index"))).alias("starts"))
+    before = Window.partitionBy("doc").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = F.last(F.get("starts", F.size("starts") - 1)["chunk_index"], ignorenulls=True).over(before)
+    cuts = saved.select("doc", "block").join(own, ["doc", "block"], "left").select("doc", "block", "starts", carried.alias("carried"))
+    first = F.filter(F.array(F.struct(F.lit(0).alias("i"), F.col("carried").alias("chunk_index"))), lambda x: x["chunk_index"].isNotNull() & ~F.coalesce(F.get("starts", 0)["i"] == 0, F.lit(False)))
+    starts = F.concat(first, F.coalesce("starts", F.array().cast("array<struct<i:int,chunk_index:int>>")))
+    met = saved.join(cuts, ["doc", "block"]).select("doc", "block", "lines", starts.alias("starts"))
+    text = lambda x, k: F.array_join(F.slice("lines", x["i"] + 1, F.coalesce(F.get("starts", k + 1)["i"], F.size("lines")) - x["i"]), "\n")
+    pieces = met.select("doc", "block", F.explode(F.transform("starts", lambda x, k: F.struct(x["chunk_index"].alias("chunk_index"), x["i"].alias("i"), text(x, k).alias("text")))).alias("p"))
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block", "p.i", "p.text"))), lambda x: x["text"]), "\n")
+    contents = pieces.groupBy("doc", F.col("p.chunk_index").alias("chunk_index")).agg(T.strip(joined).alias("content"))
+    return begun.drop("block", "i").join(contents, ["doc", "chunk_index"], "left").withColumn("content", F.coalesce("content", F.lit("")))

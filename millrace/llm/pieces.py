@@ -1,7 +1,7 @@
 """Pre-tokens of the public byte-pair vocabularies, and their ids through the `tokenizers` library.
 
 Both vocabularies merge inside pre-tokens only, so the ids of a text are those of its pre-tokens in a row. Texts
-repeat their words, so each distinct pre-token goes to the library's model once per Python worker.
+repeat their words, so each distinct pre-token goes to the library's model once per Python worker, while it is remembered.
 """
 
 from __future__ import annotations
@@ -29,6 +29,10 @@ CUT = regex.compile(r"(?<=[^\s])(?= [^\s])")
 SLICE = 1 << 20
 TAIL = ".,;:!?#*$%&|"
 CACHE = 100_000
+#: Letters that NFC leaves as they are in any order and that Arrow lower-cases as Python does, and words of them that an encoder
+#: remembers, of less than WORD_BYTES each.
+LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ſΑ-ΡΤ-Ωα-ωЀ-ҁ一-龥"
+WORDS, WORD_BYTES = 400_000, 64
 #: Where white space stands on both sides of a space (or the text ends after it).
 MIXED_BLANKS = r"[\s\v\x1c-\x1f\x{85}\p{Z}] ([\s\v\x1c-\x1f\x{85}\p{Z}]|$)"
 
@@ -172,6 +176,43 @@ def slices(texts: pa.StringArray, size: int = SLICE * 8) -> Iterator[pa.StringAr
         start = stop
 
 
+def runs(pool: np.ndarray, lengths: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pool's runs of these lengths in the order of index, and where each ends."""
+    each = lengths[index]
+    ends = np.cumsum(each)
+    kind = np.int32 if max(len(pool), int(ends[-1]) if len(ends) else 0) < 1 << 31 else np.int64
+    at = np.repeat(((np.cumsum(lengths) - lengths)[index] - (ends - each)).astype(kind), each)
+    at += np.arange(len(at), dtype=kind)
+    return pool[at], ends
+
+
+class Words:
+    """Ids of words of LETTERS. Words, ids and lengths are flat arrays, some 30 bytes a word; above WORDS words only those
+    of the last call stay."""
+
+    def __init__(self, make: Callable[[str], list[int]], code: str):
+        self.make, self.code = make, code
+        self.words, self.ids = pa.array([], pa.string()), np.zeros(0, code)
+        self.lengths, self.last = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def codes(self, words: pa.StringArray) -> np.ndarray:
+        """The number of each word; those that are not known are made."""
+        if len(self.words) > WORDS:
+            self.words, (self.ids, _), self.lengths = self.words.take(pa.array(self.last)), runs(self.ids, self.lengths, self.last), self.lengths[self.last]
+        n = len(self.words)
+        both = pa.concat_arrays([self.words, words]).dictionary_encode()
+        ids, lengths, size = array(self.code), [], 0
+        for word in strings(both.dictionary[n:]):
+            ids.extend(self.make(word))
+            lengths.append(len(ids) - size)
+            size = len(ids)
+        self.words = both.dictionary
+        self.ids, self.lengths = np.append(self.ids, np.frombuffer(ids, self.code)), np.append(self.lengths, np.array(lengths, np.int64))
+        found = both.indices.to_numpy()[n:]
+        self.last = np.flatnonzero(np.bincount(found, minlength=1))
+        return found
+
+
 class Encoder(ByUnit):
     """Ids of whole texts, equal to Tokenizer.encode(text, add_special_tokens=False).ids."""
 
@@ -181,27 +222,50 @@ class Encoder(ByUnit):
         model, v = Tokenizer.from_file(path).model, vocabulary(path)
         self.code = code = "H" if v.size <= 1 << 16 else "I"
         self.dtype = np.dtype(code)
+        make = lambda piece: [t.id for t in model.tokenize(symbols(piece))]
         super().__init__(
             path,
-            lambda piece: array(code, [t.id for t in model.tokenize(symbols(piece))]).tobytes(),
+            lambda piece: array(code, make(piece)).tobytes(),
             lambda string: array(code, [v.special[string]]).tobytes(),
             b"".join,
             cache,
         )
+        self.words = Words(make, code)
 
     def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, offsets of each text's first id)."""
         if not len(texts):
             return np.zeros(0, self.dtype), np.zeros(1, np.int64)
-        offsets, index, values = self.batch(texts)
-        lengths = np.fromiter(map(len, values), np.int64, len(values)) // self.dtype.itemsize
-        starts = np.cumsum(lengths) - lengths
-        each = lengths[index]
-        ends = np.cumsum(each)
-        total = int(ends[-1]) if len(ends) else 0
-        at = np.repeat(starts[index] - (ends - each), each)
-        at += np.arange(total)
-        return np.frombuffer(b"".join(values), self.dtype)[at], np.concatenate([[0], ends])[offsets]
+        if self.vocabulary.lowers:
+            units = pc.ascii_split_whitespace(texts)
+            codes, offsets = units.flatten().dictionary_encode(), units.offsets.to_numpy()
+            index, (pool, lengths) = codes.indices.to_numpy(), self._units(codes.dictionary)
+        else:
+            offsets, index, values = self.batch(texts)
+            pool, lengths = self._pool(values)
+        ids, ends = runs(pool, lengths, index)
+        return ids, np.append(0, ends)[offsets]
+
+    def _pool(self, values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        return np.frombuffer(b"".join(values), self.dtype), np.fromiter(map(len, values), np.int64, len(values)) // self.dtype.itemsize
+
+    def _units(self, units: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct units in a row, and how many each has: words of LETTERS and their closing marks all at once, other
+        units one by one."""
+        cores = pc.utf8_rtrim(units, TAIL)
+        size = pc.binary_length(cores).to_numpy()
+        words = pc.match_substring_regex(cores, f"^[{LETTERS}]+$").to_numpy(zero_copy_only=False) & (size < WORD_BYTES)
+        marked = words & (size < pc.binary_length(units).to_numpy())
+        known = self.words.codes(pc.utf8_lower(cores.filter(pa.array(words))))
+        marks = pc.replace_substring_regex(units.filter(pa.array(marked)), f"^[{LETTERS}]+", "").dictionary_encode()
+        others = [self.plain[x] for x in strings(units.filter(pa.array(~words)))]
+        pool, lengths = self._pool([b"", *map(self.piece.__getitem__, strings(marks.dictionary)), *others])
+        n = len(self.words.lengths)
+        parts = np.full((len(units), 2), n)  # the empty value
+        parts[words, 0], parts[marked, 1] = known, n + 1 + marks.indices.to_numpy()
+        parts[~words, 0] = n + 1 + len(marks.dictionary) + np.arange(len(others))
+        ids, ends = runs(np.append(self.words.ids, pool), np.append(self.words.lengths, lengths), parts.ravel())
+        return ids, np.diff(ends[1::2], prepend=0)
 
 
 @functools.lru_cache(maxsize=4)

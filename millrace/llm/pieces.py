@@ -32,7 +32,7 @@ CACHE = 100_000
 #: Letters that NFC leaves as they are in any order and that Arrow lower-cases as Python does, and words of them that an encoder
 #: remembers, of less than WORD_BYTES each.
 LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ſΑ-ΡΤ-Ωα-ωЀ-ҁ一-龥"
-WORDS, WORD_BYTES = 400_000, 64
+WORDS, WORD_BYTES = 200_000, 64
 #: Where white space stands on both sides of a space (or the text ends after it).
 MIXED_BLANKS = r"[\s\v\x1c-\x1f\x{85}\p{Z}] ([\s\v\x1c-\x1f\x{85}\p{Z}]|$)"
 
